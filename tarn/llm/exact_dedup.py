@@ -3,10 +3,11 @@
 1. Each sender (a run of rows of one partition) sorts the distinct fingerprints of
    its texts and sends each owner of a hash range one compressed message.
 2. An owner merges its messages and answers each with a bitmap: which of these
-   fingerprints did another sender hold too?
-3. Rows whose bit is set, or whose fingerprint their sender held twice, are the
-   suspects. Only their texts are shuffled; grouping by the text itself compares
-   all bytes, so equal fingerprints alone never make a duplicate.
+   fingerprints did another sender hold too, or this one twice?
+3. Rows whose bit is set are the suspects. Only their texts are shuffled; grouping
+   by the text itself compares all bytes, so equal fingerprints alone never make a
+   duplicate. The suspects' fingerprints go to the scan of the texts by broadcast
+   where their counted number is small, and by a shuffle beyond.
 
 A sender sends each fingerprint once, however many rows share it, so a text that
 fills a third of the table costs an owner one entry per sender.
@@ -27,6 +28,7 @@ from tarn.llm import golomb
 from tarn.llm.common import ascii_lower, owners, written
 
 SENDER_ROWS = 1 << 18
+BROADCAST_FINGERPRINTS = 1 << 21  # 32 MB as a hash relation; more suspects than that are joined by a shuffle
 HOME = "sender long, owner int, n int, k int, code binary, ids binary, slot binary, multi binary, shas binary"
 
 
@@ -62,28 +64,39 @@ def _messages(batches, bits: int, n_owners: int):
         yield pd.DataFrame(flush(*zip(*held, strict=True)))
 
 
-def _answers(group: pd.DataFrame) -> pd.DataFrame:
-    """An owner's bitmaps: fingerprints that came from two senders or more."""
+def _answers(group: pd.DataFrame, bits: int, n_owners: int) -> pd.DataFrame:
+    """An owner's bitmaps: fingerprints that came from two senders, or twice from one.
+
+    The first row also holds these fingerprints themselves.
+    """
     lists = [golomb.decode(n, k, code) for n, k, code in zip(group["n"], group["k"], group["code"], strict=True)]
-    values, counts = np.unique(np.concatenate(lists), return_counts=True)
+    multi = [x[np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)].astype(bool)] for x, m in zip(lists, group["multi"], strict=True)]
+    values, counts = np.unique(np.concatenate(lists + multi), return_counts=True)
     shared = values[counts > 1]
+    low = (np.uint64(group["owner"].iloc[0]) << np.uint64(bits)) // np.uint64(n_owners)
+    fps = [(shared + low).astype("<i8").tobytes(), *[b""] * (len(group) - 1)]
 
     def held(x):
         at = np.minimum(np.searchsorted(shared, x), max(0, len(shared) - 1))
         return shared[at] == x if len(shared) else np.zeros(len(x), bool)
 
-    return pd.DataFrame({"sender": group["sender"], "owner": group["owner"], "bitmap": [np.packbits(held(x)).tobytes() for x in lists]})
+    return pd.DataFrame({"sender": group["sender"], "owner": group["owner"], "bitmap": [np.packbits(held(x)).tobytes() for x in lists], "fps": fps})
 
 
 def _marked(batches):
     """The senders' rows again, each with its bit."""
     for batch in batches:
-        for n, ids, slot, multi, shas, bitmap in zip(batch["n"], batch["ids"], batch["slot"], batch["multi"], batch["shas"], batch["bitmap"], strict=True):
-            bits = np.unpackbits(np.frombuffer(multi, np.uint8) | np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
+        for n, ids, slot, shas, bitmap in zip(batch["n"], batch["ids"], batch["slot"], batch["shas"], batch["bitmap"], strict=True):
+            bits = np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
             sha = np.frombuffer(shas, "V32")
             yield pd.DataFrame({"row": np.frombuffer(ids, np.int64), "sha": [x.tobytes() for x in sha], "suspect": bits[np.frombuffer(slot, "<i4")]})
 
 
+def _fingerprints(batches):
+    for batch in batches:
+        yield pd.DataFrame({"fp": np.frombuffer(b"".join(batch["fps"]), "<i8")})
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slack: int = 12) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -103,20 +116,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_owners = min(owners(spark), 1 << 7 if bits > 57 else 1 << (63 - bits))
     prints = rows.select("row", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     home = written(prints.mapInPandas(lambda it: _messages(it, bits, n_owners), HOME), "fingerprints")
-    answers = home.select("sender", "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answers, "sender long, owner int, bitmap binary")
-    marked = written(
-        home.select("sender", "owner", "n", "ids", "slot", "multi", "shas").join(answers, ["sender", "owner"]).mapInPandas(_marked, "row long, sha binary, suspect boolean"),
-        "suspects",
-    )
-    suspects = marked.where("suspect").select("row").distinct()
-    # byte verification: the groups are the texts themselves
+    messages = home.select("sender", "owner", "n", "k", "code", "multi")
+    answers = written(messages.groupBy("owner").applyInPandas(lambda g: _answers(g, bits, n_owners), "sender long, owner int, bitmap binary, fps binary"), "answers")
+    marked = home.select("sender", "owner", "n", "ids", "slot", "shas").join(answers.drop("fps"), ["sender", "owner"]).mapInPandas(_marked, "row long, sha binary, suspect boolean")
+    shared = answers.select("fps").where("length(fps) > 0")
+    n_shared = shared.agg(F.sum(F.length("fps")) / 8).first()[0] or 0
+    shared = shared.mapInPandas(_fingerprints, "fp long")
+    shared = F.broadcast(shared) if n_shared <= BROADCAST_FINGERPRINTS else shared
+    # byte verification: the groups are the suspects' texts themselves
+    suspects = rows.join(shared, F.expr(f"shiftrightunsigned(xxhash64(norm), {64 - bits})") == shared["fp"], "left_semi")
     groups = (
-        rows.join(suspects, "row", "left_semi")
-        .groupBy("norm").agg(F.max("row").alias("keep"), F.count("*").alias("size"))
-        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "size")
-        .where("size > 1")
+        suspects.groupBy("norm").agg(F.max("row").alias("keep"), F.count("*").alias("size"))
+        .where("size > 1").select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep", "size", F.lit(True).alias("suspect"))
     )
-    out = marked.join(groups, "sha", "left")
+    out = marked.join(groups, ["sha", "suspect"], "left")
     keep = F.coalesce("keep", "row")
     shown = lambda c: F.when(c != null_id, c)
     return out.select(

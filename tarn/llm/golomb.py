@@ -55,6 +55,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
     """
     values = values.astype("<u8", copy=False)
     n = len(values)
+    if width % 8 == 0:
+        return values.view(np.uint8).reshape(n, 8)[:, : width // 8].tobytes()
     bits = np.unpackbits(values.view(np.uint8).reshape(n, 8)[:, : (width + 7) // 8], axis=1, bitorder="little")
     return np.packbits(bits[:, :width].reshape(-1), bitorder="little").tobytes()
 
@@ -63,11 +65,14 @@ def unpack(code: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
     """n values from the start-th on; reads only the bytes that hold them."""
     if n <= 0:
         return np.zeros(0, np.uint64)
-    first = start * width
-    byte0, skip = divmod(first, 8)
+    out = np.zeros((n, 8), np.uint8)
+    if width % 8 == 0:
+        size = width // 8
+        out[:, :size] = np.frombuffer(code, np.uint8, n * size, start * size).reshape(n, size)
+        return out.view("<u8").reshape(n).astype(np.uint64)
+    byte0, skip = divmod(start * width, 8)
     raw = np.frombuffer(code, np.uint8, (skip + n * width + 7) // 8, byte0)
     bits = np.unpackbits(raw, bitorder="little")[skip : skip + n * width].reshape(n, width)
-    out = np.zeros((n, 8), np.uint8)
     part = np.packbits(bits, axis=1, bitorder="little")
     out[:, : part.shape[1]] = part
     return out.view("<u8").reshape(n).astype(np.uint64)

@@ -98,7 +98,8 @@ def _documents(batches):
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc, start (ids before it in the corpus), n_tokens, ids (little-endian unsigned 32-bit bytes)."""
     blocks = read_blocks(spark, path)
-    placed = blocks.join(positions(blocks), "shard").withColumn("base", F.col("offset") + F.col("first"))
+    # a shard is a task of the write, of which there are spark.sql.shuffle.partitions at most
+    placed = blocks.join(F.broadcast(positions(blocks)), "shard").withColumn("base", F.col("offset") + F.col("first"))
     return placed.select("base", "width", "n_ids", "docs", "starts", "payload").mapInPandas(_documents, "doc long, start long, n_tokens long, ids binary")
 
 
