@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.taskcontext import TaskContext
 
-from tarn.llm.common import owners, written
+from tarn.llm.common import written
 from tarn.llm.tokens import encode_all
 
 WIDTH = 8
@@ -146,6 +149,27 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     return out.withColumn("doc", F.when(F.col("doc") != -(2**63), F.col("doc"))).withColumnRenamed("doc", id_col)
 
 
+def _numbered(batches):
+    """Adds each piece's task, its number in the task, and its rank among the task's pieces of its class."""
+    part, seen, counts = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+    for batch in batches:
+        classes = batch.column("_class").to_numpy()
+        n = len(classes)
+        if not n:
+            continue
+        counts = np.pad(counts, (0, max(0, int(classes.max()) + 1 - len(counts))))
+        order = np.argsort(classes, kind="stable")
+        new = np.bincount(classes, minlength=len(counts))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n) - np.repeat(np.cumsum(new) - new, new)
+        rank += counts[classes]
+        counts += new
+        for name, values in (("_group", np.full(n, part, np.int32)), ("_row", (part << 33) + seen + np.arange(n)), ("_local", rank)):
+            batch = batch.append_column(name, pa.array(values))
+        seen += n
+        yield batch
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, width: int = WIDTH) -> DataFrame:
     """pieces with sequence_id and offset: where each lies.
 
@@ -156,16 +180,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, width: int = WIDTH) -> DataFra
     """
     spark = pieces.sparkSession
     own = pieces.columns
-    # a pack of pieces is ranked in groups of its own, so that no task ranks a whole class
-    rows = pieces.withColumns({"_class": F.ceil(F.col("length") / width).cast("int"), "_group": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    rows = written(rows, "pieces")
+    # tasks rank the pieces they hold, so no task ever gathers a class
+    rows = pieces.withColumn("_class", F.ceil(F.col("length") / width).cast("int"))
+    added = [StructField("_group", IntegerType()), StructField("_row", LongType()), StructField("_local", LongType())]
+    rows = written(rows.mapInArrow(_numbered, StructType([*rows.schema.fields, *added])), "pieces")
     counts = rows.groupBy("_class", "_group").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_class").orderBy("_group")) - F.col("_n")).drop("_n")
     histogram = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count("*").alias("n")).collect()}  # capacity / width rows
     layout, _ = plan(histogram, capacity, width)
     layout = spark.createDataFrame(layout, PLAN)  # patterns times classes: bounded by capacity / width as well
-    ranked = rows.withColumn("_local", F.row_number().over(Window.partitionBy("_class", "_group").orderBy("_row")) - 1)
-    ranked = ranked.join(before, ["_class", "_group"]).withColumn("_rank", F.col("_before") + F.col("_local"))
+    ranked = rows.join(before, ["_class", "_group"]).withColumn("_rank", F.col("_before") + F.col("_local"))
     placed = ranked.join(F.broadcast(layout), (F.col("_class") == F.col("class")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
     placed = placed.withColumn("sequence_id", F.col("base") + F.expr("(_rank - low) div each"))
     along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_row").rowsBetween(Window.unboundedPreceding, -1)

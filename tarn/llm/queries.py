@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import exact_dedup, token_files, url_filter
+from tarn.llm import exact_dedup, lm_scoring, near_dedup, packing, token_files, url_filter
 from tarn.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_IDS = 50257
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(spark.read.parquet(f"{sf_dir}/documents.parquet"), BYTE_BPE, capacity=2048, end_id=1)
+    placed = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -70,5 +76,21 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op3_url_filter": op3_url_filter, "op5_token_files": op5_token_files}
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=4, percent=80)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return lm_scoring.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), learn)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op5_token_files": op5_token_files,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
+}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}
