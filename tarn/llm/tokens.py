@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 500_000  # distinct words held by a task: bounds its memory at about 120 MB
+CACHE = 1_100_000  # distinct words held by a task: bounds its memory at about 220 MB
 
 
 class Encoder:
@@ -48,11 +48,11 @@ class Encoder:
         known, once = self.after[before], self.once[before]
         new = words.difference(known)
         once -= words
-        if len(known) + len(new) > CACHE // 2:
+        if len(known) + len(new) > CACHE * (0.85 if before == " " else 0.15):
             for w in once:
                 del known[w]
             once.clear()
-            if len(known) + len(new) > CACHE // 2:
+            if len(known) + len(new) > CACHE * (0.85 if before == " " else 0.15):
                 known.clear()
                 new = words
         self._learn(new, before.strip("\n"), known)
