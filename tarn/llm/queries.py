@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, exact_dedup, lm_scoring, near_dedup, packing, token_files, url_filter
+from tarn.llm import ann, exact_dedup, lm_scoring, near_dedup, packing, quality, token_files, url_filter
 from tarn.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,6 +76,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
@@ -95,6 +99,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_token_files": op5_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
