@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, exact_dedup, lm_scoring, near_dedup, packing, quality, token_files, url_filter
+from tarn.llm import ann, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, token_files, url_filter
 from tarn.llm.common import shared_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_IDS = 50257
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,10 @@ SELECT p.page_id, p.host, p.path, CASE WHEN b.is_rule THEN b.entry END AS rule,
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_folder(spark).rstrip('/')}/tarn/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, BYTE_BPE, BYTE_BPE_IDS, end_id=2)
@@ -80,6 +85,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and whether decoding them gives its text back."""
+    coded = sentencepiece.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), PIECES)
+    decoded = sentencepiece.decode(coded, PIECES, carried=["doc_id", "text", "n_tokens", "ids"])
+    return decoded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
@@ -98,8 +110,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_html_extraction": op4_html_extraction,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
