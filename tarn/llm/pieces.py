@@ -21,7 +21,8 @@ import sentencepiece
 
 SPACE = "▁"
 NONE = float("-inf")
-MEMORY = 600_000  # words, and as many pairs, that a task remembers
+UNKNOWN = -1e6  # the score of a character that is no piece
+MEMORY = 800_000  # words, and as many pairs, that a task remembers
 
 
 class Pieces:
@@ -37,8 +38,11 @@ class Pieces:
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on after a word's end
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.codes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short string: the best-scored neighbours join first, the leftmost of equals."""
@@ -56,17 +60,15 @@ class Pieces:
 
     def fit(self, one: str, two: str) -> bool:
         """Whether two pieces may stand side by side; one is empty at a text's start."""
-        key = (one, two)
-        found = self.fits.get(key)
+        after = self.fits.setdefault(one, {})
+        found = after.get(two)
         if found is None:
-            if len(self.fits) > MEMORY:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(one + two) == ([one, two] if one else [two])
+            if self.pairs >= MEMORY:
+                self.fits, self.pairs = {one: (after := {})}, 0
+            self.pairs += 1
+            found = after[two] = self.merged(one + two) == ([one, two] if one else [two])
         return found
 
-    def weight(self, piece: str) -> float:
-        return self.score.get(piece, -1e6)
-
     def forward(self, text: str, start: int, came_by: str, end: int) -> tuple[list[str | None], list[float]]:
         """By position: the last piece of the best path from start, and the path's weight.
 
@@ -76,18 +78,12 @@ class Pieces:
         last: list[str | None] = [None] * (end + 1)
         weight = [NONE] * (end + 1)
         last[start], weight[start] = came_by, 0.0
-        score, fits, longest = self.score, self.fits, self.longest
+        score, longest, fit = self.score, self.longest, self.fit
         for p in range(start + 1, end + 1):
-            for q in range(max(start, p - longest), p):
-                before = last[q]
-                if before is None:
-                    continue
+            for q in range(p - longest if p - start > longest else start, p):
                 piece = text[q:p]
-                if piece not in score and q < p - 1:
-                    continue
-                ok = fits.get((before, piece))
-                if ok if ok is not None else self.fit(before, piece):
-                    last[p], weight[p] = piece, weight[q] + self.weight(piece)
+                if (piece in score or q == p - 1) and (before := last[q]) is not None and fit(before, piece):
+                    last[p], weight[p] = piece, weight[q] + score.get(piece, UNKNOWN)
                     break
         return last, weight
 
@@ -147,11 +143,17 @@ class Pieces:
         return [p for p in part if p]
 
     def word(self, text: str) -> bytes:
-        found = self.known.get(text)
+        """A word's ids as bytes. What is remembered has two generations, so common words stay."""
+        found = self.known.get(text) or self.older.get(text)
         if found is None:
-            if len(self.known) > MEMORY:
-                self.known.clear()
-            found = self.known[text] = np.array(self.numbers(self.segment(text)), "<u4").tobytes()
+            parts = self.segment(text)
+            try:
+                found = b"".join(map(self.codes.__getitem__, parts))
+            except KeyError:
+                found = np.array(self.numbers(parts), "<u4").tobytes()
+        if len(self.known) >= MEMORY // 2:
+            self.older, self.known = self.known, {}
+        self.known[text] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -161,13 +163,13 @@ class Pieces:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.whole_words:
             return np.array(self.numbers(self.segment(marked)), "<u4").tobytes()
-        known, word = self.known, self.word
+        word = self.word
         parts = marked.split(SPACE)
         out, spaces = [], 1
         for i, p in enumerate(parts[1:], 1):
             if p or i == len(parts) - 1:
                 w = SPACE * spaces + p
-                found = known.get(w)
+                found = self.known.get(w)
                 out.append(found if found is not None else word(w))
                 spaces = 1
             else:
