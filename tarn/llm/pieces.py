@@ -38,6 +38,7 @@ class Pieces:
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on after a word's end
+        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
         self.codes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
         self.fits: dict[str, dict[str, bool]] = {}
         self.pairs = 0
@@ -64,7 +65,8 @@ class Pieces:
         found = after.get(two)
         if found is None:
             if self.pairs >= MEMORY:
-                self.fits, self.pairs = {one: (after := {})}, 0
+                self.fits.clear()
+                self.fits[one], self.pairs = (after := {}), 0
             self.pairs += 1
             found = after[two] = self.merged(one + two) == ([one, two] if one else [two])
         return found
@@ -78,12 +80,19 @@ class Pieces:
         last: list[str | None] = [None] * (end + 1)
         weight = [NONE] * (end + 1)
         last[start], weight[start] = came_by, 0.0
-        score, longest, fit = self.score, self.longest, self.fit
-        for p in range(start + 1, end + 1):
-            for q in range(p - longest if p - start > longest else start, p):
+        score, prefixes, fits = self.score, self.prefixes, self.fits
+        for q in range(start, end):
+            before = last[q]
+            if before is None:
+                continue
+            after = fits.get(before) or {}
+            for p in range(q + 1, end + 1):
                 piece = text[q:p]
-                if (piece in score or q == p - 1) and (before := last[q]) is not None and fit(before, piece):
-                    last[p], weight[p] = piece, weight[q] + score.get(piece, UNKNOWN)
+                if last[p] is None and (piece in score or p == q + 1):
+                    ok = after.get(piece)
+                    if self.fit(before, piece) if ok is None else ok:
+                        last[p], weight[p] = piece, weight[q] + score.get(piece, UNKNOWN)
+                if piece not in prefixes:
                     break
         return last, weight
 
