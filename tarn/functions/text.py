@@ -1,0 +1,86 @@
+"""Text scalars as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+CJK = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]"
+
+# fixed values: the patterns of secrets, in the order in which they are replaced
+SECRETS = [
+    ("api_key", r"sk-[A-Za-z0-9_-]{16,}"),
+    ("github_token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
+    ("aws_key", r"AKIA[0-9A-Z]{16}"),
+    ("bearer", r"Bearer [A-Za-z0-9._-]{16,}"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+]
+
+
+def contains_cjk(text: Column) -> Column:
+    return F.coalesce(text.rlike(CJK), F.lit(False))
+
+
+def cjk_trigrams(text: Column) -> Column:
+    """Distinct trigrams of each run of ideographs; shorter runs stay whole."""
+    runs = F.regexp_extract_all(text, F.lit(f"({CJK}+)"), F.lit(1))
+    grams = F.transform(runs, lambda r: F.when(F.length(r) < 3, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 2, F.lit(1))), lambda i: F.substring(r, i, F.lit(3)))))
+    return F.array_distinct(F.flatten(grams))
+
+
+def token_estimate(text: Column) -> Column:
+    """Ideographs count one, a Latin word a quarter of its length, a number half, marks half."""
+    words = F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), F.lit(1))
+    numbers = F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1))
+    marks = F.length(F.regexp_replace(text, f"[A-Za-z0-9\\s]|{CJK}", ""))
+    count = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + f(x))
+    one = F.lit(1).cast("long")
+    return (
+        F.length(F.regexp_replace(text, f"[^{CJK[1:]}", "")).cast("long")
+        + count(words, lambda w: F.greatest(one, F.floor(F.length(w) / 4 + 0.5).cast("long")))
+        + count(numbers, lambda w: F.greatest(one, F.ceil(F.length(w) / 2).cast("long")))
+        + F.ceil(marks / 2).cast("long")
+    )
+
+
+def redacted(text: Column) -> Column:
+    """Secrets replaced by their kind, pattern after pattern on the text so far."""
+    for kind, pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+    return text
+
+
+def token_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda x: x != ""))
+
+
+def jaccard(a: Column, b: Column, empty: float) -> Column:
+    """Of two arrays of distinct values; empty: the value for two empty sets."""
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def slug(text: Column) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
+
+
+def clean_subject(text: Column) -> Column:
+    """Reply and forward marks off the front."""
+    return F.trim(F.regexp_replace(text, "(?i)^((re|fwd?)\\s*:\\s*)+", ""))
+
+
+def error_signature(text: Column) -> Column:
+    """An error text with what changes from time to time masked."""
+    for pattern, to in (("\\d{4}-\\d\\d-\\d\\d[T ][0-9:.]+Z?", "<ts>"), ("0x[0-9a-fA-F]+", "<addr>"), ("(?:/[\\w.-]+)+/([\\w.-]+)", "$1"), (":\\d+(:\\d+)?", "<line>"), ("\\d+", "#")):
+        text = F.regexp_replace(text, pattern, to)
+    return F.substring(F.trim(F.regexp_replace(text, "\\s+", " ")), 1, 200)
+
+
+def kind_of(text: Column) -> Column:
+    """The first kind whose pattern the text has."""
+    low = F.lower(text)
+    rules = [("decision", "decid|chose"), ("preference", "prefer|favou?rite"), ("pitfall", "bug|fail|error"), ("task", "todo|next step"), ("fact", " is | are ")]
+    out = None
+    for kind, pattern in rules:
+        out = F.when(low.rlike(pattern), kind) if out is None else out.when(low.rlike(pattern), kind)
+    return out.otherwise("raw_note")
