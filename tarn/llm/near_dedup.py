@@ -3,7 +3,8 @@
 1. Each text becomes its set of distinct word shingles. Equal sets are one class, known
    by two 64-bit sums over the set, and only classes go on.
 2. A class's signature has BANDS * ROWS minima; classes that share all rows of a band
-   share a bucket. The smallest class of a bucket is paired with its other members.
+   share a bucket. The class of a bucket that
+   meets most others in all its buckets is paired with the bucket's other members.
 3. Signatures of paired classes are compared batch by batch. After each batch, the pair
    goes if the posterior probability of a similarity of at least the threshold, given the
    matches so far, is below the chosen miss probability.
@@ -155,9 +156,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     search = _Search(numbered, classes.select("node", "n", "sig"), shingle_words, percent, miss)
 
     entries = classes.select("node", F.explode("bands").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    shared = written(entries.join(leaders, "bucket"), "buckets")
-    pairs = shared.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(entries.join(crowded, "bucket"), "buckets")
+    # the member that meets most others stands nearest to the middle of its group
+    degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
+    leaders = shared.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("node"))).alias("top")).select("bucket", (-F.col("top.node")).alias("leader"))
+    pairs = shared.join(leaders, "bucket").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = search.survivors(pairs)
     likeliest = first.groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
     judged = search.verified(likeliest)
