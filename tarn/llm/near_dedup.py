@@ -9,9 +9,10 @@
    goes if the posterior probability of a similarity of at least the threshold, given the
    matches so far, is below the chosen miss probability.
 4. Survivors are verified on full shingle sets, first each class's likeliest pair only.
-5. Where a bucket still holds several components, all its pairs across components
-   follow, from its members outside the largest one, so no pair in it goes unjudged and
-   none inside a component is ever made.
+5. Where a bucket still holds several components, its members outside the largest one
+   meet all others, block by block inside tasks, by longer signatures; only pairs that
+   survive become rows. No pair across components goes unjudged, and none inside a
+   component is made.
 
 Two classes at the threshold share no bucket with probability
 (1 - threshold**ROWS)**BANDS, 3e-6 at 0.8.
@@ -31,9 +32,12 @@ from tarn.llm.components import connected_components
 from tarn.llm.words import Hasher, ngrams, words
 
 BANDS, ROWS = 32, 5
+FINE = 1024  # places of the longer signatures
+BLOCK_OUTSIDE, BLOCK_ALL = 2048, 4096
+BROADCAST_IDS = 1 << 20  # 16 MB as a hash relation; more ids than that are joined by a shuffle
 BATCH = 16  # signature places compared at a time
 HASHER = Hasher()
-_seed = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
+_seed = np.arange(1, FINE + 1, dtype=np.uint64)
 FLIP, FACTOR = (mix64(_seed) >> np.uint64(32)).astype(np.uint32), (mix64(_seed + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 SKETCH = "n long, key binary, sig binary, bands array<long>"
 
@@ -46,11 +50,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(ngrams(HASHER(found), min(size, len(found))))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, places: int = BANDS * ROWS) -> np.ndarray:
     """The minimum of each of the multiply-xor orders of the set, in blocks of bounded size."""
-    low, out = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    low, out = (hashes >> np.uint64(32)).astype(np.uint32), np.full(places, 0xFFFFFFFF, np.uint32)
+    flip, factor = FLIP[:places, None], FACTOR[:places, None]
     for i in range(0, len(low), 2048):
-        out = np.minimum(out, ((low[i : i + 2048] ^ FLIP[:, None]) * FACTOR[:, None]).min(axis=1))
+        out = np.minimum(out, ((low[i : i + 2048] ^ flip) * factor).min(axis=1))
     return out
 
 
@@ -67,19 +72,21 @@ def _sketch(text: str | None, size: int) -> tuple:
 
 
 @lru_cache
-def fewest_matches(threshold: float, miss: float) -> np.ndarray:
+def fewest_matches(threshold: float, miss: float, places: int = BANDS * ROWS, batch: int = BATCH) -> np.ndarray:
     """After each batch: the matches below which a pair goes. Prior: any similarity alike."""
     similarity = np.linspace(0, 1, 2001)
     equal = similarity + (1 - similarity) / 256  # signatures hold eight bits of each minimum
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-        for m in range(n + 1):
+    least = 0
+    for n in range(batch, places + 1, batch):
+        for m in range(least, n + 1):
             with np.errstate(divide="ignore"):
                 log = m * np.log(equal) + (n - m) * np.log1p(-np.minimum(equal, 1 - 1e-12))
             weight = np.exp(log - log.max())
             if weight[similarity >= threshold - 1e-9].sum() >= miss * weight.sum():
                 break
         out.append(m)
+        least = m  # it only rises
     return np.array(out)
 
 
@@ -98,6 +105,38 @@ def _compare(frames, threshold: float, miss: float):
         yield pd.DataFrame({"a": frame["a"].to_numpy()[alive], "b": frame["b"].to_numpy()[alive], "matches": matches[alive]})
 
 
+def _across(group: pd.DataFrame, threshold: float, miss: float, percent: int) -> pd.DataFrame:
+    """A block of a bucket's outside members against a block of all: the pairs across components that survive.
+
+    A pair that shares several buckets counts in the first band that it shares.
+    """
+    fewest, batch = fewest_matches(threshold, miss, FINE, 64), 64
+    ours, all_ = group[group["role"] == 0], group[group["role"] == 1]
+    out: list[np.ndarray] = []
+    if len(ours) and len(all_):
+        bucket = group["bucket"].iloc[0]
+        sig, other = (np.frombuffer(b"".join(x["fine"]), np.uint8).reshape(-1, FINE) for x in (ours, all_))
+        node, nodes = ours["node"].to_numpy(), all_["node"].to_numpy()
+        bands, others = np.stack(ours["bands"].to_numpy()), np.stack(all_["bands"].to_numpy())
+        n, ns, c, cs, outside = ours["n"].to_numpy(), all_["n"].to_numpy(), ours["component"].to_numpy(), all_["component"].to_numpy(), all_["outside"].to_numpy()
+        for i in range(len(ours)):
+            fits = (cs != c[i]) & (~outside | (nodes > node[i])) & (100 * np.minimum(ns, n[i]) >= percent * np.maximum(ns, n[i]))
+            j = np.flatnonzero(fits)
+            if len(j):
+                j = j[others[j, (others[j] == bands[i]).argmax(axis=1)] == bucket]
+            matches = np.zeros(len(j), np.int64)
+            for k, least in enumerate(fewest):
+                part = slice(k * batch, (k + 1) * batch)
+                matches += (other[j, part] == sig[i, part]).sum(axis=1)
+                alive = matches >= least
+                j, matches = j[alive], matches[alive]
+                if not len(j):
+                    break
+            out.append(np.stack([np.minimum(nodes[j], node[i]), np.maximum(nodes[j], node[i])], axis=1))
+    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
 def _verify(frames, size: int, percent: int):
     for frame in frames:
         sets: dict[int, np.ndarray] = {}
@@ -127,15 +166,40 @@ class _Search:
         threshold, miss = self.percent / 100, self.miss
         return written(pairs.mapInPandas(lambda it: _compare(it, threshold, miss), "a long, b long, matches long"), "survivors")
 
+    def _texts_of(self, nodes: DataFrame) -> DataFrame:
+        nodes = nodes.distinct()
+        nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        return self.texts.join(nodes, "row", "left_semi").select("row", "text")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, linked: judged on full shingle sets."""
-        needed = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-        texts = written(self.texts.join(needed, "row", "left_semi").select("row", "text"), "texts")
+        texts = written(self._texts_of(pairs.select(F.col("a").alias("row")).union(pairs.select("b"))), "texts")
         for side in "ab":
-            pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")), side)
+            pairs = pairs.join(texts.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
         size, percent = self.size, self.percent
         return written(pairs.select("a", "b", "text_a", "text_b").mapInPandas(lambda it: _verify(it, size, percent), "a long, b long, linked boolean"), "verified")
 
+    def across(self, rows: DataFrame) -> DataFrame:
+        """a, b: the surviving pairs between components. rows: bucket, node, outside (the bucket's largest component), component."""
+        size, percent, threshold, miss = self.size, self.percent, self.percent / 100, self.miss
+
+        def finer(frames):
+            for frame in frames:
+                fine = [(signature(shingles(t, size), FINE) & np.uint32(0xFF)).astype(np.uint8).tobytes() for t in frame["text"]]
+                yield pd.DataFrame({"node": frame["row"], "fine": fine})
+
+        fine = self._texts_of(rows.select(F.col("node").alias("row"))).mapInPandas(finer, "node long, fine binary")
+        fine = written(fine.join(self.classes.select("node", "n", "bands"), "node"), "fine")
+        sizes = rows.groupBy("bucket").agg(F.count_if("outside").alias("_o"), F.count("*").alias("_a"))
+        counted = rows.join(sizes, "bucket").withColumns({"_os": F.ceil(F.col("_o") / BLOCK_OUTSIDE).cast("int"), "_as": F.ceil(F.col("_a") / BLOCK_ALL).cast("int")})
+        spread, other = F.xxhash64("node"), F.sequence(F.lit(0), F.col("_as") - 1)
+        ours = counted.where("outside").withColumns({"o": F.pmod(spread, F.col("_os")).cast("int"), "m": F.explode(other), "role": F.lit(0)})
+        all_ = counted.withColumns({"m": F.pmod(spread, F.col("_as")).cast("int"), "o": F.explode(F.sequence(F.lit(0), F.col("_os") - 1)), "role": F.lit(1)})
+        names = ["bucket", "o", "m", "role", "node", "outside", "component"]
+        blocks = ours.select(*names).unionByName(all_.select(*names)).join(fine, "node")
+        found = blocks.groupBy("bucket", "o", "m").applyInPandas(lambda g: _across(g, threshold, miss, percent), "a long, b long")
+        return written(found, "across")
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
@@ -153,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = sketches.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc").alias("doc"))
     groups = written(groups, "groups")
     classes = written(sketches.drop("key", "doc").join(groups.select(F.col("node").alias("row")), "row").withColumnRenamed("row", "node"), "classes")
-    search = _Search(numbered, classes.select("node", "n", "sig"), shingle_words, percent, miss)
+    search = _Search(numbered, classes, shingle_words, percent, miss)
 
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     crowded = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -172,10 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     open_buckets = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.component").alias("top"))
     open_rows = written(labelled.join(open_buckets, "bucket"), "open")
-    outside = open_rows.where("component != top").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(open_rows, "bucket").where("cx != component AND (component = top OR x < node)").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    judged_pairs = judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = search.verified(search.survivors(across.join(judged_pairs, ["a", "b"], "left_anti")).select("a", "b"))
+    second = search.verified(search.across(open_rows.select("bucket", "node", (F.col("component") != F.col("top")).alias("outside"), "component")))
     second_links = second.where("linked").select("a", "b")
     if second_links.limit(1).count():
         components = written(connected_components(links.unionByName(second_links)), "components")
