@@ -50,29 +50,37 @@ def decode(n: int, k: int, code: bytes) -> np.ndarray:
 def pack(values: np.ndarray, width: int) -> bytes:
     """Unsigned values in width bits each, lowest bit first, one after the other.
 
-    Eight values fill exactly width bytes, so the work goes bit by bit over
-    columns of eight values and never value by value.
+    64 values fill exactly width words of 64 bits, so the work goes over columns of 64
+    values: each is shifted to its place in all rows at once.
     """
-    values = values.astype("<u8", copy=False)
     n = len(values)
-    if width % 8 == 0:
-        return values.view(np.uint8).reshape(n, 8)[:, : width // 8].tobytes()
-    bits = np.unpackbits(values.view(np.uint8).reshape(n, 8)[:, : (width + 7) // 8], axis=1, bitorder="little")
-    return np.packbits(bits[:, :width].reshape(-1), bitorder="little").tobytes()
+    rows = -(-n // 64)
+    columns = np.zeros(rows * 64, "<u8")
+    columns[:n] = values
+    columns = np.ascontiguousarray(columns.reshape(rows, 64).T)
+    out = np.zeros((width, rows), "<u8")
+    for j in range(min(64, n)):
+        word, shift = divmod(j * width, 64)
+        out[word] |= columns[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= columns[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).tobytes()[: (n * width + 7) // 8]
 
 
 def unpack(code: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
-    """n values from the start-th on; reads only the bytes that hold them."""
+    """n values from the start-th on; reads only the words that hold them."""
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros((n, 8), np.uint8)
-    if width % 8 == 0:
-        size = width // 8
-        out[:, :size] = np.frombuffer(code, np.uint8, n * size, start * size).reshape(n, size)
-        return out.view("<u8").reshape(n).astype(np.uint64)
-    byte0, skip = divmod(start * width, 8)
-    raw = np.frombuffer(code, np.uint8, (skip + n * width + 7) // 8, byte0)
-    bits = np.unpackbits(raw, bitorder="little")[skip : skip + n * width].reshape(n, width)
-    part = np.packbits(bits, axis=1, bitorder="little")
-    out[:, : part.shape[1]] = part
-    return out.view("<u8").reshape(n).astype(np.uint64)
+    first, skip = divmod(start, 64)
+    rows = -(-(skip + n) // 64)
+    raw = code[first * width * 8 : (first + rows) * width * 8]
+    words = np.zeros(rows * width, "<u8")
+    words.view(np.uint8)[: len(raw)] = np.frombuffer(raw, np.uint8)
+    words = np.ascontiguousarray(words.reshape(rows, width).T)
+    out, mask = np.zeros((64, rows), np.uint64), np.uint64((1 << width) - 1)
+    for j in range(min(64, skip + n)):
+        word, shift = divmod(j * width, 64)
+        out[j] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[j] |= words[word + 1] << np.uint64(64 - shift)
+    return np.ascontiguousarray((out & mask).T).reshape(-1)[skip : skip + n]
