@@ -36,6 +36,9 @@ class Pieces:
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(len(self.names)) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
+        # what each id reads as; where that depends on its neighbours or is nothing, it is slow
+        self.reads = [chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.names)]
+        self.slow = np.array([s and self.byte_of.get(i, 128) >= 128 for i, s in enumerate(self.special)])
         self.longest = max(map(len, self.ids))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on after a word's end
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
@@ -204,6 +207,8 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, bytes read as UTF-8, the first space dropped. Control ids have no text."""
+        if not self.slow[ids].any():
+            return "".join(map(self.reads.__getitem__, ids.tolist())).removeprefix(" ")
         out: list[str] = []
         raw = bytearray()
         for i in ids.tolist():

@@ -20,12 +20,6 @@ GIANT = 1 << 16
 EDGE = 64  # characters of a chunk's neighbours that it sees: more than two pieces' length
 
 
-def _encoded(frames, path: str):
-    model = pieces(path)
-    for frame in frames:
-        yield pd.DataFrame({"row": frame["row"], "part": 0, "ids": [model.encode(t) for t in frame["text"]]})
-
-
 def _chunked(frames, size: int):
     """Chunks of marked texts, each with its neighbours' edges: lead says how many characters before it are shown."""
     for frame in frames:
@@ -86,21 +80,28 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", giant: int
     A null or empty text has no ids. All other columns and all rows stay; columns named
     n_tokens or ids are replaced. An empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    rows = written(docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids")]
     text = F.coalesce(F.col(text_col), F.lit(""))
+
+    @F.pandas_udf("binary")
+    def one_chunk(texts: pd.Series) -> pd.Series:
+        model = pieces(model_path)
+        return pd.Series([model.encode(t) for t in texts])
+
     # a run of spaces has pieces that tie in score, which only one chunk can settle
     in_chunks = (F.length(text) > giant) & ~text.contains("  ") & ~text.contains(SPACE) & ~text.startswith(" ")
-    plain = rows.where(~in_chunks).select(F.col("_row").alias("row"), text.alias("text")).mapInPandas(lambda it: _encoded(it, model_path), "row long, part int, ids binary")
-    large = rows.where(in_chunks).select(F.col("_row").alias("row"), text.alias("text"))
+    plain = docs.where(~in_chunks).select(*own, one_chunk(text).alias("ids"))
+    rows = written(docs.where(in_chunks).select(*own, F.monotonically_increasing_id().alias("_row")), "texts")
+    large = rows.select(F.col("_row").alias("row"), text.alias("text"))
     chunks = written(large.mapInPandas(lambda it: _chunked(it, giant), "row long, part int, lead int, size int, final boolean, text string").repartition("row", "part"), "chunks")
     matrices = chunks.mapInPandas(lambda it: _matrices(it, model_path), "row long, part int, n int, m int, matrix binary")
     states = matrices.groupBy("row").applyInPandas(_scanned, "row long, part int, begin int, end int, whole boolean")
     traced = chunks.join(states, ["row", "part"]).mapInPandas(lambda it: _backtraced(it, model_path), "row long, part int, ids binary")
     joined = F.aggregate(F.sort_array(F.collect_list(F.struct("part", "ids"))), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
-    found = plain.select("row", "ids").unionByName(traced.groupBy("row").agg(joined.alias("ids")))
-    out = rows.join(found, rows["_row"] == found["row"])
-    return out.select(*[rows[c] for c in own], (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    found = traced.groupBy("row").agg(joined.alias("_ids"))
+    giants = rows.join(found, rows["_row"] == found["row"]).select(*own, F.col("_ids").alias("ids"))
+    out = plain.unionByName(giants)
+    return out.select(*own, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", carried: list[str] | None = None) -> DataFrame:
