@@ -98,8 +98,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", giant: int
     states = matrices.groupBy("row").applyInPandas(_scanned, "row long, part int, begin int, end int, whole boolean")
     traced = chunks.join(states, ["row", "part"]).mapInPandas(lambda it: _backtraced(it, model_path), "row long, part int, ids binary")
     joined = F.aggregate(F.sort_array(F.collect_list(F.struct("part", "ids"))), F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
-    found = traced.groupBy("row").agg(joined.alias("_ids"))
-    giants = rows.join(found, rows["_row"] == found["row"]).select(*own, F.col("_ids").alias("ids"))
+    found = traced.groupBy(F.col("row").alias("_found")).agg(joined.alias("_ids"))
+    giants = rows.join(found, F.col("_row") == F.col("_found")).select(*own, F.col("_ids").alias("ids"))
     out = plain.unionByName(giants)
     return out.select(*own, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
