@@ -16,12 +16,16 @@ BLOCKS = frozenset(
     "form fieldset legend button select option textarea label figure figcaption blockquote pre address details summary dialog hr center hgroup menu search".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style template noscript iframe object svg math head title canvas audio video".split())
+UNSEEN = frozenset("script style template noscript iframe object svg math title canvas audio video".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+FOREIGN = frozenset("svg math".split())
+HOSTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())  # what may hold HTML inside svg and math
 RAW = frozenset("script style noscript iframe textarea title".split())
 CLOSES_P = BLOCKS - frozenset("html body button option label".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body ul ol dl table article section nav aside main div form blockquote select td th".split())
 
+ENCLOSED = re.compile(r"<(?:template|object|svg|math|canvas|audio|video)[\s>]", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>"'])*+|[^>]*)>""", re.S)
 NAMED = re.compile(r"""(class|id|role|itemprop|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -57,11 +61,72 @@ def _step(n: float, edges: tuple) -> int:
     return sum(n >= e for e in edges)
 
 
+def _raw_end(html: str, name: str, at: int) -> int:
+    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+    return end.end() if end else len(html)
+
+
+def _hidden(html: str) -> dict[int, int]:
+    """Where each closed element of ENCLOSED ends, by the end of its start tag.
+
+    One is unclosed, and hides nothing, if before its end tag an ancestor ends, the body begins,
+    or a block begins right in svg or math. A template ends by its own tag only.
+    """
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
+
+    def cut(i):
+        for gone, _ in stack[i:]:
+            held[gone] -= 1
+        del stack[i:]
+
+    at = 0
+    while found := TAG.search(html, at):
+        at = found.end()
+        closing, name, rest = found.groups()
+        name = (name or "").lower()
+        if name in RAW and name in UNSEEN:
+            if not closing and not rest.endswith("/"):
+                at = _raw_end(html, name, at)
+        elif name not in BLOCKS and name not in UNSEEN and name not in HOSTS and name != "head":
+            continue
+        elif closing:
+            if name == "head":
+                cut(0)
+            elif held.get(name):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        if name in UNSEEN:
+                            ends[stack[i][1]] = at
+                        cut(i)
+                        break
+                    if stack[i][0] == "template" and name != "template":
+                        break
+        elif name not in VOID and not (rest.endswith("/") and name not in BLOCKS):
+            if name == "body":
+                cut(0)
+            if name in BLOCKS:
+                while stack and stack[-1][0] in FOREIGN:
+                    cut(len(stack) - 1)
+            if any(held.get(x) for x in CLOSES.get(name, ())):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in CLOSES[name]:
+                        cut(i)
+                        break
+                    if stack[i][0] in SCOPES or stack[i][0] == "template":
+                        break
+            stack.append((name, at))
+            held[name] = held.get(name, 0) + 1
+    return ends
+
+
 def read(html: str) -> Page:
     """The page's tree. Any string is a page: unknown or unbalanced tags never fail."""
     page = Page()
     root = page.add(-1, "#page", ["tag:#page"], None, False)
-    stack, unseen = [(root, "#page", False)], []
+    stack, in_head = [(root, "#page", False)], False
+    hidden = _hidden(html) if ENCLOSED.search(html) else {}
     run: list[str] = []
     linked = links = 0
     in_link = False
@@ -81,11 +146,13 @@ def read(html: str) -> Page:
             run.clear()
         linked = links = 0
 
-    at, end, size = 0, 0, len(html)
+    at, size = 0, len(html)
     while at < size:
         found = TAG.search(html, at)
         piece = html[at : found.start()] if found else html[at:]
-        if piece and not unseen:
+        if in_head and piece.strip():
+            in_head = False
+        if piece and not in_head:
             run.append(piece)
             if in_link:
                 linked += len(piece)
@@ -98,18 +165,16 @@ def read(html: str) -> Page:
         name = name.lower()
         if name in UNSEEN:
             if not closing and not rest.endswith("/"):
-                if name in RAW:
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else size
-                else:
-                    unseen.append(name)
-            elif name in unseen:
-                del unseen[len(unseen) - 1 - unseen[::-1].index(name) :]
+                at = _raw_end(html, name, at) if name in RAW else hidden.get(at, at)
+            if not closing and name not in IN_HEAD:
+                in_head = False
             continue
-        if unseen and not (name == "body" and "head" in unseen):
+        if name == "head":
+            in_head = not closing
+        elif in_head and (name in ("body", "html", "br") if closing else name not in IN_HEAD):
+            in_head = False
+        if in_head:
             continue
-        if name == "body":
-            unseen.clear()
         if name == "a":
             in_link, links = not closing, links + (not closing)
         if name in ("br", "img", "input", "wbr"):

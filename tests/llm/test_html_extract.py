@@ -61,3 +61,21 @@ def test_odd_pages(spark):
     assert (3, "Only <this> text stays.") in got and (3, "Twice the id.") in got and texts[None] == "No id here."
     assert texts[4].startswith("Kept. word") and len(texts[4]) > 200_000 and "gone" not in texts[4]
     assert len(got) == len(rows) and html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_omitted_and_unclosed_tags():
+    words = lambda html: " ".join(t for t in read(html).text if t is not None)
+    for start in ("<html><head><title>T</title>", "<head><meta charset=utf-8><style>p{}</style><script>x</script>", "<head>"):
+        for page in ("<article><p>Kept.</article>", "<body><p>Kept.", "<p>Kept.", "<a href=x>Kept.</a>", "Kept."):
+            assert words(start + page) == "Kept."
+    for name in ("object", "video", "audio", "canvas", "svg", "math", "template"):
+        assert words(f"<p>Before.</p><div>a<{name} class=x></div><article><p>Kept.</p></article>") == "Before. a Kept."
+        assert words(f"<article><{name}><p>Kept.</p><p>Too.</article><footer><{name}>no</{name}></footer>") == "Kept. Too."
+        assert words(f"<head><{name}></head><body><p>Kept.</body>") == "Kept."
+        assert words(f"<p>a</p><{name}><{name}>no</{name}>no</{name}><{name}/><p>b</p>") == "a b"
+        assert words(f"<ul><li>a<{name}><li>b</ul><{name}>no</{name}>") == "a b"
+    assert words("<p>a</p><video><p>no video</p></video><template><div>no</div></template><p>b</p>") == "a b"
+    assert words("<p>a</p><svg><title>no</title><foreignObject><div>no</div></foreignObject></svg><p>b</p>") == "a b"
+    assert words("<svg><path><article>Kept.</article></svg><p>b</p>") == "Kept. b"
+    assert words("<template><p>no</div></template><p>b</p>") == "b"
+    assert words("<svg>" * 3000 + "<p>Kept.") == "Kept."
