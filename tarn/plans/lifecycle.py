@@ -26,6 +26,13 @@ def redact(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("redacted"), (F.col("text") != clean).alias("changed"))
 
 
+@query("redact_secrets")
+def redact_secrets(spark, sf_dir):
+    """All nine rules of the reference, with their counts; redact has the five of its SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted"))
+    return T.without_secrets(docs, "redacted", "findings").withColumn("changed", F.size("findings") > 0)
+
+
 @query("token_estimate", """SELECT doc_id, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda w: greatest(1, floor(length(w) / 4 + 0.5)))), 0)
 + coalesce(list_sum(list_transform(regexp_extract_all(text, '[0-9]+'), lambda w: greatest(1, ceil(length(w) / 2)))), 0)
 + ceil(length(regexp_replace(text, '[A-Za-z0-9\\s]', '', 'g')) / 2) AS BIGINT) AS tokens FROM documents""")
@@ -39,6 +46,12 @@ def kind_infer(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.kind_of(F.col("text")).alias("kind"))
 
 
+@query("memory_kind")
+def memory_kind(spark, sf_dir):
+    """All nine kinds of the reference; kind_infer has the five of its SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.memory_kind(F.col("text")).alias("kind"))
+
+
 @query("decay_pass", f"""WITH {MEM}, d AS (SELECT id, layer, confidence, date_diff('day', created, DATE '{NOW}') AS idle FROM mem)
 SELECT id, round(CASE WHEN layer = 'flash' AND idle >= 14 THEN 0.95 WHEN layer = 'short' AND idle >= 60 THEN 0.98 WHEN layer = 'long' AND idle >= 180 THEN 0.99 ELSE 1.0 END::DOUBLE, 6) AS decay,
 round(greatest(0.1, confidence * CASE WHEN layer = 'flash' AND idle >= 14 THEN 0.95 WHEN layer = 'short' AND idle >= 60 THEN 0.98 WHEN layer = 'long' AND idle >= 180 THEN 0.99 ELSE 1.0 END::DOUBLE), 6) AS confidence FROM d""")
