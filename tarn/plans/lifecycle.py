@@ -120,6 +120,13 @@ def event_cursor(spark, sf_dir):
     return numbered.where("sequence > 10").orderBy("sequence").limit(50).select("event_id", "sequence")
 
 
+@query("event_pages", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence FROM events QUALIFY sequence > 10 AND sequence <= 60")
+def event_pages(spark, sf_dir):
+    """The first 50 events past the cursor of every run; event_cursor has those of one."""
+    numbered = R.top_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 60)
+    return numbered.where("rank > 10").select("user_id", "event_id", F.col("rank").alias("sequence"))
+
+
 @query("unread_counts", """WITH r AS (SELECT conv_id, max(turn) AS read_to FROM conversations WHERE role = 'assistant' GROUP BY 1)
 SELECT c.conv_id, count(*) AS messages, count(*) FILTER (role = 'user' AND turn > coalesce(read_to, -1)) AS unread FROM conversations c LEFT JOIN r USING (conv_id) GROUP BY 1""")
 def unread_counts(spark, sf_dir):

@@ -127,6 +127,13 @@ def import_skip(spark, sf_dir):
     return new_rows(table(spark, sf_dir, "benchmark"), existing, ["item_id"]).select("item_id")
 
 
+@query("import_new", "SELECT DISTINCT item_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = item_id)")
+def import_new(spark, sf_dir):
+    """Items against all documents; import_skip takes every other one as there."""
+    existing = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
+    return new_rows(table(spark, sf_dir, "benchmark"), existing, ["item_id"]).select("item_id")
+
+
 @query("next_version", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version FROM orders")
 def next_version(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("version"))

@@ -1,0 +1,16 @@
+"""Queries that must read all runs and all rows."""
+
+from tarn.plans import lifecycle, registry, relations  # noqa: F401
+
+
+def test_import_knows_odd_ids(spark, tmp_path):
+    spark.createDataFrame([(i, "x") for i in (1, 2, 3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "x") for i in (1, 2, 4, 5, 5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r[0] for r in registry.QUERIES["import_new"](spark, str(tmp_path)).collect()) == [4, 5]
+
+
+def test_pages_of_every_run(spark, tmp_path):
+    rows = [(u * 1000 + i, u, i) for u, n in ((3, 70), (4, 12), (5, 10)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["event_pages"](spark, str(tmp_path)).select("user_id", "event_id", "sequence").collect())
+    assert got == [(3, 3000 + i, i + 1) for i in range(10, 60)] + [(4, 4010, 11), (4, 4011, 12)]
