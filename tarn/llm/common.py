@@ -49,6 +49,21 @@ def owners(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers are reused by all operators of a session, so what one operator remembers
+    (an encoder, a vocabulary) is let go when another asks for its own.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of unsigned 64-bit numbers (multiply and xor-shift)."""
     with np.errstate(over="ignore"):

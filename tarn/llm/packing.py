@@ -18,7 +18,6 @@ The driver sees the histogram only: capacity / width classes, at any size of the
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +25,10 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.taskcontext import TaskContext
 
 from tarn.llm.common import written
-from tarn.llm.tokens import encode_all
+from tarn.llm.tokens import binary_array, encode_column, spread
 
 WIDTH = 8
-PLAN = "class int, low long, high long, each long, base long"
+PLAN = "of int, low long, high long, each long, base long"
 
 
 def _knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -139,16 +138,14 @@ def plan(histogram: dict[int, int], capacity: int, width: int = WIDTH) -> tuple[
 
 
 def _pieces(batches, path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        rows: list[tuple] = []
-        for doc, x in zip(batch["doc"], encode_all(batch["text"], path), strict=True):
-            ids, n = x + end, len(x) // 4 + 1
-            rows += [(doc, a, min(capacity, n - a), n, ids[4 * a : 4 * (a + capacity)]) for a in range(0, n, capacity)]
-            if len(rows) > 20_000:
-                yield pd.DataFrame(rows, columns=["doc", "start", "length", "doc_tokens", "ids"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["doc", "start", "length", "doc_tokens", "ids"])
+        for first, ids, sizes in encode_column(batch.column("text"), path, end_id):
+            each = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), each)
+            start = spread(np.zeros(len(sizes), np.int64), each) * capacity
+            length = np.minimum(capacity, sizes[doc] - start)
+            raw = binary_array(ids.view(np.uint8), np.append(0, np.cumsum(4 * length)))  # pieces lie in the order of the ids
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(first + doc)), pa.array(start), pa.array(length), pa.array(sizes[doc]), raw], names=["doc", "start", "length", "doc_tokens", "ids"])
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,17 +154,16 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     A null text is empty: its only id is end_id. Ids may be null or repeat; each row is
     a document. An empty table gives no pieces. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("doc", F.coalesce("doc", F.lit(-(2**63))))  # numpy has no null
-    out = rows.mapInPandas(lambda it: _pieces(it, tokenizer, end_id, capacity), "doc long, start long, length long, doc_tokens long, ids binary")
-    return out.withColumn("doc", F.when(F.col("doc") != -(2**63), F.col("doc"))).withColumnRenamed("doc", id_col)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    out = rows.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity), "doc long, start long, length long, doc_tokens long, ids binary")
+    return out.withColumnRenamed("doc", id_col)
 
 
 def _numbered(batches):
     """Adds each piece's task, its number in the task, and its rank among the task's pieces of its class."""
     part, seen, counts = TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
     for batch in batches:
-        classes = batch.column("_class").to_numpy()
+        classes = batch.column("class").to_numpy()
         n = len(classes)
         if not n:
             continue
@@ -178,7 +174,7 @@ def _numbered(batches):
         rank[order] = np.arange(n) - np.repeat(np.cumsum(new) - new, new)
         rank += counts[classes]
         counts += new
-        for name, values in (("_group", np.full(n, part, np.int32)), ("_row", (part << 33) + seen + np.arange(n)), ("_local", rank)):
+        for name, values in (("task", np.full(n, part, np.int32)), ("row", (part << 33) + seen + np.arange(n)), ("local", rank)):
             batch = batch.append_column(name, pa.array(values))
         seen += n
         yield batch
@@ -187,31 +183,39 @@ def _numbered(batches):
 def pack(pieces: DataFrame, capacity: int = 2048, width: int = WIDTH) -> DataFrame:
     """pieces with sequence_id and offset: where each lies.
 
-    pieces: length (1 to capacity) and any other columns; equal rows are separate pieces.
+    pieces: length (1 to capacity) and any other columns, whatever their names; equal
+    rows are separate pieces. Columns named sequence_id or offset are replaced.
     Sequences number from 0 without gaps, and offsets within one are gapless from 0.
     A power of two as capacity, and as width, keeps the classes whole. No pieces give no
-    sequences.
+    sequences. A length that is null or out of range is an error.
     """
     spark = pieces.sparkSession
-    own = pieces.columns
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    length = F.col("length").cast("long")
+    checked = F.when((length >= 1) & (length <= capacity), length).otherwise(F.raise_error(F.lit("a piece's length must be 1 to capacity")).cast("long"))
+    # a piece's own columns travel in one struct, apart from what is added;
     # tasks rank the pieces they hold, so no task ever gathers a class
-    rows = pieces.withColumn("_class", F.ceil(F.col("length") / width).cast("int"))
-    added = [StructField("_group", IntegerType()), StructField("_row", LongType()), StructField("_local", LongType())]
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("piece"), checked.alias("size")).withColumn("class", F.ceil(F.col("size") / width).cast("int"))
+    added = [StructField("task", IntegerType()), StructField("row", LongType()), StructField("local", LongType())]
     rows = written(rows.mapInArrow(_numbered, StructType([*rows.schema.fields, *added])), "pieces")
-    counts = rows.groupBy("_class", "_group").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("_class").orderBy("_group")) - F.col("_n")).drop("_n")
-    histogram = {r["_class"]: r["n"] for r in rows.groupBy("_class").agg(F.count("*").alias("n")).collect()}  # capacity / width rows
+    counts = rows.groupBy("class", "task").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("task")) - F.col("n")).drop("n")
+    histogram = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # capacity / width rows
     layout, _ = plan(histogram, capacity, width)
     layout = spark.createDataFrame(layout, PLAN)  # patterns times classes: bounded by capacity / width as well
-    ranked = rows.join(before, ["_class", "_group"]).withColumn("_rank", F.col("_before") + F.col("_local"))
-    placed = ranked.join(F.broadcast(layout), (F.col("_class") == F.col("class")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    placed = placed.withColumn("sequence_id", F.col("base") + F.expr("(_rank - low) div each"))
-    along = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_row").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(along), F.lit(0))).select(*own, "sequence_id", "offset")
+    ranked = rows.join(before, ["class", "task"]).withColumn("rank", F.col("before") + F.col("local"))
+    placed = ranked.join(F.broadcast(layout), (F.col("class") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    placed = placed.withColumn("sequence_id", F.col("base") + F.expr("(rank - low) div each"))
+    along = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("size").over(along), F.lit(0))
+    return placed.select(*[F.col("piece").getField(c).alias(c) for c in own], "sequence_id", offset.alias("offset"))
 
 
 def sequences(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per sequence: sequence_id, n_ids, ids (its pieces' ids in order), docs. At most capacity ids each."""
+    """One row per sequence: sequence_id, n_ids, ids (its pieces' ids in order), docs. At most capacity ids each.
+
+    packed: what pack() gives for pieces with ids. Null document ids stay null in docs; no pieces give no rows.
+    """
     parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids", F.col(id_col).alias("doc")))).alias("p"), F.sum("length").alias("n_ids"))
     ids = F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
     return parts.select("sequence_id", "n_ids", ids.alias("ids"), F.transform("p", lambda x: x["doc"]).alias("docs"))

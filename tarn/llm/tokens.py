@@ -2,94 +2,198 @@
 
 The library splits a text into words before it merges bytes, and never merges
 across words. Where a text's white space is single spaces and newlines between words,
-a space belongs to the word after it and a newline is a word of its own. Such a text
-is cut at its spaces and newlines, each distinct word encoded once while a task
-remembers it, and the ids joined. Other texts go to the library whole.
+a space belongs to the word after it and a newline is a word of its own. Such texts
+are cut there as whole Arrow arrays; the library encodes each distinct word of a chunk
+that is not remembered, and ids are gathered by word. Other texts, and those that hold
+a special token's string, go to the library whole, as it is: special strings become
+special ids.
+
+What is remembered are flat arrays of words and ids, bounded by CACHE words. Ids never
+depend on it.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tarn.llm.common import kept
+
+CACHE = 600_000  # words remembered by a task: about 30 MB
+CHUNK = 4_000_000  # bytes of text encoded at a time; a longer text is a chunk of its own
+_SPACE, _LINE, _OTHER = 1, 2, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[32], _CLASS[10] = _SPACE, _LINE
+_CLASS[[9, 11, 12, 13, 28, 29, 30, 31]] = _OTHER
+# lead byte of white space in UTF-8: its second bytes, or pairs of a second and its third bytes
+_WIDE = {0xC2: {0x85: None, 0xA0: None}, 0xE1: {0x9A: (0x80,), 0xA0: (0x8E,)}, 0xE2: {0x80: (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), 0x81: (0x9F,)}, 0xE3: {0x80: (0x80,)}}
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary array without nulls, and the offsets of its values: views, no copies."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
 
-CACHE = 700_000  # distinct words held by a task, in two generations: bounds its memory at about 120 MB
+def binary_array(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary array over raw; offsets has one more than it has values."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[i], starts[i] + 1, ... sizes[i] of them, for all i in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes. Ids never depend on the cache."""
+    """Texts to ids. The library does the encoding; this gathers it by distinct words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.after = {" ": {}, "\n": {}}  # by what stands before a word: the ids of the space and the word, or of the word alone
-        self.older = {" ": {}, "\n": {}}  # the generation before, so that common words stay
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str], space: str, known: dict[str, bytes]) -> None:
+        before = self.tokenizer.pre_tokenizer
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_words = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.tokenizer.normalizer is None and len(line) == 1
+        self.line = line[0] if line else -1
+        self.forget()
+
+    def forget(self) -> None:
+        self.names = pa.array([b"\n"], pa.binary())
+        self.first, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.line], "<i8").astype("<u4")
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+
+    def _odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are not words with single spaces and newlines between them, or hold a special token's string."""
+        full = offsets[1:] > offsets[:-1]
+        if not self.by_words:
+            return full
+        gap = kind > 0
+        marked = kind == _OTHER
+        marked[1:] |= gap[1:] & gap[:-1]
+        marked[offsets[:-1][full]] |= gap[offsets[:-1][full]]
+        marked[offsets[1:][full] - 1] |= gap[offsets[1:][full] - 1]
+        high = np.flatnonzero(raw >= 0xC2)
+        for lead, seconds in _WIDE.items():
+            at = high[raw[high] == lead]
+            two, three = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
+            for second, thirds in seconds.items():
+                marked[at[(two == second) & (True if thirds is None else np.isin(three, thirds))]] = True
+        whole = raw.tobytes() if self.special else b""
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                marked[at] = True
+                at = whole.find(s, at + 1)
+        return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
+
+    def _learn(self, words: pa.Array) -> None:
         """Encode new words: many in one text, a newline between two."""
-        words = [*words]
+        firsts, ids, at = [], [], len(self.ids)
         for i in range(0, len(words), 4000):
-            part = words[i : i + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast([space + f"\n{space}".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.newline[0]).tolist(), len(ids)]
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends, strict=True):
-                known[w] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    def _remember(self, words: set[str], before: str) -> dict[str, bytes]:
-        """The words' ids, among others."""
-        known, older = self.after[before], self.older[before]
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE // 2 * (0.85 if before == " " else 0.15):
-            self.older[before] = older = known
-            self.after[before] = known = {}
-            new = words
-        again = older.keys() & new
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        self._learn(new - again, before.strip("\n"), known)
-        return known
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        whole, split, spaced, begun = [], [], set(), set()
-        for text in texts:
-            alone = text and " ".join(text.split()) == text.replace("\n", " ")
-            if not alone or len(self.newline) > 1 or any(s in text for s in self.special):
-                whole.append(text)
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            for line in lines:
-                begun.add(line[0])
-                spaced.update(line[1:])
-            split.append(lines)
-        inner, first = self._remember(spaced, " "), self._remember(begun, "\n")
-        newline = np.array(self.newline, "<u4").tobytes()
-        others = iter(self._encode(whole))
-        return [next(others) if lines is None else newline.join([first[line[0]] + b"".join(map(inner.__getitem__, line[1:])) for line in lines]) for lines in split]
-
-
-@lru_cache(maxsize=2)
+            part = words[i : i + 4000].to_pylist()
+            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            inner = found != self.line
+            ends = np.append(np.flatnonzero(~inner), len(found))
+            assert len(ends) == len(part)
+            firsts.append(at + ends - np.arange(len(ends)))  # where each word ends among the ids without newlines
+            ids.append(found[inner])
+            at += int(inner.sum())
+        ends = np.concatenate(firsts)
+        start = np.append(len(self.ids), ends[:-1])
+        self.names = pa.concat_arrays([self.names, words])
+        self.first, self.size, self.ids = np.append(self.first, start), np.append(self.size, ends - start), np.concatenate([self.ids, *ids])
+
+    def _codes(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each word in what is remembered, new ones learned; earlier ones are forgotten where it grows too large."""
+        at = pc.index_in(distinct, value_set=self.names)
+        new = pc.filter(distinct, pc.is_null(at))
+        if len(new) + len(self.names) > CACHE:
+            held = np.unique(np.append(0, at.drop_null().to_numpy()))
+            sizes = self.size[held]
+            self.ids = self.ids[spread(self.first[held], sizes)]
+            self.names, self.first, self.size = self.names.take(pa.array(held)), np.cumsum(sizes) - sizes, sizes
+            at = pc.index_in(distinct, value_set=self.names)
+        if len(new):
+            n = len(self.names)
+            self._learn(new)
+            out = np.asarray(at.fill_null(-1)).astype(np.int64)
+            out[out < 0] = n + np.arange(len(new))
+            return out
+        return np.asarray(at).astype(np.int64)
+
+    def _by_words(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of well-formed texts, and how many each has."""
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        begin = kind > 0
+        begin[1:] |= kind[:-1] == _LINE
+        begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        starts = np.flatnonzero(begin)
+        coded = binary_array(raw, np.append(starts, len(raw))).dictionary_encode()
+        word = self._codes(coded.dictionary)[coded.indices.to_numpy()]
+        sizes = self.size[word]
+        total = np.append(0, np.cumsum(sizes))
+        return self.ids[spread(self.first[word], sizes)], np.diff(total[np.searchsorted(starts, offsets)])
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn (unsigned 32-bit), and how many each text has. Text i is raw[offsets[i]:offsets[i + 1]]."""
+        kind = _CLASS[raw]
+        odd = self._odd(raw, kind, offsets)
+        if not odd.any():
+            return self._by_words(raw, kind, offsets)
+        lengths, which = np.diff(offsets), np.flatnonzero(odd)
+        good = np.repeat(~odd, lengths)
+        even, counts = self._by_words(raw[good], kind[good], np.append(0, np.cumsum(lengths[~odd])))
+        others = self._whole([raw[offsets[i] : offsets[i + 1]].tobytes() for i in which])
+        sizes = np.zeros(len(lengths), np.int64)
+        sizes[~odd], sizes[odd] = counts, [len(x) for x in others]
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]), "<u4")
+        inner = np.repeat(~odd, sizes)
+        out[inner], out[~inner] = even, np.concatenate(others)
+        return out, sizes
+
+
 def encoder(path: str) -> Encoder:
-    """A task's encoder; Python workers keep it from task to task."""
-    return Encoder(path)
-
-
-def encode_all(texts, path: str, chunk: int = 1_500_000):
-    """Ids of each text (null: empty) as bytes, in chunks of about so many characters."""
-    enc, held, size = encoder(path), [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= chunk:
-            yield from enc.encode(held)
-            held, size = [], 0
-    yield from enc.encode(held)
+    """A task's encoder; Python workers keep it until another operator's memory takes its place."""
+    return kept(("encoder", path), lambda: Encoder(path))
+
+
+def text_runs(texts: pa.Array, size: int = CHUNK):
+    """(first, raw, offsets) for runs of the texts (without nulls) of about so many bytes; a longer text is a run of its own."""
+    raw, offsets = flat_bytes(texts)
+    first = 0
+    while first < len(texts):
+        last = min(len(texts), max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1))
+        yield first, raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        first = last
+
+
+def encode_column(texts: pa.Array, path: str, end_id: int | None = None):
+    """(first, ids, sizes) for each run of texts (a string array without nulls), in order: the ids of text first, first + 1, ...
+
+    With end_id, each text has it after its own ids.
+    """
+    enc = encoder(path)
+    for first, raw, offsets in text_runs(texts, CHUNK):
+        ids, sizes = enc.encode(raw, offsets)
+        if end_id is not None:
+            ids, sizes = np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
+        yield first, ids, sizes
+
+
+def encode_all(texts, path: str) -> list[bytes]:
+    """The ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
+    out: list[bytes] = []
+    for _, ids, sizes in encode_column(pa.array([t or "" for t in texts], pa.string()), path):
+        out += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
