@@ -25,7 +25,8 @@ def test_graph_recall_on_random_points():
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "SHARD_POINTS", 150)
+    monkeypatch.setattr(ann, "MOST_POINTS", 256)  # three shards
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
     rnd = np.random.default_rng(2)
     vectors = rnd.normal(size=(600, 8)).astype(np.float32).astype(float)
     vectors[100:180] = vectors[100]  # a hot vector
@@ -49,6 +50,31 @@ def test_against_brute_force(spark, monkeypatch):
     assert all([i for _, i, _ in got[q]] == [i for i, _ in want[q]] for q in hot)  # ties to smaller ids
 
 
+def test_large_shards_touch_few_points():
+    """The search of a shard is no scan: on unclustered points, it scores a small share of them."""
+    rnd = np.random.default_rng(5)
+    points = rnd.normal(size=(12_000, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    graph = Graph.build(points)
+    targets = points[:40] + rnd.normal(size=(40, 24)) * 0.05
+    scored = []
+    was = np.einsum
+    try:
+        np.einsum = lambda how, a, *rest: (scored.append(a.shape[0] * a.shape[1]) if how == "bkd,bd->bk" else None, was(how, a, *rest))[1]
+        found = graph.search(targets, 20, 135)
+    finally:
+        np.einsum = was
+    assert sum(scored) / len(targets) < 0.6 * len(points)  # repeats and places without a point count too
+    best = np.argsort(-(targets @ points.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best, strict=True)]) > 0.95
+
+
+def test_repeated_queries(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [0.5, 0.5])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in ann.nearest(df.where("vec_id = 0"), df, k=2).collect())
+    assert got == [(0, 1, 1, 0.5)] * 2 + [(0, 2, 3, 0.5)] * 2
+
+
 def test_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (20, [1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.nearest(df.where(F.col("vec_id") % 20 == 0), df).collect())
