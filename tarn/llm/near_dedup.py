@@ -24,30 +24,38 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import mix64, written
 from tarn.llm.components import connected_components
-from tarn.llm.words import Hasher, ngrams, words
+from tarn.llm.tokens import text_runs
+from tarn.llm.words import ngrams, word_hashes
 
 BANDS, ROWS = 32, 5
 FINE = 1024  # places of the longer signatures
 BLOCK_OUTSIDE, BLOCK_ALL = 2048, 4096
 BROADCAST_IDS = 1 << 20  # 16 MB as a hash relation; more ids than that are joined by a shuffle
 BATCH = 16  # signature places compared at a time
-HASHER = Hasher()
 _seed = np.arange(1, FINE + 1, dtype=np.uint64)
 FLIP, FACTOR = (mix64(_seed) >> np.uint64(32)).astype(np.uint32), (mix64(_seed + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 SKETCH = "n long, key binary, sig binary, bands array<long>"
 
 
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int):
+    """For each text raw[offsets[i]:offsets[i + 1]]: the sorted distinct hashes of its word shingles; with fewer words, of the whole sequence."""
+    hashes, counts = word_hashes(raw, offsets)
+    full, at = ngrams(hashes, size), 0
+    for n in counts.tolist():
+        yield np.unique(full[at : at + n - size + 1]) if n >= size else ngrams(hashes[at : at + n], n) if n else np.zeros(0, np.uint64)
+        at += n
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; with fewer words, of the whole sequence."""
-    found = words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    return np.unique(ngrams(HASHER(found), min(size, len(found))))
+    """The shingle set of one text."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return next(shingle_sets(raw, np.array([0, len(raw)]), size))
 
 
 def signature(hashes: np.ndarray, places: int = BANDS * ROWS) -> np.ndarray:
@@ -59,16 +67,16 @@ def signature(hashes: np.ndarray, places: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def _sketch(text: str | None, size: int) -> tuple:
-    found = shingles(text, size)
+def _sketch(found: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+    """Of a set of shingles: its key, eight bits of each place of its signature, and its buckets by band."""
     if not len(found):
-        return 0, b"", b"", np.zeros(0, np.int64)
+        return b"", b"", np.zeros(0, np.int64)
     sums = np.array([mix64(found).sum(dtype=np.uint64), mix64(found ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64)], "<u8")
     sig = signature(found)
     bands = np.arange(1, BANDS + 1, dtype=np.uint64)
     for column in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
         bands = mix64(bands ^ column) + column
-    return len(found), sums.tobytes(), (sig & np.uint32(0xFF)).astype(np.uint8).tobytes(), bands.view(np.int64)
+    return sums.tobytes(), (sig & np.uint32(0xFF)).astype(np.uint8).tobytes(), bands.view(np.int64)
 
 
 @lru_cache
@@ -185,10 +193,11 @@ class _Search:
 
         def finer(frames):
             for frame in frames:
-                fine = [(signature(shingles(t, size), FINE) & np.uint32(0xFF)).astype(np.uint8).tobytes() for t in frame["text"]]
-                yield pd.DataFrame({"node": frame["row"], "fine": fine})
+                for first, raw, offsets in text_runs(frame.column("text")):
+                    fine = [(signature(x, FINE) & np.uint32(0xFF)).astype(np.uint8).tobytes() for x in shingle_sets(raw, offsets, size)]
+                    yield pa.RecordBatch.from_arrays([frame.column("row")[first : first + len(fine)], pa.array(fine, pa.binary())], names=["node", "fine"])
 
-        fine = self._texts_of(rows.select(F.col("node").alias("row"))).mapInPandas(finer, "node long, fine binary")
+        fine = self._texts_of(rows.select(F.col("node").alias("row"))).mapInArrow(finer, "node long, fine binary")
         fine = written(fine.join(self.classes.select("node", "n", "bands"), "node"), "fine")
         sizes = rows.groupBy("bucket").agg(F.count_if("outside").alias("_o"), F.count("*").alias("_a"))
         counted = rows.join(sizes, "bucket").withColumns({"_os": F.ceil(F.col("_o") / BLOCK_OUTSIDE).cast("int"), "_as": F.ceil(F.col("_a") / BLOCK_ALL).cast("int")})
@@ -250,18 +259,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sketches(numbered: DataFrame, size: int) -> DataFrame:
-    def sketch(frames):
-        for frame in frames:
-            rows = [_sketch(t, size) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=["n", "key", "sig", "bands"])
-            yield out.assign(row=frame["row"].to_numpy(), doc=frame["doc"].to_numpy(), null=frame["null"].to_numpy())
+    def sketch(batches):
+        for batch in batches:
+            for first, raw, offsets in text_runs(batch.column("text")):
+                sets = [(len(x), *_sketch(x)) for x in shingle_sets(raw, offsets, size)]
+                n, key, sig, bands = zip(*sets, strict=True)
+                own = batch.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("row"), own.column("doc"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["row", "doc", "n", "key", "sig", "bands"],
+                )
 
-    rows = numbered.select("row", F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("null"), "text")
-    found = rows.mapInPandas(sketch, f"row long, doc long, null boolean, {SKETCH}")
-    return found.select("row", F.when(~F.col("null"), F.col("doc")).alias("doc"), "n", "key", "sig", "bands")
+    return numbered.select("row", "doc", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sketch, f"row long, doc long, {SKETCH}")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one id of each group."""
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns: one id of each group.
+
+    Rows are kept by id, so rows that share an id should share a text. Rows without an
+    id or without words stay. Other columns may have any names; an empty table gives an
+    empty result.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(id_col).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
