@@ -2,27 +2,37 @@
 
 The model is an n-gram model with Dirichlet smoothing: after history h, a word w has
 probability (c(hw) + strength * p(w | shorter h)) / (c(h) + strength), and the base is
-(c(w) + 1) / (N + V + 1). As an automaton: each history seen in training is a state.
-A state has an arc for every word seen after it, and a failure arc with weight
-log10(strength / (c(h) + strength)) to the state of the shorter history. Scoring reads
-a text once from left to right, carrying the state.
+(c(w) + 1) / (N + V + 1). As an automaton:
+
+- Each history that training has seen is a state; the root has none.
+- A state has an arc for every word seen after it, with the word's log probability, to
+  the state of the longest history that the word then ends. The root has an arc for
+  every word.
+- Every other state has a failure arc, with weight log10(strength / (c(h) + strength)),
+  to the state of the shorter history.
+
+A text is read once from left to right. The traversal carries the state: while it has
+no arc for the word, the failure arc is taken; then the arc. Weights add up to the
+text's log probability.
 
 No task and no broadcast ever holds the model. Documents are gathered in batches of
 bounded size, and each batch needs the part of the automaton that its own n-grams reach:
 
-1. A batch sends each owner of a hash range its sorted distinct n-gram hashes in that
-   range, Golomb-coded, with their counts in the batch's training documents.
+1. A batch sends each owner of a hash range its sorted distinct n-gram fingerprints in
+   that range, Golomb-coded, with their counts in the batch's training documents.
 2. An owner adds up the counts, and answers each batch with the totals of its n-grams.
 3. The batch builds its part of the automaton from the totals and traverses it.
 
 Both exchanges hold an n-gram once a batch, however often it occurs, and grow with the
-corpus. N-grams are known by 64-bit hashes.
+corpus. An owner's range holds OWNER_NGRAMS or so. Beyond SMALL bytes of text, batches
+grow with the square root of the corpus, so that messages keep their size.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,179 +40,254 @@ from pyspark.taskcontext import TaskContext
 
 from tarn.llm import golomb
 from tarn.llm.common import owners, written
-from tarn.llm.words import Hasher, ngrams, words
+from tarn.llm.tokens import text_runs
+from tarn.llm.words import ngrams, word_hashes
 
-BATCH_BYTES = 8_000_000  # of text; one longer document is a batch of its own
+BATCH_BYTES = 4_000_000  # of text, up to SMALL bytes of corpus; one longer document is a batch of its own
+SMALL = 200_000_000_000
 OWNER_NGRAMS = 1_500_000
+SLACK = 22  # bits of an n-gram's fingerprint over those that number the corpus: two share one once in 4 million
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # hashes of the end of a text and of what stands before it
-HOME = "batch long, ids binary, nulls binary, train binary, sizes binary, texts binary, words long, trained long"
-HASHER = Hasher()
+TRAIN, WORD = np.uint64(1), np.uint64(2)  # lowest bits of a key: from a training document; a word, not a longer n-gram
+KEY = ~np.uint64(3)
+HOME = "batch long, ids binary, nulls binary, train binary, sizes binary, texts binary, trained long"
+ARROW = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in HOME.split(", "))])
 
 
-def _batches(frames):
-    """Documents gathered to rows of about BATCH_BYTES."""
+def _batches(frames, batch_bytes: int):
+    """Documents gathered to rows of about batch_bytes."""
     part, turn = TaskContext.get().partitionId(), 0
     held: list[tuple] = []
     size = 0
 
     def flush():
-        ids, nulls, train, texts, counts = zip(*held, strict=True)
-        joined = b"".join(texts)
-        return pd.DataFrame([{
-            "batch": (part << 32) | turn, "ids": np.array(ids, "<i8").tobytes(), "nulls": np.array(nulls, np.uint8).tobytes(), "train": np.array(train, np.uint8).tobytes(),
-            "sizes": np.array([len(x) for x in texts], "<i8").tobytes(), "texts": zstandard.ZstdCompressor(level=3).compress(joined), "words": sum(counts),
-            "trained": sum(n + 1 for n, used in zip(counts, train, strict=True) if used),
-        }])
+        ids, nulls, train, raw, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        words = word_hashes(raw, np.append(0, np.cumsum(sizes)))[1]
+        return pa.RecordBatch.from_pylist([{
+            "batch": (part << 32) | turn, "ids": ids.astype("<i8").tobytes(), "nulls": nulls.astype(np.uint8).tobytes(), "train": train.astype(np.uint8).tobytes(),
+            "sizes": sizes.astype("<i8").tobytes(), "texts": zstandard.ZstdCompressor(level=3).compress(raw.tobytes()), "trained": int((words + 1)[train].sum()),
+        }], ARROW)
 
     for frame in frames:
-        for doc, null, train, text in zip(frame["doc"], frame["null"], frame["train"], frame["text"], strict=True):
-            found = words(text)
-            raw = b" ".join(found)
-            held.append((doc, null, train, raw, len(found)))
-            size += len(raw)
-            if size >= BATCH_BYTES:
+        doc, train = frame.column("doc"), np.asarray(frame.column("train"))
+        nulls, doc = np.asarray(doc.is_null()), doc.fill_null(0).to_numpy()
+        for first, raw, offsets in text_runs(frame.column("text"), batch_bytes // 4):
+            own = slice(first, first + len(offsets) - 1)
+            if held and size + len(raw) > batch_bytes:
                 yield flush()
                 held, size, turn = [], 0, turn + 1
+            held.append((doc[own], nulls[own], train[own], raw.copy(), np.diff(offsets)))
+            size += len(raw)
     if held:
         yield flush()
 
 
-def _tokens(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's token hashes with BEGIN and END around each document, and each document's start, size and use."""
-    raw, at, found, lengths = zstandard.ZstdDecompressor().decompress(row.texts), 0, [], []
-    sizes = np.frombuffer(row.sizes, "<i8")
-    for size in sizes:
-        own = raw[at : at + size].split()
-        at += size
-        found += own
-        lengths.append(len(own))
-    lengths = np.array(lengths, np.int64)
-    starts = np.cumsum(lengths + 2) - (lengths + 2)
-    out = np.empty(int((lengths + 2).sum()), np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[starts] = inner[starts + lengths + 1] = False
-    out[starts], out[starts + lengths + 1], out[inner] = BEGIN, END, HASHER(found)
-    return out, starts, lengths + 2, np.frombuffer(row.train, np.uint8).astype(bool)
-
-
-def _grams(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int):
-    """For each length n: hashes by position of the last word, and which positions have one inside a document.
-
-    BEGIN is a history but never a word, so the only gram of length 1 at a
-    document's first position is the history itself.
+class Grams:
+    """A batch's n-grams by position: its words with BEGIN and END around each document.
+
+    keys[n - 1]: keys of the n-grams that end at each position; inside[n - 1]: where one
+    lies within a document. BEGIN is a history but never a word.
     """
-    place = np.arange(len(tokens)) - np.repeat(starts, sizes)
-    for n in range(1, order + 1):
-        own = np.zeros(len(tokens), np.uint64)
-        own[n - 1 :] = ngrams(tokens, n)
-        yield n, own, place >= n - 1
-
-
-def _distinct(row, order: int):
-    tokens, starts, sizes, train = _tokens(row)
-    keys = [own[inside] for _, own, inside in _grams(tokens, starts, sizes, order)]
-    used = np.repeat(train, sizes)
-    weight = [used[inside] for _, _, inside in _grams(tokens, starts, sizes, order)]
-    distinct, slot = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(slot, np.concatenate(weight), len(distinct)).astype(np.int64)
-    single = np.zeros(len(distinct), bool)
-    single[slot[: len(tokens)]] = True
-    single[slot[starts]] = False  # BEGIN is no word
-    return tokens, starts, sizes, distinct, slot, counts, single
+
+    def __init__(self, row, order: int, bits: int):
+        sizes = np.frombuffer(row.sizes, "<i8")
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.texts, max_output_size=int(sizes.sum()) + 1), np.uint8)
+        hashes, counts = word_hashes(raw, np.append(0, np.cumsum(sizes)))
+        self.sizes = counts + 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        ends = self.starts + counts + 1
+        tokens, word = np.empty(int(self.sizes.sum()), np.uint64), np.ones(int(self.sizes.sum()), bool)
+        word[self.starts] = word[ends] = False
+        tokens[self.starts], tokens[ends], tokens[word] = BEGIN, END, hashes
+        self.train = np.frombuffer(row.train, np.uint8).astype(bool)
+        word[ends] = True  # the end counts as a word, what stands before a text does not
+        place = np.arange(len(tokens)) - np.repeat(self.starts, self.sizes)
+        coarse = ~np.uint64((1 << (64 - bits)) - 1)  # the lowest bits of a key are marks
+        self.keys, self.inside = [], []
+        for n in range(1, order + 1):
+            own = np.zeros(len(tokens), np.uint64)
+            own[n - 1 :] = ngrams(tokens, n)
+            self.keys.append(np.where(word, (own & KEY) | WORD, own & coarse) if n == 1 else own & coarse)
+            self.inside.append(place >= n - 1)
+
+    def all_keys(self) -> np.ndarray:
+        return np.concatenate([k[i] for k, i in zip(self.keys, self.inside, strict=True)])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys, and how often each occurs in training documents."""
+        used = np.repeat(self.train, self.sizes)
+        marked = np.sort(self.all_keys() | np.concatenate([used[i] for i in self.inside]).astype(np.uint64))
+        keys = marked & ~TRAIN
+        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        total = np.append(0, np.cumsum((marked & TRAIN).astype(np.int64)))
+        return keys[edge], np.diff(total[np.append(edge, len(keys))])
+
+    def by_length(self, slot: np.ndarray, totals: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """slot: where each of all_keys() stands in totals. Counts, and numbers by position, of each length's own n-grams."""
+        counts, slots, at = [], [], 0
+        for inside in self.inside:
+            here = slot[at : at + int(inside.sum())]
+            at += len(here)
+            used = np.zeros(len(totals), bool)
+            used[here] = True
+            own = np.zeros(len(inside), np.int64)
+            own[inside] = (np.cumsum(used) - 1)[here]
+            counts.append(totals[used])
+            slots.append(own)
+        return counts, slots
 
 
 def _edges(distinct: np.ndarray, n_owners: int) -> list[int]:
-    """Where each owner's range of hashes begins."""
+    """Where each owner's range of keys begins."""
     lows = np.array([(i << 64) // n_owners for i in range(n_owners)], np.uint64)
     return [*np.searchsorted(distinct, lows).tolist(), len(distinct)]
 
 
+def _coded(keys: np.ndarray, low: int, bits: int, n_owners: int) -> bytes:
+    """Sorted keys of an owner: words by all bits, longer n-grams by the bits that their fingerprints have."""
+    word = (keys & WORD) > 0
+    out = []
+    for own, drop in ((keys[word] >> np.uint64(2), 2), (keys[~word] >> np.uint64(64 - bits), 64 - bits)):
+        k, code = golomb.encode(own - np.uint64(low >> drop), 64 - drop - np.log2(n_owners))
+        out.append(np.array([len(own), k, len(code)], "<i8").tobytes() + code)
+    return b"".join(out)
+
+
+def _decoded(code: bytes, low: int, bits: int) -> list[np.ndarray]:
+    """The words' keys and the longer n-grams' keys, each sorted."""
+    out, at = [], 0
+    for drop, mark in ((2, WORD), (64 - bits, np.uint64(0))):
+        n, k, size = np.frombuffer(code, "<i8", 3, at)
+        out.append(((golomb.decode(int(n), int(k), code[at + 24 : at + 24 + int(size)]) + np.uint64(low >> drop)) << np.uint64(drop)) | mark)
+        at += 24 + int(size)
+    return out
+
+
 def _numbers(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Counts, most of them small: a byte each, and the rest apart."""
+    large = np.flatnonzero(x >= 255)
+    low = np.minimum(x, 255).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(large)).tobytes() + low.tobytes() + x[large].astype("<i8").tobytes())
 
 
 def _read_numbers(code: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(code), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").reshape(n).astype(np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(code)
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<i8", -1, 8 + n)
+    return out
 
 
-def _messages(frames, order: int, n_owners: int):
-    bits = 64 - np.log2(n_owners)
+def _by_kind(keys: np.ndarray) -> np.ndarray:
+    """The order in which a message has an owner's sorted keys: words, then longer n-grams."""
+    return np.argsort((keys & WORD) == 0, kind="stable")
+
+
+def _messages(frames, order: int, bits: int, n_owners: int):
     for frame in frames:
         for row in frame.itertuples():
-            _, _, _, distinct, _, counts, single = _distinct(row, order)
+            distinct, counts = Grams(row, order, bits).distinct()
             edges, out = _edges(distinct, n_owners), []
             for owner in range(n_owners):
                 a, b = edges[owner], edges[owner + 1]
                 if a < b:
-                    k, code = golomb.encode(distinct[a:b] - np.uint64((owner << 64) // n_owners), bits)
-                    out.append((row.batch, owner, b - a, k, code, _numbers(counts[a:b]), np.packbits(single[a:b]).tobytes()))
-            yield pd.DataFrame(out, columns=["batch", "owner", "n", "k", "code", "counts", "single"])
+                    out.append((row.batch, owner, b - a, _coded(distinct[a:b], (owner << 64) // n_owners, bits, n_owners), _numbers(counts[a:b][_by_kind(distinct[a:b])])))
+            yield pd.DataFrame(out, columns=["batch", "owner", "n", "code", "counts"])
 
 
-def _totals(group: pd.DataFrame) -> pd.DataFrame:
-    lists = [golomb.decode(n, k, code) for n, k, code in zip(group["n"], group["k"], group["code"], strict=True)]
+def _totals(group: pd.DataFrame, bits: int, n_owners: int) -> pd.DataFrame:
+    low = (int(group["owner"].iloc[0]) << 64) // n_owners
+    lists = [np.concatenate(_decoded(code, low, bits)) for code in group["code"]]
     values, slot = np.unique(np.concatenate(lists), return_inverse=True)
     counts = np.concatenate([_read_numbers(c, n) for c, n in zip(group["counts"], group["n"], strict=True)])
     totals = np.bincount(slot, counts, len(values)).astype(np.int64)
-    single = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(group["single"], group["n"], strict=True)]).astype(bool)
-    known = np.zeros(len(values), bool)
-    known[slot[single]] = True
+    vocabulary = int(((values & WORD > 0) & (totals > 0)).sum())
     ends = np.cumsum(group["n"].to_numpy())
     answers = [_numbers(totals[slot[b - n : b]]) for n, b in zip(group["n"], ends, strict=True)]
-    return pd.DataFrame({"batch": group["batch"], "owner": group["owner"], "n": group["n"], "totals": answers, "vocabulary": [int((known & (totals > 0)).sum()), *[0] * (len(group) - 1)]})
+    return pd.DataFrame({"batch": group["batch"], "owner": group["owner"], "n": group["n"], "totals": answers, "vocabulary": [vocabulary, *[0] * (len(group) - 1)]})
 
 
 class Automaton:
-    """The part of the backoff automaton that some texts reach, as flat arrays by position.
+    """The part of the backoff automaton that a batch reaches, in flat arrays.
 
-    A position's state is the longest history that training has seen before its word.
-    arcs[n]: the count of the n-gram that ends at the position; 0 where there is no arc.
+    States and arcs are numbered by n-gram, those of length n from at[n] on; the root is
+    the last state. arcs[d][i] is the arc that a state of depth d meets for the word at
+    position i, -1 if it has none.
     """
 
-    def __init__(self, arcs: dict[int, np.ndarray], total: int, vocabulary: int, strength: float):
-        self.arcs, self.total, self.vocabulary, self.strength = arcs, total, vocabulary, strength
-
-    def base(self) -> np.ndarray:
-        return (self.arcs[1] + 1) / (self.total + self.vocabulary + 1)
-
-    def traverse(self) -> np.ndarray:
-        """The weight of each position's path: its failure arcs and then its arc, as log10."""
-        order, n_positions = max(self.arcs), len(self.arcs[1])
-        weight = self.base()  # the root's arcs
-        for n in range(2, order + 1):
-            history = np.zeros(n_positions, np.int64)
-            history[1:] = self.arcs[n - 1][:-1]  # the state: how often training continued this history
-            # an arc holds its probability; a position without one takes the failure arc's weight times the shorter state's
-            weight = (self.arcs[n] + self.strength * weight) / (history + self.strength)
-        return np.log10(weight)
-
-
-def _scores(frames, order: int, strength: float, total: int, vocabulary: int):
+    def __init__(self, grams: Grams, counts: list[np.ndarray], slots: list[np.ndarray], total: int, vocabulary: int, strength: float):
+        order = len(counts)
+        at = np.append(0, np.cumsum([len(c) for c in counts]))
+        self.root = root = int(at[-1])
+        self.depth, self.fail_to, self.fail_weight = np.zeros(root + 1, np.int8), np.full(root + 1, root), np.zeros(root + 1)
+        self.arc_weight, self.arc_to = np.zeros(root), np.full(root, root)
+        self.arcs: list[np.ndarray] = []
+        chance = np.zeros(0)
+        for n in range(1, order + 1):
+            count, slot, inside = counts[n - 1], slots[n - 1], grams.inside[n - 1]
+            own = slice(int(at[n - 1]), int(at[n]))
+            shorter, before = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+            if n == 1:
+                chance = (count + 1) / (total + vocabulary + 1)
+                found = slot
+            else:
+                ends = np.flatnonzero(inside)
+                shorter[slot[ends]], before[slot[ends]] = slots[n - 2][ends], slots[n - 2][ends - 1]  # without the first word, and without the last
+                chance = (count + strength * chance[shorter]) / (counts[n - 2][before] + strength)
+                found = np.where(inside & (count[slot] > 0), slot, -1)
+            self.arcs.append(np.where(found < 0, -1, found + at[n - 1]))
+            self.arc_weight[own] = np.log10(chance)
+            self.depth[own] = n
+            self.fail_weight[own] = np.log10(strength / (count + strength))
+            self.fail_to[own] = root if n == 1 else at[n - 2] + shorter
+            # training has seen what the arc ends in, if it has seen the arc; the longest n-grams are no states
+            self.arc_to[own] = np.where(count > 0, np.arange(own.start, own.stop) if n < order else at[n - 2] + shorter if n > 1 else root, root)
+
+    def traverse(self, begin: int, end: int) -> float:
+        """The log10 probability of the words from position begin + 1 to end - 1, begin being what stands before the text."""
+        arcs = [memoryview(np.ascontiguousarray(x[begin:end])) for x in self.arcs]
+        depth, fail_to, fail_weight, arc_weight, arc_to = (memoryview(x) for x in (self.depth, self.fail_to, self.fail_weight, self.arc_weight, self.arc_to))
+        state = arc_to[arcs[0][0]]  # training with any document has seen what stands before one
+        total = 0.0
+        for i in range(1, end - begin):
+            arc = arcs[depth[state]][i]
+            while arc < 0:
+                total += fail_weight[state]
+                state = fail_to[state]
+                arc = arcs[depth[state]][i]
+            total += arc_weight[arc]
+            state = arc_to[arc]
+        return total
+
+
+def _scores(frames, order: int, bits: int, strength: float, total: int, vocabulary: int, n_owners: int):
     for frame in frames:
         for row in frame.itertuples():
-            tokens, starts, sizes, distinct, slot, _, _ = _distinct(row, order)
-            totals = np.concatenate([_read_numbers(a["totals"], a["n"]) for a in row.answers])
-            assert len(totals) == len(distinct)
-            arcs, at = {}, 0
-            for n, own, inside in _grams(tokens, starts, sizes, order):
-                arcs[n] = np.zeros(len(own), np.int64)
-                arcs[n][inside] = totals[slot[at : at + inside.sum()]]
-                at += int(inside.sum())
-            automaton = Automaton(arcs, total, vocabulary, strength)
-            with_words = sizes - 1
-            first = starts + 1  # the first word, or the end
-            spans = np.stack([first, first + with_words], 1).reshape(-1)
-            sums = lambda x: np.add.reduceat(np.append(x, 0), spans)[::2]  # noqa: E731, B023
+            grams = Grams(row, order, bits)
+            distinct, slot = np.unique(grams.all_keys(), return_inverse=True)
+            totals, at = np.zeros(len(distinct), np.int64), 0
+            for a in row.answers:
+                own = slice(at, at + a["n"])
+                totals[own][_by_kind(distinct[own])] = _read_numbers(a["totals"], a["n"])
+                at += a["n"]
+            assert at == len(distinct)
+            counts, slots = grams.by_length(slot, totals)
+            automaton = Automaton(grams, counts, slots, total, vocabulary, strength)
+            known = np.append(0, np.cumsum(counts[0][slots[0]] > 0))
+            base = np.append(0, np.cumsum(np.log10((counts[0][slots[0]] + 1) / (total + vocabulary + 1))))
+            starts, ends = grams.starts, grams.starts + grams.sizes
             nulls = np.frombuffer(row.nulls, np.uint8).astype(bool)
-            train = np.frombuffer(row.train, np.uint8).astype(bool)
-            yield pd.DataFrame({
-                "doc": np.frombuffer(row.ids, "<i8"), "null": nulls, "held_out": ~train, "n_tokens": with_words,
-                "n_known": sums((arcs[1] > 0).astype(np.int64)), "base_score": sums(np.log10(automaton.base())), "score": sums(automaton.traverse()),
-            })
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.frombuffer(row.ids, "<i8"), mask=nulls), pa.array(~grams.train), pa.array(grams.sizes - 1), pa.array(known[ends] - known[starts + 1]),
+                pa.array(base[ends] - base[starts + 1]), pa.array([automaton.traverse(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.float64()),
+            ], names=["doc", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _score_rows(batches, *options):
+    for batch in batches:
+        yield from _scores([batch.to_pandas()], *options)
 
 
-def score_documents(docs: DataFrame, train, order: int = 2, strength: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, train, order: int = 3, strength: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a boolean Column; the model learns from the rows where it is true (null is
@@ -211,23 +296,26 @@ def score_documents(docs: DataFrame, train, order: int = 2, strength: float = 4.
     unigram base. n_known counts tokens that training has seen, train_tokens is N.
     Rows that repeat count each; null ids stay null. With no training rows all counts
     are 0. An empty table gives an empty result. Other columns are ignored.
+
+    Words are known by 62 bits of their hashes. Of longer n-grams, two in the corpus
+    share a fingerprint with probability 2**-SLACK.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc"), F.col(id_col).isNull().alias("null"),
-        F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"),
-    )
-    home = written(rows.mapInPandas(_batches, HOME), "batches")
-    size = home.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("trained"), F.lit(0)).alias("trained")).first()
-    n_owners = max(owners(spark), size["words"] * order // OWNER_NGRAMS + 1)
-    sent = home.mapInPandas(lambda it: _messages(it, order, n_owners), "batch long, owner int, n int, k int, code binary, counts binary, single binary")
-    answers = written(sent.groupBy("owner").applyInPandas(_totals, "batch long, owner int, n int, totals binary, vocabulary long"), "totals")
-    total, vocabulary = size["trained"], answers.agg(F.coalesce(F.sum("vocabulary"), F.lit(0))).first()[0]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    words = size // 4 + 1  # more than there are, but for very short words
+    bits = int(min(62, max(32, np.ceil(np.log2(words * order)) + SLACK)))
+    n_owners = max(owners(spark), size // 6 * order // OWNER_NGRAMS + 1)
+    batch_bytes = int(BATCH_BYTES * max(1.0, (size / SMALL) ** 0.5))
+    home = written(rows.mapInArrow(lambda it: _batches(it, batch_bytes), HOME), "batches")
+    sent = home.mapInPandas(lambda it: _messages(it, order, bits, n_owners), "batch long, owner int, n int, code binary, counts binary")
+    answers = written(sent.groupBy("owner").applyInPandas(lambda g: _totals(g, bits, n_owners), "batch long, owner int, n int, totals binary, vocabulary long"), "totals")
+    total = home.agg(F.coalesce(F.sum("trained"), F.lit(0))).first()[0]
+    vocabulary = answers.agg(F.coalesce(F.sum("vocabulary"), F.lit(0))).first()[0]
     packed = answers.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "totals"))).alias("answers"))
-    out = home.join(packed, "batch").mapInPandas(
-        lambda it: _scores(it, order, strength, total, vocabulary),
-        "doc long, null boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double",
-    )
-    return out.select(
-        F.when(~F.col("null"), F.col("doc")).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    out = home.join(packed, "batch").mapInArrow(
+        lambda it: _score_rows(it, order, bits, strength, total, vocabulary, n_owners),
+        "doc long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
+    return out.select(F.col("doc").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,8 +1,11 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tarn.llm import lm_scoring
@@ -63,15 +66,32 @@ def test_against_brute_force(spark, order, monkeypatch):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
-def test_probabilities_sum_to_one(spark):
-    words = ["a", "b", "c", "d"]
-    rows = [(i, " ".join(random.Random(i).choices(words[:3], k=20)), True) for i in range(30)]
-    probes = [(1000 + i, w, False) for i, w in enumerate([*words[:3], "", "unknown"])]
-    df = spark.createDataFrame(rows + probes, "doc_id long, text string, t boolean")
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(df, F.col("t")).collect()}
-    after_begin = {i: 10 ** got[i]["score"] for i in range(1000, 1005)}
-    assert all(x < 1 for x in after_begin.values())
-    assert got[1004]["n_known"] == 1 and got[1003]["n_tokens"] == 1
+def test_probabilities_sum_to_one():
+    """From every state that two words lead to, over all known words, an unknown one and the end."""
+    rnd = random.Random(3)
+    known, unknown = ["a", "b", "c", "d"], "unknown"
+    learned = [" ".join(rnd.choices(known, k=rnd.randrange(9))) for _ in range(30)]
+    contexts = ["", *known, unknown, *(f"{x} {y}" for x in [*known, unknown] for y in [*known, unknown])]
+    probes = [f"{c} {w}".strip() for c in contexts for w in [*known, unknown]] + contexts
+    texts = [t.encode() for t in learned + probes]
+    row = SimpleNamespace(
+        sizes=np.array([len(t) for t in texts], "<i8").tobytes(), train=np.array([1] * len(learned) + [0] * len(probes), np.uint8).tobytes(), texts=zstandard.compress(b"".join(texts))
+    )
+    grams = lm_scoring.Grams(row, 3, 60)
+    distinct, counts = grams.distinct()
+    values, slot = np.unique(grams.all_keys(), return_inverse=True)
+    assert (values == distinct).all()
+    words = (distinct & lm_scoring.WORD) > 0
+    automaton = lm_scoring.Automaton(grams, *grams.by_length(slot, counts), int(counts[words].sum()), int((words & (counts > 0)).sum()), 2.0)
+    at = {p: (int(grams.starts[len(learned) + i]), int(grams.sizes[len(learned) + i])) for i, p in enumerate(probes)}
+    for c in contexts:
+        begin, size = at[c]
+        before = automaton.traverse(begin, begin + size - 1)
+        after = [automaton.traverse(begin, begin + size)]  # the end
+        for w in [*known, unknown]:
+            begin, size = at[f"{c} {w}".strip()]
+            after.append(automaton.traverse(begin, begin + size - 1))
+        assert sum(10 ** (x - before) for x in after) == pytest.approx(1, abs=1e-9), c
 
 
 def test_empty(spark):
