@@ -8,6 +8,7 @@ once, and the block's columns say which documents and positions it holds:
     shard, block   the block's place; shards are ranges of ascending document ids
     first          ids before the block in its shard
     width, n_ids   bits per id, ids in the block
+    n_null         how many of its documents have no id; they come first
     docs, starts   its documents (long) and the offset in the block of each (long)
     min_doc, max_doc
     payload        the packed ids
@@ -18,16 +19,18 @@ positions() gives shards their offsets in the whole corpus.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarn.llm.golomb import pack, unpack
-from tarn.llm.tokens import encode_all
+from tarn.llm.tokens import binary_array, encode_column
 
 BLOCK_IDS = 1 << 17
-FORMAT = "shard int, block int, first long, width int, n_ids long, min_doc long, max_doc long, docs binary, starts binary, payload binary"
+FORMAT = "shard int, block int, first long, width int, n_ids long, n_null int, min_doc long, max_doc long, docs binary, starts binary, payload binary"
+
+ARROW = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in FORMAT.split(", "))])
 
 
 def width_of(vocabulary: int) -> int:
@@ -37,30 +40,34 @@ def width_of(vocabulary: int) -> int:
 
 def _blocks(batches, path: str, width: int, end_id: int):
     shard, block, first = TaskContext.get().partitionId(), 0, 0
-    docs: list[int] = []
-    ids: list[bytes] = []
-    held = 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    n_held = 0
 
     def flush():
-        nonlocal block, first, docs, ids, held
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        nonlocal block, first, n_held
+        docs = pa.concat_arrays([x[0] for x in held])
+        flat, sizes = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        named = docs.drop_null().to_numpy()
         out = {
-            "shard": shard, "block": block, "first": first, "width": width, "n_ids": len(flat), "min_doc": docs[0], "max_doc": docs[-1],
-            "docs": np.array(docs, "<i8").tobytes(), "starts": (np.cumsum(lengths) - lengths).astype("<i8").tobytes(), "payload": pack(flat.astype("<u8"), width),
+            "shard": shard, "block": block, "first": first, "width": width, "n_ids": len(flat), "n_null": docs.null_count,
+            "min_doc": int(named[0]) if len(named) else None, "max_doc": int(named[-1]) if len(named) else None,
+            "docs": docs.fill_null(0).to_numpy().astype("<i8").tobytes(), "starts": (np.cumsum(sizes) - sizes).astype("<i8").tobytes(), "payload": pack(flat.astype("<u8"), width),
         }
-        block, first, docs, ids, held = block + 1, first + len(flat), [], [], 0
-        return pd.DataFrame([out])
+        block, first, n_held = block + 1, first + len(flat), 0
+        held.clear()
+        return pa.RecordBatch.from_pylist([out], ARROW)
 
-    end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        for doc, x in zip(batch["doc"], encode_all(batch["text"], path), strict=True):
-            docs.append(doc)
-            ids.append(x + end)
-            held += len(x) // 4 + 1
-            if held >= BLOCK_IDS:
-                yield flush()
-    if docs:
+        for run, ids, sizes in encode_column(batch.column("text"), path, end_id):
+            ends, at = np.append(0, np.cumsum(sizes)), 0
+            while at < len(sizes):
+                end = min(len(sizes), max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_IDS - n_held))))
+                held.append((batch.column("doc")[run + at : run + end], ids[ends[at] : ends[end]], sizes[at:end]))
+                n_held += int(ends[end] - ends[at])
+                at = end
+                if n_held >= BLOCK_IDS:
+                    yield flush()
+    if held:
         yield flush()
 
 
@@ -68,13 +75,16 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end
     """Encode whole texts and write them in ascending id order, each with end_id after it.
 
     A null text is empty: its ids are the end id alone. Rows that repeat an id stand
-    side by side, in any order. Null ids are refused by an error, as the order of the
-    corpus would be undefined. An empty table writes no blocks.
+    side by side, in any order, and null ids come first. An empty table writes no
+    blocks. Other columns are ignored.
+
+    Texts are dealt into ranges and sorted before they are encoded: compressed, they are
+    no larger than their ids.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.raise_error(F.lit("a document has no id")).cast("long")).alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc").sortWithinPartitions("doc")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     width = width_of(max(vocabulary, end_id + 1))
-    rows.mapInPandas(lambda it: _blocks(it, tokenizer, width, end_id), FORMAT).write.parquet(out)
+    ranged = rows.repartitionByRange(F.asc_nulls_first("doc")).sortWithinPartitions(F.asc_nulls_first("doc"))
+    ranged.mapInArrow(lambda it: _blocks(it, tokenizer, width, end_id), FORMAT).write.parquet(out)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -89,10 +99,10 @@ def positions(blocks: DataFrame) -> DataFrame:
 
 def _documents(batches):
     for batch in batches:
-        for base, width, n, docs, starts, payload in zip(batch["base"], batch["width"], batch["n_ids"], batch["docs"], batch["starts"], batch["payload"], strict=True):
-            flat, starts = unpack(payload, width, n).astype("<u4"), np.frombuffer(starts, "<i8")
+        for base, width, n, n_null, docs, starts, payload in zip(*[batch.column(c).to_pylist() for c in ("base", "width", "n_ids", "n_null", "docs", "starts", "payload")], strict=True):
+            flat, starts, docs = unpack(payload, width, n).astype("<u4"), np.frombuffer(starts, "<i8"), np.frombuffer(docs, "<i8")
             ends = np.append(starts[1:], n)
-            yield pd.DataFrame({"doc": np.frombuffer(docs, "<i8"), "start": base + starts, "n_tokens": ends - starts, "ids": [flat[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(len(docs)) < n_null), pa.array(base + starts), pa.array(ends - starts), binary_array(flat.view(np.uint8), 4 * np.append(starts, n))], names=["doc", "start", "n_tokens", "ids"])
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +110,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     blocks = read_blocks(spark, path)
     # a shard is a task of the write, of which there are spark.sql.shuffle.partitions at most
     placed = blocks.join(F.broadcast(positions(blocks)), "shard").withColumn("base", F.col("offset") + F.col("first"))
-    return placed.select("base", "width", "n_ids", "docs", "starts", "payload").mapInPandas(_documents, "doc long, start long, n_tokens long, ids binary")
+    return placed.select("base", "width", "n_ids", "n_null", "docs", "starts", "payload").mapInArrow(_documents, "doc long, start long, n_tokens long, ids binary")
 
 
 def read_span(spark: SparkSession, path: str, doc: int, start: int, n: int) -> np.ndarray:
@@ -108,7 +118,7 @@ def read_span(spark: SparkSession, path: str, doc: int, start: int, n: int) -> n
     row = read_blocks(spark, path).where((F.col("min_doc") <= doc) & (F.col("max_doc") >= doc)).where(F.expr("n_ids > 0")).orderBy("shard", "block").limit(1).collect()
     for r in row:
         ids, starts = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["starts"], "<i8")
-        i = int(np.searchsorted(ids, doc))
+        i = r["n_null"] + int(np.searchsorted(ids[r["n_null"] :], doc))
         if i < len(ids) and ids[i] == doc:
             end = starts[i + 1] if i + 1 < len(ids) else r["n_ids"]
             return unpack(r["payload"], r["width"], int(min(n, end - starts[i] - start)), int(starts[i] + start))

@@ -14,21 +14,27 @@ HARD = ["", " ", "  ", "a b", "a  b", "a   b", "a \n b", "a\n \nb", "x ", "x  ",
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_same_ids_as_the_library(library, spark, sf_dir):
     rnd = random.Random(5)
     texts = HARD + ["".join(rnd.choice(["a", " ", "\n", "  ", "'s", "9", "é", ".", "\u00a0", "B"]) for _ in range(30)) for _ in range(3000)]
     texts += [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    for text, ids in zip(texts, tokens.encode_all(texts, PATH, 5000), strict=True):
+    for text, ids in zip(texts, tokens.encode_all(texts, PATH), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_forgetting_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens, "CHUNK", 200)
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("ab cé x.'s9"[:k]) * rnd.randrange(1, 5) + str(rnd.randrange(99)) for _ in range(20)).strip() for k in (2, 5, 9, 11) for _ in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode_all(texts, PATH)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_round_trip(library, spark, tmp_path):
-    rows = [(i * 3 - 50, t, 1) for i, t in enumerate([*HARD, None] * 9)] + [(10_000, "same", 1)] * 3
+    rows = [(i * 3 - 50, t, 1) for i, t in enumerate([*HARD, None] * 9)] + [(10_000, "same", 1)] * 3 + [(None, "no id", 1)] * 2
     df = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(7)
     out = str(tmp_path / "t")
     token_files.BLOCK_IDS, was = 500, token_files.BLOCK_IDS
@@ -37,11 +43,11 @@ def test_token_files_round_trip(library, spark, tmp_path):
     finally:
         token_files.BLOCK_IDS = was
     got = sorted(token_files.read_documents(spark, out).collect(), key=lambda r: r["start"])
-    want = sorted((i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, _ in rows)
+    want = sorted(((i, np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t, _ in rows), key=lambda x: (x[0] is not None, x))
     assert [(r["doc"], bytes(r["ids"])) for r in got] == want
     assert [r["start"] for r in got] == np.cumsum([0, *[len(x) // 4 for _, x in want]])[:-1].tolist()
     assert token_files.read_blocks(spark, out).agg({"width": "max"}).first()[0] == 16
-    doc, ids = want[11]
+    doc, ids = want[13]
     assert token_files.read_span(spark, out, doc, 1, 3).tolist() == np.frombuffer(ids, "<u4")[1:4].tolist()
     token_files.write_tokens(df.limit(0), out + "e", PATH, 50257)
     assert token_files.read_documents(spark, out + "e").count() == 0
