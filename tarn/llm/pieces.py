@@ -6,23 +6,36 @@ theirs. Paths through the text carry the piece they came by; their weight is the
 their pieces' scores, and -inf where two neighbours don't fit, so the model's own
 segmentation is the best path in the (max, +) semiring, and the only one above -inf.
 
+Two pieces fit if no merge across their border would have come before those that made
+them: their merges are undone one by one, the latest first.
+
 A cut in a text is crossed by one piece. The pieces that may cross it are the boundary
 states; a chunk's transfer matrix holds, for each state at its start and each at its
 end, the best path's weight. Matrices combine associatively, and once the states at all
 cuts are known, each chunk finds its own pieces.
+
+Spaces in a row tie in score. The model joins them last, so paths are sought with one
+space for each run, and what the run's other spaces make is put in afterwards.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
 
 import numpy as np
 import sentencepiece
 
+from tarn.llm.common import kept
+from tarn.llm.tokens import WordCoder
+
 SPACE = "▁"
+RUN = re.compile(SPACE + "{2,}")
 NONE = float("-inf")
 UNKNOWN = -1e6  # the score of a character that is no piece
-MEMORY = 800_000  # words, and as many pairs, that a task remembers
+MEMORY = 300_000  # pairs of pieces that a task remembers
+LONGEST_WORD = 48  # characters; longer words are segmented one by one
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[32], _KINDS[10] = 1, 2
 
 
 class Pieces:
@@ -42,15 +55,16 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on after a word's end
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
-        self.codes = {p: np.array([i], "<u4").tobytes() for p, i in self.ids.items()}
-        self.fits: dict[str, dict[str, bool]] = {}
-        self.pairs = 0
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the model makes of a short string: the best-scored neighbours join first, the leftmost of equals."""
-        parts = list(text)
+        return self._merging(text)[0]
+
+    def _merging(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Its pieces, and the two that joined last."""
+        parts, latest = list(text), None
         while len(parts) > 1:
             best, at = NONE, -1
             for i in range(len(parts) - 1):
@@ -59,21 +73,47 @@ class Pieces:
                     best, at = s, i
             if at < 0:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            latest = (parts[at], parts[at + 1])
+            parts[at : at + 2] = ["".join(latest)]
+        return parts, latest
+
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces that it was made of; itself twice if it is one character; None if the model never makes it."""
+        found = self.halves.get(piece, 0)
+        if found == 0:
+            parts, latest = self._merging(piece)
+            found = self.halves[piece] = None if len(parts) > 1 else latest or (piece, piece)
+        return found
 
     def fit(self, one: str, two: str) -> bool:
         """Whether two pieces may stand side by side; one is empty at a text's start."""
-        after = self.fits.setdefault(one, {})
-        found = after.get(two)
+        found = self.fits.get((one, two))
         if found is None:
-            if self.pairs >= MEMORY:
+            if len(self.fits) >= MEMORY:
                 self.fits.clear()
-                self.fits[one], self.pairs = (after := {}), 0
-            self.pairs += 1
-            found = after[two] = self.merged(one + two) == ([one, two] if one else [two])
+            found = self.fits[(one, two)] = self._compatible(one, two)
         return found
 
+    def _compatible(self, one: str, two: str) -> bool:
+        halves, score = self._halves, self.score.get
+        if halves(two) is None or (one and halves(one) is None):
+            return False
+        if not one:
+            return True
+        worst, tie = NONE, True  # merges across the border that are better than this came first; of equals, the left one does
+        while True:
+            across = score(one + two)
+            if across is not None and (across > worst or (across == worst and not tie)):
+                return False
+            # undo the later of the two merges; one character is there from the start
+            a, b = (score(one) if len(one) > 1 else None), (score(two) if len(two) > 1 else None)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a < b):
+                worst, tie, one = a, True, halves(one)[1]
+            else:
+                worst, tie, two = b, False, halves(two)[0]
+
     def forward(self, text: str, start: int, came_by: str, end: int) -> tuple[list[str | None], list[float]]:
         """By position: the last piece of the best path from start, and the path's weight.
 
@@ -83,18 +123,15 @@ class Pieces:
         last: list[str | None] = [None] * (end + 1)
         weight = [NONE] * (end + 1)
         last[start], weight[start] = came_by, 0.0
-        score, prefixes, fits = self.score, self.prefixes, self.fits
+        score, prefixes, fit = self.score, self.prefixes, self.fit
         for q in range(start, end):
             before = last[q]
             if before is None:
                 continue
-            after = fits.get(before) or {}
             for p in range(q + 1, end + 1):
                 piece = text[q:p]
-                if last[p] is None and (piece in score or p == q + 1):
-                    ok = after.get(piece)
-                    if self.fit(before, piece) if ok is None else ok:
-                        last[p], weight[p] = piece, weight[q] + score.get(piece, UNKNOWN)
+                if last[p] is None and (piece in score or p == q + 1) and fit(before, piece):
+                    last[p], weight[p] = piece, weight[q] + score.get(piece, UNKNOWN)
                 if piece not in prefixes:
                     break
         return last, weight
@@ -119,12 +156,35 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def segment(self, text: str) -> list[str]:
-        """A whole string's pieces, by one chunk. Runs of spaces tie in score: the model's own merging settles them."""
-        if text.startswith(SPACE * 2):
-            return self.merged(text) if len(text) < 64 else self.merged_long(text)
+    def collapsed(self, marked: str) -> tuple[str, dict[int, int]]:
+        """The text with one space for each run of them, and the runs: by their place in it, how many spaces."""
+        runs, out, at, gone = {}, [], 0, 0
+        for run in RUN.finditer(marked) if self.whole_words else ():
+            out.append(marked[at : run.start() + 1])
+            runs[run.start() - gone] = run.end() - run.start()
+            gone += run.end() - run.start() - 1
+            at = run.end()
+        return "".join([*out, marked[at:]]), runs
+
+    def expanded(self, parts: list[str], runs: dict[int, int], at: int) -> list[str]:
+        """Pieces of a collapsed text from place at on, with those of the runs' other spaces."""
+        if not runs:
+            return parts
+        out: list[str] = []
+        for p in parts:
+            n = runs.get(at, 0)
+            if n and p == SPACE:  # no letter took the run's last space
+                out += self.merged_long(SPACE * n)
+            else:
+                out += [*self.merged_long(SPACE * (n - 1)), p] if n else [p]
+            at += len(p)
+        return out
+
+    def segment(self, marked: str) -> list[str]:
+        """A whole string's pieces, by one chunk."""
+        text, runs = self.collapsed(marked)
         last, _ = self.forward(text, 0, "", len(text))
-        return self.path(last, 0, len(text)) if last[-1] is not None else self.merged_long(text)
+        return self.expanded(self.path(last, 0, len(text)), runs, 0) if last[-1] is not None else self.merged_long(marked)
 
     def merged_long(self, text: str) -> list[str]:
         """merged() with a heap: for long strings."""
@@ -154,40 +214,6 @@ class Pieces:
                 offer(before[i])
         return [p for p in part if p]
 
-    def word(self, text: str) -> bytes:
-        """A word's ids as bytes. What is remembered has two generations, so common words stay."""
-        found = self.known.get(text) or self.older.get(text)
-        if found is None:
-            parts = self.segment(text)
-            try:
-                found = b"".join(map(self.codes.__getitem__, parts))
-            except KeyError:
-                found = np.array(self.numbers(parts), "<u4").tobytes()
-        if len(self.known) >= MEMORY // 2:
-            self.older, self.known = self.known, {}
-        self.known[text] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text that is one chunk: word by word, where no piece goes on after a word's end."""
-        if not text:
-            return b""
-        marked = SPACE + text.replace(" ", SPACE)
-        if not self.whole_words:
-            return np.array(self.numbers(self.segment(marked)), "<u4").tobytes()
-        word = self.word
-        parts = marked.split(SPACE)
-        out, spaces = [], 1
-        for i, p in enumerate(parts[1:], 1):
-            if p or i == len(parts) - 1:
-                w = SPACE * spaces + p
-                found = self.known.get(w)
-                out.append(found if found is not None else word(w))
-                spaces = 1
-            else:
-                spaces += 1
-        return b"".join(out)
-
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """The pieces (start, end) that may cover the character before the cut."""
         return [(a, b) for a in range(max(0, cut - self.longest), cut) for b in range(cut, min(len(text), a + self.longest) + 1) if b == a + 1 or text[a:b] in self.ids]
@@ -243,7 +269,141 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=2)
+class PieceCoder(WordCoder):
+    """Texts to ids by the best path of each distinct word, for many words at once.
+
+    Words are cut where no piece goes on: before a space, and around a newline that is
+    no piece. Each position of all words is taken in one step: a trie finds the pieces
+    that begin there, and the piece that the path came by says which of them fit.
+    """
+
+    kinds = _KINDS
+
+    def __init__(self, path: str):
+        self.pieces = own = Pieces(path)
+        super().__init__(own.numbers(["\n"]))
+        self.by_words = own.whole_words and not any("\n" in p for p in own.ids)
+        letters = sorted({c for p in own.ids for c in p})
+        self.letters = np.array([ord(c) for c in letters])
+        number, self.n_letters = {c: i for i, c in enumerate(letters)}, len(letters) + 1  # one more for all other characters
+        steps: dict[int, int] = {}
+        ends = [-1]
+        for p, i in own.ids.items():
+            node = 0
+            for c in p:
+                key = node * self.n_letters + number[c]
+                node = steps.setdefault(key, len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        order = np.argsort(keys := np.fromiter(steps.keys(), np.int64, len(steps)))
+        self.steps, self.step_to, self.ends = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order], np.array(ends)
+        self.other, self.start = len(own.names), len(own.names) + 1  # a character that is no piece, and what stands before a word
+        self.strings = [*own.names, "\U0010fffd", ""]
+        self.fitting: dict[int, bool] = {}
+
+    def odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts with spaces in a row, or with the character that stands for a space."""
+        if not self.by_words:
+            return offsets[1:] > offsets[:-1]
+        marked = np.zeros(len(raw), bool)
+        marked[1:] = (kind[1:] == 1) & (kind[:-1] == 1)
+        three = SPACE.encode()
+        at = np.flatnonzero(raw[:-2] == three[0]) if len(raw) > 2 else np.zeros(0, np.int64)
+        marked[at[(raw[at + 1] == three[1]) & (raw[at + 2] == three[2])]] = True
+        return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        own = self.pieces
+        return [np.array(own.numbers(own.segment(t.decode("utf-8", "surrogatepass").replace(" ", SPACE))), "<u4") for t in texts]
+
+    def encode_texts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts as they are: the model puts a space before each that is not empty."""
+        full = offsets[:-1][offsets[1:] > offsets[:-1]]
+        return self.encode(np.insert(raw, full, 32), offsets + np.append(0, np.cumsum(offsets[1:] > offsets[:-1])))
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "surrogatepass").replace(" ", SPACE) for w in words]
+        sizes = np.zeros(len(words), np.int64)
+        found: dict[int, np.ndarray] = {}
+        lengths = np.array([len(t) for t in texts])
+        for i in np.flatnonzero(lengths > LONGEST_WORD).tolist():
+            found[i] = np.array(self.pieces.numbers(self.pieces.segment(texts[i])), "<u4")
+        order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] <= LONGEST_WORD]
+        flat, places = [], []
+        for i in range(0, len(order), 16384):
+            own = order[i : i + 16384]
+            ids, n, odd = self._paths("".join(texts[j] for j in own), lengths[own])
+            for j in own[odd].tolist():
+                found[j] = np.array(self.pieces.numbers(self.pieces.segment(texts[j])), "<u4")
+            sizes[own] = n
+            flat.append(ids)
+            places.append(np.repeat(own, n))
+        for i, x in found.items():
+            sizes[i] = len(x)
+            flat.append(x)
+            places.append(np.full(len(x), i))
+        return np.concatenate(flat)[np.argsort(np.concatenate(places), kind="stable")].astype("<u4"), sizes
+
+    def _paths(self, joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in turn, how many each has, and which have to be segmented by themselves (they get none)."""
+        n, longest = len(lengths), int(lengths.max())
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.letters, code), len(self.letters) - 1)
+        letters = np.full((n, longest), self.n_letters - 1)
+        letters[np.arange(longest) < lengths[:, None]] = np.where(self.letters[at] == code, at, self.n_letters - 1)
+        last, back = np.full((n, longest + 1), -1), np.zeros((n, longest + 1), np.int64)
+        last[:, 0] = self.start
+        for q in range(longest):
+            rows = np.flatnonzero((lengths > q) & (last[:, q] >= 0))
+            node = np.zeros(len(rows), np.int64)
+            for p in range(q + 1, longest + 1):
+                key = node * self.n_letters + letters[rows, p - 1]
+                step = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                met = self.steps[step] == key
+                node = np.where(met, self.step_to[step], 0)
+                piece = np.where(met, self.ends[node], -1)
+                if p == q + 1:
+                    piece = np.where(piece < 0, self.other, piece)
+                able = np.flatnonzero((piece >= 0) & (last[rows, p] < 0))
+                able = able[self._fits(last[rows[able], q], piece[able])]
+                last[rows[able], p], back[rows[able], p] = piece[able], q
+                on = met & (lengths[rows] > p)
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+        odd = (last[np.arange(n), lengths] < 0) | (last == self.other).any(axis=1)
+        backwards, place = np.full((n, longest), -1), np.where(odd, 0, lengths)
+        for t in range(longest):
+            rows = np.flatnonzero(place)
+            if not len(rows):
+                break
+            backwards[rows, longest - 1 - t] = last[rows, place[rows]]
+            place[rows] = back[rows, place[rows]]
+        taken = backwards >= 0
+        return backwards[taken], taken.sum(axis=1), odd
+
+    def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which pieces fit after which."""
+        keys = (before * len(self.strings) + piece).tolist()
+        found = list(map(self.fitting.get, keys))
+        if None in found:
+            if len(self.fitting) >= MEMORY:
+                self.fitting.clear()
+            for i, key in enumerate(keys):
+                if found[i] is None:
+                    one, two = divmod(key, len(self.strings))
+                    known = self.fitting.get(key)
+                    found[i] = self.fitting[key] = self.pieces._compatible(self.strings[one], self.strings[two]) if known is None else known
+        return np.array(found, bool)
+
+
 def pieces(path: str) -> Pieces:
-    """A task's vocabulary; Python workers keep it from task to task."""
-    return Pieces(path)
+    """A task's vocabulary."""
+    return coder(path).pieces
+
+
+def coder(path: str) -> PieceCoder:
+    """A task's coder; Python workers keep it until another operator's memory takes its place."""
+    return kept(("pieces", path), lambda: PieceCoder(path))

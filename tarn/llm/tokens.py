@@ -50,67 +50,30 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-class Encoder:
-    """Texts to ids. The library does the encoding; this gathers it by distinct words."""
+class WordCoder:
+    """Texts to ids, by distinct words: each is coded once while it is remembered, and ids are gathered by word.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    A word is a space and what follows it, what follows a newline, or a newline. A
+    subclass codes words and says which texts are odd: those where words are not coded
+    apart, which it codes whole.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        before = self.tokenizer.pre_tokenizer
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.by_words = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.tokenizer.normalizer is None and len(line) == 1
-        self.line = line[0] if line else -1
-        self.forget()
+    kinds = _CLASS
 
-    def forget(self) -> None:
+    def __init__(self, line: list[int]):
+        self.line = line
         self.names = pa.array([b"\n"], pa.binary())
-        self.first, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.line], "<i8").astype("<u4")
+        self.first, self.size, self.ids = np.zeros(1, np.int64), np.array([len(line)]), np.array(line, "<i8").astype("<u4")
 
-    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+    def odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
-    def _odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Which texts are not words with single spaces and newlines between them, or hold a special token's string."""
-        full = offsets[1:] > offsets[:-1]
-        if not self.by_words:
-            return full
-        gap = kind > 0
-        marked = kind == _OTHER
-        marked[1:] |= gap[1:] & gap[:-1]
-        marked[offsets[:-1][full]] |= gap[offsets[:-1][full]]
-        marked[offsets[1:][full] - 1] |= gap[offsets[1:][full] - 1]
-        high = np.flatnonzero(raw >= 0xC2)
-        for lead, seconds in _WIDE.items():
-            at = high[raw[high] == lead]
-            two, three = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
-            for second, thirds in seconds.items():
-                marked[at[(two == second) & (True if thirds is None else np.isin(three, thirds))]] = True
-        whole = raw.tobytes() if self.special else b""
-        for s in self.special:
-            at = whole.find(s)
-            while at >= 0:
-                marked[at] = True
-                at = whole.find(s, at + 1)
-        return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        raise NotImplementedError
 
-    def _learn(self, words: pa.Array) -> None:
-        """Encode new words: many in one text, a newline between two."""
-        firsts, ids, at = [], [], len(self.ids)
-        for i in range(0, len(words), 4000):
-            part = words[i : i + 4000].to_pylist()
-            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
-            inner = found != self.line
-            ends = np.append(np.flatnonzero(~inner), len(found))
-            assert len(ends) == len(part)
-            firsts.append(at + ends - np.arange(len(ends)))  # where each word ends among the ids without newlines
-            ids.append(found[inner])
-            at += int(inner.sum())
-        ends = np.concatenate(firsts)
-        start = np.append(len(self.ids), ends[:-1])
-        self.names = pa.concat_arrays([self.names, words])
-        self.first, self.size, self.ids = np.append(self.first, start), np.append(self.size, ends - start), np.concatenate([self.ids, *ids])
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words in turn, and how many each has."""
+        raise NotImplementedError
 
     def _codes(self, distinct: pa.Array) -> np.ndarray:
         """The place of each word in what is remembered, new ones learned; earlier ones are forgotten where it grows too large."""
@@ -122,13 +85,13 @@ class Encoder:
             self.ids = self.ids[spread(self.first[held], sizes)]
             self.names, self.first, self.size = self.names.take(pa.array(held)), np.cumsum(sizes) - sizes, sizes
             at = pc.index_in(distinct, value_set=self.names)
+        out = np.asarray(at.fill_null(-1)).astype(np.int64)
         if len(new):
-            n = len(self.names)
-            self._learn(new)
-            out = np.asarray(at.fill_null(-1)).astype(np.int64)
-            out[out < 0] = n + np.arange(len(new))
-            return out
-        return np.asarray(at).astype(np.int64)
+            out[out < 0] = len(self.names) + np.arange(len(new))
+            ids, sizes = self.learn(new.to_pylist())
+            self.first = np.append(self.first, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.names, self.size, self.ids = pa.concat_arrays([self.names, new]), np.append(self.size, sizes), np.append(self.ids, ids)
+        return out
 
     def _by_words(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of well-formed texts, and how many each has."""
@@ -146,23 +109,72 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn (unsigned 32-bit), and how many each text has. Text i is raw[offsets[i]:offsets[i + 1]]."""
-        kind = _CLASS[raw]
-        odd = self._odd(raw, kind, offsets)
+        kind = self.kinds[raw]
+        odd = self.odd(raw, kind, offsets)
         if not odd.any():
             return self._by_words(raw, kind, offsets)
         lengths, which = np.diff(offsets), np.flatnonzero(odd)
         good = np.repeat(~odd, lengths)
         even, counts = self._by_words(raw[good], kind[good], np.append(0, np.cumsum(lengths[~odd])))
-        others = self._whole([raw[offsets[i] : offsets[i + 1]].tobytes() for i in which])
+        others = self.whole([raw[offsets[i] : offsets[i + 1]].tobytes() for i in which])
         sizes = np.zeros(len(lengths), np.int64)
         sizes[~odd], sizes[odd] = counts, [len(x) for x in others]
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]), "<u4")
+        out = np.empty(int(sizes.sum()), "<u4")
         inner = np.repeat(~odd, sizes)
         out[inner], out[~inner] = even, np.concatenate(others)
         return out, sizes
 
 
+class Encoder(WordCoder):
+    """The tokenizers library does the encoding."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        before = self.tokenizer.pre_tokenizer
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        super().__init__(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.by_words = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.tokenizer.normalizer is None and len(self.line) == 1
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
+
+    def odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts are not words with single spaces and newlines between them, or hold a special token's string."""
+        full = offsets[1:] > offsets[:-1]
+        if not self.by_words:
+            return full
+        gap = kind > 0
+        marked = kind == _OTHER
+        marked[1:] |= gap[1:] & gap[:-1]
+        marked[offsets[:-1][full]] |= gap[offsets[:-1][full]]
+        marked[offsets[1:][full] - 1] |= gap[offsets[1:][full] - 1]
+        high = np.flatnonzero(raw >= 0xC2)
+        for lead, seconds in _WIDE.items():
+            at = high[raw[high] == lead]
+            two, three = raw[np.minimum(at + 1, len(raw) - 1)], raw[np.minimum(at + 2, len(raw) - 1)]
+            for second, thirds in seconds.items():
+                marked[at[(two == second) & (True if thirds is None else np.isin(three, thirds))]] = True
+        text = raw.tobytes() if self.special else b""
+        for s in self.special:
+            at = text.find(s)
+            while at >= 0:
+                marked[at] = True
+                at = text.find(s, at + 1)
+        return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Many words in one text, a newline between two."""
+        flat, sizes = [], []
+        for i in range(0, len(words), 4000):
+            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words[i : i + 4000]).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            inner = found != self.line[0]
+            flat.append(found[inner])
+            sizes.append(np.diff(np.append(np.flatnonzero(~inner), len(found)), prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+
 def encoder(path: str) -> Encoder:
     """A task's encoder; Python workers keep it until another operator's memory takes its place."""
     return kept(("encoder", path), lambda: Encoder(path))

@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece as library
 
 from tarn.llm import sentencepiece
-from tarn.llm.pieces import Pieces, combined, scan
+from tarn.llm.pieces import PieceCoder, combined, scan
+from tarn.llm.tokens import flat_bytes
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -20,12 +22,30 @@ def texts():
     return out
 
 
-def test_against_the_library():
-    model, own = library.SentencePieceProcessor(model_file=PATH), Pieces(PATH)
-    for t in texts():
+@pytest.mark.parametrize("longest", [4, 48])
+def test_against_the_library(longest, monkeypatch):
+    monkeypatch.setattr("tarn.llm.pieces.LONGEST_WORD", longest)
+    model, own, all_texts = library.SentencePieceProcessor(model_file=PATH), PieceCoder(PATH), texts()
+    ids, sizes = own.encode_texts(*flat_bytes(pa.array(all_texts)))
+    for t, got in zip(all_texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
         want = model.encode(t)
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == want, t
-        assert own.decode(np.array(want, "<u4")) == model.decode(want), t
+        assert got.tolist() == want, repr(t)
+        assert np.array(own.pieces.numbers(own.pieces.segment("▁" + t.replace(" ", "▁")) if t else [])).tolist() == want, repr(t)
+        assert own.pieces.decode(np.array(want, "<u4")) == model.decode(want), t
+
+
+def test_pieces_fit_as_merging_says():
+    own, rnd = PieceCoder(PATH).pieces, random.Random(8)
+    names = [p for p in own.ids if "▁" not in p[1:] and p != "▁▁"]
+    common = names[:400]
+    tried = [(rnd.choice(common), rnd.choice(common)) for _ in range(6000)] + [(rnd.choice(names), rnd.choice(names)) for _ in range(3000)] + [("", rnd.choice(names)) for _ in range(500)]
+    fits = 0
+    for one, two in tried:
+        if not two.startswith("▁"):
+            want = own.merged(one + two) == ([one, two] if one else [two])
+            assert own.fit(one, two) == want, (one, two)
+            fits += want
+    assert fits > 500
 
 
 def test_scan_is_all_prefix_products():
@@ -44,17 +64,21 @@ def test_chunks_against_the_library(spark, giant):
     rnd = random.Random(giant)
     rows = [(i, t, 7) for i, t in enumerate(texts()[::3])]
     rows += [(5000 + i, "".join(rnd.choices("etaoinshrdlu ", k=400)).replace("  ", " t").strip(), 7) for i in range(40)]
+    rows += [(5500 + i, "".join(rnd.choices(["the", "ing ", "é", " ", "  ", "     ", "▁", "\n", "t"], k=300)), 7) for i in range(30)]
+    rows += [(5600, " " * 1000, 7), (5601, "   lead and" + " " * 333 + "trail  ", 7)]
     rows += [(6000, None, 7), (6001, "solidword" * 9000, 7), (6001, "solidword" * 9000, 7), (None, "no id here", 7)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(5)
+    df = spark.createDataFrame([(*r, 8, 9) for r in rows], "doc_id long, text string, row int, own int, part int").repartition(5)
     coded = sentencepiece.encode(df, PATH, giant=giant)
-    assert coded.columns == ["doc_id", "text", "row", "n_tokens", "ids"]
+    assert coded.columns == ["doc_id", "text", "row", "own", "part", "n_tokens", "ids"]
     got = sentencepiece.decode(coded, PATH).collect()
     assert len(got) == len(rows)
     for r in got:
         want = model.encode(r["text"] or "")
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want)
-        assert r["decoded"] == model.decode(want)
+        assert r["decoded"] == model.decode(want) and (r["row"], r["own"], r["part"]) == (7, 8, 9)
 
 
 def test_empty(spark):
     assert sentencepiece.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+    assert sentencepiece.decode(spark.createDataFrame([], "ids binary, decoded int"), PATH).count() == 0
+    assert [tuple(r) for r in sentencepiece.decode(spark.createDataFrame([(None, 1)], "ids binary, x int"), PATH).collect()] == [(None, 1, "")]
