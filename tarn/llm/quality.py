@@ -93,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fitted on the labelled documents with the smallest hashes of their ids, sample at most."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.join(chosen, id_col).groupBy(id_col).agg(F.max(text_col).alias("text"), F.max("_label").alias("label"))
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max(text_col).alias("text"), F.max("_label").alias("label"))
 
     def measured(frames):
         for frame in frames:
@@ -145,19 +145,26 @@ def site_rates(scored: DataFrame, model: Classifier) -> tuple[DataFrame, dict[st
     return out, {"rate": rate, "host_strength": host_strength, "path_strength": path_strength}
 
 
-def _judged(rows: DataFrame, model: Classifier, host_col: str, path_col: str, threshold: float, evidence_col: str = "_evidence") -> DataFrame:
-    """rows with _p_document, _p_quality and _keep; rows has the evidence column."""
-    rates, prior = site_rates(rows.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(evidence_col).alias("evidence")), model)
-    rates = rates.select(*[F.col(c).alias(f"_{c}") for c in rates.columns])
-    if rates.count() <= BROADCAST_SITES:
-        rates = F.broadcast(rates)
-    joined = rows.join(rates, rows[host_col].eqNullSafe(rates["_host"]) & rows[path_col].eqNullSafe(rates["_path"]))
-    p, k0, k1 = _chance(model, F.col(evidence_col)), prior["host_strength"], prior["path_strength"]
-    host_rate = (F.col("_host_good") - p + k0 * prior["rate"]) / (F.col("_host_n") - 1 + k0)
-    path_rate = (F.col("_good") - p + k1 * host_rate) / (F.col("_n") - 1 + k1)
+def _judged(rows: DataFrame, model: Classifier, threshold: float) -> DataFrame:
+    """rows (own, host, path, evidence) with p_document, p_site, p_quality and kept."""
+    rates, prior = site_rates(rows, model)
+    sites = rates.select(*[F.col(c).alias(f"site_{c}") for c in rates.columns])
+    if sites.count() <= BROADCAST_SITES:
+        sites = F.broadcast(sites)
+    joined = rows.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")))
+    p, k0, k1 = _chance(model, F.col("evidence")), prior["host_strength"], prior["path_strength"]
+    host_rate = (F.col("site_host_good") - p + k0 * prior["rate"]) / (F.col("site_host_n") - 1 + k0)
+    path_rate = (F.col("site_good") - p + k1 * host_rate) / (F.col("site_n") - 1 + k1)
     path_rate = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
-    posterior = 1 / (1 + F.exp(-(F.col(evidence_col) + _logit(path_rate))))
-    return joined.withColumns({"_p_document": p, "_p_site": path_rate, "_p_quality": posterior}).withColumn("_keep", F.col("_p_quality") >= threshold).drop(*rates.columns)
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") + _logit(path_rate))))
+    return joined.select("own", p.alias("p_document"), path_rate.alias("p_site"), posterior.alias("p_quality"), (posterior >= threshold).alias("kept"))
+
+
+def _scored(docs: DataFrame, carried: list[str], model: Classifier, text_col: str, host_col: str, path_col: str) -> DataFrame:
+    """own (the carried columns in a struct, apart from what is added), host, path, evidence; written, so that each text is read once."""
+    own = F.struct(*[F.col(f"`{c}`") for c in carried]).alias("own")
+    rows = docs.select(own, F.col(f"`{host_col}`").alias("host"), F.col(f"`{path_col}`").alias("path"), _evidence(model)(F.col(f"`{text_col}`")).alias("evidence"))
+    return written(rows, "evidence")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -170,13 +177,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     p_document is one half. An empty table gives an empty result. Other columns are ignored.
     """
     model = train(docs, labels, id_col, text_col, sample=sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_h"), F.col(path_col).alias("_l"), _evidence(model)(F.col(text_col)).alias("_evidence"))
-    out = _judged(written(rows, "evidence"), model, "_h", "_l", threshold)
-    return out.select(F.col("_id").alias(id_col), F.col("_p_document").alias("p_document"), F.col("_p_site").alias("p_site"), F.col("_p_quality").alias("p_quality"), F.col("_keep").alias("kept"))
+    out = _judged(_scored(docs, [id_col], model, text_col, host_col, path_col), model, threshold)
+    return out.select(F.col("own").getField(id_col).alias(id_col), "p_document", "p_site", "p_quality", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns."""
+    """The rows of docs that classify() keeps, with all their columns, whatever their names.
+
+    Nulls, repeated rows and empty tables are as classify() has them.
+    """
     model = train(docs, labels, id_col, text_col, sample=sample)
-    rows = docs.withColumn("_evidence", _evidence(model)(F.col(text_col)))
-    return _judged(rows, model, host_col, path_col, threshold).where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _judged(_scored(docs, docs.columns, model, text_col, host_col, path_col), model, threshold).where("kept")
+    return out.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
