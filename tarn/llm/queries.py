@@ -33,7 +33,7 @@ WITH d AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
 """
 
-#: host, path, verdict, is_rule. The rules, then the list: sites whose pages are blocked where no rule fits.
+#: host, path, verdict, is_rule. The rules, then the first of the list: sites whose pages are blocked where no rule fits.
 URL_LIST = [
     ("com", "/en/", "block", True),
     ("example.com", "/en/7", "allow", True),
@@ -43,10 +43,16 @@ URL_LIST = [
     ("spam-farm.example.org", "/", "block", False),
     ("cheap-pills.example.com", "/", "block", False),
 ]
+#: The rest of the list, by rule: as many sites and pages as a real list might have.
+LISTED_SITES, LISTED_PAGES = 60_000, 40_000
 
 
 def url_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(URL_LIST, "host string, path string, verdict string, is_rule boolean")
+    """The rules and the listed canonical URLs."""
+    named = spark.createDataFrame(URL_LIST, "host string, path string, verdict string, is_rule boolean")
+    sites = spark.range(LISTED_SITES).select(F.format_string("farm-%d.example.org", "id").alias("host"), F.lit("/").alias("path"))
+    pages = spark.range(LISTED_PAGES).select(F.format_string("board-%d.example.com", F.col("id") % 5000).alias("host"), F.format_string("/offers/%d", "id").alias("path"))
+    return named.unionByName(sites.unionByName(pages).withColumns({"verdict": F.lit("block"), "is_rule": F.lit(False)}))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +60,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH listed(host, path, verdict, is_rule) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}', {r})" for h, p, v, r in URL_LIST)}),
+WITH listed(host, path, verdict, is_rule) AS (
+    VALUES {", ".join(f"('{h}', '{p}', '{v}', {r})" for h, p, v, r in URL_LIST)}
+    UNION ALL SELECT 'farm-' || range || '.example.org', '/', 'block', false FROM range({LISTED_SITES})
+    UNION ALL SELECT 'board-' || (range % 5000) || '.example.com', '/offers/' || range, 'block', false FROM range({LISTED_PAGES})
+),
 cut AS (
     SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
