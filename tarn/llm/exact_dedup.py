@@ -146,5 +146,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat the id and the text of a row that stays also stay.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept.distinct(), docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(id_col).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
