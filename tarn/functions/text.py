@@ -9,15 +9,6 @@ from pyspark.sql import functions as F
 
 CJK = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]"
 
-# fixed values: the patterns of secrets, in the order in which they are replaced
-SECRETS = [
-    ("api_key", r"sk-[A-Za-z0-9_-]{16,}"),
-    ("github_token", r"gh[pousr]_[A-Za-z0-9]{20,}"),
-    ("aws_key", r"AKIA[0-9A-Z]{16}"),
-    ("bearer", r"Bearer [A-Za-z0-9._-]{16,}"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-]
-
 # fixed values: white space, word boundaries and runs as the reference's regular expressions have them
 _S = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 _W, _R = "A-Za-z0-9_", "A-Za-z0-9_.-"
@@ -83,13 +74,6 @@ def token_estimate(text: Column) -> Column:
     )
 
 
-def redacted(text: Column) -> Column:
-    """Secrets replaced by their kind, pattern after pattern on the text so far."""
-    for kind, pattern in SECRETS:
-        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
-    return text
-
-
 def without_secrets(rows: DataFrame, text: str, findings: str) -> DataFrame:
     """rows with the nine rules applied to text, rule after rule, and the findings: how many by type, where there are any."""
     counts = {kind: f"_{findings}_{kind}" for kind, *_ in SECRET_RULES}
@@ -122,20 +106,16 @@ def clean_subject(text: Column) -> Column:
 
 
 def error_signature(text: Column) -> Column:
-    """An error text with what changes from time to time masked."""
-    for pattern, to in (("\\d{4}-\\d\\d-\\d\\d[T ][0-9:.]+Z?", "<ts>"), ("0x[0-9a-fA-F]+", "<addr>"), ("(?:/[\\w.-]+)+/([\\w.-]+)", "$1"), (":\\d+(:\\d+)?", "<line>"), ("\\d+", "#")):
-        text = F.regexp_replace(text, pattern, to)
-    return F.substring(F.trim(F.regexp_replace(text, "\\s+", " ")), 1, 200)
-
-
-def kind_of(text: Column) -> Column:
-    """The first kind whose pattern the text has."""
-    low = F.lower(text)
-    rules = [("decision", "decid|chose"), ("preference", "prefer|favou?rite"), ("pitfall", "bug|fail|error"), ("task", "todo|next step"), ("fact", " is | are ")]
-    out = None
-    for kind, pattern in rules:
-        out = F.when(low.rlike(pattern), kind) if out is None else out.when(low.rlike(pattern), kind)
-    return out.otherwise("raw_note")
+    """The first line of an error text with what changes from time to time masked: times, addresses, folders, places, numbers."""
+    line = F.trim(F.element_at(F.filter(F.split(text, "\\n"), lambda x: F.trim(x) != ""), 1))
+    steps = [
+        ("\\b\\d{4}-\\d{2}-\\d{2}[T ][\\d:.]+Z?\\b", "<ts>"), ("0x[0-9a-fA-F]+", "<addr>"),
+        ("[A-Za-z]:[\\\\/](?:[^\\s:]*[\\\\/])?([^\\s:\\\\/]+)", "$1"), ("(?:[\\\\/][^\\s:/\\\\]+)*[\\\\/]([^\\s:/\\\\]+)", "$1"),
+        (":\\d+(:\\d+)?", ""), ("\\b\\d+\\b", "#"), ("\\s+", " "),
+    ]
+    for pattern, to in steps:
+        line = F.regexp_replace(line, pattern, to)
+    return F.coalesce(F.trim(line), F.lit(""))
 
 
 def memory_kind(text: Column) -> Column:

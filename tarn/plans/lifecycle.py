@@ -6,29 +6,46 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as T
+from tarn.operators import lifecycle as L
+from tarn.operators import loops as P
 from tarn.operators import relational as R
 from tarn.plans.registry import query
-from tarn.plans.searching import MEM
-from tarn.sources.tables import memories, table
+from tarn.plans.searching import STATE
+from tarn.sources.tables import memory_state, table
 
 NOW = "2024-12-31"
 
 
+def today():
+    return F.lit(NOW).cast("date")
+
+
 def _redact_sql(x: str) -> str:
-    for kind, pattern in T.SECRETS:
-        x = f"regexp_replace({x}, '{pattern}', '[REDACTED:{kind}]', 'g')"
+    for pattern, to, flags in [
+        ("-----BEGIN [A-Z ]*PRIVATE KEY-----[\\s\\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]:private_key", "g"),
+        ("\\bsk-[A-Za-z0-9_-]{20,}\\b", "[REDACTED]:api_key", "g"),
+        ("\\bsk-ant-[A-Za-z0-9_-]{20,}\\b", "[REDACTED]:api_key", "g"),
+        ("\\b(?:ghp|gho|ghu|ghs|ghr|github_pat)_[A-Za-z0-9_]{20,}\\b", "[REDACTED]:token", "g"),
+        ("\\b(?:AKIA|ASIA)[A-Z0-9]{16}\\b", "[REDACTED]:aws_key", "g"),
+        ("\\beyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\b", "[REDACTED]:jwt", "g"),
+        ("(//[^:\\s/@]+:)([^@\\s/]+)(@)", "\\1[REDACTED]:password\\3", "g"),
+        ("([A-Za-z0-9_.-]*(?:password|passwd|pwd|secret|credential|api[_-]?key|access[_-]?token|refresh[_-]?token|private[_-]?key)[A-Za-z0-9_.-]*)\\s*[:=]\\s*[\"''`]?([^\\s\"''`,;]+)[\"''`]?", "\\1=[REDACTED]", "gi"),
+        ("\\b([A-Z0-9_]*(?:API_KEY|TOKEN|SECRET|PASSWORD|PRIVATE_KEY|CREDENTIAL)[A-Z0-9_]*)\\s*=\\s*([^\\s\"''`,;#]+)", "\\1=[REDACTED]", "g"),
+    ]:
+        x = f"regexp_replace({x}, '{pattern}', '{to}', '{flags}')"
     return x
 
 
-@query("redact", f"SELECT doc_id, md5({_redact_sql('text')}) AS redacted, text != {_redact_sql('text')} AS changed FROM documents")
+@query("redact", f"WITH r AS (SELECT doc_id, text, {_redact_sql('text')} AS clean FROM documents) SELECT doc_id, md5(clean) AS redacted, text != clean AS changed FROM r")
 def redact(spark, sf_dir):
-    clean = T.redacted(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("redacted"), (F.col("text") != clean).alias("changed"))
+    """The nine rules of secrets; the SQL states them by hand."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("clean"))
+    return T.without_secrets(docs, "clean", "findings").select("doc_id", F.md5("clean").alias("redacted"), (F.col("text") != F.col("clean")).alias("changed"))
 
 
 @query("redact_secrets")
 def redact_secrets(spark, sf_dir):
-    """All nine rules of the reference, with their counts; redact has the five of its SQL."""
+    """The nine rules of redact, with the texts and their counts by type."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("redacted"))
     return T.without_secrets(docs, "redacted", "findings").withColumn("changed", F.size("findings") > 0)
 
@@ -40,38 +57,61 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("kind_infer", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'decid|chose') THEN 'decision' WHEN regexp_matches(lower(text), 'prefer|favou?rite') THEN 'preference'
-WHEN regexp_matches(lower(text), 'bug|fail|error') THEN 'pitfall' WHEN regexp_matches(lower(text), 'todo|next step') THEN 'task' WHEN regexp_matches(lower(text), ' is | are ') THEN 'fact' ELSE 'raw_note' END AS kind FROM documents""")
+@query("kind_infer", """SELECT doc_id, CASE WHEN regexp_matches(text, '偏好|喜欢|不喜欢|习惯|风格|prefer|preference|habit|style', 'i') THEN 'preference' WHEN regexp_matches(text, '决定|结论|取舍|选择|因为|所以|decision|decided|conclusion|tradeoff', 'i') THEN 'decision'
+WHEN regexp_matches(text, '待办|任务|计划|截止|完成|推进|todo|task|follow[- ]?up|deadline', 'i') THEN 'task' WHEN regexp_matches(text, '流程|步骤|命令|配置|脚本|workflow|procedure|command|setup|config', 'i') THEN 'procedure'
+WHEN regexp_matches(text, '必须|不能|约束|规则|边界|禁止|must|cannot|rule|constraint|required', 'i') THEN 'constraint' WHEN regexp_matches(text, '关系|同事|客户|团队|负责人|partner|customer|teammate|owner', 'i') THEN 'relationship'
+WHEN regexp_matches(text, '会议|复盘|上线|发布|事故|里程碑|meeting|launch|release|incident|milestone', 'i') THEN 'event' WHEN regexp_matches(text, '概念|原则|方法论|框架|理论|学习|concept|principle|framework|theory', 'i') THEN 'concept'
+WHEN regexp_matches(text, '项目|版本|需求|PRD|roadmap|sprint|project|requirement', 'i') OR regexp_matches(text, '\\[\\[[^\\]]+\\]\\]') THEN 'project_fact' ELSE 'raw_note' END AS kind FROM documents""")
 def kind_infer(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.kind_of(F.col("text")).alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.memory_kind(F.col("text")).alias("kind"))
 
 
 @query("memory_kind")
 def memory_kind(spark, sf_dir):
-    """All nine kinds of the reference; kind_infer has the five of its SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.memory_kind(F.col("text")).alias("kind"))
+    """kind_infer under its first name."""
+    return kind_infer(spark, sf_dir)
 
 
-@query("decay_pass", f"""WITH {MEM}, d AS (SELECT id, layer, confidence, date_diff('day', created, DATE '{NOW}') AS idle FROM mem)
-SELECT id, round(CASE WHEN layer = 'flash' AND idle >= 14 THEN 0.95 WHEN layer = 'short' AND idle >= 60 THEN 0.98 WHEN layer = 'long' AND idle >= 180 THEN 0.99 ELSE 1.0 END::DOUBLE, 6) AS decay,
-round(greatest(0.1, confidence * CASE WHEN layer = 'flash' AND idle >= 14 THEN 0.95 WHEN layer = 'short' AND idle >= 60 THEN 0.98 WHEN layer = 'long' AND idle >= 180 THEN 0.99 ELSE 1.0 END::DOUBLE), 6) AS confidence FROM d""")
+@query("decay_pass", f"""WITH {STATE}, idle AS (SELECT *, last_hit_at IS NULL OR last_hit_at <= DATE '{NOW}' - 14 AS i14, last_hit_at IS NULL OR last_hit_at <= DATE '{NOW}' - 30 AS i30, last_hit_at IS NULL OR last_hit_at <= DATE '{NOW}' - 60 AS i60, last_hit_at IS NULL OR last_hit_at <= DATE '{NOW}' - 90 AS i90, last_hit_at IS NULL OR last_hit_at <= DATE '{NOW}' - 180 AS i180 FROM st),
+r AS (SELECT *, CASE WHEN status != 'active' OR decay_factor <= 0.01 THEN 1.0 WHEN layer = 'flash' AND i14 THEN 0.95 WHEN layer = 'short' AND i60 THEN 0.98 WHEN layer = 'long' AND i180 THEN 0.99 ELSE 1.0 END::DOUBLE AS rate FROM idle),
+a AS (SELECT *, decay_factor * rate AS d1, CASE WHEN rate < 1 THEN greatest(0.1, confidence * rate) ELSE confidence END AS c1 FROM r),
+b AS (SELECT *, status = 'active' AND layer = 'long' AND d1 < 0.3 AND i90 AS down FROM a), c AS (SELECT *, CASE WHEN down THEN 'short' ELSE layer END AS l2, CASE WHEN down THEN 0.5 ELSE d1 END AS d2 FROM b)
+SELECT id, CASE WHEN status = 'active' AND l2 = 'short' AND d2 < 0.2 AND i30 THEN 'flash' ELSE l2 END AS layer, round(d2, 6) AS decay, round(c1, 6) AS confidence, CASE WHEN status = 'active' AND d2 <= 0.01 THEN 'decayed' ELSE status END AS status FROM c""")
 def decay_pass(spark, sf_dir):
-    idle = F.datediff(F.lit(NOW).cast("date"), "created")
-    rate = F.lit(1.0)
-    for layer, days, factor in (("long", 180, 0.99), ("short", 60, 0.98), ("flash", 14, 0.95)):
-        rate = F.when((F.col("layer") == layer) & (idle >= days), factor).otherwise(rate)
-    return memories(spark, sf_dir).select("id", F.round(rate, 6).alias("decay"), F.round(F.greatest(F.lit(0.1), F.col("confidence") * rate), 6).alias("confidence"))
+    rows = L.decayed(memory_state(spark, sf_dir), today())
+    return rows.select("id", "layer", F.round("decay_factor", 6).alias("decay"), F.round("confidence", 6).alias("confidence"), "status")
+
+
+QUALITY = f"""q AS (SELECT *, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title || chr(10) || content, '(?s)```.*?```', ' ', 'g'), '`([^`]+)`', '\\1', 'g'), '!\\[[^\\]]*\\]\\([^)]+\\)', ' ', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[#>*_\\-~]', ' ', 'g'), '\\s+', ' ', 'g'))) AS n, greatest(0, date_diff('day', updated, DATE '{NOW}')) AS age FROM st WHERE content IS NOT NULL),
+w AS (SELECT *, CASE WHEN n < 40 THEN 20 ELSE 0 END + CASE WHEN project IS NULL AND layer != 'entity' AND NOT list_contains(tags, 'project:alpha') THEN 12 ELSE 0 END + CASE WHEN kind IS NULL AND NOT list_contains(tags, 'kind:task') THEN 10 ELSE 0 END + CASE WHEN source IS NULL THEN 8 ELSE 0 END
++ CASE WHEN len(list_filter(tags, lambda t: NOT regexp_matches(lower(t), '^(kind|scope|project|sensitivity):'))) = 0 THEN 8 ELSE 0 END + CASE WHEN confidence < 0.7 THEN 14 ELSE 0 END + CASE WHEN decay_factor < 0.5 THEN 10 ELSE 0 END
++ CASE WHEN layer = 'flash' AND age >= 7 THEN 10 ELSE 0 END + CASE WHEN layer = 'short' AND age >= 30 AND decay_factor < 0.8 THEN 6 ELSE 0 END AS cost FROM q)"""
+
+
+@query("memory_quality", f"WITH {STATE}, {QUALITY} SELECT id, CAST(greatest(0, 100 - cost) AS BIGINT) AS quality, CASE WHEN 100 - cost >= 82 THEN 'trusted' WHEN 100 - cost >= 62 THEN 'usable' ELSE 'seed' END AS maturity FROM w")
+def memory_quality(spark, sf_dir):
+    rows = L.with_quality(memory_state(spark, sf_dir).where("content IS NOT NULL"), today())
+    return rows.select("id", F.col("quality").cast("long").alias("quality"), "maturity")
 
 
-@query("dream_score", f"""WITH {MEM}, h AS (SELECT user_id AS id, count(*) AS hits, count(DISTINCT event_type) AS queries FROM events GROUP BY 1)
-SELECT id, round(0.30 * least(1, coalesce(hits, 0) / 100) + 0.24 * confidence + 0.15 * least(1, coalesce(queries, 0) / 5) + 0.15 * exp(-greatest(1, date_diff('day', created, DATE '{NOW}')) / 30), 6) AS score
-FROM mem LEFT JOIN h USING (id)""")
+DREAM = f"""asked AS (SELECT user_id AS id, count(DISTINCT event_type) AS n_asked FROM events GROUP BY 1), g AS (SELECT w.*, coalesce(n_asked, greatest(1, floor(hit_count * 0.6 + 0.5))) AS uq, greatest(1, date_diff('day', created, DATE '{NOW}')) AS days FROM w LEFT JOIN asked USING (id) WHERE status = 'active' AND layer IN ('short', 'long', 'flash') AND created >= DATE '{NOW}' - 365),
+z AS (SELECT *, (0.30 * least(1, confidence) + 0.24 * least(1, hit_count / 20) + 0.15 * least(1, uq / 10) + 0.15 * exp(-days / 30.0) + 0.10 * CASE WHEN hit_count > 0 THEN least(1, 1.5 - decay_factor) ELSE 0 END + 0.06 * least(1, len(tags) / 5)) * (0.75 + greatest(0, 100 - cost) / 100 * 0.25) AS score FROM g)"""
+
+
+def _dreamed(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("query"))
+    return L.dream_scored(memory_state(spark, sf_dir).where("content IS NOT NULL"), asked, today(), lookback=365)
+
+
+@query("dream_score", f"WITH {STATE}, {QUALITY}, {DREAM} SELECT id, CAST(uq AS BIGINT) AS unique_queries, round(CAST(score AS DOUBLE), 6) AS score FROM z")
 def dream_score(spark, sf_dir):
-    hits = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("hits"), F.countDistinct("event_type").alias("queries"))
-    days = F.greatest(F.lit(1), F.datediff(F.lit(NOW).cast("date"), "created"))
-    part = lambda c, n: F.least(F.lit(1.0), F.coalesce(c, F.lit(0)) / n)
-    score = 0.30 * part("hits", 100) + 0.24 * F.col("confidence") + 0.15 * part("queries", 5) + 0.15 * F.exp(-days / 30)
-    return memories(spark, sf_dir).join(hits, "id", "left").select("id", F.round(score, 6).alias("score"))
+    """Six signals times quality; the lookback is a year, as these memories are spread over one."""
+    return _dreamed(spark, sf_dir).select("id", "unique_queries", F.round("score", 6).alias("score"))
+
+
+@query("promotion_ready", f"WITH {STATE}, {QUALITY}, {DREAM} SELECT id, layer FROM z WHERE score >= 0.8 AND hit_count >= 3 AND uq >= 3 AND layer IN ('short', 'flash') AND 100 - cost >= 65 AND n >= 40")
+def promotion_ready(spark, sf_dir):
+    return L.promotion_ready(_dreamed(spark, sf_dir)).select("id", "layer")
 
 
 @query("cohit_edges", """WITH h AS (SELECT DISTINCT user_id AS q, event_type || '-' || hour(ts) AS hit FROM events),
@@ -103,26 +143,30 @@ def token_running(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(F.sum("value").over(along.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("used"), F.row_number().over(along).alias("sequence"))
 
 
-@query("breaker", f"""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) {RUN} AS island, sum(value) {RUN} AS used, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
-s AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM i),
-t AS (SELECT user_id, event_id, CASE WHEN streak >= 3 THEN 'stagnation' WHEN used > 2000 THEN 'token_budget' WHEN seq > 60 THEN 'max_iterations' END AS reason, ts FROM s)
+@query("breaker", f"""WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, CAST(value AS INTEGER) % 3 AS signature, value FROM events),
+i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) {RUN} AS passed, sum(value) {RUN} AS used, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM e),
+s AS (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, passed ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS failures,
+  CASE WHEN failed AND signature IS DISTINCT FROM lag(signature) OVER (PARTITION BY user_id, passed ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new FROM i),
+p AS (SELECT *, sum(new) OVER (PARTITION BY user_id, passed ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM s),
+w AS (SELECT *, CASE WHEN failed THEN sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, passed, spell ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) ELSE 0 END AS same FROM p),
+t AS (SELECT user_id, event_id, ts, CASE WHEN failures >= 3 AND same >= 3 THEN 'stagnation' WHEN failures >= 5 THEN 'no-progress' WHEN used >= 400 THEN 'token-budget' WHEN seq >= 10 THEN 'max-iterations' END AS reason FROM w)
 SELECT user_id, event_id, reason FROM t WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
 def breaker(spark, sf_dir):
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    runs = _runs(spark, sf_dir).withColumns({"used": F.sum("value").over(along.rowsBetween(Window.unboundedPreceding, 0)), "seq": F.row_number().over(along)})
-    reason = F.when(F.col("streak") >= 3, "stagnation").when(F.col("used") > 2000, "token_budget").when(F.col("seq") > 60, "max_iterations")
-    return R.top_per_key(runs.withColumn("reason", reason).where("reason IS NOT NULL"), ["user_id"], [F.col("ts"), F.col("event_id")], 1).select("user_id", "event_id", "reason")
+    """Failures are errors, their signature is by rule from the value, which also counts as tokens."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"), (F.round("value").cast("int") % 3).alias("signature"), F.col("value").alias("tokens"))
+    return P.tripped(events, "user_id", ["ts", "event_id"], token_budget=400).select("user_id", "event_id", "reason")
 
 
-@query("event_cursor", "WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events) SELECT event_id, CAST(sequence AS INTEGER) AS sequence FROM s WHERE user_id = 3 AND sequence > 10 ORDER BY sequence LIMIT 50")
+@query("event_cursor", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence FROM events QUALIFY sequence > user_id % 20 AND sequence <= user_id % 20 + 50")
 def event_cursor(spark, sf_dir):
-    numbered = table(spark, sf_dir, "events").where("user_id = 3").withColumn("sequence", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    return numbered.where("sequence > 10").orderBy("sequence").limit(50).select("event_id", "sequence")
+    """The next page of every run, each from a cursor of its own."""
+    numbered = P.sequenced(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"])
+    return P.page_after(numbered, "user_id", F.col("user_id") % 20, 50).select("user_id", "event_id", "sequence")
 
 
 @query("event_pages", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence FROM events QUALIFY sequence > 10 AND sequence <= 60")
 def event_pages(spark, sf_dir):
-    """The first 50 events past the cursor of every run; event_cursor has those of one."""
+    """The first 50 events past a cursor that all runs share."""
     numbered = R.top_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], 60)
     return numbered.where("rank > 10").select("user_id", "event_id", F.col("rank").alias("sequence"))
 
@@ -141,9 +185,9 @@ def last_messages(spark, sf_dir):
     return R.top_per_key(table(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn"), F.col("role"), F.col("text")], 5).select("conv_id", "turn", "role")
 
 
-@query("subject_clean", "SELECT item_id, trim(regexp_replace('Re: FWD: ' || substr(text, 1, 40), '^((re|fwd?)\\s*:\\s*)+', '', 'i')) AS subject FROM benchmark")
+@query("subject_clean", "SELECT item_id, trim(regexp_replace('Re: FWD: ' || text, '^((re|fwd?)\\s*:\\s*)+', '', 'i')) AS subject FROM benchmark")
 def subject_clean(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_subject(F.concat(F.lit("Re: FWD: "), F.substring("text", 1, 40))).alias("subject"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_subject(F.concat(F.lit("Re: FWD: "), "text")).alias("subject"))
 
 
 @query("hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -159,14 +203,15 @@ def session_debounce(spark, sf_dir):
 
 
 @query("digest_watermark", """WITH w AS (SELECT conv_id, max(turn) AS seen FROM conversations WHERE role = 'assistant' GROUP BY 1)
-SELECT c.conv_id, count(*) AS newer, sha256(string_agg(text, '|' ORDER BY turn, text)) AS fingerprint FROM conversations c JOIN w USING (conv_id) WHERE turn > seen GROUP BY 1""")
+SELECT c.conv_id, count(*) AS newer, CAST(sum(CAST('0x' || substr(md5(turn || '|' || coalesce(text, '')), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM conversations c JOIN w USING (conv_id) WHERE turn > seen GROUP BY 1""")
 def digest_watermark(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
+    """What came after the last answer. The fingerprint adds up hashes, so no conversation is gathered in one task."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.conv(F.substring(F.md5(F.concat_ws("|", "turn", F.coalesce("text", F.lit("")))), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
     seen = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("seen"))
-    newer = turns.join(seen, "conv_id").where("turn > seen").groupBy("conv_id").agg(F.count("*").alias("newer"), F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    return newer.select("conv_id", "newer", F.sha2(F.array_join(F.transform("m", lambda x: x["text"]), "|"), 256).alias("fingerprint"))
+    newer = turns.join(seen, "conv_id").where("turn > seen")
+    return newer.groupBy("conv_id").agg(F.count("*").alias("newer"), F.sum("h").cast("string").alias("fingerprint"))
 
 
-@query("slugs", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM documents")
+@query("slugs", "SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) AS slug FROM documents")
 def slugs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))

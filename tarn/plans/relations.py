@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarn.operators import graph as G
 from tarn.operators import relational as R
 from tarn.plans.registry import query
 from tarn.plans.searching import MEM
-from tarn.sources.tables import memories, new_rows, table
+from tarn.sources.importing import import_report, new_rows
+from tarn.sources.tables import memories, table
 
 
 @query("layer_stats", f"WITH {MEM} SELECT l.layer, count(mem.id) AS n, round(coalesce(avg(confidence), 0), 6) AS confidence FROM (VALUES ('flash'), ('short'), ('long'), ('entity')) l(layer) LEFT JOIN mem USING (layer) GROUP BY 1")
@@ -56,11 +58,12 @@ def stratified_window(spark, sf_dir):
     return best("o_totalprice", 300).union(best("o_orderdate", 200)).union(best("o_custkey", 1000)).distinct()
 
 
-@query("cooccur_top", """WITH l AS (SELECT DISTINCT l_orderkey AS item, l_partkey AS e FROM lineitem)
-SELECT a.item, b.item AS other, count(*) AS shared FROM l a JOIN l b ON a.e = b.e AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("cooccur_top", """WITH l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS e FROM lineitem),
+c AS (SELECT a.id, b.id AS other, count(*) AS shared FROM l a JOIN l b ON a.e = b.e AND a.id != b.id GROUP BY 1, 2)
+SELECT id, other, shared, round(CAST(least(0.95, 0.5 + (shared - 1) * 0.15) AS DOUBLE), 6) AS strength FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) <= 10""")
 def cooccur_top(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("e"))
-    return R.co_occurring(links, "item", "e", 2)
+    """Each order's ten others that share most parts."""
+    return G.shared_entities(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("entity")))
 
 
 @query("edge_rollup", """SELECT least(l_partkey, l_suppkey) AS one, greatest(l_partkey, l_suppkey) AS two, count(*) AS links, round(avg(CAST(1 - l_discount AS DOUBLE)), 6) AS mean_strength
@@ -117,19 +120,21 @@ def keep_n_per_cluster(spark, sf_dir):
 
 @query("percentile_latency", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def percentile_latency(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("_latency")
-    return spark.sql("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM _latency GROUP BY 1")
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"))
 
 
-@query("import_skip", "SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+@query("import_skip", """WITH d AS (SELECT DISTINCT source, doc_id FROM documents), i AS (SELECT 'src' || (item_id % 20) AS source, item_id FROM benchmark)
+SELECT item_id % 20 AS part, count(*) AS found, count(*) FILTER (NOT EXISTS (SELECT 1 FROM d WHERE d.source = i.source AND d.doc_id = i.item_id)) AS added FROM i GROUP BY 1""")
 def import_skip(spark, sf_dir):
-    existing = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("item_id"))
-    return new_rows(table(spark, sf_dir, "benchmark"), existing, ["item_id"]).select("item_id")
+    """A dry run by (source, source_id): how many of each part are new."""
+    incoming = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"), F.col("item_id").alias("source_id"))
+    existing = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("source_id"), F.lit("active").alias("status"))
+    return import_report(incoming, existing, F.col("source_id") % 20).select(F.col("kind").alias("part"), "found", "added")
 
 
 @query("import_new", "SELECT DISTINCT item_id FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = item_id)")
 def import_new(spark, sf_dir):
-    """Items against all documents; import_skip takes every other one as there."""
     existing = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"))
     return new_rows(table(spark, sf_dir, "benchmark"), existing, ["item_id"]).select("item_id")
 
@@ -139,7 +144,10 @@ def next_version(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("version"))
 
 
-@query("alias_pairs", "SELECT a.p_partkey AS one, b.p_partkey AS two FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey")
+@query("alias_pairs", """WITH f AS (SELECT p_name, min(p_partkey) AS target FROM part GROUP BY 1)
+SELECT p_partkey AS source, target FROM part JOIN f USING (p_name) WHERE p_partkey != target UNION SELECT p.p_partkey, a.p_partkey + 1 FROM part a JOIN part p ON p.p_name = 'small ' || split_part(a.p_name, ' ', 2) WHERE p.p_partkey != a.p_partkey + 1 AND a.p_partkey % 40 = 0""")
 def alias_pairs(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_name", "p_partkey")
-    return parts.select("p_name", F.col("p_partkey").alias("one")).join(parts.select("p_name", F.col("p_partkey").alias("two")), "p_name").where("one < two").select("one", "two")
+    """Parts of one name go into the first of them, and those that another's alias names (made by rule for some) into that."""
+    entities = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    aliases = entities.where("id % 40 = 0").select((F.col("id") + 1).alias("entity_id"), F.concat(F.lit("small "), F.split_part("name", F.lit(" "), F.lit(2))).alias("alias"))
+    return G.entity_duplicates(entities, aliases)

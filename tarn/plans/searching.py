@@ -2,72 +2,90 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarn.functions import rules as U
 from tarn.functions import text as T
-from tarn.functions.vectors import cosine
+from tarn.operators import filters as L
 from tarn.operators import relational as R
-from tarn.operators import retrieval as S
+from tarn.operators import search as Q
 from tarn.plans.registry import query
 from tarn.sources.tables import memories, table
 
-TERMS = ["the", "and", "with"]
-TERM_SQL = ", ".join(f"'{t}'" for t in TERMS)
-WORDS = "list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x != '')"
 MEM = """mem AS (SELECT d.doc_id AS id, substr(text, 1, 60) AS title, text AS content, source AS project, lang AS agent_space,
   ['flash','short','long','entity'][d.doc_id % 4 + 1] AS layer, coalesce(CAST(quality AS DOUBLE), 0.8) AS confidence,
   CAST(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER) AS DATE) AS created
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
-BM25 = f"""w AS (SELECT id, {WORDS} AS words FROM mem), tot AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM w),
-p AS (SELECT id, len(words) AS dl, unnest(list_filter(words, lambda x: x IN ({TERM_SQL}))) AS term FROM w),
-tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-ft AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term), tot GROUP BY id)"""
-QV = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)"
-SEM = f"sem AS (SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {QV}) AS score FROM embeddings)"
+STATE = f"""{MEM}, hit AS (SELECT user_id AS id, count(*) AS hit_count, max(CAST(ts AS DATE)) AS last_hit_at FROM events GROUP BY 1),
+st AS (SELECT m.*, CAST(created + CAST(m.id % 30 AS INTEGER) AS DATE) AS updated, coalesce(hit_count, 0) AS hit_count, last_hit_at, CASE WHEN m.id % 13 = 0 THEN 'archived' ELSE 'active' END AS status, CAST((m.id * 37 % 100 + 1) / 100 AS DOUBLE) AS decay_factor,
+CASE WHEN m.id % 11 != 0 THEN list_filter([project, CASE WHEN m.id % 3 = 0 THEN 'kind:task' END, CASE WHEN m.id % 5 = 0 THEN 'project:alpha' END, CASE WHEN m.id % 7 = 0 THEN agent_space END], lambda t: t IS NOT NULL) ELSE [] END AS tags,
+CASE WHEN m.id % 4 != 1 THEN 'import' END AS source, CASE WHEN m.id % 6 = 0 THEN 'fact' END AS kind, m.id % 10 = 0 AS independent FROM mem m LEFT JOIN hit USING (id))"""
+# every document whose id is divisible by 50 is a query: its title, and its vector where it has one
+ASKED = """asked AS (SELECT id AS query_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS norm FROM mem WHERE id % 50 = 0 AND title IS NOT NULL),
+terms AS (SELECT *, string_split(norm, ' ') AS ts FROM asked),
+phrases AS (SELECT query_id, unnest(list_filter(list_distinct(CASE WHEN contains(norm, '*') AND len(list_filter(ts, lambda t: NOT regexp_full_match(t, '[\\p{L}\\p{N}_-]+\\*?'))) = 0
+  THEN list_transform(ts, lambda t: rtrim(t, '*'))[1:12] ELSE list_concat([norm], regexp_extract_all(norm, '[\\p{L}\\p{N}_-]{2,}')[1:12]) END), lambda p: length(p) >= 3)) AS phrase FROM terms)"""
+BM25 = f"""{ASKED}, t AS (SELECT id, lower(content) AS low FROM mem WHERE content IS NOT NULL), tot AS (SELECT count(*) AS n, avg(greatest(1, length(low) - 2)) AS avgdl FROM t),
+h AS (SELECT id, phrase, (length(low) - length(replace(low, phrase, ''))) / length(phrase) AS tf, greatest(1, length(low) - 2) AS dl FROM t JOIN (SELECT DISTINCT phrase FROM phrases) p ON contains(low, phrase)),
+df AS (SELECT phrase, count(*) AS df FROM h GROUP BY 1),
+ft AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN df USING (phrase) JOIN phrases USING (phrase), tot GROUP BY 1, 2)"""
+SEM = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+sem AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(v.vec, q.vec) AS score FROM v, v q WHERE q.id % 50 = 0)"""
 
 
-def _query_vector(spark, sf_dir):
-    """One row, by its id."""
-    return table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("qv")).limit(1)
+def _asked(spark, sf_dir):
+    return memories(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
 
 
-def _semantic(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").join(F.broadcast(_query_vector(spark, sf_dir)))
-    return vectors.select(F.col("vec_id").alias("id"), cosine("embedding", "qv").alias("score"))
+def _text(spark, sf_dir):
+    return Q.bm25_search(memories(spark, sf_dir).select("id", "content"), _asked(spark, sf_dir))
 
 
-@query("bm25_text", f"WITH {MEM}, {BM25} SELECT id, round(score, 6) AS score FROM ft")
+def _semantic(spark, sf_dir, k):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return Q.vector_search(vectors, vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vec")), k)
+
+
+@query("bm25_text", f"WITH {MEM}, {BM25} SELECT query_id, id, round(score, 6) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
 def bm25_text(spark, sf_dir):
-    return S.bm25(memories(spark, sf_dir), TERMS).select("id", F.round("score", 6).alias("score"))
+    scored = _text(spark, sf_dir)
+    return scored.join(Q.top_per_query(scored, 20, "rank"), ["query_id", "id"]).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("semantic_topk", f"WITH {SEM} SELECT id, round(score, 6) AS score FROM sem ORDER BY sem.score DESC, id LIMIT 20")
+@query("semantic_topk", f"WITH {SEM} SELECT query_id, id, round(score, 6) AS score FROM sem QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sem.score DESC, id) <= 20")
 def semantic_topk(spark, sf_dir):
-    return _semantic(spark, sf_dir).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _semantic(spark, sf_dir, 20).withColumn("r", F.row_number().over(along)).where("r <= 20").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_rrf", f"""WITH {MEM}, {BM25}, {SEM},
-a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS ft_rank FROM ft QUALIFY ft_rank <= 40),
-b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS sem_rank FROM sem QUALIFY sem_rank <= 40),
-f AS (SELECT coalesce(a.id, b.id) AS id, ft_rank, sem_rank, coalesce(0.5 / (60 + ft_rank), 0) + coalesce(0.5 / (60 + sem_rank), 0) AS rrf FROM a FULL JOIN b ON a.id = b.id),
-h AS (SELECT user_id AS id, count(*) AS hits FROM events GROUP BY 1),
-s AS (SELECT f.*, rrf * (1 + 0.15 * least(greatest((least(0.006, ln(1 + coalesce(hits, 0)) * 0.0015) + least(greatest(confidence, 0), 1) * 0.003 + CASE WHEN layer IN ('long', 'entity') THEN 0.002 ELSE 0 END) / 0.011, 0), 1)) AS score
-  FROM f JOIN mem USING (id) LEFT JOIN h USING (id))
-SELECT id, CAST(ft_rank AS INTEGER) AS ft_rank, CAST(sem_rank AS INTEGER) AS sem_rank, round(rrf, 8) AS rrf, round(score, 8) AS score FROM s ORDER BY s.score DESC, id LIMIT 20""")
+a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS ft_rank FROM ft QUALIFY ft_rank <= 40),
+b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS sem_rank FROM sem QUALIFY sem_rank <= 40),
+e AS (SELECT q.id AS query_id, m.id, row_number() OVER (PARTITION BY q.id ORDER BY m.created DESC, m.id) AS entity_rank FROM mem q JOIN mem m ON m.project = q.project WHERE q.id % 50 = 0 QUALIFY entity_rank <= 40),
+f AS (SELECT query_id, id, ft_rank, coalesce(sem_rank, CASE WHEN ft_rank IS NULL THEN entity_rank END) AS sem_rank FROM a FULL JOIN b USING (query_id, id) FULL JOIN e USING (query_id, id)),
+r AS (SELECT *, coalesce(0.5 / (60 + ft_rank), 0) + coalesce(0.5 / (60 + sem_rank), 0) AS rrf FROM f),
+hit AS (SELECT user_id AS id, count(*) AS hits FROM events GROUP BY 1),
+s AS (SELECT r.*, least(0.006, ln(1 + coalesce(hits, 0)) * 0.0015) AS hb, least(greatest(confidence, 0), 1) * 0.003 AS cb, CASE WHEN layer IN ('long', 'entity') THEN 0.002 ELSE 0 END::DOUBLE AS lb FROM r JOIN mem USING (id) LEFT JOIN hit USING (id)),
+z AS (SELECT *, rrf * (1 + 0.15 * least(greatest((hb + cb + lb) / 0.011, 0), 1)) AS score FROM s)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, CAST(ft_rank AS INTEGER) AS ft_rank, CAST(sem_rank AS INTEGER) AS sem_rank, round(coalesce(0.5 / (60 + ft_rank), 0), 8)::DOUBLE AS ft_part, round(coalesce(0.5 / (60 + sem_rank), 0), 8)::DOUBLE AS sem_part,
+round(hb, 8) AS hit_boost, round(cb, 8) AS confidence_boost, lb AS layer_boost, round(z.score, 8) AS score FROM z QUALIFY rank <= 20""")
 def hybrid_rrf(spark, sf_dir):
-    mem = memories(spark, sf_dir)
-    both = S.fused(S.top(S.bm25(mem, TERMS), 40, "ft_rank"), S.top(_semantic(spark, sf_dir), 40, "sem_rank"))
-    hits = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("hits"))
-    scored = mem.select("id", "layer", "confidence").join(both, "id").join(hits, "id", "left")
-    score = S.boosted(F.col("rrf"), F.coalesce("hits", F.lit(0)), F.col("confidence"), F.col("layer").isin("long", "entity"))
-    best = scored.withColumn("s", score).orderBy(F.desc("s"), "id").limit(20)
-    return best.select("id", "ft_rank", "sem_rank", F.round("rrf", 8).alias("rrf"), F.round("s", 8).alias("score"))
-
-
-@query("like_fallback", f"WITH {MEM} SELECT id, CAST(0.01 AS DOUBLE) AS score, true AS degraded FROM mem WHERE content ILIKE '%license%' OR title ILIKE '%license%' OR content ILIKE '%idiot%'")
+    """Text, vectors and entities (a document's source is one) for every query, fused and explained."""
+    mem = memories(spark, sf_dir).select("id", "title", "project", "layer", "confidence", F.col("created").alias("updated"))
+    sources = mem.select(F.col("project").alias("id"), F.col("project").alias("name")).where("id IS NOT NULL").distinct()
+    names = mem.where("id % 50 = 0 AND project IS NOT NULL").select(F.col("id").alias("query_id"), F.lit(0).alias("place"), F.col("project").alias("name"))
+    links = mem.where("project IS NOT NULL").select(F.col("id").alias("memory_id"), F.col("project").alias("entity_id"))
+    by_entity = Q.entity_routed(names, links, sources, spark.createDataFrame([], "entity_id string, alias string"), mem, 40)
+    found = Q.fused(Q.top_per_query(_text(spark, sf_dir), 40, "ft_rank"), Q.top_per_query(_semantic(spark, sf_dir, 40), 40, "sem_rank"), by_entity)
+    hits = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("hit_count"))
+    return Q.explained(found, mem.join(hits, "id", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0))), 20)
+
+
+@query("like_fallback", f"""WITH {MEM} SELECT id, CAST(0.01 AS DOUBLE) AS score, 'fts_unavailable' AS degraded FROM mem
+WHERE contains(lower(content), 'license') OR contains(lower(title), 'license') OR contains(lower(project), 'license') OR contains(lower(content), 'idiot') OR contains(lower(title), 'idiot') OR contains(lower(project), 'idiot') ORDER BY created DESC, id LIMIT 20""")
 def like_fallback(spark, sf_dir):
-    found = memories(spark, sf_dir).where(F.col("content").ilike("%license%") | F.col("title").ilike("%license%") | F.col("content").ilike("%idiot%"))
-    return found.select("id", F.lit(0.01).alias("score"), F.lit(True).alias("degraded"))
+    return L.like_search(memories(spark, sf_dir).withColumnRenamed("created", "updated"), "License， idiot;", ["title", "content", "project"])
 
 
 @query("asof_valid", """WITH v AS (SELECT o_orderkey AS id, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders)
@@ -84,23 +102,26 @@ def _facts(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), F.col("o_orderdate").alias("valid_from"), F.lead("o_orderdate").over(along).alias("valid_to"), F.lead("o_orderkey").over(along).alias("next"))
 
 
-@query("not_superseded", """WITH v AS (SELECT o_orderkey AS id, o_orderdate AS valid_from, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders)
-SELECT id FROM v WHERE valid_from <= TIMESTAMP '1996-01-01' AND id NOT IN (SELECT previous FROM v WHERE previous IS NOT NULL AND valid_from <= TIMESTAMP '1996-01-01')""")
+@query("not_superseded", """WITH v AS (SELECT o_orderkey AS id, o_orderdate AS valid_from, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 400 + 30) AS valid_to, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders),
+live AS (SELECT * FROM v WHERE valid_from <= TIMESTAMP '1996-01-01' AND valid_to > TIMESTAMP '1996-01-01')
+SELECT id FROM live WHERE id NOT IN (SELECT previous FROM live WHERE previous IS NOT NULL)""")
 def not_superseded(spark, sf_dir):
+    """A superseder that has itself ended no longer counts."""
     facts = _facts(spark, sf_dir)
     edges = facts.where("next IS NOT NULL").select(F.col("next").alias("superseder"), F.col("id").alias("superseded"))
-    rows = facts.select("id", "valid_from", F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    rows = facts.select("id", "valid_from", F.expr("valid_from + make_dt_interval(cast(id % 400 + 30 as int))").alias("valid_to"))
     return R.not_superseded(rows, edges, F.expr("TIMESTAMP_NTZ '1996-01-01'")).select("id")
 
 
 @query("multi_hop", """WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000, l_partkey FROM lineitem),
-h0 AS (SELECT 1 AS node), h1 AS (SELECT DISTINCT dst AS node FROM h0 JOIN e ON node = src WHERE dst NOT IN (SELECT node FROM h0)),
-h2 AS (SELECT DISTINCT dst AS node FROM h1 JOIN e ON node = src WHERE dst NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1))
-SELECT CAST(node AS BIGINT) AS node, 0 AS hop FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
+h0 AS (SELECT p_partkey AS seed, p_partkey AS node FROM part WHERE p_partkey % 50 = 0), h1 AS (SELECT DISTINCT seed, dst AS node FROM h0 JOIN e ON node = src),
+h2 AS (SELECT DISTINCT seed, dst AS node FROM h1 JOIN e ON node = src WHERE (seed, dst) NOT IN (SELECT (seed, node) FROM h0))
+SELECT CAST(seed AS BIGINT) AS seed, CAST(node AS BIGINT) AS node, 0 AS hop FROM h0 UNION ALL SELECT seed, node, 1 FROM h1 UNION ALL SELECT seed, node, 2 FROM h2""")
 def multi_hop(spark, sf_dir):
-    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + 1000000).cast("long").alias("dst")).distinct()
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("src"), (F.col("l_suppkey") + 1000000).cast("long").alias("dst"))
     edges = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return R.expand(spark.range(1, 2).withColumnRenamed("id", "node"), edges, 2)
+    seeds = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").cast("long").alias("seed"), F.col("p_partkey").cast("long").alias("node"))
+    return R.expand(seeds, edges, 2)
 
 
 @query("jaccard_turns", """WITH s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x != '')) AS s FROM conversations WHERE text IS NOT NULL)
@@ -110,3 +131,53 @@ def jaccard_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", T.token_set(F.col("text")).alias("s"))
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("s").alias("t"))
     return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.jaccard(F.col("s"), F.col("t"), 1.0), 6).alias("similarity"))
+
+
+@query("turn_similarity", """WITH s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(trim(text)), '\\s+'), lambda x: x != '')) AS s FROM conversations WHERE text IS NOT NULL)
+SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END, 6) AS similarity
+FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def turn_similarity(spark, sf_dir):
+    """With the branch for texts of ideographs, of which these tables have none."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(U.text_similarity(F.col("text"), F.col("next")), 6).alias("similarity"))
+
+
+TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9._-]{2,}|\\d{3,}'))"
+
+
+@query("lexical_overlap", f"""WITH s AS (SELECT conv_id, turn, {TOKENS} AS s, list_distinct(regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}|\\d{{3,}}')) AS r, list_distinct(list_concat({TOKENS}, regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}'))) AS w FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.r, b.r)) AS t, len(list_intersect(a.w, b.w)) AS n, least(len(a.w), len(b.w)) AS m FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN n < 2 AND t = 0 THEN 0 ELSE least(0.99, (3 * t + n) / greatest(8, m)) END::DOUBLE, 6) AS score FROM p""")
+def lexical_overlap(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "role", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"), F.col("text").alias("next"))
+    score = U.lexical_overlap(F.col("role"), F.col("text"), F.col("next_role"), F.col("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
+@query("recall_at_k", f"""WITH {SEM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sem WHERE id != query_id),
+g AS (SELECT q.vec_id AS query_id, m.vec_id AS id FROM embeddings q JOIN embeddings m ON q.label = m.label AND q.vec_id != m.vec_id WHERE q.vec_id % 50 = 0),
+h AS (SELECT g.query_id, count(*) AS n, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, min(CASE WHEN rank <= 20 THEN rank END) AS first FROM g LEFT JOIN r USING (query_id, id) GROUP BY 1)
+SELECT count(*) AS queries, round(avg(h5 / n), 6) AS recall_at_5, round(avg(h10 / n), 6) AS recall_at_10, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM h""")
+def recall_at_k(spark, sf_dir):
+    """How well the vectors find those of their own label."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    ranked = Q.top_per_query(_semantic(spark, sf_dir, 21).where("id != query_id"), 20, "rank")
+    gold = vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label").join(vectors, "label").where("id != query_id").select("query_id", "id")
+    return Q.recall_and_mrr(ranked, gold)
+
+
+@query("sparse_expansion", """WITH f AS (SELECT o_custkey AS query_id, o_orderkey AS id FROM orders WHERE o_custkey % 50 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 2),
+l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS e FROM lineitem), rel AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey != l_suppkey),
+s AS (SELECT DISTINCT query_id, e FROM f JOIN l USING (id)), near AS (SELECT query_id, e FROM s UNION SELECT query_id, b FROM s JOIN rel ON e = a UNION SELECT query_id, a FROM s JOIN rel ON e = b),
+m AS (SELECT DISTINCT query_id, l.id FROM near JOIN l USING (e) WHERE (query_id, l.id) NOT IN (SELECT (query_id, id) FROM f))
+SELECT query_id, m.id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o_orderdate DESC, m.id) AS INTEGER) AS hop_rank FROM m JOIN orders ON m.id = o_orderkey QUALIFY hop_rank <= 20""")
+def sparse_expansion(spark, sf_dir):
+    """Customers with two found orders each: what those orders' parts, and the parts related to them, lead to."""
+    orders = table(spark, sf_dir, "orders")
+    found = R.top_per_key(orders.where("o_custkey % 50 = 0"), ["o_custkey"], [F.desc("o_orderkey")], 2).select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"))
+    lines = table(spark, sf_dir, "lineitem")
+    links = lines.select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    relations = lines.where("l_partkey != l_suppkey").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).distinct()
+    return Q.expanded(found, links, relations, orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated")), rounds=1)

@@ -20,24 +20,13 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def read_json_memories(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON, nested under payload, data, item or memory or not; bad lines and lines without content go."""
-    raw = spark.read.text(path)
-    inner = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in ("payload", "data", "item", "memory")], F.col("value"))
-    content = F.coalesce(*[F.get_json_object(inner, f"$.{k}") for k in ("content", "text", "memory", "value", "note", "summary")])
-    found = raw.where(F.try_parse_json("value").isNotNull()).select(content.alias("content"), F.get_json_object(inner, "$.title").alias("title"))
-    return found.where("content IS NOT NULL AND trim(content) != ''")
-
-
-def read_sections(spark: SparkSession, path: str, markdown: bool = True) -> DataFrame:
-    """path, part, content: a text file's sections; markdown is cut at rules or, without any, before headings."""
-    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    by_rule, by_heading = F.split("value", "(?m)^---+\\s*$"), F.split("value", "(?m)(?=^#{1,3} )")
-    parts = F.when(F.size(by_rule) > 1, by_rule).otherwise(by_heading) if markdown else F.split("value", "\\n{2,}")
-    kept = F.filter(F.transform(parts, F.trim), lambda x: x != "")
-    return raw.select("path", F.posexplode(kept).alias("part", "content"))
-
-
-def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """What an import adds: rows whose keys are not there yet, each once."""
-    return incoming.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+def memory_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """memories() with what a store keeps of them: hits from events, and status, decay, tags and metadata by rule."""
+    hits = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("hit_count"), F.max(F.to_date("ts")).alias("last_hit_at"))
+    i = F.col("id")
+    tags = F.filter(F.array(F.col("project"), F.when(i % 3 == 0, F.lit("kind:task")), F.when(i % 5 == 0, F.lit("project:alpha")), F.when(i % 7 == 0, F.col("agent_space"))), lambda t: t.isNotNull())
+    return memories(spark, sf_dir).join(hits, "id", "left").select(
+        "id", "title", "content", "project", "agent_space", "layer", "confidence", "created", F.date_add("created", (i % 30).cast("int")).alias("updated"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), "last_hit_at",
+        F.when(i % 13 == 0, "archived").otherwise("active").alias("status"), ((i * 37 % 100 + 1) / 100).alias("decay_factor"), F.when(i % 11 != 0, tags).otherwise(F.array().cast("array<string>")).alias("tags"),
+        F.when(i % 4 != 1, F.lit("import")).alias("source"), F.when(i % 6 == 0, F.lit("fact")).alias("kind"), F.when(i % 10 == 0, F.lit('{"associationStatus":"independent"}')).otherwise(F.lit("{}")).alias("metadata"),
+    )

@@ -1 +1 @@
-"""Structured Streaming jobs and their batch twins."""
+"""Structured Streaming forms of the event-log operators."""
