@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 1 << 20  # 16 MB as a hash relation; more ids than that are joined by a shuffle
+
+
+def without_dropped(rows: DataFrame, judged: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id some row of judged (id_col, kept) keeps, with all their columns.
+
+    What goes is usually a small part, so its ids travel to the rows, by broadcast where
+    their counted number is small; the rows themselves are not shuffled then.
+    """
+    gone = judged.groupBy(id_col).agg(F.bool_or("kept").alias("kept")).where(~F.col("kept")).select(id_col)
+    gone = written(gone, "dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return rows.join(gone, rows[id_col].eqNullSafe(gone[id_col]), "left_anti")
+
+
 def owners(spark: SparkSession) -> int:
     """How many tasks share the work of an exchange by hash."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -60,6 +76,7 @@ def kept(key: tuple, make):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarn.llm import golomb
-from tarn.llm.common import ascii_lower, owners, written
+from tarn.llm.common import ascii_lower, owners, without_dropped, written
 
 SENDER_ROWS = 1 << 18
 BROADCAST_FINGERPRINTS = 1 << 21  # 32 MB as a hash relation; more suspects than that are joined by a shuffle
@@ -146,5 +146,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat the id and the text of a row that stays also stay.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    return without_dropped(docs, exact_duplicates(docs, id_col, text_col), id_col)

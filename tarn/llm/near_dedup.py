@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import mix64, written
+from tarn.llm.common import BROADCAST_IDS, mix64, without_dropped, written
 from tarn.llm.components import connected_components
 from tarn.llm.tokens import text_runs
 from tarn.llm.words import ngrams, word_hashes
@@ -36,7 +36,6 @@ from tarn.llm.words import ngrams, word_hashes
 BANDS, ROWS = 32, 5
 FINE = 1024  # places of the longer signatures
 BLOCK_OUTSIDE, BLOCK_ALL = 2048, 4096
-BROADCAST_IDS = 1 << 20  # 16 MB as a hash relation; more ids than that are joined by a shuffle
 BATCH = 16  # signature places compared at a time
 _seed = np.arange(1, FINE + 1, dtype=np.uint64)
 FLIP, FACTOR = (mix64(_seed) >> np.uint64(32)).astype(np.uint32), (mix64(_seed + np.uint64(1 << 20)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -280,5 +279,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id or without words stay. Other columns may have any names; an empty table gives an
     empty result.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    return without_dropped(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
