@@ -23,16 +23,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 from tarn.llm.common import kept
-from tarn.llm.tokens import WordCoder
+from tarn.llm.tokens import WordCoder, flat_bytes, spread
 
 SPACE = "▁"
 RUN = re.compile(SPACE + "{2,}")
 NONE = float("-inf")
 UNKNOWN = -1e6  # the score of a character that is no piece
-MEMORY = 300_000  # pairs of pieces that a task remembers
+MEMORY = 1 << 19  # places of the table in which a task remembers which pieces fit: under 5 MB; half of them are used at most
 LONGEST_WORD = 48  # characters; longer words are segmented one by one
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[32], _KINDS[10] = 1, 2
@@ -43,15 +44,10 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(len(self.names))]
-        self.control = [model.is_control(i) for i in range(len(self.names))]
         self.ids = {p: i for i, p in enumerate(self.names) if not self.special[i]}
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(self.names[i][3:5], 16): i for i in range(len(self.names)) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
-        # what each id reads as; where that depends on its neighbours or is nothing, it is slow
-        self.reads = [chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.names)]
-        self.slow = np.array([s and self.byte_of.get(i, 128) >= 128 for i, s in enumerate(self.special)])
         self.longest = max(map(len, self.ids))
         self.whole_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)  # no piece goes on after a word's end
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p))}
@@ -89,7 +85,7 @@ class Pieces:
         """Whether two pieces may stand side by side; one is empty at a text's start."""
         found = self.fits.get((one, two))
         if found is None:
-            if len(self.fits) >= MEMORY:
+            if len(self.fits) >= 50_000:
                 self.fits.clear()
             found = self.fits[(one, two)] = self._compatible(one, two)
         return found
@@ -231,26 +227,6 @@ class Pieces:
                     out[i, j] = weight[e]
         return out, ends
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: pieces joined, bytes read as UTF-8, the first space dropped. Control ids have no text."""
-        if not self.slow[ids].any():
-            return "".join(map(self.reads.__getitem__, ids.tolist())).removeprefix(" ")
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids.tolist():
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(" ⁇ " if i == self.unknown else "" if self.control[i] else self.names[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text.removeprefix(" ")
-
 
 def combined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The (max, +) product."""
@@ -300,7 +276,7 @@ class PieceCoder(WordCoder):
         self.steps, self.step_to, self.ends = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order], np.array(ends)
         self.other, self.start = len(own.names), len(own.names) + 1  # a character that is no piece, and what stands before a word
         self.strings = [*own.names, "\U0010fffd", ""]
-        self.fitting: dict[int, bool] = {}
+        self.pairs, self.fitting, self.n_pairs = np.zeros(MEMORY, np.int64), np.zeros(MEMORY, bool), 0  # by hash, with open addresses
 
     def odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts with spaces in a row, or with the character that stands for a space."""
@@ -322,38 +298,41 @@ class PieceCoder(WordCoder):
         full = offsets[:-1][offsets[1:] > offsets[:-1]]
         return self.encode(np.insert(raw, full, 32), offsets + np.append(0, np.cumsum(offsets[1:] > offsets[:-1])))
 
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        texts = [w.decode("utf-8", "surrogatepass").replace(" ", SPACE) for w in words]
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = flat_bytes(words)
+        lengths = np.diff(np.append(0, np.cumsum((raw & 0xC0) != 0x80))[offsets])
         sizes = np.zeros(len(words), np.int64)
-        found: dict[int, np.ndarray] = {}
-        lengths = np.array([len(t) for t in texts])
-        for i in np.flatnonzero(lengths > LONGEST_WORD).tolist():
-            found[i] = np.array(self.pieces.numbers(self.pieces.segment(texts[i])), "<u4")
-        order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] <= LONGEST_WORD]
+        apart: dict[int, np.ndarray] = {}
         flat, places = [], []
-        for i in range(0, len(order), 16384):
-            own = order[i : i + 16384]
-            ids, n, odd = self._paths("".join(texts[j] for j in own), lengths[own])
-            for j in own[odd].tolist():
-                found[j] = np.array(self.pieces.numbers(self.pieces.segment(texts[j])), "<u4")
-            sizes[own] = n
-            flat.append(ids)
-            places.append(np.repeat(own, n))
-        for i, x in found.items():
-            sizes[i] = len(x)
+        order = np.argsort(lengths, kind="stable")  # words of like lengths go together
+        for i in range(0, len(order), 8192):
+            own = order[i : i + 8192]
+            short = own[lengths[own] <= LONGEST_WORD]
+            odd = np.zeros(0, np.int64)
+            if len(short):
+                ids, n, marked = self._paths(raw[spread(offsets[short], offsets[short + 1] - offsets[short])].tobytes().decode("utf-8", "surrogatepass"), lengths[short])
+                odd = short[marked]
+                sizes[short] = n
+                flat.append(ids)
+                places.append(np.repeat(short, n))
+            for j in [*odd.tolist(), *own[lengths[own] > LONGEST_WORD].tolist()]:
+                text = raw[offsets[j] : offsets[j + 1]].tobytes().decode("utf-8", "surrogatepass").replace(" ", SPACE)
+                apart[j] = np.array(self.pieces.numbers(self.pieces.segment(text)), "<u4")
+        for j, x in apart.items():
+            sizes[j] = len(x)
             flat.append(x)
-            places.append(np.full(len(x), i))
+            places.append(np.full(len(x), j))
         return np.concatenate(flat)[np.argsort(np.concatenate(places), kind="stable")].astype("<u4"), sizes
 
     def _paths(self, joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words in turn, how many each has, and which have to be segmented by themselves (they get none)."""
         n, longest = len(lengths), int(lengths.max())
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        code[code == 32] = ord(SPACE)
         at = np.minimum(np.searchsorted(self.letters, code), len(self.letters) - 1)
-        letters = np.full((n, longest), self.n_letters - 1)
+        letters = np.full((n, longest), self.n_letters - 1, np.int32)
         letters[np.arange(longest) < lengths[:, None]] = np.where(self.letters[at] == code, at, self.n_letters - 1)
-        last, back = np.full((n, longest + 1), -1), np.zeros((n, longest + 1), np.int64)
+        last, back = np.full((n, longest + 1), -1, np.int32), np.zeros((n, longest + 1), np.int8)
         last[:, 0] = self.start
         for q in range(longest):
             rows = np.flatnonzero((lengths > q) & (last[:, q] >= 0))
@@ -367,14 +346,14 @@ class PieceCoder(WordCoder):
                 if p == q + 1:
                     piece = np.where(piece < 0, self.other, piece)
                 able = np.flatnonzero((piece >= 0) & (last[rows, p] < 0))
-                able = able[self._fits(last[rows[able], q], piece[able])]
+                able = able[self._fits(last[rows[able], q].astype(np.int64), piece[able])]
                 last[rows[able], p], back[rows[able], p] = piece[able], q
                 on = met & (lengths[rows] > p)
                 rows, node = rows[on], node[on]
                 if not len(rows):
                     break
         odd = (last[np.arange(n), lengths] < 0) | (last == self.other).any(axis=1)
-        backwards, place = np.full((n, longest), -1), np.where(odd, 0, lengths)
+        backwards, place = np.full((n, longest), -1, np.int32), np.where(odd, 0, lengths)
         for t in range(longest):
             rows = np.flatnonzero(place)
             if not len(rows):
@@ -386,17 +365,70 @@ class PieceCoder(WordCoder):
 
     def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Which pieces fit after which."""
-        keys = (before * len(self.strings) + piece).tolist()
-        found = list(map(self.fitting.get, keys))
-        if None in found:
-            if len(self.fitting) >= MEMORY:
-                self.fitting.clear()
-            for i, key in enumerate(keys):
-                if found[i] is None:
-                    one, two = divmod(key, len(self.strings))
-                    known = self.fitting.get(key)
-                    found[i] = self.fitting[key] = self.pieces._compatible(self.strings[one], self.strings[two]) if known is None else known
-        return np.array(found, bool)
+        keys = before * len(self.strings) + piece + 1
+        slot = ((keys * 0x9E3779B1) >> 12) & (MEMORY - 1)
+        known, todo = np.full(len(keys), -1, np.int8), np.arange(len(keys))
+        while len(todo):
+            there = self.pairs[slot[todo]]
+            hit = there == keys[todo]
+            known[todo[hit]] = self.fitting[slot[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+            slot[todo] = (slot[todo] + 1) & (MEMORY - 1)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            pairs, which = np.unique(keys[new], return_inverse=True)
+            fine = np.array([self.pieces._compatible(*map(self.strings.__getitem__, divmod(k - 1, len(self.strings)))) for k in pairs.tolist()])
+            known[new] = fine[which]
+            self._remember(pairs, fine)
+        return known > 0
+
+    def _remember(self, pairs: np.ndarray, fine: np.ndarray) -> None:
+        if self.n_pairs + len(pairs) > MEMORY // 2:
+            self.pairs[:], self.n_pairs = 0, 0
+        pairs, fine = pairs[: MEMORY // 2], fine[: MEMORY // 2]
+        self.n_pairs += len(pairs)
+        slot = ((pairs * 0x9E3779B1) >> 12) & (MEMORY - 1)
+        while len(pairs):  # of those that meet at an empty place one stays; the others go on
+            free = np.flatnonzero(self.pairs[slot] == 0)
+            self.pairs[slot[free]] = pairs[free]
+            self.fitting[slot[free[self.pairs[slot[free]] == pairs[free]]]] = fine[free[self.pairs[slot[free]] == pairs[free]]]
+            left = self.pairs[slot] != pairs
+            pairs, fine, slot = pairs[left], fine[left], (slot[left] + 1) & (MEMORY - 1)
+
+
+class Reader:
+    """What ids read as."""
+
+    def __init__(self, path: str):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        self.control = [model.is_control(i) for i in range(len(self.names))]
+        self.byte_of = {i: int(p[3:5], 16) for i, p in enumerate(self.names) if model.is_byte(i)}
+        self.unknown = model.unk_id()
+        # where what an id reads as depends on its neighbours or is nothing, it is slow
+        self.reads = [chr(self.byte_of[i]) if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.names)]
+        special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(len(self.names))]
+        self.slow = np.array([s and self.byte_of.get(i, 128) >= 128 for i, s in enumerate(special)])
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids: pieces joined, bytes read as UTF-8, the first space dropped. Control ids have no text."""
+        if not self.slow[ids].any():
+            return "".join(map(self.reads.__getitem__, ids.tolist())).removeprefix(" ")
+        out: list[str] = []
+        raw = bytearray()
+        for i in ids.tolist():
+            b = self.byte_of.get(i)
+            if b is not None:
+                raw.append(b)
+                continue
+            if raw:
+                out.append(raw.decode("utf-8", "replace"))
+                raw.clear()
+            out.append(" ⁇ " if i == self.unknown else "" if self.control[i] else self.names[i])
+        if raw:
+            out.append(raw.decode("utf-8", "replace"))
+        text = "".join(out).replace(SPACE, " ")
+        return text.removeprefix(" ")
 
 
 def pieces(path: str) -> Pieces:
@@ -404,6 +436,11 @@ def pieces(path: str) -> Pieces:
     return coder(path).pieces
 
 
+def reader(path: str) -> Reader:
+    """A task's reader of ids."""
+    return kept(("reader", path), lambda: Reader(path))
+
+
 def coder(path: str) -> PieceCoder:
     """A task's coder; Python workers keep it until another operator's memory takes its place."""
     return kept(("pieces", path), lambda: PieceCoder(path))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import written
-from tarn.llm.pieces import SPACE, coder, pieces, scan
+from tarn.llm.pieces import SPACE, coder, pieces, reader, scan
 from tarn.llm.tokens import binary_array, text_runs
 
 GIANT = 1 << 16
@@ -124,7 +124,7 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", carried: lis
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
-        model = pieces(model_path)
+        model = reader(model_path)
         return pd.Series([model.decode(np.frombuffer(x or b"", "<u4")) for x in ids], dtype=object)
 
     return coded.select(*[F.col(f"`{c}`") for c in carried or coded.columns if c != "decoded"], text_of(F.col(f"`{ids_col}`")).alias("decoded"))

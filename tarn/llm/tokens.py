@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from tarn.llm.common import kept
 
-CACHE = 600_000  # words remembered by a task: about 30 MB
-CHUNK = 4_000_000  # bytes of text encoded at a time; a longer text is a chunk of its own
+CACHE = 400_000  # words remembered by a task: about 20 MB
+CHUNK = 2_000_000  # bytes of text encoded at a time; a longer text is a chunk of its own
 _SPACE, _LINE, _OTHER = 1, 2, 4
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[32], _CLASS[10] = _SPACE, _LINE
@@ -71,7 +71,7 @@ class WordCoder:
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         raise NotImplementedError
 
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words in turn, and how many each has."""
         raise NotImplementedError
 
@@ -88,7 +88,7 @@ class WordCoder:
         out = np.asarray(at.fill_null(-1)).astype(np.int64)
         if len(new):
             out[out < 0] = len(self.names) + np.arange(len(new))
-            ids, sizes = self.learn(new.to_pylist())
+            ids, sizes = self.learn(new)
             self.first = np.append(self.first, len(self.ids) + np.cumsum(sizes) - sizes)
             self.names, self.size, self.ids = pa.concat_arrays([self.names, new]), np.append(self.size, sizes), np.append(self.ids, ids)
         return out
@@ -164,11 +164,11 @@ class Encoder(WordCoder):
                 at = text.find(s, at + 1)
         return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
 
-    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Many words in one text, a newline between two."""
         flat, sizes = [], []
         for i in range(0, len(words), 4000):
-            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words[i : i + 4000]).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words[i : i + 4000].to_pylist()).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
             inner = found != self.line[0]
             flat.append(found[inner])
             sizes.append(np.diff(np.append(np.flatnonzero(~inner), len(found)), prepend=-1) - 1)
