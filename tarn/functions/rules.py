@@ -13,6 +13,8 @@ HAN = "[\\u4e00-\\u9fff]"
 
 # fixed values: words that say nothing of a topic
 TOPIC_STOP = ["今天", "现在", "目前", "已经", "需要", "一个", "这个", "系统", "项目", "任务", "工作", "用户", "内容", "记忆"]
+# fixed values: words that do not count as shared
+LEXICAL_STOP = ["记忆", "内容", "系统", "功能", "这个", "一个", "已经", "需要", "进行", "相关", "可以", "目前", "工作", "项目", "任务", "今天", "the", "and", "for", "with", "this", "that"]
 # fixed values: names that are no entities of a conflict
 NOISY_ENTITY = "(?i)^(?:今天|昨天|明天|现在|目前|系统|项目|任务|工作|用户|时间|Windows|Git|API|\\d{4}(?:[-年]\\d{1,2})?.*)$"
 # fixed values: pairs of opposite words
@@ -83,6 +85,11 @@ GENERIC_PROJECTS = [
 ]
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at its ends, of which trim() takes spaces only."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -98,10 +105,10 @@ def has_any(text: Column, words: list[str]) -> Column:
 
 def similarity_tokens(text: Column) -> Column:
     """Characters and Latin words of two letters or more, where over three tenths are ideographs; else words between white space."""
-    low = F.lower(F.trim(text))
+    low = F.lower(stripped(text))
     of_han = F.array_union(_all(low, HAN), _all(low, "[a-z0-9]{2,}"))
     of_words = F.array_distinct(F.filter(F.split(low, "\\s+"), lambda x: x != ""))
-    return F.when(F.regexp_count(low, F.lit(HAN)) / F.length(low) > 0.3, of_han).otherwise(of_words)
+    return F.when(F.regexp_count(low, F.lit(HAN)) / F.greatest(F.lit(1), F.length(low)) > 0.3, of_han).otherwise(of_words)
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -124,7 +131,8 @@ def lexical_tokens(text: Column) -> Column:
     """Latin words, long numbers, short runs of ideographs and their pairs."""
     low = F.lower(text)
     runs = _all(low, f"{HAN}{{2,}}")
-    return F.array_distinct(F.concat(_all(low, "[a-z][a-z0-9._-]{2,}|\\d{3,}"), F.filter(runs, lambda r: F.length(r) <= 8), _pairs(runs)))
+    found = F.array_distinct(F.concat(_all(low, "[a-z][a-z0-9._-]{2,}|\\d{3,}"), F.filter(runs, lambda r: F.length(r) <= 8), _pairs(runs)))
+    return F.filter(found, lambda x: ~x.isin(LEXICAL_STOP))
 
 
 def lexical_overlap(title_a: Column, content_a: Column, title_b: Column, content_b: Column) -> Column:
@@ -177,7 +185,7 @@ def _cut(text: Column) -> Column:
 
 def extracted_title(text: Column) -> Column:
     """The first line if it reads as a title, else a bracketed project, else its first words."""
-    line = F.coalesce(F.element_at(F.filter(F.transform(F.split(text, "\\n"), F.trim), lambda x: x != ""), 1), F.lit(""))
+    line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, "\\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1)), F.lit(""))
     titled = line.rlike("^[\\p{L}\\p{N}\\s\\-_，。？！、：“”（）《》【】]+$") & F.length(line).between(5, 80)
     words = F.array_join(F.slice(F.filter(F.split(line, "\\s+"), lambda w: (F.length(w) > 1) & ~w.rlike("^[\\d\\W]+$")), 1, 6), " ")
     project = F.regexp_extract(text, "\\[\\[([^\\]]+)\\]\\]", 1)
@@ -204,7 +212,7 @@ def memory_layer(title: Column, content: Column, importance: Column, category: C
 
 def completeness_issues(content: Column) -> Column:
     """What shows that a text breaks off: an array of dangling-connector, mid-sentence-cut, unresolved-reference."""
-    text = F.trim(content)
+    text = stripped(content)
     # longer words come first; a single ideograph after a Latin letter is none
     words = [w for w in DANGLING_HAN if len(w) > 1], [w for w in DANGLING_HAN if len(w) == 1]
     han = text.rlike(f"(?:{'|'.join(words[0])})$") | text.rlike(f"(?<![A-Za-z])(?:{'|'.join(words[1])})$")
@@ -218,7 +226,7 @@ def completeness_issues(content: Column) -> Column:
 
 def value_of(text: Column) -> Column:
     """verdict (accept or reject) and score: empty texts, greetings and form letters without information go."""
-    trimmed = F.trim(text)
+    trimmed = stripped(text)
     bare = F.lower(F.regexp_replace(F.regexp_replace(trimmed, "[\\s。！!？?~～.…]+$", ""), "^[\\s。！!？?~～.…]+", ""))
     signals = reduce(Column.__add__, [trimmed.rlike(p).cast("int") for p in SIGNALS])
     form = (F.length(trimmed) <= 80) & reduce(Column.__or__, [trimmed.rlike(p) for p in BOILERPLATE]) & (signals == 0)
@@ -238,7 +246,7 @@ def first_sentence(text: Column, most: int = 180) -> Column:
     """The first sentence of a text without its code and list marks, cut at so many characters."""
     for pattern, to in (("(?s)```.*?```", " "), ("`[^`]+`", " "), ("(?m)^#{1,6}\\s+", ""), ("(?m)^[-*]\\s+", ""), ("\\s+", " ")):
         text = F.regexp_replace(text, pattern, to)
-    one = F.element_at(F.split(F.trim(text), "(?<=[。！？.!?])\\s*"), 1)
+    one = F.try_element_at(F.split(F.trim(text), "(?<=[。！？.!?])\\s*"), F.lit(1))
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most - 1), F.lit("…"))).otherwise(one)
 
 
@@ -268,7 +276,7 @@ def specific_project(name: Column) -> Column:
 
 def summary(text: Column, lines: int = 3) -> Column:
     """The first lines that are not blank."""
-    return F.array_join(F.slice(F.filter(F.transform(F.split(text, "\\n"), F.trim), lambda x: x != ""), 1, lines), "\n")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(text, "\\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, lines), "\n")
 
 
 def canonical_json(json: Column) -> Column:
@@ -278,3 +286,60 @@ def canonical_json(json: Column) -> Column:
 
 def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, max(0, most - 1))), F.lit("…")))
+
+
+def with_grams(text: Column, chars: int = 8000, most: int = 4000) -> Column:
+    """A text for the index with its pairs of ideographs after it, of its first characters, at most so many; as it is if it has none."""
+    pairs = F.slice(_pairs(_all(F.substring(text, 1, chars), f"{HAN}{{2,}}")), 1, most)
+    return F.when(F.size(pairs) > 0, F.concat_ws(" ", text, F.array_join(pairs, " "))).otherwise(text)
+
+
+def embedding_text(title: Column, content: Column, tags: Column, metadata: Column) -> Column:
+    """What a memory's vector is made of: title, content, tags, and the string and array values of its metadata."""
+    values = F.map_values(F.from_json(metadata, "map<string,string>"))
+    texts = F.filter(values, lambda v: v.isNotNull() & ~v.rlike("^(?:-?[0-9.]+(?:[eE][+-]?[0-9]+)?|true|false|\\{.*)$"))
+    flat = F.transform(texts, lambda v: F.when(v.startswith("["), F.regexp_replace(F.regexp_replace(v, "[\\[\\]\"]", ""), ",", " ")).otherwise(v))
+    none = F.array().cast("array<string>")
+    return F.concat_ws(" ", title, content, F.array_join(F.coalesce(tags, none), " "), F.array_join(F.coalesce(flat, none), " "))
+
+
+def clean_project(value: Column) -> Column:
+    """A project path as a text names it, brought to one form; null if it names none."""
+    for pattern, to in (
+        ("^[\\s\"'「『《【]+|[\\s\"'」』》】。；;，,]+$", ""), ("\\s*(?:中|里|下|内|里面|之中)$", ""), ("(?i)\\s*(?:项目|工程|产品|仓库|repo|project)$", ""), ("\\s*(?:/|\\\\|>|::|->|→|›|＞|／)\\s*", "/"), ("^\\s+|\\s+$", "")
+    ):
+        value = F.regexp_replace(value, pattern, to)
+    parts = F.filter(F.transform(F.split(value, "/"), lambda x: F.trim(x)), lambda x: x != "")
+    empty = value.rlike("^(这个|那个|当前|本次|新的|一个|项目|工程|产品|仓库)$")
+    fine = F.length(value).between(2, 120) & ~empty & (F.size(parts) > 0) & F.forall(parts, lambda x: F.length(x) <= 50) & ((F.size(parts) > 1) | specific_project(F.try_element_at(parts, F.lit(1))))
+    return F.when(fine, F.array_join(parts, "/"))
+
+
+# fixed values: where a text names its project, the first that names one counts
+PROJECT_MARKS = [
+    "\\[\\[([^\\]\\r\\n]{2,120})\\]\\]",
+    "(?i)(?:projectPath|project_path|project\\s*path)\\s*[:=：]\\s*([^\\n\\r。；;，,]+)",
+    "(?i)(?:项目路径|项目目录|项目名|项目名称|所属项目|归属项目|当前项目|项目|工程|产品|仓库|workspace|repo|project)\\s*[:=：]\\s*([^\\n\\r。；;，,]+)",
+    "(?i)(?:项目|工程|产品|仓库|workspace|repo|project)[「『《【\"']([^」』》】\"']{2,120})[」』》】\"']",
+    "(?i)(?:所属|归属|落到|归到|放到|记录到)\\s*(?:项目|工程|产品|仓库|workspace|repo|project)?\\s*[「『《【\"']([^」』》】\"']{2,120})[」』》】\"']",
+]
+
+
+def project_path(title: Column, content: Column) -> Column:
+    """The project that a text says it belongs to."""
+    text = F.concat_ws("\n", F.coalesce(title, F.lit("")), content)
+    return F.coalesce(*[clean_project(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in PROJECT_MARKS])
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n|[。！？!?]"), lambda x: F.trim(x)), lambda s: s != "")
+
+
+def completed(fragment: Column, context: Column) -> Column:
+    """The fragment made whole by a sentence of the context that has it: from where it stands, or the whole sentence if it ends so. Null without such evidence; nothing is made up."""
+    core = F.regexp_replace(F.trim(fragment), "[，、,。.!！?？:：;；\\s]+$", "")
+    long = F.filter(sentences(context), lambda s: (F.length(s) > F.length(core) + 2) & F.contains(s, core))
+    tails = F.filter(long, lambda s: F.length(F.trim(F.substring(s, F.instr(s, core) + F.length(core), F.length(s)))) >= 2)
+    tail = F.transform(tails, lambda s: F.substring(s, F.instr(s, core), F.length(s)))
+    heads = F.filter(long, lambda s: F.endswith(s, core))
+    return F.when((F.length(F.trim(fragment)) >= 6) & (F.length(core) >= 6), F.coalesce(F.get(tail, F.lit(0)), F.get(heads, F.lit(0))))

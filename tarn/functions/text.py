@@ -107,7 +107,7 @@ def clean_subject(text: Column) -> Column:
 
 def error_signature(text: Column) -> Column:
     """The first line of an error text with what changes from time to time masked: times, addresses, folders, places, numbers."""
-    line = F.trim(F.element_at(F.filter(F.split(text, "\\n"), lambda x: F.trim(x) != ""), 1))
+    line = F.trim(F.try_element_at(F.filter(F.split(text, "\\n"), lambda x: F.trim(x) != ""), F.lit(1)))
     steps = [
         ("\\b\\d{4}-\\d{2}-\\d{2}[T ][\\d:.]+Z?\\b", "<ts>"), ("0x[0-9a-fA-F]+", "<addr>"),
         ("[A-Za-z]:[\\\\/](?:[^\\s:]*[\\\\/])?([^\\s:\\\\/]+)", "$1"), ("(?:[\\\\/][^\\s:/\\\\]+)*[\\\\/]([^\\s:/\\\\]+)", "$1"),

@@ -24,7 +24,7 @@ def in_scope(path: Column, scope: str, descendants: bool = True) -> Column:
 def memory_kind_of(metadata: Column, tags: Column, kinds: list[str]) -> Column:
     """A stored memory's kind: from its metadata, else from its first kind: tag, else raw_note."""
     own = F.get_json_object(F.when(F.try_parse_json(metadata).isNotNull(), metadata), "$.memoryKind")
-    tag = F.regexp_replace(F.element_at(F.filter(tags, lambda t: F.startswith(t, F.lit("kind:"))), 1), "^kind:", "")
+    tag = F.regexp_replace(F.try_element_at(F.filter(tags, lambda t: F.startswith(t, F.lit("kind:"))), F.lit(1)), "^kind:", "")
     return F.when(own.isin(kinds), own).when(tag.isin(kinds), tag).otherwise("raw_note")
 
 

@@ -129,7 +129,7 @@ def moved_subtree(tree: DataFrame, old: str, new: str) -> DataFrame:
 
 def ancestors(path: Column) -> Column:
     """All paths that have to be there for this one."""
-    parts = F.filter(F.transform(F.split(path, "/"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 

@@ -84,8 +84,8 @@ def attachments(messages: DataFrame, body: str = "body") -> DataFrame:
     """messages with clean (the body without code) and blocks: kind and content of each fenced block."""
     fence = "(?s)```([\\w-]*)\\n?(.*?)```"
     languages, contents = F.regexp_extract_all(body, F.lit(fence), F.lit(1)), F.regexp_extract_all(body, F.lit(fence), F.lit(2))
-    blocks = F.zip_with(languages, contents, lambda a, b: F.struct(F.when(a.rlike("(?i)log|text|console"), "log").otherwise("technical").alias("kind"), F.trim(b).alias("content")))
-    return messages.withColumns({"clean": F.trim(F.regexp_replace(body, fence, "\n[attached]\n")), "blocks": blocks})
+    blocks = F.zip_with(languages, contents, lambda a, b: F.struct(F.when(a.rlike("(?i)log|text|console"), "log").otherwise("technical").alias("kind"), R.stripped(b).alias("content")))
+    return messages.withColumns({"clean": R.stripped(F.regexp_replace(body, fence, "\n[attached]\n")), "blocks": blocks})
 
 
 def fingerprint(memories: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import cjk_trigrams, contains_cjk
+from tarn.lineage import cut
 from tarn.operators.retrieval import B, K1, RRF_K, boosted
 
 BLOCK_QUERIES = 2048
@@ -92,7 +93,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_co
         phrases = sorted({p for r in block for p in r["phrases"]})
         if not phrases:
             continue
-        hits = phrase_hits(docs, phrases, id_col, text_col)
+        hits = cut(phrase_hits(docs, phrases, id_col, text_col))  # read twice: how many rows hold a phrase, and which
         df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
         idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))

@@ -35,7 +35,7 @@ def layer_scored(spark, sf_dir):
     return rows.select("id", U.memory_layer(F.col("title"), F.col("content"), none, none, F.col("id") % 100 / 100).alias("layer"))
 
 
-@query("value_check", """WITH t AS (SELECT doc_id, trim(text) AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT *, lower(regexp_replace(regexp_replace(x, '[\\s。！!？?~～.…]+$', ''), '^[\\s。！!？?~～.…]+', '')) AS bare,
+@query("value_check", """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL), b AS (SELECT *, lower(regexp_replace(regexp_replace(x, '[\\s。！!？?~～.…]+$', ''), '^[\\s。！!？?~～.…]+', '')) AS bare,
 CAST(regexp_matches(x, '\\d{2,}') AS INT) + CAST(regexp_matches(x, 'https?://\\S+') AS INT) + CAST(regexp_matches(x, '[\\p{L}\\p{N}_\\-]+[/\\\\][\\p{L}\\p{N}_\\-.]+') AS INT) + CAST(regexp_matches(x, '[a-z]+[A-Z][\\p{L}\\p{N}]*') AS INT)
 + CAST(regexp_matches(x, '\\[\\[[^\\]]+\\]\\]') AS INT) + CAST(regexp_matches(x, '#[\\p{L}\\p{N}_\\-]+') AS INT) + CAST(regexp_matches(x, '决定|选择|改为|采用|放弃|拒绝|修复|解决|失败|成功|原因是|结论|目标|进度|截止|验收|交付|偏好|喜欢|不想要|习惯|踩坑|教训|经验|因为|所以') AS INT) AS n FROM t),
 r AS (SELECT doc_id, n, bare IN ('', 'ok', 'okay', 'k', 'thx', 'thanks', 'thank you', 'got it', 'noted', 'ok, thanks', 'ok thanks', 'sounds good') OR (length(x) <= 80 AND n = 0 AND regexp_matches(x, 'let me know if|feel free to|best regards', 'i')) AS bad FROM b)
@@ -45,7 +45,7 @@ def value_check(spark, sf_dir):
     return docs.select("doc_id", "v.verdict", F.round("v.score", 6).alias("score"))
 
 
-@query("completeness", """WITH t AS (SELECT doc_id, trim(text) AS x FROM documents WHERE text IS NOT NULL)
+@query("completeness", """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN x = '' THEN 'mid-sentence-cut' ELSE array_to_string(list_filter([CASE WHEN regexp_matches(x, '[，、,：:]$') THEN 'dangling-connector' END,
 CASE WHEN regexp_matches(x, '(?:以及|但是|因为|所以|的|和|等)$') OR lower(regexp_extract(x, '([A-Za-z]+)$', 1)) IN ('the','a','an','and','or','but','to','of','in','on','at','for','with','by','from','via','is','are','was','were','be','that','which','as','vs') THEN 'dangling-connector' END,
 CASE WHEN len(regexp_extract_all(x, '```')) % 2 = 1 THEN 'mid-sentence-cut' END], lambda i: i IS NOT NULL), ',') END AS issues FROM t""")
@@ -143,7 +143,7 @@ def formats(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", format_of(F.col("url")).alias("format"))
 
 
-@query("attachments", "SELECT conv_id, turn, len(regexp_extract_all(text, '(?s)```([\\w-]*)\\n?(.*?)```')) AS blocks, length(trim(regexp_replace(text, '(?s)```([\\w-]*)\\n?(.*?)```', chr(10) || '[attached]' || chr(10), 'g'))) AS n FROM conversations WHERE text IS NOT NULL")
+@query("attachments", "SELECT conv_id, turn, len(regexp_extract_all(text, '(?s)```([\\w-]*)\\n?(.*?)```')) AS blocks, length(regexp_replace(regexp_replace(text, '(?s)```([\\w-]*)\\n?(.*?)```', chr(10) || '[attached]' || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS n FROM conversations WHERE text IS NOT NULL")
 def attachments(spark, sf_dir):
     rows = M.attachments(table(spark, sf_dir, "conversations").where("text IS NOT NULL"), "text")
     return rows.select("conv_id", "turn", F.size("blocks").cast("long").alias("blocks"), F.length("clean").cast("long").alias("n"))

@@ -146,7 +146,7 @@ def turn_similarity(spark, sf_dir):
 TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9._-]{2,}|\\d{3,}'))"
 
 
-@query("lexical_overlap", f"""WITH s AS (SELECT conv_id, turn, {TOKENS} AS s, list_distinct(regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}|\\d{{3,}}')) AS r, list_distinct(list_concat({TOKENS}, regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}'))) AS w FROM conversations WHERE text IS NOT NULL),
+@query("lexical_overlap", f"""WITH s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}|\\d{{3,}}')) AS r, list_filter(list_distinct(list_concat({TOKENS}, regexp_extract_all(lower(role), '[a-z][a-z0-9._-]{{2,}}'))), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'this', 'that')) AS w FROM conversations WHERE text IS NOT NULL),
 p AS (SELECT a.conv_id, a.turn, len(list_intersect(a.r, b.r)) AS t, len(list_intersect(a.w, b.w)) AS n, least(len(a.w), len(b.w)) AS m FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, round(CASE WHEN n < 2 AND t = 0 THEN 0 ELSE least(0.99, (3 * t + n) / greatest(8, m)) END::DOUBLE, 6) AS score FROM p""")
 def lexical_overlap(spark, sf_dir):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tarn.plans import lifecycle, registry, relations, rules, searching, upkeep  # noqa: F401
+from tarn.plans import cycle, lifecycle, registry, relations, rules, searching, upkeep  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
