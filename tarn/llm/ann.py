@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import written
+from tarn.llm.common import small_batches, written
 from tarn.llm.hnsw import M, Graph
 
 GROWTH, MOST_POINTS, MOST_BYTES = 64, 1 << 16, 1 << 28  # points of a shard: GROWTH * sqrt(all), at most so many or so large
@@ -119,6 +119,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, width: int | No
     query with fewer candidates gets all of them. Rows that repeat a query's id each get
     its answers; candidates that repeat an id and a vector count once. Empty tables give an empty result. Other columns are ignored.
     """
+    small_batches(vectors.sparkSession)
     most = k + 1  # one of them may be the query's own row
     index = build_index(vectors, most, id_col, vec_col)
     asked = queries.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))

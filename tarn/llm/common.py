@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,13 +35,35 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows travel to Python in Arrow batches of at most 8 MB, unless the session has its own limit.
+
+    Texts come in thousands to a batch, and JVM and Python each hold several batches at a
+    time; Spark's default of 64 MB is meant for narrow rows.
+    """
+    if spark.conf.get(ARROW_BYTES, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+
+
+def own_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes between steps."""
+    return f"{shared_folder(spark).rstrip('/')}/tarn/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application wrote between steps; results that still read it are to be saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder and read it back.
 
-    The files survive lost executors, and the rows are the same at every later use.
+    The files survive lost executors, and the rows are the same at every later use. They
+    stay until forget() or whoever owns the folder removes them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tarn/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarn.llm import golomb
-from tarn.llm.common import ascii_lower, owners, without_dropped, written
+from tarn.llm.common import ascii_lower, owners, small_batches, without_dropped, written
 
 SENDER_ROWS = 1 << 18
 BROADCAST_FINGERPRINTS = 1 << 21  # 32 MB as a hash relation; more suspects than that are joined by a shuffle
@@ -107,6 +107,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("row"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     null_id = F.lit(-(2**63))  # numpy has no null; no id is this number
     rows = rows.withColumn("row", F.coalesce(F.col("row").cast("long"), null_id))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from tarn.llm import golomb
-from tarn.llm.common import owners, written
+from tarn.llm.common import owners, small_batches, written
 from tarn.llm.tokens import text_runs
 from tarn.llm.words import ngrams, word_hashes
 
@@ -301,6 +301,7 @@ def score_documents(docs: DataFrame, train, order: int = 3, strength: float = 2.
     share a fingerprint with probability 2**-SLACK.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(train, F.lit(False)).alias("train"), text.alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

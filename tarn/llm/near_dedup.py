@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import BROADCAST_IDS, mix64, without_dropped, written
+from tarn.llm.common import BROADCAST_IDS, mix64, small_batches, without_dropped, written
 from tarn.llm.components import connected_components
 from tarn.llm.tokens import text_runs
 from tarn.llm.words import ngrams, word_hashes
@@ -220,6 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group with others; a group of null ids has a null component_id, and all its rows
     stay. An empty table gives an empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), "texts")
     sketches = written(_sketches(numbered, shingle_words), "sketches")
     groups = sketches.where("n > 0").groupBy("key").agg(F.min("row").alias("node"), F.min("doc").alias("doc"))

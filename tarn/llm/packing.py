@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.taskcontext import TaskContext
 
-from tarn.llm.common import written
+from tarn.llm.common import small_batches, written
 from tarn.llm.tokens import binary_array, encode_column, spread
 
 WIDTH = 8
@@ -154,6 +154,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     A null text is empty: its only id is end_id. Ids may be null or repeat; each row is
     a document. An empty table gives no pieces. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     out = rows.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, capacity), "doc long, start long, length long, doc_tokens long, ids binary")
     return out.withColumnRenamed("doc", id_col)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import written
+from tarn.llm.common import small_batches, written
 
 SAMPLE = 20_000  # labelled documents that the classifier is fitted on, at most
 BROADCAST_SITES = 100_000  # more paths than that are joined by a shuffle
@@ -91,6 +91,7 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Classifier:
     """Fitted on the labelled documents with the smallest hashes of their ids, sample at most."""
+    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.max(text_col).alias("text"), F.max("_label").alias("label"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import ann, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, token_files, url_filter
-from tarn.llm.common import shared_folder
+from tarn.llm.common import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_BPE_IDS = 50257
@@ -85,7 +85,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_folder(spark).rstrip('/')}/tarn/tokens-{uuid.uuid4().hex}"
+    out = f"{own_folder(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, BYTE_BPE, BYTE_BPE_IDS, end_id=2)
     read = token_files.read_documents(spark, out)
     return read.select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

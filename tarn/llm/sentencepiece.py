@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import written
+from tarn.llm.common import small_batches, written
 from tarn.llm.pieces import SPACE, coder, pieces, reader, scan
 from tarn.llm.tokens import binary_array, text_runs
 
@@ -88,6 +88,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", giant: int
     names; columns named n_tokens or ids are replaced. An empty table gives an empty
     result.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
     own = F.struct(*[F.col(f"`{c}`") for c in names]).alias("own")  # a table's own columns travel apart from what is added
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -122,6 +123,8 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", carried: lis
     table gives an empty result.
     """
 
+    small_batches(coded.sparkSession)
+
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
         model = reader(model_path)

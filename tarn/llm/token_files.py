@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from tarn.llm.common import small_batches
 from tarn.llm.golomb import pack, unpack
 from tarn.llm.tokens import binary_array, encode_column
 
@@ -81,6 +82,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, vocabulary: int, end
     Texts are dealt into ranges and sorted before they are encoded: compressed, they are
     no larger than their ids.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     width = width_of(max(vocabulary, end_id + 1))
     ranged = rows.repartitionByRange(F.asc_nulls_first("doc")).sortWithinPartitions(F.asc_nulls_first("doc"))
