@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import rules as U
 from tarn.functions.paragraphs import merged_paragraphs
+from tarn.lineage import cut
 from tarn.operators import cycle as Y
 from tarn.operators import dedup as D
 from tarn.operators import lifecycle as L
@@ -177,15 +178,18 @@ def report_sums(spark, sf_dir):
 
 @query("light_groups")
 def light_groups(spark, sf_dir):
-    """Near-duplicate memories of one project and first word: who keeps whom, in the order of the ids."""
-    rows = memory_state(spark, sf_dir).where("status = 'active' AND content IS NOT NULL").select("id", F.struct("title", "content", "tags").alias("m"), F.md5(F.lower(F.trim("content"))).alias("exact"))
-    # equal contents are one class under its first id; classes meet where their titles begin alike
-    first = rows.groupBy("exact").agg(F.min_by("m", "id").alias("m"), F.min("id").alias("id"))
-    keyed = first.withColumn("key", F.lower(F.substring(F.trim(F.col("m")["title"]), 1, 12)))
-    pairs = keyed.select("key", F.col("id").alias("one"), F.col("m").alias("a")).join(keyed.select("key", F.col("id").alias("two"), F.col("m").alias("b")), "key").where("one < two").where(D.is_duplicate("a", "b")).select("one", "two")
+    """Near-duplicate memories: who keeps whom, in the order of the ids. Equal titles and alike texts are compared."""
+    rows = memory_state(spark, sf_dir).where("status = 'active' AND content IS NOT NULL").select("id", "content", D.comparable(F.col("title"), F.col("content"), F.col("tags")).alias("m"), F.md5(F.lower(F.trim("content"))).alias("exact"), F.lower(F.trim("title")).alias("low"))
+    # equal contents are one class under its first id, and so are equal titles; other classes meet where they are alike
+    classes = rows.groupBy("exact").agg(F.min_by(F.struct("m", "content", "low"), "id").alias("r"), F.min("id").alias("id")).select("exact", "id", "r.m", "r.content", "r.low")
+    titles = classes.where("low != ''").groupBy("low").agg(F.min("id").alias("one"))
+    same = classes.join(titles, "low").where("id != one").select("one", F.col("id").alias("two"))
+    alike = D.alike_candidates(classes, "content").join(classes.select(F.col("id").alias("one"), F.col("m").alias("a")), "one").join(classes.select(F.col("id").alias("two"), F.col("m").alias("b")), "two")
+    judged = cut(alike.select("one", "two", D.is_duplicate("a", "b").alias("same")))  # each pair is judged once
+    pairs = same.unionByName(judged.where("same").select("one", "two")).distinct()
     components = D.labelled(pairs)
     kept = D.greedy_keepers(pairs, components, components.select("id", F.col("id").alias("place")))
-    leaders = rows.join(first.select("exact", F.col("id").alias("leader")), "exact").select("id", "leader")
+    leaders = rows.join(classes.select("exact", F.col("id").alias("leader")), "exact").select("id", "leader")
     return leaders.join(kept.withColumnRenamed("id", "leader"), "leader", "left").select("id", F.coalesce("keeper", "leader").alias("keeper")).where("id != keeper")
 
 

@@ -284,17 +284,27 @@ def pair_cosine(spark, sf_dir):
     return rows.join(other, "one").select("one", "two", F.round(cosine("a", "b"), 6).alias("similarity"))
 
 
-@query("lsh_pairs", "SELECT a.vec_id AS one, b.vec_id AS two, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.8")
+# every vector and, far up among the ids, a shaken copy of it
+SHAKEN = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + 0.05 * sin(vec_id * 7 + i)) FROM embeddings)"""
+
+
+def _shaken(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # within a lambda, a name means an alias of the same select before it means a column
+    copies = rows.select("id", F.transform("embedding", lambda x, i: x + 0.05 * F.sin(F.col("id") * 7 + i + 1)).alias("embedding"))
+    return rows.unionByName(copies.withColumn("id", F.col("id") + 1000000))
+
+
+@query("lsh_pairs", f"WITH {SHAKEN} SELECT a.id AS one, b.id AS two, round(list_cosine_similarity(a.vec, b.vec), 6) AS similarity FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.vec, b.vec) >= 0.9")
 def lsh_pairs(spark, sf_dir):
-    """Pairs as near as 0.8. The buckets miss such a pair with probability under one in ten million here; the SQL compares all."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return D.duplicate_pairs(vectors, 0.8).select("one", "two", F.round("similarity", 6).alias("similarity"))
+    """Pairs as near as 0.9. The buckets miss such a pair with probability under one in a billion; the SQL compares all."""
+    return D.duplicate_pairs(_shaken(spark, sf_dir), 0.9).select("one", "two", F.round("similarity", 6).alias("similarity"))
 
 
-@query("greedy_dedup")
+@query("greedy_dedup", "SELECT vec_id + 1000000 * k AS id, vec_id AS keeper FROM embeddings, (VALUES (0), (1)) t(k)")
 def greedy_dedup(spark, sf_dir):
-    """Keepers among near vectors, in the order of their ids."""
-    pairs = D.duplicate_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.6).select("one", "two")
+    """Keepers among near vectors, in the order of their ids: each vector keeps its copy."""
+    pairs = D.duplicate_pairs(_shaken(spark, sf_dir), 0.9).select("one", "two")
     components = D.labelled(pairs)
     return D.greedy_keepers(pairs, components, components.select("id", F.col("id").alias("place")))
 

@@ -271,7 +271,16 @@ def test_duplicate_rules(spark):
         ((("t", "a b c d e f g", ["k", "l"]), ("u", "a b c d e f h", ["K", "l"])), True), ((("t", "a b c d e f g", []), ("u", "a b c d e f h", [])), False), ((("t", "a", []), ("u", "b", [])), False),
     ]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], f"i int, a {kind}, b {kind}")
-    assert [r[0] for r in df.orderBy("i").select(D.is_duplicate("a", "b")).collect()] == [w for _, w in cases]
+    own = lambda c: D.comparable(F.col(c)["title"], F.col(c)["content"], F.col(c)["tags"]).alias(c)
+    assert [r[0] for r in df.orderBy("i").select(own("a"), own("b")).select(D.is_duplicate("a", "b")).collect()] == [w for _, w in cases]
+
+
+def test_alike_texts_meet(spark):
+    rnd = random.Random(1)
+    data = [(i, " ".join(rnd.choices([f"w{k}" for k in range(400)], k=60))) for i in range(40)]
+    data += [(100 + i, " ".join([*t.split()[:52], "x", "y"])) for i, t in data[:20]] + [(900, ""), (901, None)]
+    got = {(r["one"], r["two"]) for r in D.alike_candidates(spark.createDataFrame(data, "id long, t string"), "t").collect()}
+    assert {(i, 100 + i) for i in range(20)} <= got and len(got) < 60
 
 
 # loops
