@@ -26,7 +26,7 @@ def test_same_ids_as_the_library(library, spark, sf_dir):
 
 
 def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens.Encoder, "most", 50)
     monkeypatch.setattr(tokens, "CHUNK", 200)
     rnd = random.Random(6)
     texts = [" ".join(rnd.choice("ab cé x.'s9"[:k]) * rnd.randrange(1, 5) + str(rnd.randrange(99)) for _ in range(20)).strip() for k in (2, 5, 9, 11) for _ in range(50)]
