@@ -254,6 +254,7 @@ class PieceCoder(WordCoder):
     """
 
     kinds = _KINDS
+    most = 400_000
 
     def __init__(self, path: str):
         self.pieces = own = Pieces(path)

@@ -19,6 +19,7 @@ from tarn.llm.pieces import SPACE, coder, pieces, reader, scan
 from tarn.llm.tokens import binary_array, text_runs
 
 GIANT = 1 << 16
+RUN = 2_000_000  # bytes of short texts coded at a time
 EDGE = 64  # characters of a chunk's neighbours that it sees: more than two pieces' length
 
 
@@ -96,7 +97,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", giant: int
     @F.arrow_udf("binary")
     def one_chunk(texts: pa.Array) -> pa.Array:
         model, out = coder(model_path), []
-        for _, raw, offsets in text_runs(texts):
+        for _, raw, offsets in text_runs(texts, RUN):
             ids, sizes = model.encode_texts(raw, offsets)
             out.append(binary_array(ids.view(np.uint8), np.append(0, np.cumsum(4 * sizes))))
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())

@@ -8,8 +8,8 @@ that is not remembered, and ids are gathered by word. Other texts, and those tha
 a special token's string, go to the library whole, as it is: special strings become
 special ids.
 
-What is remembered are flat arrays of words and ids, bounded by CACHE words. Ids never
-depend on it.
+What is remembered are flat arrays of words and ids, of a bounded number of words. Ids
+never depend on it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ import pyarrow.compute as pc
 
 from tarn.llm.common import kept
 
-CACHE = 400_000  # words remembered by a task: about 20 MB
-CHUNK = 2_000_000  # bytes of text encoded at a time; a longer text is a chunk of its own
+CHUNK = 4_000_000  # bytes of text encoded at a time; a longer text is a chunk of its own
 _SPACE, _LINE, _OTHER = 1, 2, 4
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[32], _CLASS[10] = _SPACE, _LINE
@@ -59,6 +58,7 @@ class WordCoder:
     """
 
     kinds = _CLASS
+    most = 600_000  # words remembered by a task: about 30 MB
 
     def __init__(self, line: list[int]):
         self.line = line
@@ -79,7 +79,7 @@ class WordCoder:
         """The place of each word in what is remembered, new ones learned; earlier ones are forgotten where it grows too large."""
         at = pc.index_in(distinct, value_set=self.names)
         new = pc.filter(distinct, pc.is_null(at))
-        if len(new) + len(self.names) > CACHE:
+        if len(new) + len(self.names) > self.most:
             held = np.unique(np.append(0, at.drop_null().to_numpy()))
             sizes = self.size[held]
             self.ids = self.ids[spread(self.first[held], sizes)]
