@@ -49,13 +49,9 @@ def shared_entities(links: DataFrame, most: int = 10, crowd: int | None = None)
     numbered = classes.withColumn("class", F.element_at("ids", 1))
     flat = numbered.select("class", F.explode("entities").alias("entity"))
     ends = flat if crowd is None else flat.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy("class"))).where(F.col("_r") <= crowd)
-    near = flat.join(ends.select("entity", F.col("class").alias("near")), "entity").select("class", "near").distinct()
-    pairs = near.unionByName(near.select(F.col("near").alias("class"), F.col("class").alias("near"))).distinct()
-    own = numbered.select("class", "entities", "ids")
-    other = numbered.select(F.col("class").alias("near"), F.col("entities").alias("theirs"), F.col("ids").alias("their_ids"))
-    counted = pairs.join(own, "class").join(other, "near").withColumn("shared", F.size(F.array_intersect("entities", "theirs"))).where("shared > 0")
+    counted = flat.join(ends.select("entity", F.col("class").alias("near")), "entity").groupBy("class", "near").agg(F.count("*").alias("shared"))
     best = counted.withColumn("_r", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("shared"), "near"))).where(F.col("_r") <= most + 1)
-    named = best.select("class", "shared", F.explode("their_ids").alias("other"))
+    named = best.join(numbered.select(F.col("class").alias("near"), "ids"), "near").select("class", "shared", F.explode("ids").alias("other"))
     rows = sets.join(numbered.select("entities", "class"), "entities").select("id", "class").join(named, "class").where("id != other")
     top = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("_r") <= most)
     return top.select("id", "other", F.col("shared").cast("long").alias("shared"), F.round(F.least(F.lit(0.95), 0.5 + (F.col("shared") - 1) * 0.15), 6).alias("strength"))

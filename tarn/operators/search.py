@@ -7,7 +7,9 @@ leave the scan.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from tarn.functions.text import cjk_trigrams, contains_cjk
 from tarn.lineage import cut
 from tarn.operators.retrieval import B, K1, RRF_K, boosted
 
-BLOCK_QUERIES = 2048
+BLOCK_QUERIES, BLOCK_TEXTS = 2048, 256  # of vectors and of texts, taken at a time
 MOST_TERMS, MOST_GRAMS = 12, 24
 
 
@@ -51,55 +53,89 @@ def _blocks(queries: DataFrame, columns: list[str], size: int) -> Iterator[list]
         yield block
 
 
-def _phrase_counts(batches, phrases: list[str]):
+def _bordered(phrase: str) -> bool:
+    """Whether it may overlap with itself."""
+    return any(phrase.endswith(phrase[:i]) for i in range(1, len(phrase)))
+
+
+def _occurrences(batches, phrases: list[str]):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
     for i, p in enumerate(phrases):
-        automaton.add_word(p, (i, len(p)))
+        automaton.add_word(p, i)
     automaton.make_automaton()
+    bordered = [_bordered(p) for p in phrases]
     for batch in batches:
         ids, found, counts, lengths = [], [], [], []
         for doc, low in zip(batch.column("id").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            tf: dict[int, int] = {}
-            free: dict[int, int] = {}
-            for end, (i, n) in automaton.iter(low):
-                if end - n + 1 >= free.get(i, 0):  # occurrences that do not overlap
-                    tf[i], free[i] = tf.get(i, 0) + 1, end + 1
-            ids += [doc] * len(tf)
-            found += [phrases[i] for i in tf]
-            counts += tf.values()
-            lengths += [max(1, len(low) - 2)] * len(tf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64())], names=["id", "phrase", "tf", "dl"])
+            tf = Counter(map(itemgetter(1), automaton.iter(low)))
+            if tf:
+                ids.append(doc)
+                found.append([*tf])
+                counts.append([low.count(phrases[i]) if bordered[i] else n for i, n in tf.items()])  # those that do not overlap
+                lengths.append(max(1, len(low) - 2))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "dl", "at", "tf"])
 
 
-def phrase_hits(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """id, phrase, tf, dl (trigrams of the text) for each lower-case phrase that a text holds, in one pass over the texts."""
+def occurrences(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """id, dl (trigrams of the text), at and tf (which lower-case phrases, and how often) of the texts that hold any, in one pass."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("low"))
-    return rows.mapInArrow(lambda it: _phrase_counts(it, phrases), "id long, phrase string, tf long, dl long")
+    return rows.mapInArrow(lambda it: _occurrences(it, phrases), "id long, dl long, at array<int>, tf array<int>")
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+def phrase_hits(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """id, phrase, tf, dl for each lower-case phrase that a text holds."""
+    rows = occurrences(docs, phrases, id_col, text_col).select("id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x"))
+    named = docs.sparkSession.createDataFrame([*enumerate(phrases)], "at int, phrase string")
+    return rows.select("id", "dl", "x.at", "x.tf").join(F.broadcast(named), "at").select("id", "phrase", "tf", "dl")
+
+
+def _scored(batches, idf: np.ndarray, wanted: np.ndarray, queries: np.ndarray, avgdl: float, n: int | None):
+    """Each text's score for each query that it has a phrase of; of a batch, the n best of each query and their equals."""
+    for batch in batches:
+        ids, dl = batch.column("id").to_numpy(), batch.column("dl").to_numpy()
+        at, tf = batch.column("at"), batch.column("tf")
+        for k in range(0, len(ids), 512):
+            own = slice(k, k + 512)
+            sizes = np.diff(at[own].offsets.to_numpy())
+            doc, phrase, times = np.repeat(np.arange(len(sizes)), sizes), at[own].flatten().to_numpy(), tf[own].flatten().to_numpy().astype(float)
+            parts = np.zeros((len(sizes), len(idf)))
+            parts[doc, phrase] = idf[phrase] * times * (K1 + 1) / (times + K1 * (1 - B + B * np.repeat(dl[own], sizes) / avgdl))
+            score = np.round(parts @ wanted, 9)  # equal texts have equal scores, in whatever order they were added up
+            kept = score > 0
+            if n is not None and len(sizes) > n:
+                kept &= score >= np.partition(score, len(sizes) - n, axis=0)[len(sizes) - n]
+            row, query = np.nonzero(kept)
+            yield pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(ids[own][row]), pa.array(score[row, query])], names=["query_id", "id", "score"])
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, n: int | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """query_id, id, score: each query's rows by BM25 over its phrases. queries: query_id, query.
 
-    Rare phrases weigh more, down to a floor for those in half of all rows.
+    Rare phrases weigh more, down to a floor for those in half of all rows. With n, the n
+    best of each query are among the rows, and most others are left out: texts are read
+    once a block of queries, and scored where they lie.
     """
     texts = docs.where(F.col(text_col).isNotNull())
     totals = texts.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(1), F.length(text_col) - 2)).alias("avgdl")).first()
-    n, avgdl = totals["n"], totals["avgdl"] or 1.0
+    rows, avgdl = totals["n"], totals["avgdl"] or 1.0
     spark, out = docs.sparkSession, None
     asked = queries.select("query_id", query_phrases(F.col("query")).alias("phrases"))
-    for block in _blocks(asked, ["query_id", "phrases"], BLOCK_QUERIES):
-        phrases = sorted({p for r in block for p in r["phrases"]})
+    for block in _blocks(asked, ["query_id", "phrases"], BLOCK_TEXTS):
+        phrases = sorted({p for r in block for p in r["phrases"] or []})
         if not phrases:
             continue
-        hits = cut(phrase_hits(docs, phrases, id_col, text_col))  # read twice: how many rows hold a phrase, and which
-        df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-        idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-        wanted = spark.createDataFrame([(r["query_id"], p) for r in block for p in r["phrases"]], "query_id long, phrase string")
-        scored = hits.join(F.broadcast(df), "phrase").withColumn("part", part).join(F.broadcast(wanted), "phrase")
-        found = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        hits = cut(occurrences(docs, phrases, id_col, text_col))  # read twice: how many rows hold a phrase, and each row's score
+        df = np.zeros(len(phrases))
+        for r in hits.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # a row for each phrase of the block
+            df[r["at"]] = r["count"]
+        idf = np.maximum(1e-6, np.log(np.maximum((rows - df + 0.5) / (df + 0.5), 1e-300)))
+        place, wanted = {p: i for i, p in enumerate(phrases)}, np.zeros((len(phrases), len(block)))
+        for k, r in enumerate(block):
+            wanted[[place[p] for p in r["phrases"] or []], k] = 1
+        ids = np.array([r["query_id"] for r in block], np.int64)
+        found = hits.mapInArrow(lambda it, idf=idf, wanted=wanted, ids=ids: _scored(it, idf, wanted, ids, avgdl, n), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, id long, score double")
 

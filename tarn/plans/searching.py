@@ -29,7 +29,7 @@ phrases AS (SELECT query_id, unnest(list_filter(list_distinct(CASE WHEN contains
 BM25 = f"""{ASKED}, t AS (SELECT id, lower(content) AS low FROM mem WHERE content IS NOT NULL), tot AS (SELECT count(*) AS n, avg(greatest(1, length(low) - 2)) AS avgdl FROM t),
 h AS (SELECT id, phrase, (length(low) - length(replace(low, phrase, ''))) / length(phrase) AS tf, greatest(1, length(low) - 2) AS dl FROM t JOIN (SELECT DISTINCT phrase FROM phrases) p ON contains(low, phrase)),
 df AS (SELECT phrase, count(*) AS df FROM h GROUP BY 1),
-ft AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN df USING (phrase) JOIN phrases USING (phrase), tot GROUP BY 1, 2)"""
+ft AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h JOIN df USING (phrase) JOIN phrases USING (phrase), tot GROUP BY 1, 2)"""
 SEM = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 sem AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(v.vec, q.vec) AS score FROM v, v q WHERE q.id % 50 = 0)"""
 
@@ -38,8 +38,9 @@ def _asked(spark, sf_dir):
     return memories(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query"))
 
 
-def _text(spark, sf_dir):
-    return Q.bm25_search(memories(spark, sf_dir).select("id", "content"), _asked(spark, sf_dir))
+def _text(spark, sf_dir, n):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return Q.bm25_search(docs, _asked(spark, sf_dir), n)
 
 
 def _semantic(spark, sf_dir, k):
@@ -49,8 +50,8 @@ def _semantic(spark, sf_dir, k):
 
 @query("bm25_text", f"WITH {MEM}, {BM25} SELECT query_id, id, round(score, 6) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
 def bm25_text(spark, sf_dir):
-    scored = _text(spark, sf_dir)
-    return scored.join(Q.top_per_query(scored, 20, "rank"), ["query_id", "id"]).select("query_id", "id", F.round("score", 6).alias("score"))
+    along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return _text(spark, sf_dir, 20).withColumn("r", F.row_number().over(along)).where("r <= 20").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query("semantic_topk", f"WITH {SEM} SELECT query_id, id, round(score, 6) AS score FROM sem QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sem.score DESC, id) <= 20")
@@ -77,7 +78,7 @@ def hybrid_rrf(spark, sf_dir):
     names = mem.where("id % 50 = 0 AND project IS NOT NULL").select(F.col("id").alias("query_id"), F.lit(0).alias("place"), F.col("project").alias("name"))
     links = mem.where("project IS NOT NULL").select(F.col("id").alias("memory_id"), F.col("project").alias("entity_id"))
     by_entity = Q.entity_routed(names, links, sources, spark.createDataFrame([], "entity_id string, alias string"), mem, 40)
-    found = Q.fused(Q.top_per_query(_text(spark, sf_dir), 40, "ft_rank"), Q.top_per_query(_semantic(spark, sf_dir, 40), 40, "sem_rank"), by_entity)
+    found = Q.fused(Q.top_per_query(_text(spark, sf_dir, 40), 40, "ft_rank"), Q.top_per_query(_semantic(spark, sf_dir, 40), 40, "sem_rank"), by_entity)
     hits = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("hit_count"))
     return Q.explained(found, mem.join(hits, "id", "left").withColumn("hit_count", F.coalesce("hit_count", F.lit(0))), 20)
 

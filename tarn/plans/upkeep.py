@@ -441,8 +441,9 @@ def loop_checkpoints(spark, sf_dir):
 def context_pack(spark, sf_dir):
     """A pack for every document whose id is divisible by 50: its text hits, their replacements and relations, within a budget."""
     mem = memory_state(spark, sf_dir).select("id", "title", "content", "status", F.col("kind").alias("_k"), "layer", "hit_count", "updated").withColumn("kind", F.when(F.col("_k") == "fact", "project_fact").otherwise("raw_note"))
-    found = Q.bm25_search(mem, mem.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query")))
-    best = Q.top_per_query(found, 36, "rank").join(found, ["query_id", "id"]).join(mem.where("status = 'active'"), "id")
+    found = Q.bm25_search(mem, mem.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("query")), 36)
+    along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(along)).where("rank <= 36").join(mem.where("status = 'active'"), "id")
     score = C.candidate_score(F.col("score") / 1000, F.col("kind"), F.col("layer"), F.col("hit_count"))
     candidates = best.select(F.col("query_id").alias("pack"), "id", score.alias("score"))
     superseders = mem.where("id % 9 = 0").select(F.col("id").alias("superseder"), (F.col("id") + 1).alias("superseded"))
