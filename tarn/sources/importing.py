@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: an extension and its format; others are text
 FORMATS = {"json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "md": "markdown", "markdown": "markdown", "txt": "text"}
@@ -97,7 +97,3 @@ def path_hint(metadata: Column, path: Column) -> Column:
     """A project path that an imported row suggests: of its metadata, else the folders of its file."""
     named = F.coalesce(*[F.get_json_object(metadata, f"$.{k}") for k in ("projectPath", "project_path", "project", "workspace")])
     return F.coalesce(named, F.nullif(F.regexp_extract(path, "^(.*)/[^/]*$", 1), F.lit("")))
-
-
-def merged_metadata(metadata: Column) -> Column:
-    return F.from_json(metadata, MapType(StringType(), StringType()))

@@ -359,3 +359,29 @@ def test_expansion_share(spark):
     superseders = spark.createDataFrame([(0, 9), (1, 2)], "superseded long, superseder long")
     new = [r for r in C.promoted(candidates, superseders, memories).collect() if r["id"] == 9]
     assert len(new) == 1 and new[0]["score"] > 1.15
+
+
+def test_sections_and_budget(spark):
+    chosen = spark.createDataFrame([(1, 1, 10, "aa"), (1, 2, 11, "bb"), (1, 3, 12, "cc")], "pack long, place int, id long, content string")
+    memories = spark.createDataFrame([(10, "A", "long", "task"), (11, "B", "flash", "raw_note"), (12, "C", "short", "task")], "id long, title string, layer string, kind string")
+    got = rows(C.sections(chosen, memories))
+    assert got == [(1, 10, "raw_note", "- [flash, 11] B: bb"), (1, 5, "task", "- [long, 10] A: aa\n- [short, 12] C: cc")]
+    assert (C.token_budget(None), C.token_budget(10), C.token_budget(99_999)) == (2000, 400, 8000)
+
+
+def test_divergence_and_hints(spark):
+    from tarn.functions import rules as U
+    from tarn.operators import cycle as Y
+    from tarn.sources.importing import path_hint
+
+    memories = spark.createDataFrame([(1, "storage", "the orders service 改用 postgres"), (2, "storage", "the orders service 继续使用 mysql"), (3, "lunch", "改用 fish")], "id long, title string, content string")
+    links = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "entity_id long, id long")
+    names = spark.createDataFrame([(7, "DB"), (8, "API")], "entity_id long, name string")
+    assert rows(Y.divergent(memories, links, names)) == [(7, 1, 2)]
+    assert Y.visible_spaces("a") == ["global", "agent:a"] and Y.visible_spaces("a", "isolated", "u") == ["user:u:agent:a"]
+    df = spark.createDataFrame([(1, '{"project":"P"}', "/x/y.md"), (2, "{}", "/x/y.md"), (3, None, "y.md")], "i int, m string, p string")
+    assert [r[0] for r in df.orderBy("i").select(path_hint(F.col("m"), F.col("p"))).collect()] == ["P", "/x", None]
+    grams = spark.createDataFrame([("用缓存 ok",), ("plain",)], "t string").select(U.with_grams(F.col("t")).alias("g"))
+    assert rows(grams) == [("plain",), ("用缓存 ok 用缓 缓存",)]
+    runs = spark.createDataFrame([(1, "w", 5), (2, "w", 9), (3, None, 1)], "run int, lease_owner string, lease_expires_at int")
+    assert [r["run"] for r in P.expired_leases(runs, F.lit(5)).collect()] == [1]
