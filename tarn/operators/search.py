@@ -81,9 +81,6 @@ def _occurrences(batches, phrases: list[str]):
 def occurrences(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, dl (trigrams of the text), at and tf (which lower-case phrases, and how often) of the texts that hold any, in one pass."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("low"))
-    spread = docs.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < spread:  # a small table in few files: its texts are dealt out; a large one is read where it lies
-        rows = rows.repartition(spread)
     return rows.mapInArrow(lambda it: _occurrences(it, phrases), "id long, dl long, at array<int>, tf array<int>")
 
 
