@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, token_files, url_filter
+from tarn.llm import ann, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, simhash, token_files, url_filter
 from tarn.llm.common import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -116,6 +116,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), learn)
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=3)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -127,5 +131,6 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}
