@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, simhash, token_files, url_filter
+from tarn.llm import ann, conversation, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, simhash, token_files, url_filter
 from tarn.llm.common import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -120,6 +120,50 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=3)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with a twentieth each dropped, emptied, without ends of sentences, repeated, said by the user."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    plain = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), (F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20).alias("k"))
+    text = F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = plain.where("k != 0").select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation.reported(conversation.repair(damaged(turns)), turns)
+
+
+#: crc32 of an ASCII string s in SQL: a table made by rule, then a step for each byte.
+CRC_TABLE = """tb(i, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM tb WHERE k < 8),
+ct AS (SELECT list(c ORDER BY i) AS t FROM tb WHERE k = 8)"""
+CRC = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+k AS (SELECT c.*, {CRC.format(bytes="list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT))")} % 20 AS k FROM c, ct),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k != 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain FROM d),
+f AS (SELECT *, CASE WHEN plain = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN plain[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+grammar(g, r, h) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(g, h, cost, label) AS (SELECT g, g, 0, '' FROM range(4) s(g) UNION ALL VALUES (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 3, 5, 'I'), (2, 2, 10, 'II'), (3, 2, 5, 'I'), (3, 3, 10, 'II')),
+edit(g, h, cost, label, initial) AS (SELECT g, g, 2, 'D', NULL FROM range(4) s(g) UNION ALL SELECT g, h, 0, 'K', r FROM grammar UNION ALL SELECT g, h, 1, 'R', NULL FROM grammar WHERE r != 's'),
+move AS (SELECT ins.g, edit.h, ins.cost + edit.cost AS cost, ins.label || edit.label AS label, edit.label AS e, initial FROM ins JOIN edit ON ins.h = edit.g),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS g, {{'c': CAST(0 AS BIGINT), 'l': CAST('' AS VARCHAR)}} AS w FROM counts
+    UNION ALL SELECT walk.conv_id, walk.i + 1, m.h, min({{'c': walk.w.c + m.cost + CASE WHEN fault = 'truncated' AND e != 'D' THEN 5 ELSE 0 END, 'l': walk.w.l || m.label}})
+    FROM walk JOIN f ON walk.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = walk.i + 1 JOIN move m ON m.g = walk.g AND (m.initial IS NULL OR m.initial = f.r) AND (e = 'D' OR fault NOT IN ('blank', 'duplicate')) GROUP BY 1, 2, 3),
+best AS (SELECT walk.conv_id, min({{'c': walk.w.c + ins.cost, 'l': walk.w.l || ins.label}}) AS w FROM walk JOIN counts ON walk.conv_id IS NOT DISTINCT FROM counts.conv_id AND walk.i = n JOIN ins ON ins.g = walk.g AND ins.h IN (0, 3) GROUP BY 1),
+letters AS (SELECT conv_id, unnest(string_split(w.l, '')) AS e, generate_subscripts(string_split(w.l, ''), 1) AS pos FROM best WHERE w.l != ''),
+placed AS (SELECT *, count(*) FILTER (e != 'I') OVER b AS i, count(*) FILTER (e != 'D') OVER b AS p, count(*) FILTER (e != 'D') OVER (PARTITION BY conv_id) AS m FROM letters WINDOW b AS (PARTITION BY conv_id ORDER BY pos)),
+lines AS (SELECT placed.conv_id, pos, CASE WHEN e = 'K' THEN role WHEN (p + m) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line FROM placed LEFT JOIN f ON placed.conv_id IS NOT DISTINCT FROM f.conv_id AND placed.i = f.i WHERE e != 'D'),
+said AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) AS said FROM lines GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.w.c, 0) AS cost, coalesce(best.w.l, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON a.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN said ON a.conv_id IS NOT DISTINCT FROM said.conv_id
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -132,5 +176,6 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_conversation_repair": OP12_SQL}
