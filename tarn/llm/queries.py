@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import ann, conversation, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, simhash, token_files, url_filter
+from tarn.llm import ann, conversation, exact_dedup, html_extract, lm_scoring, near_dedup, packing, quality, sentencepiece, simhash, spelling, token_files, url_filter
 from tarn.llm.common import own_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -164,6 +164,28 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON a.conv_i
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), every=31))
+
+
+_UTF8 = "flatten(list_transform(string_split({s}, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [CAST(192 + (ord(x) >> 6) AS BIGINT), CAST(128 + (ord(x) & 63) AS BIGINT)] END))"
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents WHERE text IS NOT NULL),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+summed AS (SELECT run, n, {CRC.format(bytes=_UTF8.format(s="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS h FROM own, ct),
+results AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+del AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word != b.word
+    UNION SELECT del.word, w.word, w.n FROM del JOIN w ON d = w.word UNION SELECT w.word, del.word, del.n FROM del JOIN w ON d = w.word),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'other': other}}) AS top FROM near GROUP BY 1),
+found AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.less >= 10 * n THEN top.other END AS form, CASE WHEN -top.less >= 10 * n THEN -top.less END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM found UNION ALL SELECT chain.word, found.form, k + 1 FROM chain JOIN found ON chain.root = found.word WHERE found.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM found JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY 1) USING (word)
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -177,5 +199,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_conversation_repair": OP12_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}

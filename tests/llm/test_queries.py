@@ -31,7 +31,7 @@ def crc(values):
 
 
 def test_all_are_tested():
-    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("packing exact_dedup url_filter html_extraction token_files quality_classifier sentencepiece nearest_neighbours minhash_near_dedup lm_scoring simhash_near_dedup conversation_repair".split(), 1))
+    assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("packing exact_dedup url_filter html_extraction token_files quality_classifier sentencepiece nearest_neighbours minhash_near_dedup lm_scoring simhash_near_dedup conversation_repair spelling_variants".split(), 1))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
