@@ -1,8 +1,11 @@
 """Search for a set of queries at once: phrases, vectors, entities, expansion, fusion, evaluation.
 
-A query set is a stated one and meets all rows in blocks: its phrases and vectors are
-broadcast by the block, texts and vectors are read once where they lie, and only hits
-leave the scan.
+A query set is a stated one and meets all rows. Texts are read once for a block of
+BLOCK_PHRASES distinct phrases, which is more than five thousand queries ask for, or not at all where a
+persistent index has their words (operators/textindex.py). Either way what is found is an
+inverted file of phrases, and ranking is joins on it: a bound on the n-th best score tells
+which phrases, and which of their postings, can still lead to a row among the n best.
+Vectors are broadcast by the block and read where they lie.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from tarn.functions.text import cjk_trigrams, contains_cjk
 from tarn.lineage import cut
 from tarn.operators.retrieval import B, K1, RRF_K, boosted
 
-BLOCK_QUERIES, BLOCK_TEXTS = 2048, 256  # of vectors and of texts, taken at a time
+BLOCK_QUERIES, BLOCK_PHRASES = 2048, 1 << 16  # taken at a time
+BROADCAST_TERMS = 1 << 19  # rows of 40 bytes at most: 20 MB
+SLACK = 1e-6  # scores are rounded to 1e-9
 MOST_TERMS, MOST_GRAMS = 12, 24
 
 
@@ -58,86 +63,119 @@ def _bordered(phrase: str) -> bool:
     return any(phrase.endswith(phrase[:i]) for i in range(1, len(phrase)))
 
 
-def _occurrences(batches, phrases: list[str]):
-    import ahocorasick
+class Phrases:
+    """An automaton of phrases, by place in their list."""
 
-    automaton = ahocorasick.Automaton()
-    for i, p in enumerate(phrases):
-        automaton.add_word(p, i)
-    automaton.make_automaton()
-    bordered = [_bordered(p) for p in phrases]
+    def __init__(self, phrases: list[str]):
+        import ahocorasick
+
+        self.phrases, self.bordered, self.automaton = phrases, [_bordered(p) for p in phrases], ahocorasick.Automaton()
+        for i, p in enumerate(phrases):
+            self.automaton.add_word(p, i)
+        if phrases:
+            self.automaton.make_automaton()
+
+    def counts(self, low: str) -> tuple[list[int], list[int]]:
+        """Which phrases a text holds, and how often each without overlaps."""
+        tf = Counter(map(itemgetter(1), self.automaton.iter(low))) if self.phrases else {}
+        return [*tf], [low.count(self.phrases[i]) if self.bordered[i] else n for i, n in tf.items()]
+
+
+def _occurrences(batches, names: list[int], phrases: list[str]):
+    own, at = Phrases(phrases), np.array(names, np.int64)
     for batch in batches:
-        ids, found, counts, lengths = [], [], [], []
+        ids, found, counts, lengths, ends = [], [], [], [], [0]
         for doc, low in zip(batch.column("id").to_pylist(), batch.column("low").to_pylist(), strict=True):
-            tf = Counter(map(itemgetter(1), automaton.iter(low)))
-            if tf:
+            which, times = own.counts(low)
+            if which:
                 ids.append(doc)
-                found.append([*tf])
-                counts.append([low.count(phrases[i]) if bordered[i] else n for i, n in tf.items()])  # those that do not overlap
+                found += which
+                counts += times
+                ends.append(len(found))
                 lengths.append(max(1, len(low) - 2))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "dl", "at", "tf"])
+        offsets = pa.array(ends, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(at[np.array(found, np.int64)]), pa.array(counts, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), *lists], names=["id", "dl", "at", "tf"])
 
 
-def occurrences(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """id, dl (trigrams of the text), at and tf (which lower-case phrases, and how often) of the texts that hold any, in one pass."""
+def occurrences(docs: DataFrame, names: list[int], phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """id, dl (trigrams of the text), at and tf (the names of the lower-case phrases, and how often) of the texts that hold any, in one pass."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("low"))
-    return rows.mapInArrow(lambda it: _occurrences(it, phrases), "id long, dl long, at array<int>, tf array<int>")
+    return rows.mapInArrow(lambda it: _occurrences(it, names, phrases), "id long, dl long, at array<long>, tf array<int>")
 
 
 def phrase_hits(docs: DataFrame, phrases: list[str], id_col: str = "id", text_col: str = "content") -> DataFrame:
     """id, phrase, tf, dl for each lower-case phrase that a text holds."""
-    rows = occurrences(docs, phrases, id_col, text_col).select("id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x"))
-    named = docs.sparkSession.createDataFrame([*enumerate(phrases)], "at int, phrase string")
+    rows = occurrences(docs, [*range(len(phrases))], phrases, id_col, text_col).select("id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x"))
+    named = docs.sparkSession.createDataFrame([*enumerate(phrases)], "at long, phrase string")
     return rows.select("id", "dl", "x.at", "x.tf").join(F.broadcast(named), "at").select("id", "phrase", "tf", "dl")
 
 
-def _scored(batches, idf: np.ndarray, wanted: np.ndarray, queries: np.ndarray, avgdl: float, n: int | None):
-    """Each text's score for each query that it has a phrase of; of a batch, the n best of each query and their equals."""
-    for batch in batches:
-        ids, dl = batch.column("id").to_numpy(), batch.column("dl").to_numpy()
-        at, tf = batch.column("at"), batch.column("tf")
-        for k in range(0, len(ids), 512):
-            own = slice(k, k + 512)
-            sizes = np.diff(at[own].offsets.to_numpy())
-            doc, phrase, times = np.repeat(np.arange(len(sizes)), sizes), at[own].flatten().to_numpy(), tf[own].flatten().to_numpy().astype(float)
-            parts = np.zeros((len(sizes), len(idf)))
-            parts[doc, phrase] = idf[phrase] * times * (K1 + 1) / (times + K1 * (1 - B + B * np.repeat(dl[own], sizes) / avgdl))
-            score = np.round(parts @ wanted, 9)  # equal texts have equal scores, in whatever order they were added up
-            kept = score > 0
-            if n is not None and len(sizes) > n:
-                kept &= score >= np.partition(score, len(sizes) - n, axis=0)[len(sizes) - n]
-            row, query = np.nonzero(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(queries[query]), pa.array(ids[own][row]), pa.array(score[row, query])], names=["query_id", "id", "score"])
+def asked_phrases(queries: DataFrame) -> DataFrame:
+    """query_id, at, phrase of queries (query_id, query): what each asks for; at is the phrase's 64-bit hash."""
+    asked = queries.select("query_id", F.explode(query_phrases(F.col("query"))).alias("phrase"))
+    return cut(asked.select("query_id", F.xxhash64("phrase").alias("at"), "phrase"))
+
+
+def scanned(docs: DataFrame, phrases: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
+    """id, dl, at, tf of all distinct phrases (at, phrase): texts are read once for a block of BLOCK_PHRASES."""
+    out = None
+    for block in _blocks(phrases.select("at", "phrase").distinct(), ["at", "phrase"], BLOCK_PHRASES):
+        found = occurrences(docs, [r["at"] for r in block], [r["phrase"] for r in block], id_col, text_col)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.sparkSession.createDataFrame([], "id long, dl long, at array<long>, tf array<int>")
+
+
+def ranked(hits: DataFrame, asked: DataFrame, rows: int, avgdl: float, n: int | None = None) -> DataFrame:
+    """query_id, id, score by BM25. hits: id, dl, at, tf (arrays); asked: query_id, at; rows, avgdl: of all texts.
+
+    With n, the n best of each query are among the rows, and most others are left out. The
+    rows that a query's rarest phrases find give a bound that its n best reach.
+    Phrases in order of the most that they give anywhere: a row whose first phrase gives
+    less than the bound, less the most that all later ones give, is out of reach. So the
+    common phrases of a query seldom bring rows in; they only add to the scores of rows
+    that others found.
+    """
+    hits = cut(hits)  # read for frequencies, bounds, candidates and scores
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+    postings = hits.select("id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x")).select("id", "x.at", "dl", "x.tf").select("id", "at", norm.alias("unit"))
+    idf = F.greatest(F.lit(1e-6), F.log(F.greatest((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(1e-300))))
+    stats = postings.groupBy("at").agg(F.count("*").alias("df"), F.max("unit").alias("top")).select("at", "df", idf.alias("idf"), (idf * F.col("top")).alias("most"))
+    by_most, rarest = Window.partitionBy("query_id").orderBy(F.desc("most"), "at"), Window.partitionBy("query_id").orderBy("df", "at")
+    later = F.coalesce(F.sum("most").over(by_most.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    terms = cut(asked.join(stats, "at").select("query_id", "at", "idf", "most", later.alias("later"), before.alias("before")))  # some MOST_TERMS + 1 a query
+    of = (lambda df: F.broadcast(df)) if terms.count() <= BROADCAST_TERMS else (lambda df: df)
+    if n is None:
+        found = postings.join(of(terms.select("query_id", "at", "idf")), "at")
+        return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("unit")), 9).alias("score")).where("score > 0")
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        held = pairs.join(hits, "id").select("query_id", "id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x")).select("query_id", "id", "dl", "x.at", "x.tf")
+        return held.join(of(terms.select("query_id", "at", "idf")), ["query_id", "at"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * norm), 9).alias("score")).where("score > 0")
+
+    def best(scored: DataFrame, by: str, most: int) -> DataFrame:
+        return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by)))).where(F.col("r") <= most)
+
+    seeds = postings.join(of(terms.where(F.col("before") < 4 * n).select("query_id", "at", "idf")), "at")
+    likely = best(seeds.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("unit")).alias("part")), "part", 2 * n).select("query_id", "id")
+    bound = best(scores(likely), "score", n).groupBy("query_id").agg(F.when(F.max("r") == n, F.min("score")).otherwise(0.0).alias("bound"))
+    least = F.coalesce("bound", F.lit(0.0)) - F.col("later") - SLACK
+    open_terms = terms.join(of(bound), "query_id", "left").withColumn("least", least).where(F.col("most") >= F.col("least")).select("query_id", "at", "idf", "least")
+    met = postings.join(of(open_terms), "at").where(F.col("idf") * F.col("unit") >= F.col("least"))
+    return scores(met.select("query_id", "id").distinct())
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, n: int | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
     """query_id, id, score: each query's rows by BM25 over its phrases. queries: query_id, query.
 
     Rare phrases weigh more, down to a floor for those in half of all rows. With n, the n
-    best of each query are among the rows, and most others are left out: texts are read
-    once a block of queries, and scored where they lie.
+    best of each query are among the rows, and most others are left out.
     """
     texts = docs.where(F.col(text_col).isNotNull())
     totals = texts.agg(F.count("*").alias("n"), F.avg(F.greatest(F.lit(1), F.length(text_col) - 2)).alias("avgdl")).first()
-    rows, avgdl = totals["n"], totals["avgdl"] or 1.0
-    spark, out = docs.sparkSession, None
-    asked = queries.select("query_id", query_phrases(F.col("query")).alias("phrases"))
-    for block in _blocks(asked, ["query_id", "phrases"], BLOCK_TEXTS):
-        phrases = sorted({p for r in block for p in r["phrases"] or []})
-        if not phrases:
-            continue
-        hits = cut(occurrences(docs, phrases, id_col, text_col))  # read twice: how many rows hold a phrase, and each row's score
-        df = np.zeros(len(phrases))
-        for r in hits.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # a row for each phrase of the block
-            df[r["at"]] = r["count"]
-        idf = np.maximum(1e-6, np.log(np.maximum((rows - df + 0.5) / (df + 0.5), 1e-300)))
-        place, wanted = {p: i for i, p in enumerate(phrases)}, np.zeros((len(phrases), len(block)))
-        for k, r in enumerate(block):
-            wanted[[place[p] for p in r["phrases"] or []], k] = 1
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        found = hits.mapInArrow(lambda it, idf=idf, wanted=wanted, ids=ids: _scored(it, idf, wanted, ids, avgdl, n), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, id long, score double")
+    asked = asked_phrases(queries)
+    return ranked(scanned(docs, asked, id_col, text_col), asked.select("query_id", "at"), totals["n"], totals["avgdl"] or 1.0, n)
 
 
 def _best(batches, ids: np.ndarray, targets: np.ndarray, k: int):
