@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,11 +14,23 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir. Where it is unset, a local session gets a temporary
     one; a cluster has no safe default, so it must set one.
     """
+    _folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a compressed table beside the checkpoints and read from there: for what is large, or read by columns."""
     spark = df.sparkSession
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarn-"))
-    return df.checkpoint()
+    return context.getCheckpointDir().rstrip("/")

@@ -20,16 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import cjk_trigrams, contains_cjk
-from tarn.lineage import cut
+from tarn.lineage import cut, kept
 from tarn.operators.retrieval import B, K1, RRF_K, boosted
 
 BLOCK_QUERIES, BLOCK_PHRASES = 2048, 1 << 16  # taken at a time
-BROADCAST_TERMS = 1 << 19  # rows of 40 bytes at most: 20 MB
+BLOCK_TERMS = 1 << 18  # of a block of queries, some 15 MB in a task
 SLACK = 1e-6  # scores are rounded to 1e-9
 MOST_TERMS, MOST_GRAMS = 12, 24
 
 
-def query_phrases(text: Column) -> Column:
+def query_phrases(text: Column, most_terms: int = MOST_TERMS) -> Column:
     """The phrases that a query asks for, any of which may be found: itself and its words, or its trigrams of ideographs.
 
     A query with * is its words, those with * as prefixes (in substring search the same).
@@ -37,10 +37,10 @@ def query_phrases(text: Column) -> Column:
     """
     norm = F.lower(F.trim(F.regexp_replace(text, "\\s+", " ")))
     terms = F.split(norm, " ")
-    words = F.slice(F.regexp_extract_all(norm, F.lit("[\\p{L}\\p{N}_-]{2,}"), F.lit(0)), 1, MOST_TERMS)
+    words = F.slice(F.regexp_extract_all(norm, F.lit("[\\p{L}\\p{N}_-]{2,}"), F.lit(0)), 1, most_terms)
     plain = F.concat(F.array(norm), words)
     starred = norm.contains("*") & F.forall(terms, lambda t: t.rlike("^[\\p{L}\\p{N}_-]+\\*?$"))
-    wild = F.slice(F.transform(terms, lambda t: F.rtrim(t, F.lit("*"))), 1, MOST_TERMS)
+    wild = F.slice(F.transform(terms, lambda t: F.rtrim(t, F.lit("*"))), 1, most_terms)
     mixed = F.flatten(F.transform(terms, lambda t: F.when(contains_cjk(t), F.when(F.length(t) >= 3, cjk_trigrams(t)).otherwise(F.array().cast("array<string>"))).otherwise(F.filter(F.array(t), lambda x: x.rlike("^[\\p{L}\\p{N}_-]{2,}$")))))
     found = F.when(starred, wild).when(contains_cjk(norm), F.slice(F.array_distinct(mixed), 1, MOST_GRAMS)).otherwise(plain)
     return F.filter(F.array_distinct(found), lambda p: F.length(p) >= 3)
@@ -111,59 +111,124 @@ def phrase_hits(docs: DataFrame, phrases: list[str], id_col: str = "id", text_co
     return rows.select("id", "dl", "x.at", "x.tf").join(F.broadcast(named), "at").select("id", "phrase", "tf", "dl")
 
 
-def asked_phrases(queries: DataFrame) -> DataFrame:
+def asked_phrases(queries: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
     """query_id, at, phrase of queries (query_id, query): what each asks for; at is the phrase's 64-bit hash."""
-    asked = queries.select("query_id", F.explode(query_phrases(F.col("query"))).alias("phrase"))
+    asked = queries.select("query_id", F.explode(query_phrases(F.col("query"), most_terms)).alias("phrase"))
     return cut(asked.select("query_id", F.xxhash64("phrase").alias("at"), "phrase"))
 
 
 def scanned(docs: DataFrame, phrases: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """id, dl, at, tf of all distinct phrases (at, phrase): texts are read once for a block of BLOCK_PHRASES."""
-    out = None
+    """id, dl, at, tf of all distinct phrases (at, phrase), a row for each id: texts are read once for a block of BLOCK_PHRASES."""
+    out, blocks = None, 0
     for block in _blocks(phrases.select("at", "phrase").distinct(), ["at", "phrase"], BLOCK_PHRASES):
         found = occurrences(docs, [r["at"] for r in block], [r["phrase"] for r in block], id_col, text_col)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "id long, dl long, at array<long>, tf array<int>")
+        out, blocks = found if out is None else out.unionByName(found), blocks + 1
+    if out is None:
+        return docs.sparkSession.createDataFrame([], "id long, dl long, at array<long>, tf array<int>")
+    if blocks == 1:
+        return out
+    return out.groupBy("id").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("at", "tf")).alias("x")).select("id", "dl", F.flatten("x.at").alias("at"), F.flatten("x.tf").alias("tf"))  # an entry for each block
+
+
+class _Terms:
+    """What a block of queries asks for: its terms, and those of them that bring rows in."""
+
+    def __init__(self, rows: list, avgdl: float):
+        self.avgdl = avgdl
+        self.queries, query = np.unique(np.array([r["query_id"] for r in rows], np.int64), return_inverse=True)
+        at, self.idf = np.array([r["at"] for r in rows], np.int64), np.array([r["idf"] for r in rows], float)
+        self.phrases, phrase = np.unique(at, return_inverse=True)
+        order = np.argsort(query, kind="stable")
+        self.begins, self.phrase, self.weight = np.searchsorted(query[order], np.arange(len(self.queries) + 1)), phrase[order], self.idf[order]
+        least, share = np.array([r["least"] for r in rows], float), np.array([r["share"] for r in rows], float)
+        opens = np.flatnonzero(np.array([r["opens"] for r in rows], bool))
+        opens = opens[np.argsort(phrase[opens], kind="stable")]
+        self.heads = np.searchsorted(phrase[opens], np.arange(len(self.phrases) + 1))
+        self.to, self.to_idf, self.least, self.share = query[opens], self.idf[opens], least[opens], share[opens]
+        self.floor = np.full(len(self.queries), -np.inf)
+        np.maximum.at(self.floor, query, np.array([r["floor"] for r in rows], float))
+
+    def scores(self, ids: np.ndarray, dl: np.ndarray, doc: np.ndarray, at: np.ndarray, tf: np.ndarray):
+        """query_id, id and score of the rows that open terms bring in and that reach their query's floor. doc: places in ids, ascending."""
+        place = np.minimum(np.searchsorted(self.phrases, at), max(len(self.phrases) - 1, 0))
+        known = self.phrases[place] == at if len(self.phrases) else np.zeros(len(at), bool)
+        doc, place, tf = doc[known], place[known], tf[known].astype(float)
+        unit = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / self.avgdl))
+        times = self.heads[place + 1] - self.heads[place]
+        row = np.repeat(np.arange(len(place)), times)
+        term = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + self.heads[place[row]]
+        within = (self.to_idf[term] * unit[row] >= self.least[term]) & ((ids[doc[row]] * 0x9E3779B1 & 0xFFFFFFFF) < self.share[term] * 4294967296.0)
+        pairs = np.unique(doc[row[within]] * len(self.queries) + self.to[term[within]])
+        d, q = pairs // max(len(self.queries), 1), pairs % max(len(self.queries), 1)
+        # each pair's query's terms, looked up among the row's phrases
+        keys = doc * len(self.phrases) + place
+        order = np.argsort(keys)
+        keys, unit = keys[order], unit[order]
+        sizes = self.begins[q + 1] - self.begins[q]
+        pair = np.repeat(np.arange(len(pairs)), sizes)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + self.begins[q[pair]]
+        wanted = d[pair] * len(self.phrases) + self.phrase[k]
+        found = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        part = np.where(keys[found] == wanted, self.weight[k] * unit[found], 0.0) if len(keys) else np.zeros(0)
+        score = np.round(np.bincount(pair, part, len(pairs)), 9)  # equal texts have equal scores, in whatever order they were added up
+        kept = (score > 0) & (score >= self.floor[q])
+        return self.queries[q[kept]], ids[d[kept]], score[kept]
+
+
+def _scored(batches, terms: _Terms):
+    for batch in batches:
+        for k in range(0, len(batch), 1024):
+            own = batch.slice(k, 1024)
+            at, tf = own.column("at"), own.column("tf")
+            sizes = np.diff(at.offsets.to_numpy())
+            found = terms.scores(own.column("id").to_numpy(), own.column("dl").to_numpy(), np.repeat(np.arange(len(sizes)), sizes), at.flatten().to_numpy(), tf.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "id", "score"])
 
 
 def ranked(hits: DataFrame, asked: DataFrame, rows: int, avgdl: float, n: int | None = None) -> DataFrame:
-    """query_id, id, score by BM25. hits: id, dl, at, tf (arrays); asked: query_id, at; rows, avgdl: of all texts.
+    """query_id, id, score by BM25. hits: id, dl, at, tf (arrays), a row for each id; asked: query_id, at; rows, avgdl: of all texts.
 
     With n, the n best of each query are among the rows, and most others are left out. The
-    rows that a query's rarest phrases find give a bound that its n best reach.
+    rows that a query's rarest phrases find (of a common one, a share) give a bound that
+    its n best reach.
     Phrases in order of the most that they give anywhere: a row whose first phrase gives
     less than the bound, less the most that all later ones give, is out of reach. So the
     common phrases of a query seldom bring rows in; they only add to the scores of rows
-    that others found.
+    that others found. Rows are scored where their hits lie, and those below the bound
+    never leave the task.
     """
-    hits = cut(hits)  # read for frequencies, bounds, candidates and scores
+    spark = hits.sparkSession
+    hits = kept(hits, "hits")  # read for frequencies, bounds and scores
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    postings = hits.select("id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x")).select("id", "x.at", "dl", "x.tf").select("id", "at", norm.alias("unit"))
+    postings = hits.select("dl", F.explode(F.arrays_zip("at", "tf")).alias("x")).select("x.at", "dl", "x.tf").select("at", norm.alias("unit"))
     idf = F.greatest(F.lit(1e-6), F.log(F.greatest((F.lit(rows) - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(1e-300))))
     stats = postings.groupBy("at").agg(F.count("*").alias("df"), F.max("unit").alias("top")).select("at", "df", idf.alias("idf"), (idf * F.col("top")).alias("most"))
     by_most, rarest = Window.partitionBy("query_id").orderBy(F.desc("most"), "at"), Window.partitionBy("query_id").orderBy("df", "at")
     later = F.coalesce(F.sum("most").over(by_most.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
     before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    terms = cut(asked.join(stats, "at").select("query_id", "at", "idf", "most", later.alias("later"), before.alias("before")))  # some MOST_TERMS + 1 a query
-    of = (lambda df: F.broadcast(df)) if terms.count() <= BROADCAST_TERMS else (lambda df: df)
+    terms = kept(asked.join(stats, "at").select("query_id", "at", "df", "idf", "most", later.alias("later"), before.alias("before")), "terms")  # some MOST_TERMS + 1 a query
+    blocks = terms.count() // BLOCK_TERMS + 1
+
+    def scores(own: DataFrame) -> DataFrame:
+        """own: query_id, at, idf, and for each term whether it opens, the least that it must give, the share of ids that it is asked of, and its query's floor."""
+        out = None
+        for k in range(blocks):
+            block = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).select("query_id", "at", "idf", "opens", "least", "share", "floor").collect()
+            if block:
+                held = spark.sparkContext.broadcast(_Terms(block, avgdl))
+                found = hits.mapInArrow(lambda it, held=held: _scored(it, held.value), "query_id long, id long, score double")
+                out = found if out is None else out.unionByName(found)
+        return out if out is not None else spark.createDataFrame([], "query_id long, id long, score double")
+
+    always = {"least": F.lit(float("-inf")), "floor": F.lit(float("-inf"))}
     if n is None:
-        found = postings.join(of(terms.select("query_id", "at", "idf")), "at")
-        return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("unit")), 9).alias("score")).where("score > 0")
-
-    def scores(pairs: DataFrame) -> DataFrame:
-        held = pairs.join(hits, "id").select("query_id", "id", "dl", F.explode(F.arrays_zip("at", "tf")).alias("x")).select("query_id", "id", "dl", "x.at", "x.tf")
-        return held.join(of(terms.select("query_id", "at", "idf")), ["query_id", "at"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * norm), 9).alias("score")).where("score > 0")
-
-    def best(scored: DataFrame, by: str, most: int) -> DataFrame:
-        return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by)))).where(F.col("r") <= most)
-
-    seeds = postings.join(of(terms.where(F.col("before") < 4 * n).select("query_id", "at", "idf")), "at")
-    likely = best(seeds.groupBy("query_id", "id").agg(F.sum(F.col("idf") * F.col("unit")).alias("part")), "part", 2 * n).select("query_id", "id")
-    bound = best(scores(likely), "score", n).groupBy("query_id").agg(F.when(F.max("r") == n, F.min("score")).otherwise(0.0).alias("bound"))
-    least = F.coalesce("bound", F.lit(0.0)) - F.col("later") - SLACK
-    open_terms = terms.join(of(bound), "query_id", "left").withColumn("least", least).where(F.col("most") >= F.col("least")).select("query_id", "at", "idf", "least")
-    met = postings.join(of(open_terms), "at").where(F.col("idf") * F.col("unit") >= F.col("least"))
-    return scores(met.select("query_id", "id").distinct())
+        return scores(terms.withColumns({"opens": F.lit(True), "share": F.lit(1.0), **always}))
+    seeds = scores(terms.withColumns({"opens": F.col("before") < 4 * n, "share": F.least(F.lit(1.0), 50 * n / F.col("df")), **always}))
+    best = seeds.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= n)
+    bound = kept(best.groupBy("query_id").agg(F.when(F.max("r") == n, F.min("score") - SLACK).alias("floor")), "bounds")
+    floor = F.coalesce("floor", F.lit(float("-inf")))
+    least = floor - F.col("later")
+    return scores(terms.join(bound, "query_id", "left").withColumns({"opens": F.col("most") >= least, "least": least, "share": F.lit(1.0), "floor": floor}))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, n: int | None = None, id_col: str = "id", text_col: str = "content") -> DataFrame:
