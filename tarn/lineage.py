@@ -14,19 +14,20 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is spark.checkpoint.dir. Where it is unset, a local session gets a temporary
     one; a cluster has no safe default, so it must set one.
     """
-    _folder(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to a compressed table beside the checkpoints and read from there: for what is large, or read by columns."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """Where this application's checkpoints are."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.textindex import TextIndex
+
 from tarn.functions import rules as R
 
 
@@ -130,3 +132,16 @@ def debounced(events: DataFrame, keys: list[str], seconds: int = 60, at: str = "
     """events that are no later update of a record: one that comes within so many seconds of the one before belongs to it."""
     before = F.lag(at).over(Window.partitionBy(*keys).orderBy(at))
     return events.withColumn("_gap", F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))).where(F.col("_gap").isNull() | (F.col("_gap") >= seconds * 1_000_000)).drop("_gap")
+
+
+def thread_history(threads: DataFrame, linked: DataFrame, memories: DataFrame, index: TextIndex, most: int = 5) -> DataFrame:
+    """thread_id, rank, id: the memories of earlier days that say most of what a thread is about, and are not linked with it yet.
+
+    threads: thread_id, subject, started; linked: thread_id, id; memories: id, created, of
+    those that the index holds. A null subject finds nothing.
+    """
+    found = index.search(threads.select(F.col("thread_id").alias("query_id"), F.col("subject").alias("query")))
+    own = found.withColumnRenamed("query_id", "thread_id").join(threads.select("thread_id", "started"), "thread_id").join(memories.select("id", "created"), "id").where("created < started")
+    free = own.join(linked.select("thread_id", "id").distinct(), ["thread_id", "id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("score"), "id"))
+    return free.withColumn("rank", rank).where(F.col("rank") <= most).select("thread_id", "rank", "id")

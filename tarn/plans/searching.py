@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import rules as U
 from tarn.functions import text as T
+from tarn.lineage import folder
 from tarn.operators import filters as L
+from tarn.operators import mailbox as B
 from tarn.operators import relational as R
 from tarn.operators import search as Q
+from tarn.operators.textindex import TextIndex
 from tarn.plans.registry import query
+from tarn.sources.importing import ranked_preview
 from tarn.sources.tables import memories, table
 
 MEM = """mem AS (SELECT d.doc_id AS id, substr(text, 1, 60) AS title, text AS content, source AS project, lang AS agent_space,
@@ -22,14 +28,21 @@ st AS (SELECT m.*, CAST(created + CAST(m.id % 30 AS INTEGER) AS DATE) AS updated
 CASE WHEN m.id % 11 != 0 THEN list_filter([project, CASE WHEN m.id % 3 = 0 THEN 'kind:task' END, CASE WHEN m.id % 5 = 0 THEN 'project:alpha' END, CASE WHEN m.id % 7 = 0 THEN agent_space END], lambda t: t IS NOT NULL) ELSE [] END AS tags,
 CASE WHEN m.id % 4 != 1 THEN 'import' END AS source, CASE WHEN m.id % 6 = 0 THEN 'fact' END AS kind, m.id % 10 = 0 AS independent FROM mem m LEFT JOIN hit USING (id))"""
 # every document whose id is divisible by 50 is a query: its title, and its vector where it has one
-ASKED = """asked AS (SELECT id AS query_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS norm FROM mem WHERE id % 50 = 0 AND title IS NOT NULL),
-terms AS (SELECT *, string_split(norm, ' ') AS ts FROM asked),
-phrases AS (SELECT query_id, unnest(list_filter(list_distinct(CASE WHEN contains(norm, '*') AND len(list_filter(ts, lambda t: NOT regexp_full_match(t, '[\\p{L}\\p{N}_-]+\\*?'))) = 0
-  THEN list_transform(ts, lambda t: rtrim(t, '*'))[1:12] ELSE list_concat([norm], regexp_extract_all(norm, '[\\p{L}\\p{N}_-]{2,}')[1:12]) END), lambda p: length(p) >= 3)) AS phrase FROM terms)"""
-BM25 = f"""{ASKED}, t AS (SELECT id, lower(content) AS low FROM mem WHERE content IS NOT NULL), tot AS (SELECT count(*) AS n, avg(greatest(1, length(low) - 2)) AS avgdl FROM t),
-h AS (SELECT id, phrase, (length(low) - length(replace(low, phrase, ''))) / length(phrase) AS tf, greatest(1, length(low) - 2) AS dl FROM t JOIN (SELECT DISTINCT phrase FROM phrases) p ON contains(low, phrase)),
-df AS (SELECT phrase, count(*) AS df FROM h GROUP BY 1),
-ft AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h JOIN df USING (phrase) JOIN phrases USING (phrase), tot GROUP BY 1, 2)"""
+TITLES = "SELECT id AS query_id, title AS query FROM mem WHERE id % 50 = 0"
+
+
+def _full_text(asked: str = TITLES, texts: str = "SELECT id, content FROM mem", most: int = 12, tag: str = "") -> str:
+    """ft: query_id, id, score of any queries (query_id, query) over any texts (id, content); tag tells several in one statement apart."""
+    return f"""asked{tag} AS (SELECT query_id, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS norm FROM ({asked}) WHERE query IS NOT NULL),
+terms{tag} AS (SELECT *, string_split(norm, ' ') AS ts FROM asked{tag}),
+phrases{tag} AS (SELECT query_id, unnest(list_filter(list_distinct(CASE WHEN contains(norm, '*') AND len(list_filter(ts, lambda t: NOT regexp_full_match(t, '[\\p{{L}}\\p{{N}}_-]+\\*?'))) = 0
+  THEN list_transform(ts, lambda t: rtrim(t, '*'))[1:{most}] ELSE list_concat([norm], regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_-]{{2,}}')[1:{most}]) END), lambda p: length(p) >= 3)) AS phrase FROM terms{tag}),
+t{tag} AS (SELECT id, lower(content) AS low FROM ({texts}) WHERE content IS NOT NULL), tot{tag} AS (SELECT count(*) AS n, avg(greatest(1, length(low) - 2)) AS avgdl FROM t{tag}),
+h{tag} AS (SELECT id, phrase, (length(low) - length(replace(low, phrase, ''))) / length(phrase) AS tf, greatest(1, length(low) - 2) AS dl FROM t{tag} JOIN (SELECT DISTINCT phrase FROM phrases{tag}) p ON contains(low, phrase)),
+df{tag} AS (SELECT phrase, count(*) AS df FROM h{tag} GROUP BY 1),
+ft{tag} AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM h{tag} JOIN df{tag} USING (phrase) JOIN phrases{tag} USING (phrase), tot{tag} GROUP BY 1, 2)"""
+
+
 SEM = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
 sem AS (SELECT q.id AS query_id, v.id, list_cosine_similarity(v.vec, q.vec) AS score FROM v, v q WHERE q.id % 50 = 0)"""
 
@@ -48,7 +61,7 @@ def _semantic(spark, sf_dir, k):
     return Q.vector_search(vectors, vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vec")), k)
 
 
-@query("bm25_text", f"WITH {MEM}, {BM25} SELECT query_id, id, round(score, 6) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
+@query("bm25_text", f"WITH {MEM}, {_full_text()} SELECT query_id, id, round(score, 6) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
 def bm25_text(spark, sf_dir):
     along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return _text(spark, sf_dir, 20).withColumn("r", F.row_number().over(along)).where("r <= 20").select("query_id", "id", F.round("score", 6).alias("score"))
@@ -60,7 +73,7 @@ def semantic_topk(spark, sf_dir):
     return _semantic(spark, sf_dir, 20).withColumn("r", F.row_number().over(along)).where("r <= 20").select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_rrf", f"""WITH {MEM}, {BM25}, {SEM},
+@query("hybrid_rrf", f"""WITH {MEM}, {_full_text()}, {SEM},
 a AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS ft_rank FROM ft QUALIFY ft_rank <= 40),
 b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS sem_rank FROM sem QUALIFY sem_rank <= 40),
 e AS (SELECT q.id AS query_id, m.id, row_number() OVER (PARTITION BY q.id ORDER BY m.created DESC, m.id) AS entity_rank FROM mem q JOIN mem m ON m.project = q.project WHERE q.id % 50 = 0 QUALIFY entity_rank <= 40),
@@ -182,3 +195,55 @@ def sparse_expansion(spark, sf_dir):
     links = lines.select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
     relations = lines.where("l_partkey != l_suppkey").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id")).distinct()
     return Q.expanded(found, links, relations, orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated")), rounds=1)
+
+
+def _index(spark) -> TextIndex:
+    return TextIndex(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+REVISED = "SELECT id, CASE WHEN id % 17 = 0 THEN content || ' Revised edition.' ELSE content END AS content FROM mem WHERE id % 13 != 0"
+
+
+@query("index_search", f"WITH {MEM}, {_full_text(TITLES, REVISED)} SELECT query_id, id, round(score, 6) AS score FROM ft QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20")
+def index_search(spark, sf_dir):
+    """All documents indexed; then those that were archived taken out, and those that were revised put in anew; then the queries."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    index = _index(spark)
+    index.add(docs)
+    index.refresh(docs.where("id % 17 = 0").withColumn("content", F.concat("content", F.lit(" Revised edition."))))
+    index.delete(docs.where("id % 13 = 0"))
+    along = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return index.search(_asked(spark, sf_dir), 20).withColumn("r", F.row_number().over(along)).where("r <= 20").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+ACTIVE = "SELECT id, content FROM mem WHERE id % 13 != 0"
+PREVIEWED = "SELECT item_id AS query_id, substr(text, 1, {n}) AS query FROM benchmark"
+
+
+@query("import_preview", f"""WITH {MEM}, {_full_text(PREVIEWED.format(n=60), ACTIVE)}, {_full_text(PREVIEWED.format(n=600), ACTIVE, 6, "2")},
+found AS (SELECT item_id AS place, 1 AS tier, id, 0.0 AS score FROM benchmark JOIN mem ON lower(trim(substr(text, 1, 60))) = lower(trim(title)) WHERE id % 13 != 0 AND trim(title) != ''
+UNION ALL SELECT query_id, 2, id, score FROM ft UNION ALL SELECT query_id, 3, id, score FROM ft2),
+first AS (SELECT *, row_number() OVER (PARTITION BY place, tier ORDER BY score DESC, id) AS r FROM found QUALIFY r <= 3),
+once AS (SELECT place, id, min({{'tier': tier, 'r': r}}) AS pos FROM first GROUP BY 1, 2)
+SELECT place, CAST(row_number() OVER (PARTITION BY place ORDER BY pos, id) AS INTEGER) AS rank, id, CAST(pos.tier AS INTEGER) AS tier FROM once QUALIFY rank <= 5""")
+def import_preview(spark, sf_dir):
+    """What the benchmark's items would repeat among the active documents, by an index of those."""
+    incoming = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("content"))
+    existing = memories(spark, sf_dir).where("id % 13 != 0").select("id", "title", "content")
+    index = _index(spark)
+    index.add(existing)
+    return ranked_preview(incoming, existing, index)
+
+
+SUBJECTS = "SELECT conv_id AS query_id, substr(text, 1, 60) AS query FROM conversations WHERE conv_id % 50 = 0 AND turn = 0"
+
+
+@query("thread_history", f"""WITH {MEM}, {_full_text(SUBJECTS, ACTIVE)}
+SELECT query_id AS thread_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id FROM ft JOIN mem USING (id) WHERE created < DATE '2024-01-01' + CAST(query_id % 365 AS INTEGER) AND id != query_id QUALIFY rank <= 5""")
+def thread_history(spark, sf_dir):
+    """For each thread, what the active documents of earlier days say of its first message; a document of the thread's number is linked already."""
+    threads = table(spark, sf_dir, "conversations").where("conv_id % 50 = 0 AND turn = 0").select(F.col("conv_id").alias("thread_id"), F.substring("text", 1, 60).alias("subject"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 365).cast("int")).alias("started"))
+    existing = memories(spark, sf_dir).where("id % 13 != 0")
+    index = _index(spark)
+    index.add(existing)
+    return B.thread_history(threads, threads.select("thread_id", F.col("thread_id").alias("id")), existing, index)

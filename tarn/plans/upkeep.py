@@ -19,7 +19,6 @@ from tarn.plans.lifecycle import NOW, today
 from tarn.plans.registry import query
 from tarn.plans.searching import MEM, STATE
 from tarn.sources import backup
-from tarn.sources.importing import preview
 from tarn.sources.tables import memories, memory_state, table
 
 KINDS = ["preference", "decision", "task", "procedure", "constraint", "relationship", "event", "concept", "project_fact"]
@@ -453,14 +452,6 @@ def context_pack(spark, sf_dir):
     return C.packed(grown).select("pack", "place", "id", F.length("content").alias("n"))
 
 
-@query("import_preview", """WITH i AS (SELECT item_id AS place, text FROM benchmark WHERE text IS NOT NULL), d AS (SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL)
-SELECT place, id, 3 AS tier FROM i JOIN d ON trim(regexp_replace(i.text, '\\s+', ' ', 'g')) = trim(regexp_replace(d.text, '\\s+', ' ', 'g')) QUALIFY row_number() OVER (PARTITION BY place ORDER BY id) <= 5""")
-def import_preview(spark, sf_dir):
-    incoming = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.col("item_id").alias("place"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("content"))
-    existing = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
-    return preview(incoming, existing)
-
-
 @query("table_fingerprint", "SELECT count(*) AS rows FROM orders")
 def table_fingerprint(spark, sf_dir):
     """Rows of the fingerprint; equal tables in another order have the same one, which the tests check."""

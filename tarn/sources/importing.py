@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from tarn.operators.textindex import TextIndex
 from pyspark.sql.types import ArrayType, StringType
 
 # fixed values: an extension and its format; others are text
@@ -93,6 +95,27 @@ def preview(incoming: DataFrame, existing: DataFrame, most: int = 5) -> DataFram
     return best.withColumn("_r", F.row_number().over(Window.partitionBy("place").orderBy("tier", "id"))).where(F.col("_r") <= most).drop("_r")
 
 
+def ranked_preview(incoming: DataFrame, existing: DataFrame, index: TextIndex, each: int = 3, most: int = 5) -> DataFrame:
+    """place, rank, id, tier of what each incoming row may repeat: a title that is equal but for case and ends (1), the best by full text of its title (2), of its content's first 600 characters (3).
+
+    incoming: place, title, content; existing: id, title of the active rows, which the
+    index holds. Each tier gives its first rows, a row counts where it comes first, and the
+    first of all are shown. Null titles and contents find nothing.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    same = incoming.select("place", low("title").alias("t")).join(existing.select("id", low("title").alias("t")), "t").where("t != ''").select("place", F.lit(1).alias("tier"), "id", F.lit(0.0).alias("score"))
+    asked = lambda c: incoming.select(F.col("place").alias("query_id"), c.alias("query"))
+    titles, contents = index.search(asked(F.col("title")), each), index.search(asked(F.substring("content", 1, 600)), each, most_terms=6)
+    found = same
+    for tier, hits in ((2, titles), (3, contents)):
+        found = found.unionByName(hits.select(F.col("query_id").alias("place"), F.lit(tier).alias("tier"), "id", "score"))
+    order = [F.desc("score"), "id"]
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy("place", "tier").orderBy(*order))).where(F.col("_r") <= each)
+    once = first.groupBy("place", "id").agg(F.min(F.struct("tier", "_r")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("place").orderBy("at", "id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= most).select("place", "rank", "id", F.col("at.tier").alias("tier"))
+
+
 def path_hint(metadata: Column, path: Column) -> Column:
     """A project path that an imported row suggests: of its metadata, else the folders of its file."""
     named = F.coalesce(*[F.get_json_object(metadata, f"$.{k}") for k in ("projectPath", "project_path", "project", "workspace")])
