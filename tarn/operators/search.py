@@ -170,7 +170,7 @@ class _Terms:
         wanted = d[pair] * len(self.phrases) + self.phrase[k]
         found = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         part = np.where(keys[found] == wanted, self.weight[k] * unit[found], 0.0) if len(keys) else np.zeros(0)
-        score = np.round(np.bincount(pair, part, len(pairs)), 9)  # equal texts have equal scores, in whatever order they were added up
+        score = np.round(np.bincount(pair, part, len(pairs)).astype(float), 9)  # equal texts have equal scores, in whatever order they were added up
         kept = (score > 0) & (score >= self.floor[q])
         return self.queries[q[kept]], ids[d[kept]], score[kept]
 
