@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.lineage import kept as stored
+
 # fixed values: relation types, and the types that an edge back has
 TYPES = ["part_of", "derived_from", "relates_to", "supersedes", "references", "contradicts", "extends", "reverses", "reinforces", "bridges", "extended_by", "reversed_by", "reinforced_by", "bridges_with"]
 BACK = {"extends": "extended_by", "reverses": "reversed_by", "reinforces": "reinforced_by", "bridges": "bridges_with"}
@@ -101,16 +103,65 @@ def entities_merged(merges: DataFrame, links: DataFrame, aliases: DataFrame, rel
     )
 
 
-def paths(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """id, path, depth of a tree (id, parent_id, name) from its roots down; a level is one join. Nodes under no root are left out."""
-    front = nodes.where("parent_id IS NULL").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = front
-    for d in range(1, depth + 1):
-        front = nodes.select("id", "parent_id", "name").join(front.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat_ws("/", "path", "name").alias("path"), F.lit(d).alias("depth"))
-        if front.isEmpty():
+def _jumped(nodes: DataFrame, carried: dict[str, Column], joined: dict[str, Column]) -> DataFrame:
+    """id, up, hops and the carried columns of a tree (id, parent_id, ...), carried from each node's root down to it, however deep.
+
+    A pass joins each node that has not come to a root with the node that it has come to,
+    so what is seen doubles; joined makes a carried column of both, the upper one's name
+    with an _ before it. up is null at a root. It is not null under a parent that is not
+    there, where passes stop, and in and under a cycle, where hops outgrow the nodes.
+    """
+    state = stored(nodes.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.lit(False).alias("lost"), *[c.alias(n) for n, c in carried.items()]), "tree")
+    n = state.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        open_ = state.where("up IS NOT NULL AND NOT lost")
+        if open_.isEmpty():
             break
-        out = out.unionByName(front)
-    return out
+        above = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
+        met = open_.join(above, F.col("up") == F.col("_id"), "left")
+        lost = F.col("_id").isNull() | F.col("_lost")
+        step = met.select(
+            "id", F.when(lost, F.col("up")).otherwise(F.col("_up")).alias("up"), F.least(F.lit(n + 1), F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), lost.alias("lost"),
+            *[F.when(lost, F.col(c)).otherwise(j).alias(c) for c, j in joined.items()],
+        )
+        state = stored(state.where("up IS NULL OR lost").unionByName(step), "tree")
+    return state
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """id, path, depth of a tree (id, parent_id, name) from its roots down. Nodes under no root, and those of cycles, are left out: unrooted() has them."""
+    rooted = nodes.join(roots(nodes).select("id"), "id", "left_semi")  # in a cycle, paths would grow without end
+    found = _jumped(rooted, {"path": F.col("name")}, {"path": F.concat_ws("/", "_path", "path")})
+    return found.select("id", "path", F.col("hops").cast("int").alias("depth"))
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """id, root, depth of a tree (id, parent_id), without the paths, which a deep tree has no room for."""
+    found = _jumped(nodes, {"root": F.col("id")}, {"root": F.col("_root")})
+    return found.where("up IS NULL").select("id", "root", F.col("hops").alias("depth"))
+
+
+def unrooted(nodes: DataFrame) -> DataFrame:
+    """id, reason of the nodes that no root leads to: cycle, or missing where an ancestor is not there."""
+    found = _jumped(nodes, {"root": F.col("id")}, {"root": F.col("_root")})
+    return found.where("up IS NOT NULL").select("id", F.when(F.col("lost"), "missing").otherwise("cycle").alias("reason"))
+
+
+def subtree(nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """id of the marked nodes (id) and all that lies under them: what a cascade deletes."""
+    own = nodes.join(marked.select("id", F.lit(True).alias("_m")).distinct(), "id", "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
+    return _jumped(own, {"m": F.col("_m")}, {"m": F.col("m") | F.col("_m")}).where("m").select("id")
+
+
+def without_promoting(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+    """nodes without the removed ones (id), whose children go to the nearest ancestor that stays; without one they become roots."""
+    gone = removed.select("id", F.lit(True).alias("_gone")).distinct()
+    flagged = nodes.join(gone, "id", "left")
+    # a removed node points to its parent, a node that stays is the root of its own way
+    ways = flagged.select("id", F.when(F.col("_gone"), F.col("parent_id")).alias("parent_id"), F.when(~F.coalesce("_gone", F.lit(False)), F.col("id")).alias("stays"))
+    ends = _jumped(ways, {"stays": F.col("stays")}, {"stays": F.col("_stays")}).select(F.col("id").alias("parent_id"), "stays")
+    left = flagged.where("_gone IS NULL").drop("_gone")
+    return left.join(ends, "parent_id", "left").select(*[F.col("stays").alias(c) if c == "parent_id" else F.col(c) for c in nodes.columns])
 
 
 def moved_subtree(tree: DataFrame, old: str, new: str) -> DataFrame:

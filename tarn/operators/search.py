@@ -78,7 +78,7 @@ class Phrases:
     def counts(self, low: str) -> tuple[list[int], list[int]]:
         """Which phrases a text holds, and how often each without overlaps."""
         tf = Counter(map(itemgetter(1), self.automaton.iter(low))) if self.phrases else {}
-        return [*tf], [low.count(self.phrases[i]) if self.bordered[i] else n for i, n in tf.items()]
+        return [*tf], [low.count(self.phrases[i]) if n > 1 and self.bordered[i] else n for i, n in tf.items()]
 
 
 def _occurrences(batches, names: list[int], phrases: list[str]):

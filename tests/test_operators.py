@@ -183,9 +183,40 @@ def test_merging_entities(spark):
     assert rows(kept) == [(1, "A"), (4, "C")] and rows(links) == [(10, 1), (11, 1)] and rows(aliases) == [(1, "B"), (4, "see")] and rows(relations) == [(1, 4), (4, 1)]
 
 
+def test_deep_trees_and_cycles(spark):
+    chain = [(i, i - 1 if i else None) for i in range(10_000)]
+    ring = [(20_000 + i, 20_000 + (i + 1) % 7) for i in range(7)] + [(30_000, 20_003), (40_000, 40_000), (50_000, 49_999), (50_001, 50_000)]
+    nodes = spark.createDataFrame(chain + ring, "id long, parent_id long")
+    assert set(rows(G.roots(nodes))) == {(i, 0, i) for i in range(10_000)}
+    assert set(rows(G.unrooted(nodes))) == set([(20_000 + i, "cycle") for i in range(7)] + [(30_000, "cycle"), (40_000, "cycle"), (50_000, "missing"), (50_001, "missing")])
+    named = nodes.where("id < 300 OR id >= 20000").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
+    got = {r["id"]: (r["path"], r["depth"]) for r in G.paths(named).collect()}
+    assert len(got) == 300 and got[299] == ("/".join(f"n{i}" for i in range(300)), 299)
+    assert G.paths(named.limit(0)).count() == 0 and G.roots(nodes.limit(0)).count() == 0
+
+
+def test_cascade_and_promotion(spark):
+    rnd = random.Random(4)
+    parent = {i: rnd.randrange(i) if i > 3 else None for i in range(200)}
+    removed = {i for i in parent if rnd.random() < 0.3}
+    nodes = spark.createDataFrame([*parent.items()], "id long, parent_id long").withColumn("name", F.lit("x"))
+    marked = spark.createDataFrame([(i,) for i in removed], "id long")
+
+    def above(i):
+        while i is not None:
+            yield i
+            i = parent[i]
+
+    assert {r["id"] for r in G.subtree(nodes, marked).collect()} == {i for i in parent if removed & set(above(i))}
+    want = {i: next((p for p in [*above(i)][1:] if p not in removed), None) for i in parent if i not in removed}
+    left = G.without_promoting(nodes, marked)
+    assert left.columns == nodes.columns and {r["id"]: r["parent_id"] for r in left.collect()} == want
+
+
 def test_trees(spark):
     nodes = spark.createDataFrame([("r", None, "R"), ("a", "r", "A"), ("b", "a", "B"), ("x", "gone", "X")], "id string, parent_id string, name string")
     assert rows(G.paths(nodes)) == [("a", "R/A", 1), ("b", "R/A/B", 2), ("r", "R", 0)]
+    assert rows(G.unrooted(nodes)) == [("x", "missing")]
     tree = spark.createDataFrame([("R/A", 1), ("R/A/B", 2), ("R/AB", 1)], "path string, depth int")
     assert rows(G.moved_subtree(tree, "R/A", "S")) == [("R/AB", 1), ("S", 0), ("S/B", 1)]
     assert spark.createDataFrame([("a / b//c",)], "p string").select(G.ancestors(F.col("p"))).first()[0] == ["a", "a/b", "a/b/c"]
@@ -235,6 +266,45 @@ def test_crowded_buckets_lose_nothing_near(spark, monkeypatch):
     assert got <= want and len(got) / len(want) > 0.99
 
 
+def test_no_pair_at_the_threshold_is_lost(spark, monkeypatch):
+    """4,000 pairs at cosine 0.9 exactly in buckets that all are crowded."""
+    monkeypatch.setattr(D, "CROWD", 8)
+    rnd = np.random.default_rng(8)
+    a, b = rnd.normal(size=(2, 4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)] + [(10_000 + i, x.tolist()) for i, x in enumerate(b)], "id long, embedding array<double>").repartition(8)
+    found = {(r["one"], r["two"]) for r in D.duplicate_pairs(df, 0.9).collect()}
+    assert found >= {(i, 10_000 + i) for i in range(4000)}
+
+
+def test_lengths_follow_one_another(spark, monkeypatch):
+    """A hot group among others: short keys find some pairs, longer ones those of the crowded."""
+    monkeypatch.setattr(D, "CROWD", 20)
+    rnd = np.random.default_rng(9)
+    v = np.concatenate([rnd.normal(size=(1, 32)) + 0.2 * rnd.normal(size=(80, 32)), np.repeat(rnd.normal(size=(40, 32)), 2, axis=0) + 0.1 * rnd.normal(size=(80, 32))])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for threshold in (0.78, 0.9, 0.99):
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+        want = {(i, j) for i in range(160) for j in range(i + 1, 160) if unit[i] @ unit[j] >= threshold}
+        assert {(r["one"], r["two"]) for r in D.duplicate_pairs(df, threshold).collect()} == want
+
+
+def test_keepers_by_rounds_equal_those_row_by_row(spark):
+    rnd = random.Random(3)
+    pairs = {tuple(rnd.sample(range(300), 2)) for _ in range(500)} | {(1000 + i, 1001 + i) for i in range(12)} | {(7, 7)}
+    place = {i: rnd.randrange(50) for p in pairs for i in p}
+    df, order = spark.createDataFrame([*pairs], "one long, two long"), spark.createDataFrame([*place.items()], "id long, place long")
+    proper = [p for p in pairs if p[0] != p[1]]
+    own = {i for p in proper for i in p}
+    want = D._kept({i: (place[i], i) for i in own}, proper)
+    assert dict(rows(D.keepers_by_rounds(df, order))) == want
+    components = D.labelled(df.where("one != two"))
+    assert dict(rows(D.greedy_keepers(df.where("one != two"), components, order, most=20))) == want
+    assert D.keepers_by_rounds(df.limit(0), order).count() == 0
+
+
 def test_greedy_keepers_in_chains(spark):
     rnd = random.Random(2)
     pairs = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(45)} | {(50, 51), (51, 52)}  # a chain whose ends are not alike
