@@ -23,6 +23,8 @@ HOSTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 RAW = frozenset("script style noscript iframe textarea title".split())
 CLOSES_P = BLOCKS - frozenset("html body button option label".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+WITHIN = frozenset("label button".split())  # part of the line that they stand in, unless they belong to a form
+LINES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 blockquote figcaption caption pre address summary".split())  # blocks that hold lines of text
 SCOPES = frozenset("html body ul ol dl table article section nav aside main div form blockquote select td th".split())
 
 ENCLOSED = re.compile(r"<(?:template|object|svg|math|canvas|audio|video)[\s>]", re.I)
@@ -121,6 +123,24 @@ def _hidden(html: str) -> dict[int, int]:
     return ends
 
 
+def _linked(page: Page, links: dict[int, int]) -> None:
+    """Tell each text run how much is linked of all that stands with it: of the list, table or section around its line.
+
+    An item that is one link says little: in a menu all others are links too.
+    """
+    around, total = {}, {}
+    for i, linked in links.items():
+        at = page.parent[i]
+        while at > 0 and (page.tag[at] in LINES or page.tag[at] in ("tr", "tbody", "thead", "tfoot")):
+            at = page.parent[at]
+        around[i] = at
+        a, b = total.get(at, (0, 0))
+        total[at] = a + linked, b + len(page.text[i])
+    for i, at in around.items():
+        share = total[at][0] / max(1, total[at][1])
+        page.features[i].append(f"text:linked{_step(share, (0.05, 0.4, 0.9))}")
+
+
 def read(html: str) -> Page:
     """The page's tree. Any string is a page: unknown or unbalanced tags never fail."""
     page = Page()
@@ -130,6 +150,8 @@ def read(html: str) -> Page:
     run: list[str] = []
     linked = links = 0
     in_link = False
+    forms = 0  # that are open
+    found_links: dict[int, int] = {}  # by text node
 
     def flush():
         nonlocal linked, links
@@ -138,8 +160,9 @@ def read(html: str) -> Page:
             if text:
                 node, tag, truth = stack[-1]
                 share = min(1.0, linked / len(text))
+                found_links[len(page.tag)] = min(linked, len(text))
                 page.add(node, "#text", [
-                    "text", f"text:in:{tag}", f"text:size{_step(len(text), (15, 40, 80, 160, 400))}", f"text:linked{_step(share, (0.05, 0.4, 0.9))}",
+                    "text", f"text:in:{tag}", f"text:size{_step(len(text), (15, 40, 80, 160, 400))}",
                     f"text:links{min(links, 3)}", "text:stop" if text[-1] in ".!?\"”»" else "text:open", *(["text:copyright"] if "©" in text else []),
                     *(["text:prose"] if len(text) >= 60 and share < 0.2 and text[-1] in ".!?" else []),
                 ], text, truth)
@@ -181,10 +204,12 @@ def read(html: str) -> Page:
             if name != "wbr":
                 run.append(" ")
             continue
-        if name not in BLOCKS:
+        if name not in BLOCKS or (name in WITHIN and stack[-1][1] in LINES and not forms):
             continue
         flush()
         in_link = False
+        if name == "form":
+            forms = max(0, forms + (-1 if closing else 1))
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][1] == name:
@@ -211,6 +236,7 @@ def read(html: str) -> Page:
         if name not in VOID:
             stack.append((node, name, truth))
     flush()
+    _linked(page, found_links)
     for i in range(len(page.tag) - 1, 0, -1):  # what holds main content is labelled so up to the root
         page.truth[page.parent[i]] |= page.truth[i]
     return page

@@ -135,6 +135,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             parts.append(rnd.choice([
                 f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p>{text} <a href='#'>{says(1, 3)}</a> {says(2, 9)}</p>", f"<div>{text}</div>",
                 f"<h2>{says(1, 6)}</h2>", f"<ul><li>{text}</li><li>{says(3, 14)}</li></ul>", f"<blockquote><p>{text}</p></blockquote>", f"<pre>{text}</pre>", f"<table><tr><td>{says(1, 4)}</td><td>{text}</td></tr></table>", text,
+                f"<p><a href='#'>{says(2, 9)}</a></p><p>{text}</p>", f"<ul><li>{says(1, 6)}</li><li><a href='#'>{says(1, 4)}</a></li><li>{text}</li></ul>", f"<p>{text} <label>{says(1, 2)}</label> {says(1, 5)} <button>{says(1, 1)}</button> {says(1, 9)}</p>",
             ]))
             if not plain and rnd.random() < 0.12:
                 parts.append(around())

@@ -79,3 +79,18 @@ def test_omitted_and_unclosed_tags():
     assert words("<svg><path><article>Kept.</article></svg><p>b</p>") == "Kept. b"
     assert words("<template><p>no</div></template><p>b</p>") == "b"
     assert words("<svg>" * 3000 + "<p>Kept.") == "Kept."
+
+
+def test_lines_keep_what_stands_in_them():
+    blocks = lambda html: " ".join(html_extract.default_model().blocks(html))
+    menu = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>Contact us</a></li></ul></nav>"
+    for article, want in (
+        ("<p>Text with <label>name</label> and <button>Go</button> inside it, a full sentence.</p>", "Text with name and Go inside it, a full sentence."),
+        ("<h1>Tips</h1><ul><li>One</li><li><a>Two</a></li></ul>", "Tips One Two"),
+        ("<p><a>See the whole report here</a></p><p>Fine.</p>", "See the whole report here Fine."),
+        ("<h1>Words</h1><table><tr><td><a href=x>River</a></td><td>walks over calm stone</td></tr></table>", "Words River walks over calm stone"),
+    ):
+        for page in (f"<article>{article}</article>", f"<html><body>{menu}<article>{article}</article><footer>&copy; Acme</footer></body></html>"):
+            assert blocks(page) == want
+    assert blocks(f"<body>{menu}<article><p>The river walks over bright stone every morning.</p><form><label>Your mail</label><input><button>Send</button></form></article></body>") == "The river walks over bright stone every morning."
+    assert blocks(f"<body>{menu}<div class=cookie-notice><p>We use cookies here.</p><button>OK</button></div><article><p>The river walks over bright stone every morning.</p></article></body>") == "The river walks over bright stone every morning."
