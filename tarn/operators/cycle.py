@@ -200,7 +200,9 @@ def created(incoming: DataFrame) -> dict[str, DataFrame]:
 def postings(memories: DataFrame) -> DataFrame:
     """id, gram, tf: the trigrams of each memory's text, for the index."""
     low = F.lower(F.concat_ws(" ", "title", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - 2)), lambda i: F.substring("low", i, F.lit(3)))
+    # to reach a character takes as long as it is far, so long texts are cut into pieces first
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("low") - 3) / 1000).cast("int")), lambda k: F.substring("low", k * 1000 + 1, F.lit(1002)))
+    grams = F.flatten(F.transform(pieces, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))))
     return memories.select("id", low.alias("low")).where(F.length("low") >= 3).select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
 
 

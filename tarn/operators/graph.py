@@ -180,12 +180,11 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
-def project_similarity(members: DataFrame, least: float = 0.3, hot: int = 1000) -> DataFrame:
-    """one, two, similarity: projects whose sets of tags overlap. members: project, tag; a tag that more than hot projects have starts no pair."""
-    own = members.distinct()
-    usual = own.join(own.groupBy("tag").agg(F.count("*").alias("k")).where(F.col("k") <= hot), "tag").select("project", "tag")
-    pairs = usual.select("tag", F.col("project").alias("one")).join(usual.select("tag", F.col("project").alias("two")), "tag").where("one < two").select("one", "two").distinct()
-    sets = own.groupBy("project").agg(F.collect_set("tag").alias("tags"))
-    both = pairs.join(sets.select(F.col("project").alias("one"), F.col("tags").alias("a")), "one").join(sets.select(F.col("project").alias("two"), F.col("tags").alias("b")), "two")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.select("one", "two", F.round(shared / F.size(F.array_union("a", "b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+def project_similarity(members: DataFrame, least: float = 0.15, shared: int = 2) -> DataFrame:
+    """one, two, shared, similarity: projects that share enough entities, by number or by Jaccard index. members: project, entity."""
+    own = members.where("project IS NOT NULL AND entity IS NOT NULL").select("project", "entity").distinct()
+    sizes = own.groupBy("project").agg(F.count("*").alias("n"))
+    met = own.select("entity", F.col("project").alias("one")).join(own.select("entity", F.col("project").alias("two")), "entity").where("one < two").groupBy("one", "two").agg(F.count("*").alias("shared"))
+    both = met.join(sizes.select(F.col("project").alias("one"), F.col("n").alias("a")), "one").join(sizes.select(F.col("project").alias("two"), F.col("n").alias("b")), "two")
+    index = F.col("shared") / (F.col("a") + F.col("b") - F.col("shared"))
+    return both.where((index >= least) | (F.col("shared") >= shared)).select("one", "two", "shared", F.round(index, 6).alias("similarity"))

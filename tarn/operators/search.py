@@ -291,9 +291,12 @@ def entity_routed(names: DataFrame, links: DataFrame, entities: DataFrame, alias
     the next name's; a row has its first place only.
     """
     known = entities.select(F.col("id").alias("entity_id"), "name").unionByName(aliases.select("entity_id", F.col("alias").alias("name"))).distinct()
-    found = names.where("place < 6").join(known, "name").join(links.select("entity_id", F.col("memory_id").alias("id")).distinct(), "entity_id")
-    dated = found.join(memories.select("id", "updated"), "id").groupBy("query_id", "place", "id").agg(F.first("updated").alias("updated"))
-    newest = dated.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.desc("updated"), "id"))).where(F.col("r") <= n)
+    found = names.where("place < 6").join(known, "name").select("query_id", "place", "entity_id")
+    # a hot entity's rows are ranked once, and only its newest n meet the queries
+    dated = links.select("entity_id", F.col("memory_id").alias("id")).distinct().join(memories.select("id", "updated"), "id")
+    ranked_rows = dated.withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("updated"), "id"))).where(F.col("r") <= n).drop("r")
+    met = found.join(ranked_rows, "entity_id").groupBy("query_id", "place", "id").agg(F.first("updated").alias("updated"))
+    newest = met.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "place").orderBy(F.desc("updated"), "id"))).where(F.col("r") <= n)
     first = newest.groupBy("query_id", "id").agg(F.min(F.struct("place", "r")).alias("at"))
     return first.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id")).alias("entity_rank"))
 

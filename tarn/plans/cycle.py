@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import rules as U
-from tarn.functions.paragraphs import merged_paragraphs
 from tarn.lineage import cut
 from tarn.operators import cycle as Y
 from tarn.operators import dedup as D
 from tarn.operators import lifecycle as L
 from tarn.operators import mailbox as M
+from tarn.operators import merging as W
 from tarn.operators import relational as R
 from tarn.operators import search as Q
 from tarn.plans.lifecycle import NOW, today
@@ -132,10 +132,10 @@ def judgments(spark, sf_dir):
     return Y.accepted_judgments(made.unionByName(bad), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("content")))
 
 
-@query("postings", f"WITH {MEM}, t AS (SELECT id, lower(concat_ws(' ', title, content, '')) AS low FROM mem WHERE content IS NOT NULL AND length(content) <= 400), g AS (SELECT id, substr(low, unnest(range(1, length(low) - 1)), 3) AS gram FROM t WHERE length(low) >= 3) SELECT gram, count(*) AS n, count(DISTINCT id) AS df FROM g GROUP BY 1")
+@query("postings", f"WITH {MEM}, t AS (SELECT id, lower(concat_ws(' ', title, content, '')) AS low FROM mem WHERE content IS NOT NULL), g AS (SELECT id, substr(low, unnest(range(1, length(low) - 1)), 3) AS gram FROM t WHERE length(low) >= 3) SELECT gram, count(*) AS n, count(DISTINCT id) AS df FROM g GROUP BY 1")
 def postings(spark, sf_dir):
-    """How often each trigram of the short notes occurs, and in how many."""
-    rows = memories(spark, sf_dir).where("content IS NOT NULL AND length(content) <= 400").withColumn("tags", F.array().cast("array<string>"))
+    """How often each trigram occurs, and in how many memories."""
+    rows = memories(spark, sf_dir).where("content IS NOT NULL").withColumn("tags", F.array().cast("array<string>"))
     return Y.postings(rows).groupBy("gram").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
 
 
@@ -197,8 +197,9 @@ def light_groups(spark, sf_dir):
 def merged_texts(spark, sf_dir):
     """The texts of each conversation's last three turns made into one."""
     last = M.last_messages(table(spark, sf_dir, "conversations").where("text IS NOT NULL"), 3, thread="conv_id")
-    groups = last.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
-    return groups.select("conv_id", F.length(merged_paragraphs(F.col("texts"))).alias("n"))
+    along = Window.partitionBy("conv_id").orderBy("turn")
+    texts = last.select(F.col("conv_id").alias("group"), (F.row_number().over(along) - 1).alias("place"), "text")
+    return W.merged_texts(texts).select(F.col("group").alias("conv_id"), F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
 @query("completed", "SELECT event_id, 'the deploy of svc-' || event_id || ' failed at noon' AS text FROM events")

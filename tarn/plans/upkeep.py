@@ -267,10 +267,36 @@ def moved_subtree(spark, sf_dir):
     return G.moved_subtree(rows, "ASIA", "OLD/ASIA")
 
 
-@query("project_similarity", """WITH m AS (SELECT DISTINCT p_type AS project, split_part(p_name, ' ', 1) AS tag FROM part), s AS (SELECT project, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.project AS one, b.project AS two, count(*) AS k FROM m a JOIN m b ON a.tag = b.tag AND a.project < b.project GROUP BY 1, 2)
-SELECT one, two, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN s x ON x.project = one JOIN s y ON y.project = two WHERE round(k / (x.n + y.n - k), 6) >= 0.3""")
+@query("project_similarity", """WITH m AS (SELECT DISTINCT p_type AS project, split_part(p_name, ' ', 1) AS entity FROM part), s AS (SELECT project, count(*) AS n FROM m GROUP BY 1), p AS (SELECT a.project AS one, b.project AS two, count(*) AS shared FROM m a JOIN m b ON a.entity = b.entity AND a.project < b.project GROUP BY 1, 2)
+SELECT one, two, shared, round(shared / (x.n + y.n - shared), 6) AS similarity FROM p JOIN s x ON x.project = one JOIN s y ON y.project = two WHERE shared / (x.n + y.n - shared) >= 0.15 OR shared >= 2""")
 def project_similarity(spark, sf_dir):
-    return G.project_similarity(table(spark, sf_dir, "part").select(F.col("p_type").alias("project"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("tag")))
+    return G.project_similarity(table(spark, sf_dir, "part").select(F.col("p_type").alias("project"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("entity")))
+
+
+@query("order_chains", """WITH o AS (SELECT o_orderkey AS id, row_number() OVER w AS r, first_value(o_orderkey) OVER w AS root FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT id, root, r - 1 AS depth FROM o""")
+def order_chains(spark, sf_dir):
+    """Each order under its customer's one before it: a tree as deep as a customer's orders are many."""
+    return G.roots(_order_tree(spark, sf_dir))
+
+
+@query("subtree_deleted", """WITH o AS (SELECT o_orderkey AS id, max(o_orderpriority = '1-URGENT') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS gone FROM orders) SELECT id FROM o WHERE gone""")
+def subtree_deleted(spark, sf_dir):
+    """A cascade: urgent orders, and all that stand under them."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return G.subtree(_order_tree(spark, sf_dir), urgent)
+
+
+@query("children_promoted", """WITH o AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent_id FROM orders WHERE o_orderpriority != '1-URGENT') SELECT id, parent_id FROM o""")
+def children_promoted(spark, sf_dir):
+    """Urgent orders taken out: what stood under them goes to the nearest order above that stays."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"))
+    return G.without_promoting(_order_tree(spark, sf_dir), urgent)
+
+
+def _order_tree(spark, sf_dir):
+    along = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(along).alias("parent_id"))
 
 
 # duplicates
