@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from tarn.operators.loops import MOST_ITERATIONS, NO_PROGRESS, STAGNATION
 
@@ -98,16 +99,79 @@ def leases(beats: DataFrame, seconds: int = 60) -> DataFrame:
     return beats.groupBy("run").applyInPandasWithState(lambda k, f, s: _lease(k, f, s, seconds), "run long, worker string, event string", "worker string", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def digests(coverage: dict, make: Callable[[DataFrame, dict], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: what is newer than each thread's coverage becomes a digest, and coverage moves on.
+def _queued(key, frames: Iterator[pd.DataFrame], state: GroupState, most: int, idle: float) -> Iterator[pd.DataFrame]:
+    """The groups of queued records that are due, and what still waits as state."""
+    waiting, last = ([*state.get[0]], state.get[1]) if state.exists else ([], 0.0)
+    out: list[tuple] = []
 
-    A batch that is run again writes the same folder again, so no digest is doubled.
+    def due(cause: str) -> None:
+        if waiting:
+            out.append((*key, [*waiting], cause))
+            waiting.clear()
+
+    if state.hasTimedOut:
+        due("idle")
+    else:
+        for row in pd.concat([*frames]).sort_values(["ts", "id"]).itertuples():
+            at = row.ts.timestamp()
+            if at - last >= idle:
+                due("idle")
+            last = max(last, at)
+            if row.flush:
+                due("flush")
+                continue
+            waiting.append(int(row.id))
+            if len(waiting) >= most:
+                due("full")
+    if waiting:
+        state.update((waiting, last))
+        state.setTimeoutTimestamp(int((last + idle) * 1000))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["space", "ids", "cause"])
+
+
+def refine_queue(queued: DataFrame, most: int = 5, idle_seconds: float = 600, late: str = "0 seconds") -> DataFrame:
+    """space, ids, cause: what is to be refined together: most records (full), those that wait when none came for so long (idle), or when a flush is asked for.
+
+    queued: space, id, ts, flush; a flush has no id. Fewer than most records wait in a
+    space's state. Idle spells count by the records' own times, so they end alike in any
+    run: by the next record, or by the watermark.
+    """
+    step = lambda key, frames, state: _queued(key, frames, state, most, idle_seconds)
+    rows = queued.select("space", F.coalesce("id", F.lit(-1)).cast("long").alias("id"), "ts", F.coalesce("flush", F.lit(False)).alias("flush"))
+    return rows.withWatermark("ts", late).groupBy("space").applyInPandasWithState(step, f"space {dict(queued.dtypes)['space']}, ids array<long>, cause string", "waiting array<long>, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+WHOLE = 64  # every so many batches, all marks are written anew
+
+
+def coverage(spark: SparkSession, out: str, before: int, schema: str) -> DataFrame:
+    """thread_id, through: how far each thread was covered by the batches before the given one. schema: of these two columns."""
+    try:
+        marks = spark.read.parquet(f"{out}/marks")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    since = (before - 1) // WHOLE * WHOLE
+    return marks.where((F.col("batch") >= since) & (F.col("batch") < before)).groupBy("thread_id").agg(F.max("through").alias("through"))
+
+
+def digests(make: Callable[[DataFrame, DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: make(batch, coverage) gives a batch's digests, and each thread's mark moves on to its newest record.
+
+    Digests are written to out/digests and marks to out/marks, both under the batch's
+    number. A batch sees the marks of batches before it only. So one that is run again,
+    after a failure or from the checkpoint of a stopped stream, sees what it saw, and
+    writes the same folders again: nothing is doubled, and nothing is lost.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        made = make(batch, dict(coverage))
-        made.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        for r in batch.groupBy("thread_id").agg(F.max("updated").alias("t")).toLocalIterator():
-            coverage[r["thread_id"]] = max(coverage.get(r["thread_id"], r["t"]), r["t"])
+        kinds = dict(batch.dtypes)
+        known = coverage(batch.sparkSession, out, number, f"thread_id {kinds['thread_id']}, through {kinds['updated']}")
+        make(batch, known).write.mode("overwrite").parquet(f"{out}/digests/batch={number}")
+        own = batch.groupBy("thread_id").agg(F.max("updated").alias("through"))
+        if number % WHOLE == 0:
+            own = own.unionByName(known).groupBy("thread_id").agg(F.max("through").alias("through"))
+        own.write.mode("overwrite").parquet(f"{out}/marks/batch={number}")
 
     return write

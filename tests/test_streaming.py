@@ -101,17 +101,60 @@ def test_leases(spark, log, tmp_path):
     assert {r["event"] for r in got} == {"held"} and {r["run"] for r in got} == {0, 1, 2, 3}
 
 
-def test_digests(spark, log, tmp_path):
+def test_digests_through_failure_and_restart(spark, log, tmp_path, monkeypatch):
+    """A batch fails after its digests were written; the stream starts again from its checkpoint, twice."""
+    monkeypatch.setattr(S, "WHOLE", 2)
     path, df = log
-    coverage: dict = {}
-    seen = []
+    out, failing = str(tmp_path / "out"), {1}
 
     def make(batch, known):
-        seen.append((batch.count(), len(known)))
-        return batch.groupBy("thread_id").agg(F.count("*").alias("n"))
-
-    stream = S.event_log(spark, path, df.schema).select(F.col("run").alias("thread_id"), F.col("event_id").alias("updated"))
-    query = stream.writeStream.foreachBatch(S.digests(coverage, make, str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert seen == [(100, 0), (100, 4), (100, 4)] and len(coverage) == 4 and max(coverage.values()) == 299
-    assert spark.read.parquet(str(tmp_path / "out")).agg({"n": "sum"}).first()[0] == 300
+        newer = batch.join(known, "thread_id", "left").where("through IS NULL OR updated > through")
+        return newer.groupBy("thread_id").agg(F.count("*").alias("n"), F.max("through").alias("through"))
+
+    def run():
+        write = S.digests(make, out)
+
+        def tried(batch, number):
+            write(batch, number)
+            if number in failing:
+                failing.remove(number)
+                raise RuntimeError("the driver was lost")
+
+        stream = S.event_log(spark, path, df.schema).select(F.col("run").alias("thread_id"), F.col("event_id").alias("updated"))
+        query = stream.writeStream.foreachBatch(tried).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination(120)
+        except Exception as e:
+            assert "the driver was lost" in str(e)
+
+    for _ in range(3):
+        run()
+    made = spark.read.parquet(f"{out}/digests")
+    assert not failing and made.agg({"n": "sum"}).first()[0] == 300 and made.select("batch").distinct().count() == 3
+    last = made.where("through IS NOT NULL").agg(F.min("batch"), F.max("batch")).first()
+    assert tuple(last) == (1, 2)
+    got = {r["thread_id"]: r["through"] for r in S.coverage(spark, out, 3, "").collect()}
+    assert got == {r["run"]: r["t"] for r in df.groupBy("run").agg(F.max("event_id").alias("t")).collect()}
+    # records that came before are no news, whatever batch brings them again
+    S.digests(make, out)(df.select(F.col("run").alias("thread_id"), F.col("event_id").alias("updated")), 3)
+    assert spark.read.parquet(f"{out}/digests/batch=3").count() == 0
+
+
+def test_refine_queue_by_count_idleness_and_flush(spark, tmp_path):
+    """Two spaces; the stream stops and starts again between the batches."""
+    at = lambda m: START + dt.timedelta(minutes=m)
+    batches = [
+        [("a", i, at(i), False) for i in range(7)] + [("b", 50, at(3), False)],
+        [("a", 7, at(8), False), ("a", 8, at(8), False), ("b", 51, at(7), False), ("b", 52, at(35), False)],
+        [("a", 9, at(36), False), ("a", 10, at(40), False), ("b", None, at(41), True), ("b", 53, at(42), False)],
+        [("c", 99, at(90), False)],
+        [("c", 100, at(91), False)],
+    ]
+    schema, path = "space string, id long, ts timestamp, flush boolean", str(tmp_path / "queue")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = S.refine_queue(S.event_log(spark, path, schema))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted((r["space"], [*r["ids"]], r["cause"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", [0, 1, 2, 3, 4], "full"), ("a", [5, 6, 7, 8], "idle"), ("a", [9, 10], "idle"), ("b", [50, 51], "idle"), ("b", [52], "flush"), ("b", [53], "idle")]
