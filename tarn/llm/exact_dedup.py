@@ -28,6 +28,7 @@ from tarn.llm import golomb
 from tarn.llm.common import ascii_lower, owners, small_batches, without_dropped, written
 
 SENDER_ROWS = 1 << 18
+OWNER_ROWS = 1 << 22  # fingerprints of an owner, about: 32 MB, and as much again while they are merged
 BROADCAST_FINGERPRINTS = 1 << 21  # 32 MB as a hash relation; more suspects than that are joined by a shuffle
 HOME = "sender long, owner int, n int, k int, code binary, ids binary, slot binary, multi binary, shas binary"
 
@@ -97,6 +98,11 @@ def _fingerprints(batches):
         yield pd.DataFrame({"fp": np.frombuffer(b"".join(batch["fps"]), "<i8")})
 
 
+def exchange_owners(rows: int, partitions: int, bits: int) -> int:
+    """As many owners as there are partitions, and more where one would hold over OWNER_ROWS fingerprints."""
+    return min(max(partitions, rows // OWNER_ROWS + 1), 1 << 7 if bits > 57 else 1 << (63 - bits))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slack: int = 12) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -114,7 +120,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     count = docs.count()
     bits = int(min(56, max(8, np.ceil(np.log2(max(2, count)))) + slack))
     # each owner of the exchange holds a range of the fingerprints: rows / owners of them
-    n_owners = min(owners(spark), 1 << 7 if bits > 57 else 1 << (63 - bits))
+    n_owners = exchange_owners(count, owners(spark), bits)
     prints = rows.select("row", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     home = written(prints.mapInPandas(lambda it: _messages(it, bits, n_owners), HOME), "fingerprints")
     messages = home.select("sender", "owner", "n", "k", "code", "multi")

@@ -55,3 +55,10 @@ def test_empty_and_filter(spark):
     assert exact_dedup.exact_duplicates(df).count() == 0
     df = spark.createDataFrame([(1, "a", 1), (2, "A", 2), (3, "b", 3)], "doc_id long, text string, sha int")
     assert sorted(tuple(r) for r in exact_dedup.drop_exact_duplicates(df).collect()) == [(2, "A", 2), (3, "b", 3)]
+
+
+def test_owners_grow_with_the_rows():
+    for rows in (10, 10**6, 10**8, 10**10):
+        bits = int(min(56, max(8, np.ceil(np.log2(max(2, rows)))) + 12))
+        n = exact_dedup.exchange_owners(rows, 200, bits)
+        assert n >= 200 and rows / n <= exact_dedup.OWNER_ROWS and bits + np.log2(n) <= 63
