@@ -197,8 +197,11 @@ def orphans(memories: DataFrame, entity_links: DataFrame, relations: DataFrame,
     return rows.join(linked.distinct(), "id", "left_anti")
 
 
-def health(memories: DataFrame, duplicates: int, orphan_count: int, conflicts: int, produced: int, loop_runs: int) -> DataFrame:
-    """One row: the counts of a store's health, its flow score and its score."""
+def health(memories: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: the counts of a store's health, its five sub-scores and their mean.
+
+    counts: one row with duplicates, orphans, conflicts, produced (by dreams) and loop_runs.
+    """
     active = F.col("status") == "active"
     of = lambda layer: F.count_if(active & (F.col("layer") == layer))
     row = memories.agg(
@@ -206,12 +209,13 @@ def health(memories: DataFrame, duplicates: int, orphan_count: int, conflicts: i
         F.count_if(active & (F.col("decay_factor") < 1) & (F.col("decay_factor") > 0.01)).alias("decaying"),
         F.count_if(active & (F.col("layer") == "long") & (F.col("last_hit_at").isNull() | (F.col("hit_count") == 0))).alias("long_zero_hit"),
         F.count_if(active & F.exists("tags", lambda t: t == "sensitivity:redacted")).alias("redacted"),
-    )
+    ).crossJoin(counts.limit(1))  # fmt: skip  # a row and a row
     ratio = F.when(F.col("long") > 0, F.col("long_zero_hit") / F.col("long")).otherwise(0.0)
-    penalty = F.when(F.col("short") == 0, 25).otherwise(0) + F.when(F.col("flash") == 0, 10).otherwise(0) + F.floor(ratio * 20 + 0.5) + F.lit(15 * (produced == 0) + 10 * (loop_runs == 0))
-    flow = F.greatest(F.lit(0), 100 - penalty)
-    parts = [F.lit(max(0, 100 - 5 * duplicates)), F.lit(max(0, 100 - 3 * orphan_count)), F.lit(max(0, 100 - 10 * conflicts)), F.greatest(F.lit(0), 100 - 2 * F.col("decaying")), F.col("flow")]
-    return row.withColumn("flow", flow.cast("long")).withColumn("score", F.floor(reduce(Column.__add__, parts) / 5 + 0.5).cast("long"))
+    without = lambda c: (F.col(c) == 0).cast("int")
+    penalty = 25 * without("short") + 10 * without("flash") + F.floor(ratio * 20 + 0.5) + 15 * without("produced") + 10 * without("loop_runs")
+    less = lambda each, c: F.greatest(F.lit(0), 100 - each * F.col(c)).cast("long")
+    parts = {"unique_score": less(5, "duplicates"), "linked_score": less(3, "orphans"), "agreed_score": less(10, "conflicts"), "fresh_score": less(2, "decaying"), "flow": F.greatest(F.lit(0), 100 - penalty).cast("long")}
+    return row.withColumns(parts).withColumn("score", F.floor(reduce(Column.__add__, [F.col(c) for c in parts]) / 5 + 0.5).cast("long"))
 
 
 def consolidation_plan(memories: DataFrame, duplicates: DataFrame, now: Column, most: int = 100) -> DataFrame:

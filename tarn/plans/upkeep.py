@@ -168,13 +168,24 @@ def inspection(spark, sf_dir):
     return L.inspection(memory_state(spark, sf_dir), _orphan_ids(spark, sf_dir), today())
 
 
-@query("health", f"""WITH {STATE}, c AS (SELECT count(*) FILTER (status = 'active' AND layer = 'flash') AS flash, count(*) FILTER (status = 'active' AND layer = 'short') AS short, count(*) FILTER (status = 'active' AND layer = 'long') AS long,
+@query("health", f"""WITH {ORPHANS}, c AS (SELECT count(*) FILTER (status = 'active' AND layer = 'flash') AS flash, count(*) FILTER (status = 'active' AND layer = 'short') AS short, count(*) FILTER (status = 'active' AND layer = 'long') AS long,
 count(*) FILTER (status = 'active' AND decay_factor < 1 AND decay_factor > 0.01) AS decaying, count(*) FILTER (status = 'active' AND layer = 'long' AND hit_count = 0) AS zero FROM st),
-f AS (SELECT *, greatest(0, 100 - (CASE WHEN short = 0 THEN 25 ELSE 0 END + CASE WHEN flash = 0 THEN 10 ELSE 0 END + floor(zero / greatest(1, long) * 20 + 0.5) + 0 + 10)) AS flow FROM c)
-SELECT flash, short, long, decaying, zero AS long_zero_hit, CAST(flow AS BIGINT) AS flow, CAST(floor((85 + 70 + 90 + greatest(0, 100 - 2 * decaying) + flow) / 5 + 0.5) AS BIGINT) AS score FROM f""")
+k AS (SELECT (SELECT count(*) - count(DISTINCT content) FROM st WHERE status = 'active' AND content IS NOT NULL) AS duplicates, (SELECT count(*) FROM orphan) AS orphans,
+(SELECT count(*) FROM (SELECT title FROM st WHERE status = 'active' AND content IS NOT NULL GROUP BY 1 HAVING count(DISTINCT content) > 1)) AS conflicts, (SELECT count(*) FROM st WHERE status = 'active' AND layer = 'entity') AS produced, (SELECT count(DISTINCT user_id) FROM events) AS loop_runs),
+f AS (SELECT *, greatest(0, 100 - (CASE WHEN short = 0 THEN 25 ELSE 0 END + CASE WHEN flash = 0 THEN 10 ELSE 0 END + floor(zero / greatest(1, long) * 20 + 0.5) + CASE WHEN produced = 0 THEN 15 ELSE 0 END + CASE WHEN loop_runs = 0 THEN 10 ELSE 0 END)) AS flow FROM c, k)
+SELECT flash, short, long, decaying, zero AS long_zero_hit, duplicates, orphans, conflicts, CAST(flow AS BIGINT) AS flow, CAST(floor((greatest(0, 100 - 5 * duplicates) + greatest(0, 100 - 3 * orphans) + greatest(0, 100 - 10 * conflicts) + greatest(0, 100 - 2 * decaying) + flow) / 5 + 0.5) AS BIGINT) AS score FROM f""")
 def health(spark, sf_dir):
-    """With three duplicates, ten orphans, one conflict, some dream output and no loop runs."""
-    return L.health(memory_state(spark, sf_dir), 3, 10, 1, 5, 0).select("flash", "short", "long", "decaying", "long_zero_hit", "flow", "score")
+    """Duplicates have the content of another; titles with several contents count as conflicts, entities as produced by dreams, users as runs."""
+    rows = memory_state(spark, sf_dir)
+    active = rows.where("status = 'active' AND content IS NOT NULL").select("title", F.md5("content").alias("h"))
+    same = active.agg((F.count("*") - F.count_distinct("h")).alias("duplicates"))
+    conflicts = active.groupBy("title").agg(F.count_distinct("h").alias("n")).where("n > 1").agg(F.count("*").alias("conflicts"))
+    produced = rows.agg(F.count_if((F.col("status") == "active") & (F.col("layer") == "entity")).alias("produced"))
+    runs = table(spark, sf_dir, "events").agg(F.count_distinct("user_id").alias("loop_runs"))
+    counts = _orphan_ids(spark, sf_dir).agg(F.count("*").alias("orphans"))
+    for one in (same, conflicts, produced, runs):  # a row each
+        counts = counts.crossJoin(one)
+    return L.health(rows, counts).select("flash", "short", "long", "decaying", "long_zero_hit", "duplicates", "orphans", "conflicts", "flow", "score")
 
 
 @query("consolidation", f"""WITH {STATE}, d AS (SELECT doc_id AS id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1),
