@@ -11,6 +11,9 @@ from tokenizers import Tokenizer
 from tarn.llm import queries
 from tests.llm.test_lm_scoring import brute as score_by_hand
 from tests.llm.test_near_dedup import brute as near_by_hand
+from tests.llm.test_near_dedup import roots
+from tests.llm.test_simhash import brute as all_links
+from tests.llm.test_simhash import fingerprint
 from tests.test_oracles import TABLES
 from tests.test_oracles import rows as plain_rows
 
@@ -127,3 +130,14 @@ def test_op10(spark, sf_dir, docs):
     assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     for g, w in zip(sorted(tuple(r) for r in got.collect()), sorted(score_by_hand(rows, 3, 2.0)), strict=True):
         assert g[:5] == w[:5] and g[5:7] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_op11(spark, sf_dir, docs):
+    got = queries.op11_simhash_near_dedup(spark, sf_dir)
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    prints = {i: fingerprint(t) for i, t in docs}
+    root = roots(sorted(set(prints.values())), all_links(sorted(set(prints.values()))))
+    least: dict = {}
+    for i, f in prints.items():
+        least[root[f]] = min(i, least.get(root[f], i))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(i, f"{f:016x}", least[root[f]]) for i, f in sorted(prints.items())]
