@@ -1,7 +1,9 @@
 """Approximate nearest neighbours: a small-world graph per shard, answers merged.
 
 Equal vectors are one point that names its smallest ids, so copies cannot crowd a
-graph. Points are dealt by hash to shards; a shard's graph is one row of flat arrays in
+graph. Points are dealt by hash to shards, but where lengths differ by their length: in a
+graph of all lengths the long points are neighbours of all others, and a search for the
+largest inner product does not leave them; in a range of lengths it does. A shard's graph is one row of flat arrays in
 the shared folder. Shards grow with the square root of the table up to a bound, as a
 search costs little more in a large graph than in a small one: what a query costs grows
 with the number of shards. Query vectors go to every shard in blocks, and the shards'
@@ -21,6 +23,7 @@ from tarn.llm.common import small_batches, written
 from tarn.llm.hnsw import M, Graph
 
 GROWTH, MOST_POINTS, MOST_BYTES = 64, 1 << 16, 1 << 28  # points of a shard: GROWTH * sqrt(all), at most so many or so large
+SPREAD, STRIPES = 1.05, 3  # where lengths differ by more, from the 5th to the 95th percentile, there are so many times as many shards
 BLOCK_QUERIES = 4096
 INDEX = "part int, dim int, vectors binary, ids binary, counts binary, points binary, numbers binary, near array<binary>"
 
@@ -35,6 +38,12 @@ def _smallest(lists: Column, n: int) -> Column:
     return F.slice(F.sort_array(lists), 1, n)
 
 
+def _key(vec: Column) -> Column:
+    """The vector's length, and a millionth of it by hash, which parts vectors of equal length."""
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
+    return length * (1 + F.pmod(F.xxhash64(vec), F.lit(1 << 20)) / float(1 << 20) * 1e-6)
+
+
 def shards_of(n: int, dim: int) -> int:
     """How many shards n vectors have."""
     points = max(256, min(GROWTH * math.isqrt(n), MOST_POINTS, MOST_BYTES // (8 * dim)))
@@ -57,13 +66,31 @@ def build_index(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str
     valid = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     local = valid.groupBy("vec", F.spark_partition_id().alias("task")).agg(_smallest(F.collect_set("id"), k).alias("ids"))
     points = written(local.groupBy("vec").agg(_smallest(F.array_distinct(F.flatten(F.collect_list("ids"))), k).alias("ids")).withColumn("dim", F.size("vec")), "vectors")
-    # a number for each shard, those of a dimension in a row; there are as many rows here as lengths of vectors
-    first, layout = 0, []
-    for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect():
-        layout.append((r["dim"], first, shards_of(r["n"], r["dim"])))
-        first += layout[-1][2]
-    placed = points.join(F.broadcast(points.sparkSession.createDataFrame(layout, "dim int, base int, shards int")), "dim")
-    placed = placed.select("dim", (F.col("base") + F.pmod(F.xxhash64("vec"), F.col("shards"))).cast("int").alias("part"), "vec", "ids")
+    spark, placed = points.sparkSession, points.withColumn("key", _key(F.col("vec")))
+    first, hashed, striped = 0, [], {}
+    # there are as many rows here as lengths of vectors; a number for each shard, those of a dimension in a row
+    for r in placed.groupBy("dim").agg(F.count("*").alias("n"), F.percentile_approx("key", [0.05, 0.95], 1000).alias("ends")).collect():
+        shards = shards_of(r["n"], r["dim"])
+        if r["ends"][1] > SPREAD * r["ends"][0]:
+            shards *= STRIPES
+            cuts = placed.where(F.col("dim") == r["dim"]).agg(F.percentile_approx("key", [i / shards for i in range(1, shards)], max(10_000, 50 * shards))).first()[0]
+            striped[r["dim"]] = (first, np.array(cuts))
+        else:
+            hashed.append((r["dim"], first, shards))
+        first += shards
+
+    @F.pandas_udf("int")
+    def stripe(dim: pd.Series, key: pd.Series) -> pd.Series:
+        out = np.zeros(len(dim), np.int32)
+        for d, (base, cuts) in striped.items():
+            own = (dim == d).to_numpy()
+            out[own] = base + np.searchsorted(cuts, key.to_numpy()[own], "right")
+        return pd.Series(out)
+
+    by_hash = placed.join(F.broadcast(spark.createDataFrame(hashed, "dim int, base int, shards int")), "dim")
+    by_hash = by_hash.select("dim", (F.col("base") + F.pmod(F.xxhash64("vec"), F.col("shards"))).cast("int").alias("part"), "vec", "ids")
+    by_norm = placed.where(F.col("dim").isin([*striped])).select("dim", stripe("dim", "key").alias("part"), "vec", "ids")
+    placed = by_hash.unionByName(by_norm) if striped else by_hash
 
     def build(frames):
         for dim, part, own in _gathered(frames):

@@ -80,3 +80,18 @@ def test_small_and_empty(spark):
     got = sorted(tuple(r) for r in ann.nearest(df.where(F.col("vec_id") % 20 == 0), df).collect())
     assert got == [(0, 1, 1, 0.5), (20, 1, 2, 1.0)]
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
+
+
+def test_recall_where_lengths_differ(spark):
+    """The inner product of vectors as drawn: 12,000 in 64 dimensions, and some in 3."""
+    rnd = np.random.default_rng(12)
+    vectors = rnd.normal(size=(12_000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(20_000 + i, [float(i + 1), 0.0, 1.0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    asked = df.where("vec_id % 120 = 0 OR vec_id = 20020")
+    found: dict = {}
+    for r in ann.nearest(asked, df, k=20).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(found) == 101 and sorted(found.pop(20_020)) == [20_000 + i for i in range(9, 30) if i != 20]
+    want = brute(range(12_000), vectors, found, 20)
+    assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 20 for q in found]) >= 0.9
