@@ -11,7 +11,7 @@ from tarn.functions import rules as R
 from tarn.functions.entities import entities
 from tarn.functions.text import error_signature, without_secrets
 from tarn.functions.vectors import cosine
-from tarn.lineage import cut
+from tarn.lineage import cut, kept
 
 # fixed values: a self-check's weights and its two thresholds
 CHECK_WEIGHTS, RECORD, SUGGEST = (0.3, 0.3, 0.2, 0.1, 0.1), 0.75, 0.60
@@ -157,12 +157,38 @@ def unscanned(memories: DataFrame, log: DataFrame, most: int = 8) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("last_hit_at"), F.desc("created"), "id").limit(most)
 
 
-def older_candidates(anchors: DataFrame, memories: DataFrame, each: int = 500) -> DataFrame:
-    """anchor, id: active memories of the anchor's space that are older than it, by (created, id); each anchor's latest hit first."""
-    rows = anchors.select(F.col("id").alias("anchor"), "agent_space", F.struct("created", "id").alias("_at"))
-    older = rows.join(memories.where("status = 'active'").select("id", "agent_space", "last_hit_at", "updated", F.struct("created", "id").alias("_then")), "agent_space").where(F.col("_then") < F.col("_at"))
-    along = Window.partitionBy("anchor").orderBy(F.desc_nulls_last("last_hit_at"), F.desc("updated"), "id")
-    return older.withColumn("_r", F.row_number().over(along)).where(F.col("_r") <= each).select("anchor", "id")
+def older_candidates(anchors: DataFrame, memories: DataFrame, each: int = 500, block: int = 4096) -> DataFrame:
+    """anchor, id: active memories of the anchor's space that are older than it, by (created, id); each anchor's latest hit first.
+
+    Memories in order of age are cut into blocks. Over the blocks stands a binary tree
+    whose nodes hold the first rows of each space below them. What is older than an
+    anchor is a node for each bit of its block's number, and the part of its own block
+    before it; no space is joined with itself.
+    """
+    rows = memories.where("status = 'active'").select("id", "agent_space", "last_hit_at", "updated", "created", F.lit(False).alias("_anchor"))
+    asked = anchors.select("id", "agent_space", F.lit(None).cast(rows.schema["last_hit_at"].dataType).alias("last_hit_at"), F.lit(None).cast(rows.schema["updated"].dataType).alias("updated"), "created", F.lit(True).alias("_anchor"))
+    both = rows.unionByName(asked)
+    parts = max(1, -(-both.count() // block))
+    dealt = kept(both.repartitionByRange(parts, "created", "id").withColumn("block", F.spark_partition_id()), "dealt")
+    own, asked = dealt.where("NOT _anchor").drop("_anchor"), dealt.where("_anchor").select(F.col("id").alias("anchor"), "agent_space", "block", F.struct("created", "id").alias("_at"))
+    order = [F.desc_nulls_last("last_hit_at"), F.desc("updated"), "id"]
+
+    def first(found: DataFrame, *keys: str) -> DataFrame:
+        return found.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= each).drop("_r")
+
+    node, names = own.withColumn("node", F.col("block")), ["agent_space", "node", "id", "last_hit_at", "updated"]
+    tree, level = None, 0
+    while (parts - 1) >> level:
+        node = kept(first(node.select(*names), "agent_space", "node"), "nodes")
+        tree = node.withColumn("level", F.lit(level)) if tree is None else tree.unionByName(node.withColumn("level", F.lit(level)))
+        node, level = node.withColumn("node", F.shiftright("node", 1)), level + 1
+    inside = asked.join(own.select("agent_space", "block", "id", "last_hit_at", "updated", F.struct("created", "id").alias("_then")), ["agent_space", "block"]).where(F.col("_then") < F.col("_at"))
+    found = inside.select("anchor", "id", "last_hit_at", "updated")
+    if tree is not None:
+        bits = F.filter(F.sequence(F.lit(0), F.lit(level - 1)), lambda k: F.call_function("shiftright", F.col("block"), k) % 2 == 1)
+        before = asked.select("anchor", "agent_space", "block", F.explode(bits).alias("level")).withColumn("node", F.expr("shiftright(block, level) - 1"))
+        found = found.unionByName(before.join(tree, ["agent_space", "level", "node"]).select("anchor", "id", "last_hit_at", "updated"))
+    return first(found, "anchor").select("anchor", "id")
 
 
 def accepted_judgments(judgments: DataFrame, memories: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import context as C
+from tarn.operators import cycle as Y
 from tarn.operators import dedup as D
 from tarn.operators import filters as FL
 from tarn.operators import graph as G
@@ -183,6 +184,30 @@ def test_merging_entities(spark):
     assert rows(kept) == [(1, "A"), (4, "C")] and rows(links) == [(10, 1), (11, 1)] and rows(aliases) == [(1, "B"), (4, "see")] and rows(relations) == [(1, 4), (4, 1)]
 
 
+@pytest.mark.parametrize("block", [3, 25, 4096])
+def test_older_candidates_by_a_tree(spark, block):
+    rnd = random.Random(block)
+    data = [(i, rnd.choice("aab"), rnd.choice([None, rnd.randrange(30)]), rnd.randrange(9), rnd.randrange(40), rnd.choice(["active", "active", "archived"])) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, agent_space string, last_hit_at int, updated int, created int, status string").repartition(4)
+    want = set()
+    for i, space, _, _, made, _ in data[::7]:
+        older = [r for r in data if r[1] == space and r[5] == "active" and (r[4], r[0]) < (made, i)]
+        older.sort(key=lambda r: (r[2] is None, -(r[2] or 0), -r[3], r[0]))
+        want |= {(i, r[0]) for r in older[:5]}
+    got = [tuple(r) for r in Y.older_candidates(df.where("id % 7 = 0"), df, 5, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert Y.older_candidates(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_health_counts(spark):
+    rows = [(1, "flash", "active", 1.0, None, 0, ["a"]), (2, "short", "active", 0.5, 1, 3, []), (3, "long", "active", 1.0, None, 0, ["sensitivity:redacted"]), (4, "long", "archived", 0.2, None, 0, [])]
+    df = spark.createDataFrame(rows, "id long, layer string, status string, decay_factor double, last_hit_at int, hit_count int, tags array<string>")
+    counts = spark.createDataFrame([(3, 10, 1, 0, 2)], "duplicates long, orphans long, conflicts long, produced long, loop_runs long")
+    (r,) = L.health(df, counts).collect()
+    assert (r["unique_score"], r["linked_score"], r["agreed_score"], r["fresh_score"], r["flow"], r["score"]) == (85, 70, 90, 98, 65, 82)
+    assert (r["flash"], r["short"], r["long"], r["decaying"], r["long_zero_hit"], r["redacted"]) == (1, 1, 1, 1, 1, 1)
+
+
 def test_deep_trees_and_cycles(spark):
     chain = [(i, i - 1 if i else None) for i in range(10_000)]
     ring = [(20_000 + i, 20_000 + (i + 1) % 7) for i in range(7)] + [(30_000, 20_003), (40_000, 40_000), (50_000, 49_999), (50_001, 50_000)]
