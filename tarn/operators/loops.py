@@ -38,7 +38,7 @@ def page_after(events: DataFrame, run: str, cursor: Column, limit: int = 50, mos
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy("sequence"))).where(F.col("_r") <= max(1, min(limit, most))).drop("_r")
 
 
-def attempts(events: DataFrame, run: str, order: list[str]) -> DataFrame:
+def attempts(events: DataFrame, run: str, order: list[str | Column]) -> DataFrame:
     """events (failed, signature, tokens) with iteration, failures in a row, same (equal signatures in a row among them) and tokens_used."""
     so_far = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumns({"iteration": F.count("*").over(so_far), "tokens_used": F.sum("tokens").over(so_far), "_passed": F.sum((~F.col("failed")).cast("long")).over(so_far)})
@@ -52,7 +52,7 @@ def attempts(events: DataFrame, run: str, order: list[str]) -> DataFrame:
     return rows.withColumn("same", F.when(F.col("failed"), same).otherwise(0)).drop("_passed", "_new", "_spell")
 
 
-def tripped(events: DataFrame, run: str, order: list[str], token_budget: float | None = None) -> DataFrame:
+def tripped(events: DataFrame, run: str, order: list[str | Column], token_budget: float | None = None) -> DataFrame:
     """The first event of each run at which the circuit breaker ends it, with the reason: the first rule of four that holds."""
     rows = attempts(events, run, order)
     reason = F.when((F.col("failures") >= STAGNATION) & (F.col("same") >= STAGNATION), "stagnation").when(F.col("failures") >= NO_PROGRESS, "no-progress")

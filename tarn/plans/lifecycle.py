@@ -152,9 +152,10 @@ w AS (SELECT *, CASE WHEN failed THEN sum(CASE WHEN failed THEN 1 ELSE 0 END) OV
 t AS (SELECT user_id, event_id, ts, CASE WHEN failures >= 3 AND same >= 3 THEN 'stagnation' WHEN failures >= 5 THEN 'no-progress' WHEN used >= 400 THEN 'token-budget' WHEN seq >= 10 THEN 'max-iterations' END AS reason FROM w)
 SELECT user_id, event_id, reason FROM t WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1""")
 def breaker(spark, sf_dir):
-    """Failures are errors, their signature is by rule from the value, which also counts as tokens."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"), (F.round("value").cast("int") % 3).alias("signature"), F.col("value").alias("tokens"))
-    return P.tripped(events, "user_id", ["ts", "event_id"], token_budget=400).select("user_id", "event_id", "reason")
+    """Failures are errors, their signature is by rule from the value (halves go to the even number), which also counts as tokens."""
+    failed = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", failed.alias("failed"), (F.rint("value").cast("int") % 3).alias("signature"), F.col("value").alias("tokens"))
+    return P.tripped(events, "user_id", [F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")], token_budget=400).select("user_id", "event_id", "reason")
 
 
 @query("event_cursor", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS sequence FROM events QUALIFY sequence > user_id % 20 AND sequence <= user_id % 20 + 50")

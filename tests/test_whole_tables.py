@@ -1,6 +1,11 @@
 """Queries that must read all runs and all rows."""
 
-from tarn.plans import lifecycle, registry, relations  # noqa: F401
+import datetime
+import random
+
+import duckdb
+
+from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
 
 
 def test_import_knows_odd_ids(spark, tmp_path):
@@ -14,3 +19,20 @@ def test_pages_of_every_run(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["event_pages"](spark, str(tmp_path)).select("user_id", "event_id", "sequence").collect())
     assert got == [(3, 3000 + i, i + 1) for i in range(10, 60)] + [(4, 4010, 11), (4, 4011, 12)]
+
+
+def same_as_sql(spark, sf_dir, name, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet/*.parquet')")
+    got = registry.QUERIES[name](spark, str(sf_dir))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+    return want
+
+
+def test_breaker_at_halves_and_nulls(spark, tmp_path):
+    rnd, day = random.Random(6), datetime.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice([None, day + datetime.timedelta(seconds=rnd.randrange(50))]), i % 200, rnd.choice(["error", "error", "error", "view", None]), rnd.choice([0.5, 1.5, 2.5, 3.5, 5.5, 1.0, None])) for i in range(2000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r[2] for r in same_as_sql(spark, tmp_path, "breaker", ["events"])} >= {"stagnation", "no-progress", "max-iterations"}
