@@ -36,3 +36,12 @@ def test_breaker_at_halves_and_nulls(spark, tmp_path):
     rows = [(i, rnd.choice([None, day + datetime.timedelta(seconds=rnd.randrange(50))]), i % 200, rnd.choice(["error", "error", "error", "view", None]), rnd.choice([0.5, 1.5, 2.5, 3.5, 5.5, 1.0, None])) for i in range(2000)]
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     assert {r[2] for r in same_as_sql(spark, tmp_path, "breaker", ["events"])} >= {"stagnation", "no-progress", "max-iterations"}
+
+
+def test_hops_where_parts_have_the_numbers_of_suppliers(spark, tmp_path):
+    rnd = random.Random(7)
+    parts = [50, 100, 7, 1_000_050, 1_000_051, 1_000_100, 1_000_103]
+    lines = [(1_000_050, 50), (50, 50), (50, 51), (1_000_051, 100)] + [(rnd.choice(parts), rnd.choice([50, 51, 100, 103, 104])) for _ in range(20)]
+    spark.createDataFrame([(p,) for p in parts], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert (1_000_050, 1_000_050, 1) in same_as_sql(spark, tmp_path, "multi_hop", ["part", "lineitem"])
