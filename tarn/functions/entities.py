@@ -32,13 +32,20 @@ TECH = [
     *("Nginx", "Apache", "Caddy", "Git", "SVN", "Mercurial", "Bun", "Deno", "pnpm", "yarn", "npm", "Electron", "Tauri", "Flutter", "React Native", "Unity", "Unreal", "Claude", "GPT", "LLM", "RAG", "Fine-tuning"),
     *("Embedding", "Transformer", "Supabase", "Firebase", "Prisma", "Drizzle"),
 ]
+
+
+def _starting(words: list[str]) -> str:
+    """Looks at a place's first character before all the words are tried there."""
+    return f"(?=[{''.join(sorted({w[0] for w in words if not w[0].islower()}))}]|{'|'.join(sorted({w for w in words if w[0].islower()})) or '(?!)'})"
+
+
 #: pattern (its first group is the name), type, confidence
 PATTERNS = [
     ("@([\\p{L}\\p{N}_]+)", "person", 0.95),
     ("#([\\p{L}\\p{N}_]+)", "concept", 0.9),
     (f"({HAN}{{2,4}})(?:{'|'.join(TITLES)})", "person", 0.85),
     (f"(?:^|[^a-zA-Z\\u4e00-\\u9fa5])({HAN}{{2,3}})(?:{'|'.join(VERBS)})", "person", 0.6),
-    (f"({'|'.join(KNOWN_ORGS)})", "organization", 0.95),
+    (f"{_starting(KNOWN_ORGS)}({'|'.join(KNOWN_ORGS)})", "organization", 0.95),
     (f"({HAN}{{2,8}}(?:{'|'.join(ORG_SUFFIXES)}))", "organization", 0.8),
     (f"({HAN}{{2,6}}(?:省|市|区|县|镇|乡|村|街|路|巷|弄|号|楼|层|室))", "location", 0.85),
     (f"({PLACES})", "location", 0.9),
@@ -47,10 +54,11 @@ PATTERNS = [
     ("(\\d{4}-\\d{2}-\\d{2})", "time", 0.95),
     ("(今天|昨天|前天|明天|后天|上周|下周|本周|上个月|下个月|今年|去年|前年|明年)", "time", 0.8),
     ("((?:Q[1-4]|第[一二三四]季度)(?:\\s*\\d{4})?)", "time", 0.85),
-    (f"({'|'.join(TECH)})", "tool", 0.9),
+    (f"{_starting(TECH)}({'|'.join(TECH)})", "tool", 0.9),
     ("https?://([^/:?#\\s@]+)", "tool", 0.7),
 ]
-MAIL = "([\\w.+-]+@[\\w-]+\\.[\\w.-]+)"
+# a match starts where a run of its characters does, or where the last match ended, so a run is read once
+MAIL = "(?:\\G|(?<![\\w.+-]))([\\w.+-]+@[\\w-]+\\.[\\w.-]+)"
 EVENT = f"({HAN}{{2,8}}(?:{EVENTS}))"
 
 
@@ -68,11 +76,20 @@ def _no_org(name: Column) -> Column:
 def mentions(text: Column) -> Column:
     """All that the patterns find: an array of name, type, confidence, in the order of the patterns."""
     fine = {"person": lambda x: ~x.isin(NO_PERSONS), "organization": lambda x: ~_no_org(x)}
-    parts = [_named(F.regexp_extract_all(text, F.lit(p), F.lit(1)), kind, c, fine.get(kind)) for p, kind, c in PATTERNS]
-    parts.append(_named(F.transform(F.regexp_extract_all(text, F.lit(MAIL), F.lit(1)), F.lower), "tool", 0.95))
+    none = F.array().cast("array<string>")
+    han = text.rlike(HAN)
+
+    def found(p: str, i: int = 1) -> Column:
+        """What a pattern finds; a text without what every match holds is not searched."""
+        names = F.regexp_extract_all(text, F.lit(p), F.lit(i))
+        need = text.contains("@") if "@(" in p or p == MAIL else han if HAN in p or p.strip("(")[0] > "\u4e00" or "年" in p else None
+        return names if need is None else F.when(need, names).otherwise(none)
+
+    parts = [_named(found(p), kind, c, fine.get(kind)) for p, kind, c in PATTERNS]
+    parts.append(_named(F.transform(found(MAIL), F.lower), "tool", 0.95))
     # an event counts unless its surroundings, 20 characters each way, deny it
-    around = f"(?s)(?<=(^.{{0,19}}|.{{20}}))(?=(.{{0,20}})){EVENT}"
-    before, after, names = (F.regexp_extract_all(text, F.lit(around), F.lit(i)) for i in (1, 2, 3))
+    around = f"(?s)(?={HAN}{{3}})(?<=(^.{{0,19}}|.{{20}}))(?=(.{{0,20}})){EVENT}"
+    before, after, names = (found(around, i) for i in (1, 2, 3))
     events = F.arrays_zip(F.zip_with(before, after, lambda a, b: F.concat(a, b)).alias("around"), names.alias("name"))
     parts.append(_named(F.transform(F.filter(events, lambda e: ~e["around"].rlike(NO_EVENTS)), lambda e: e["name"]), "event", 0.7))
     return F.concat(*parts)

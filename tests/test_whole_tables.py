@@ -2,10 +2,12 @@
 
 import datetime
 import random
+import time
 
 import duckdb
 from pyspark.sql import functions as F
 
+from tarn.functions.entities import entities
 from tarn.operators import graph
 from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
 
@@ -59,3 +61,13 @@ def test_alias_pairs_come_once_and_in_parts(spark, monkeypatch):
     first = {n: min(i for i, m in names if m == n) for n in "abc"}
     want = {(i, first[n]) for i, n in names if n} | {(i, e) for i, n in names for e, a in known if n and n == a}
     assert sorted(tuple(r) for r in got.collect()) == sorted((a, b) for a, b in want if a != b)
+
+
+def test_entities_read_a_run_of_characters_once(spark):
+    """A run of 400,000 characters was tried from each of them."""
+    texts = ["a" * 400_000 + "@", "x a@b.c+d@e.f, me@Site.org", "在北京的年度技术大会", "没有会议 React Native, gRPC and R"]
+    began = time.perf_counter()
+    got = {(r["id"], r["name"], r["type"]) for r in entities(spark.createDataFrame(list(enumerate(texts)), "id long, content string")).collect()}
+    assert time.perf_counter() - began < 40
+    assert {(1, "a@b.c", "tool"), (1, "+d@e.f", "tool"), (1, "me@site.org", "tool"), (2, "北京", "location"), (3, "React", "tool"), (3, "gRPC", "tool"), (3, "R", "tool")} <= got
+    assert {n for i, n, kind in got if kind == "event"} == {"在北京的年度技术大会"}
