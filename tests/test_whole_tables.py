@@ -3,12 +3,17 @@
 import datetime
 import random
 import time
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tarn.functions.chunks import chunks
 from tarn.functions.entities import entities
-from tarn.operators import graph
+from tarn.operators import dedup, graph
+from tarn.operators import search as Q
 from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
 
 
@@ -71,3 +76,46 @@ def test_entities_read_a_run_of_characters_once(spark):
     assert time.perf_counter() - began < 40
     assert {(1, "a@b.c", "tool"), (1, "+d@e.f", "tool"), (1, "me@site.org", "tool"), (2, "北京", "location"), (3, "React", "tool"), (3, "gRPC", "tool"), (3, "R", "tool")} <= got
     assert {n for i, n, kind in got if kind == "event"} == {"在北京的年度技术大会"}
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunks_are_made_some_texts_at_a_time():
+    text = "\n\n".join("A sentence of some words. " * 8 for _ in range(40))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([text] * 4000)], names=["id", "text"])
+    seen = []
+    assert peak(lambda: [seen.append(len(b)) for b in dedup._chunked(iter([batch]), None)]) < 20
+    assert sum(seen) == 4000 * len(chunks(text, None))
+
+
+def test_vector_search_holds_little_in_a_task():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (6000, 8)).astype(float)
+    vectors[::7] = vectors[3]  # many ties
+    targets = vectors[:1500] / np.maximum(np.linalg.norm(vectors[:1500], axis=1, keepdims=True), 1e-9)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6000)), pa.array(vectors.tolist(), pa.list_(pa.float64()))], names=["id", "vec"])
+    out = []
+    assert peak(lambda: out.extend(Q._best(iter([batch.slice(0, 3500), batch.slice(3500)]), np.arange(1500) * 2, targets, 5))) < 90  # one matrix of all scores has 72
+    got = {}
+    for q, i, x in zip(*(c.to_pylist() for c in pa.Table.from_batches(out).columns), strict=True):
+        got.setdefault(q // 2, []).append((-x, i))
+    lengths = np.linalg.norm(vectors, axis=1)
+    score = np.round((vectors @ targets.T) / np.where(lengths > 0, lengths, np.inf)[:, None], 12)
+    for q in range(0, 1500, 50):
+        assert sorted(got[q]) == sorted((-x, i) for i, x in enumerate(score[:, q]))[:5]
+
+
+def test_rows_that_many_queries_ask_for_are_scored_in_parts():
+    asked = [{"query_id": q, "at": a, "idf": 1.0, "least": -np.inf, "share": 1.0, "opens": True, "floor": -np.inf} for q in range(4000) for a in (1, 2, 3)]
+    terms, n = Q._Terms(asked, 10.0), 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([10] * n), pa.array([[1, 3]] * n), pa.array([[1, 2]] * n, pa.list_(pa.int32()))], names=["id", "dl", "at", "tf"])
+    seen = []
+    assert peak(lambda: [seen.append((len(b), b.column("score")[0].as_py())) for b in Q._scored(iter([batch]), terms)]) < 120
+    assert sum(x for x, _ in seen) == 4000 * n and len({x for _, x in seen}) == 1
