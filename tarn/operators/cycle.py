@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tarn.functions import rules as R
 from tarn.functions.entities import entities
 from tarn.functions.text import error_signature, without_secrets
 from tarn.functions.vectors import cosine
-from tarn.lineage import cut, kept
+from tarn.lineage import cut, kept, small_batches
 
 # fixed values: a self-check's weights and its two thresholds
 CHECK_WEIGHTS, RECORD, SUGGEST = (0.3, 0.3, 0.2, 0.1, 0.1), 0.75, 0.60
@@ -223,13 +225,30 @@ def created(incoming: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _grams(batches):
+    """row, gram, tf: the trigrams of each text, some texts at a time."""
+    for batch in (x.slice(k, 256) for x in batches for k in range(0, len(x), 256)):
+        texts = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in batch.column("low").to_pylist()]
+        keys = np.concatenate([t[:-2] << 42 | t[1:-1] << 21 | t[2:] for t in texts])
+        row = np.repeat(np.arange(len(texts)), [len(t) - 2 for t in texts])
+        names, which = np.unique(keys, return_inverse=True)
+        pairs, tf = np.unique(row * len(names) + which, return_counts=True)
+        code = np.stack([names >> 42, names >> 21 & 0x1FFFFF, names & 0x1FFFFF], axis=1).astype("<u4")
+        grams = pa.array([x.tobytes().decode("utf-32-le") for x in code], pa.string())
+        for k in range(0, len(pairs), 1 << 16):
+            own = pairs[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own // len(names))), grams.take(pa.array(own % len(names))), pa.array(tf[k : k + (1 << 16)])], names=["id", "gram", "tf"])
+
+
 def postings(memories: DataFrame) -> DataFrame:
-    """id, gram, tf: the trigrams of each memory's text, for the index."""
+    """id, gram, tf: the trigrams of each memory's text, for the index. A text's are counted where it lies; only those of ids in several rows are added up."""
+    small_batches(memories.sparkSession)
     low = F.lower(F.concat_ws(" ", "title", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    # to reach a character takes as long as it is far, so long texts are cut into pieces first
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("low") - 3) / 1000).cast("int")), lambda k: F.substring("low", k * 1000 + 1, F.lit(1002)))
-    grams = F.flatten(F.transform(pieces, lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))))
-    return memories.select("id", low.alias("low")).where(F.length("low") >= 3).select("id", F.explode(grams).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    rows = memories.select("id", low.alias("low")).where(F.length("low") >= 3)
+    several = memories.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1 OR id IS NULL").select(F.col("id").alias("_id"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    counted = lambda own: own.mapInArrow(_grams, f"id {memories.schema['id'].dataType.simpleString()}, gram string, tf long")
+    return counted(rows.join(several, same, "left_anti")).unionByName(counted(rows.join(several, same, "left_semi")).groupBy("id", "gram").agg(F.sum("tf").alias("tf")))
 
 
 def batch_outcome(requests: DataFrame, memories: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import random
 import time
 import tracemalloc
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.chunks import chunks
 from tarn.functions.entities import entities
-from tarn.operators import dedup, graph
+from tarn.operators import cycle, dedup, graph
 from tarn.operators import search as Q
 from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
 
@@ -119,3 +120,14 @@ def test_rows_that_many_queries_ask_for_are_scored_in_parts():
     seen = []
     assert peak(lambda: [seen.append((len(b), b.column("score")[0].as_py())) for b in Q._scored(iter([batch]), terms)]) < 120
     assert sum(x for x, _ in seen) == 4000 * n and len({x for _, x in seen}) == 1
+
+
+def test_postings_are_counted_where_texts_lie(spark):
+    rows = [(1, "t", "Ab\U0001f600ab\U0001f600ab", ["x"]), (2, None, "ab", None), (3, None, "abab", []), (3, None, "bab", None), (None, None, "aab", None), (None, None, "aab", None), (4, "", "\u00c4" * 5, None)]
+    got = cycle.postings(spark.createDataFrame(rows, "id long, title string, content string, tags array<string>"))
+    want = Counter()
+    for i, title, content, tags in rows:
+        low = " ".join(x for x in (title, content, " ".join(tags or [])) if x is not None).lower()
+        want.update((i, low[k : k + 3]) for k in range(len(low) - 2))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((*k, n) for k, n in want.items()), key=str)
+    assert list(cycle._grams(iter([]))) == []
