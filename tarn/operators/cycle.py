@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import rules as R
 from tarn.functions.entities import entities
-from tarn.functions.text import error_signature, without_secrets
+from tarn.functions.text import SECRET_RULES, error_signature, masked_secrets, secret_marks, without_secrets
 from tarn.functions.vectors import cosine
 from tarn.lineage import cut, kept, small_batches
 
@@ -313,20 +313,20 @@ def redacted_json(rows: DataFrame, json: str, findings: str) -> DataFrame:
     Each string value is masked by itself, at any depth: the text between two quotes that
     no colon follows. Keys stay. Only strings with a mark of a secret are touched.
     """
-    own = rows.withColumn(json, F.when(F.try_parse_json(json).isNotNull(), F.col(json))).withColumn("_row", F.monotonically_increasing_id())
-    own = cut(own)
+    own = rows.withColumn(json, F.when(F.try_parse_json(json).isNotNull(), F.col(json)))
     token = '"(?:[^"\\\\]|\\\\.)*"(?:\\s*:)?|[^"]+'
-    parts = own.select("_row", F.posexplode(F.regexp_extract_all(json, F.lit(token), F.lit(0))).alias("_at", "_part"))
-    value = F.col("_part").rlike('(?s)^".*"$')
-    clean = without_secrets(parts.withColumn("_text", F.when(value, F.expr("substring(_part, 2, length(_part) - 2)")).otherwise(F.lit(""))), "_text", "_found")
-    joined = clean.groupBy("_row").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.when(value, F.concat(F.lit('"'), "_text", F.lit('"'))).otherwise(F.col("_part")).alias("p")))), lambda x: x["p"]), "").alias("_json"),
-        F.flatten(F.collect_list(F.map_entries("_found"))).alias("_all"),
-    )
-    kinds = F.array_distinct(F.transform("_all", lambda e: e["key"]))
-    counts = F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.aggregate("_all", F.lit(0), lambda acc, e: acc + F.when(e["key"] == k, e["value"]).otherwise(0))))
-    out = own.join(joined.select("_row", "_json", counts.alias(findings)), "_row", "left")
-    return out.select(*[F.col("_json").alias(c) if c == json else F.col(c) for c in rows.columns], findings)
+    marks = secret_marks([(some, pattern) for _, some, pattern, _ in SECRET_RULES])
+
+    def part(p: Column) -> Column:
+        value = p.rlike('(?s)^".*"$') & p.rlike(marks)
+        inside = F.transform(F.array(masked_secrets(F.substring(p, F.lit(2), F.length(p) - 2))), lambda m: F.struct(F.concat(F.lit('"'), m["text"], F.lit('"')).alias("text"), m["n"].alias("n")))
+        return F.when(value, F.element_at(inside, 1)).otherwise(F.struct(p.alias("text"), F.array().cast("array<int>").alias("n")))
+
+    clean = own.withColumn("_parts", F.transform(F.regexp_extract_all(json, F.lit(token), F.lit(0)), part))
+    times = lambda i: F.aggregate("_parts", F.lit(0), lambda acc, x: acc + F.coalesce(F.get(x["n"], F.lit(i)), F.lit(0)))
+    counts = F.map_filter(F.create_map(*[x for i, (kind, *_) in enumerate(SECRET_RULES) for x in (F.lit(kind), times(i))]), lambda _, n: n > 0)
+    text = F.array_join(F.transform("_parts", lambda x: x["text"]), "")
+    return clean.select(*[text.alias(c) if c == json else F.col(c) for c in rows.columns], F.when(F.col("_parts").isNotNull(), counts).alias(findings))
 
 
 def best_projects(memories: DataFrame, aliases: DataFrame, shared: DataFrame) -> DataFrame:
