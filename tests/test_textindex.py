@@ -68,3 +68,17 @@ def test_bound_leaves_no_better_row_out(spark, monkeypatch):
     monkeypatch.setattr(Q, "BLOCK_PHRASES", 7)
     monkeypatch.setattr(Q, "BLOCK_TERMS", 40)
     assert rows(Q.top_per_query(Q.bm25_search(docs, asked, 10), 10, "rank")) == rows(whole)
+
+
+@pytest.mark.parametrize("entry", [0, 1 << 40])
+def test_postings_and_texts_give_the_same(spark, tmp_path, monkeypatch, entry):
+    """What costs more by its postings than by all texts is counted in the texts, where they lie; either way the results are a scan's."""
+    monkeypatch.setattr("tarn.operators.textindex.ENTRY_BYTES", entry)
+    docs = spark.createDataFrame(texts(random.Random(3), range(60)), "id long, content string")
+    asked = spark.createDataFrame(QUERIES, "query_id long, query string")
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.add(docs)
+    index.delete(docs.where("id % 7 = 0"))
+    assert rows(index.search(asked)) == rows(Q.bm25_search(docs.where("id % 7 != 0"), asked))
+    plan = index.hits(Q.asked_phrases(asked))._jdf.queryExecution().executedPlan().toString()
+    assert ("collect_list" in plan) == (entry == 0)  # postings are put together by id, texts are counted as they lie
