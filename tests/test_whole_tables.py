@@ -15,7 +15,9 @@ from tarn.functions.chunks import chunks
 from tarn.functions.entities import entities
 from tarn.operators import cycle, dedup, graph
 from tarn.operators import search as Q
+from tarn.plans import cycle as upkeep_cycle  # noqa: F401
 from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
+from tarn.sources.tables import memory_state
 
 
 def test_import_knows_odd_ids(spark, tmp_path):
@@ -148,3 +150,59 @@ def test_json_is_redacted_where_it_lies(spark):
     }
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ExistingRDD[_row" not in plan
+
+
+def _light_by_pairs(spark, sf_dir):
+    """Greedy keepers over all pairs of active memories, one by one."""
+    m = dedup.comparable(F.col("title"), F.col("content"), F.col("tags"))
+    rows = memory_state(spark, sf_dir).where("status = 'active' AND content IS NOT NULL").select("id", m.alias("m")).checkpoint()
+    pairs = rows.toDF("one", "a").join(F.broadcast(rows.toDF("two", "b")), F.col("one") < F.col("two")).where(dedup.is_duplicate("a", "b")).select("one", "two")
+    after, keeper = {}, {}
+    for a, b in sorted(map(tuple, pairs.collect())):
+        after.setdefault(a, []).append(b)
+    for i in sorted(after):
+        if i not in keeper:
+            for j in after[i]:
+                keeper.setdefault(j, i)
+    return keeper
+
+
+def test_light_groups_against_all_pairs(spark, tmp_path):
+    """Titles that only rows taken by others begin, and texts within others, beside plain copies."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    texts = [" ".join(word() for _ in range(rnd.randint(12, 60))) for _ in range(60)]
+    lead = texts[0][:60]
+    texts += [lead + " ".join(word() for _ in range(30)) for _ in range(12)]  # of one title
+    texts += [" ".join(word() for _ in range(100)) + t + " ".join(word() for _ in range(100)) for t in texts[10:20]]  # hold another
+    texts += [texts[i][2:70] for i in range(60, 70)] + [t.upper() for t in texts[30:34]] + ["x " + t for t in texts[61:66]] + [" ".join([*t.split()[:-2], "y"]) for t in texts[35:45]]
+    texts += [" " * 70 + texts[50] + " z", " " * 70 + texts[50], "\n", "\t ", "", None]
+    rnd.shuffle(texts)
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "event_id long, user_id long, ts timestamp, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = _light_by_pairs(spark, str(tmp_path))
+    assert dict(map(tuple, registry.QUERIES["light_groups"](spark, str(tmp_path)).collect())) == want and len(want) > 25
+
+
+def test_keepers_of_cliques(spark):
+    """In one task and in rounds, as if every pair of a clique were there."""
+    rnd = random.Random(5)
+    clique = {i: rnd.randrange(6) for i in range(60) if i % 3}
+    links = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(50)}
+    every = links | {(a, b) for a in clique for b in clique if a < b and clique[a] == clique[b]}
+    star = {(min(i for i in clique if clique[i] == c), b) for b, c in clique.items()}
+    star = {(a, b) for a, b in star if a != b}
+    order = spark.createDataFrame([(i, (i * 37) % 61) for i in range(60)], "id long, place long")
+    pairs, cliques = spark.createDataFrame(sorted(links | star), "one long, two long"), spark.createDataFrame(sorted(clique.items()), "id long, clique long")
+    want = dedup._kept({i: ((i * 37) % 61, i) for i in {x for p in every for x in p}}, sorted(every))
+    for most in (1 << 16, 0):
+        got = dedup.greedy_keepers(pairs, dedup.labelled(pairs), order, most, cliques)
+        assert dict(map(tuple, got.collect())) == want
+
+
+def test_unlike_texts_hardly_meet(spark):
+    """Texts that share a fifth of their tokens: 80,000 pairs, of which a tenth and more met."""
+    rnd = random.Random(4)
+    data = [(i, " ".join([f"c{k}" for k in range(20)] + [f"w{rnd.randrange(10**6)}" for _ in range(40)])) for i in range(400)]
+    assert dedup.alike_candidates(spark.createDataFrame(data, "id long, t string"), "t").count() < 80
