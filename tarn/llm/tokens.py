@@ -3,7 +3,7 @@
 The library splits a text into words before it merges bytes, and never merges
 across words. Where a text's white space is single spaces and newlines between words,
 a space belongs to the word after it and a newline is a word of its own. Such texts
-are cut there as whole Arrow arrays; the library encodes each distinct word of a chunk
+are cut there, and between letters, digits and marks, as whole Arrow arrays; the library encodes each distinct word of a chunk
 that is not remembered, and ids are gathered by word. Other texts, and those that hold
 a special token's string, go to the library whole, as it is: special strings become
 special ids.
@@ -14,6 +14,8 @@ never depend on it.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +30,16 @@ _CLASS[[9, 11, 12, 13, 28, 29, 30, 31]] = _OTHER
 # lead byte of white space in UTF-8: its second bytes, or pairs of a second and its third bytes
 _WIDE = {0xC2: {0x85: None, 0xA0: None}, 0xE1: {0x9A: (0x80,), 0xA0: (0x8E,)}, 0xE2: {0x80: (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), 0x81: (0x9F,)}, 0xE3: {0x80: (0x80,)}}
 
+# ASCII letters, digits and marks
+_SORT = np.zeros(256, np.uint8)
+_SORT[33:127] = 3
+_SORT[48:58] = 2
+_SORT[[*range(65, 91), *range(97, 123)]] = 1
+# a word of letters up to U+024F, in UTF-8
+_LATIN = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
+# bytes of such words that byte-level models do not write as the character of that number: the n-th byte of all such is chr(256 + n)
+_BYTES = [(chr(b), chr(256 + (b if b < 33 else b - 127 + 33 if b < 161 else 67))) for b in (32, *range(128, 161), 173)]
+
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array without nulls, and the offsets of its values: views, no copies."""
@@ -68,6 +80,10 @@ class WordCoder:
     def odd(self, raw: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
+    def cuts(self, raw: np.ndarray) -> np.ndarray | None:
+        """Where else words begin, from the second byte on."""
+        return None
+
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         raise NotImplementedError
 
@@ -99,6 +115,9 @@ class WordCoder:
             return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
         begin = kind > 0
         begin[1:] |= kind[:-1] == _LINE
+        more = self.cuts(raw)
+        if more is not None:
+            begin[1:] |= more
         begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         starts = np.flatnonzero(begin)
         coded = binary_array(raw, np.append(starts, len(raw))).dictionary_encode()
@@ -136,6 +155,16 @@ class Encoder(WordCoder):
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         super().__init__(self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.by_words = type(before).__name__ == "ByteLevel" and not before.add_prefix_space and self.tokenizer.normalizer is None and len(self.line) == 1
+        self.split = self.by_words and before.use_regex
+        model = self.tokenizer.model
+        self.model = model if self.split and type(model).__name__ == "BPE" and not model.dropout else None
+
+    def cuts(self, raw: np.ndarray) -> np.ndarray | None:
+        """Between ASCII letters, digits and marks, where the library's own pattern always cuts; what follows an apostrophe may belong to it."""
+        if not self.split:
+            return None
+        kind = _SORT[raw]
+        return (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (raw[:-1] != 39)
 
     def whole(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "surrogatepass") for t in texts], add_special_tokens=False)]
@@ -165,10 +194,28 @@ class Encoder(WordCoder):
         return np.diff(np.append(0, np.cumsum(marked))[offsets]) > 0
 
     def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters go to the library's model at once, in its alphabet of bytes; of others many in one text."""
+        names = words.to_pylist()
+        plain = np.array([self.model is not None and _LATIN(w) is not None for w in names])
+        if not plain.any():
+            return self._learn_text(names)
+        mapped = b"\n".join(w for w, p in zip(names, plain, strict=True) if p).decode("latin-1")
+        for byte, letter in _BYTES:  # faster than translate(): most are not there
+            mapped = mapped.replace(byte, letter)
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(w)] for w in mapped.split("\n")]
+        others, counts = self._learn_text([w for w, p in zip(names, plain, strict=True) if not p])
+        sizes = np.zeros(len(names), np.int64)
+        sizes[plain], sizes[~plain] = [len(x) for x in found], counts
+        out, inner = np.empty(int(sizes.sum()), "<u4"), np.repeat(plain, sizes)
+        out[inner], out[~inner] = [i for x in found for i in x], others
+        return out, sizes
+
+    def _learn_text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Many words in one text, a newline between two."""
-        flat, sizes = [], []
-        for i in range(0, len(words), 4000):
-            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words[i : i + 4000].to_pylist()).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 200):
+            found = np.array(self.tokenizer.encode_batch_fast([b"\n".join(words[i : i + 200]).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
             inner = found != self.line[0]
             flat.append(found[inner])
             sizes.append(np.diff(np.append(np.flatnonzero(~inner), len(found)), prepend=-1) - 1)

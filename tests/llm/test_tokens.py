@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -52,3 +53,18 @@ def test_token_files_round_trip(library, spark, tmp_path):
     token_files.write_tokens(df.limit(0), out + "e", PATH, 50257)
     assert token_files.read_documents(spark, out + "e").count() == 0
     assert zlib.crc32(got[0]["ids"]) >= 0
+
+
+def test_words_are_cut_where_the_library_cuts():
+    """Letters, digits and marks apart: one word is learned for all its endings, and ids stay the library's."""
+    rnd = random.Random(12)
+    parts = ["don't", "it's,", "'s", "'S", "x'll.", "''s", "shoe", "shoe,", "shoe.", "a1b2", "12.5%", "(a)", "…,a", ".'s", "ß", "Éa", "é,", "×a", "a÷", "¿que", "ɏz", "ɐz", "ñ1", "日本,x", "áb", "­a", "à b", "#tag_x", "ÿ", "I'm'", "e.g.", "\x7fz", "Ħ-ē", "'re1"]
+    texts = [" ".join(rnd.choices(parts, k=rnd.randint(1, 30))).replace(" x", "\nx") for _ in range(500)] + ["".join(rnd.choices(parts, k=5)) for _ in range(500)]
+    enc = tokens.Encoder(PATH)
+    raw, offsets = tokens.flat_bytes(pa.array(texts))
+    ids, sizes = enc.encode(raw, offsets)
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    few = tokens.Encoder(PATH)
+    few.encode(*tokens.flat_bytes(pa.array(["a shoe, shoe. shoe! shoe1 shoe2"])))
+    assert [w for w in few.names.to_pylist() if b"shoe" in w] == [b" shoe"]
