@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,3 +498,15 @@ def test_divergence_and_hints(spark):
     assert rows(grams) == [("plain",), ("用缓存 ok 用缓 缓存",)]
     runs = spark.createDataFrame([(1, "w", 5), (2, "w", 9), (3, None, 1)], "run int, lease_owner string, lease_expires_at int")
     assert [r["run"] for r in P.expired_leases(runs, F.lit(5)).collect()] == [1]
+
+
+def test_strangers_that_meet_do_not_grow_with_the_rows(spark, monkeypatch):
+    """Random vectors, four times as many: pairs that share a key go up as the rows do, not as their square."""
+    met = []
+    once = D._alike_sides
+    monkeypatch.setattr(D, "_alike_sides", lambda pairs, *rest: met.append(pairs.count()) or once(pairs, *rest))
+    rnd = np.random.default_rng(10)
+    for n in (60_000, 240_000):
+        data = pa.table({"id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rnd.normal(size=n * 32)), 32).cast(pa.list_(pa.float64()))})
+        D.duplicate_pairs(spark.createDataFrame(data), 0.999)
+    assert met[1] < 8 * met[0]
