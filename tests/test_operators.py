@@ -510,3 +510,26 @@ def test_strangers_that_meet_do_not_grow_with_the_rows(spark, monkeypatch):
         data = pa.table({"id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(rnd.normal(size=n * 32)), 32).cast(pa.list_(pa.float64()))})
         D.duplicate_pairs(spark.createDataFrame(data), 0.999)
     assert met[1] < 8 * met[0]
+
+
+def test_expansion_deals_out_only_the_newest(spark):
+    """Rows met by many ways, repeated links and what was found already, against plain Python; most are cut where they are met."""
+    rnd = random.Random(11)
+    links = [(rnd.randrange(300), rnd.randrange(40)) for _ in range(900)]
+    relations = [(rnd.randrange(40), rnd.randrange(40)) for _ in range(50)]
+    updated = {i: rnd.randrange(50) for i in range(290)}
+    found = [(q, i) for q in range(20) for i in sorted(updated, key=lambda i: (-updated[i], i))[: q % 4]]
+    near = {(a, b) for x, y in relations for a, b in ((x, y), (y, x))}
+    want = []
+    for q in {q for q, _ in found}:
+        have = {i for r, i in found if r == q}
+        if len(have) < 3:
+            seeds = {e for m, e in links if m in have}
+            seeds |= {b for a, b in near if a in seeds}
+            met = sorted({m for m, e in links if e in seeds and m in updated} - have, key=lambda i: (-updated[i], i))
+            want += [(q, i, r + 1) for r, i in enumerate(met[:4])]
+    df = lambda rows, cols: spark.createDataFrame(rows, cols).repartition(3)
+    got = Q.expanded(df(found, "query_id long, id long"), df(links + links[:99], "memory_id long, entity_id long"), df(relations * 2, "source_id long, target_id long"), df(sorted(updated.items()), "id long, updated long"), most=4, rounds=1)
+    assert rows(got) == sorted(want, key=str) and len(want) > 20
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "dense_rank" in plan and "Partial" in plan[plan.index("dense_rank") :]
