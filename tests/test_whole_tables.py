@@ -206,3 +206,21 @@ def test_unlike_texts_hardly_meet(spark):
     rnd = random.Random(4)
     data = [(i, " ".join([f"c{k}" for k in range(20)] + [f"w{rnd.randrange(10**6)}" for _ in range(40)])) for i in range(400)]
     assert dedup.alike_candidates(spark.createDataFrame(data, "id long, t string"), "t").count() < 80
+
+
+def test_greedy_dedup_of_near_vectors(spark, tmp_path):
+    """Where vectors of the table are near each other, the first takes them, as over all pairs; the query's SQL holds only where none are."""
+    rnd = np.random.default_rng(12)
+    v = rnd.normal(size=(60, 24))
+    v[30:50] = v[:20] + rnd.normal(size=(20, 24)) * 0.2
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    every = np.concatenate([v, v + 0.05 * np.sin(np.arange(60)[:, None] * 7 + np.arange(1, 25)[None])])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    near, keeper = unit @ unit.T >= 0.9, {}
+    for i in range(120):
+        for j in range(i, 120) if i not in keeper else ():
+            if near[i, j]:
+                keeper.setdefault(j, i)
+    name = lambda i: i % 60 + 1_000_000 * (i // 60)
+    got = dict(map(tuple, registry.QUERIES["greedy_dedup"](spark, str(tmp_path)).select("id", "keeper").collect()))
+    assert got == {name(i): name(k) for i, k in keeper.items()} and any(k != i % 1_000_000 for i, k in got.items())
