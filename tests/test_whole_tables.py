@@ -1,6 +1,7 @@
 """Queries that must read all runs and all rows."""
 
 import datetime
+import math
 import random
 import time
 import tracemalloc
@@ -224,3 +225,25 @@ def test_greedy_dedup_of_near_vectors(spark, tmp_path):
     name = lambda i: i % 60 + 1_000_000 * (i // 60)
     got = dict(map(tuple, registry.QUERIES["greedy_dedup"](spark, str(tmp_path)).select("id", "keeper").collect()))
     assert got == {name(i): name(k) for i, k in keeper.items()} and any(k != i % 1_000_000 for i, k in got.items())
+
+
+def test_greedy_dedup_has_every_row(spark, tmp_path):
+    """Equal vectors, vectors too short for their copies to be near, and vectors without a direction: a row for each, as its SQL has."""
+    rnd = np.random.default_rng(13)
+    v = rnd.normal(size=(40, 24)).tolist()
+    v[30:33] = [v[3]] * 3  # equal vectors
+    v[33] = (np.array(v[4]) * 1e-3).tolist()  # near 4, but not near its own copy
+    v[34:40] = [None, None, [0.0] * 24, [0.0] * 24, [float("nan")] * 24, [float("inf"), *v[38][1:]]]
+    ids = [*range(20), *range(1_000_000, 1_000_020)]  # copies of the first have the numbers of the others
+    spark.createDataFrame(list(zip(ids, v, strict=True)), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = sorted([(i, 0, x) for i, x in zip(ids, v, strict=True)] + [(i + 1_000_000, 1, None if x is None else [c + 0.05 * math.sin(i * 7 + k + 1) for k, c in enumerate(x)]) for i, x in zip(ids, v, strict=True)], key=lambda r: r[:2])
+    unit = np.array([np.full(24, np.nan) if x is None or not np.isfinite(x).all() or not any(x) else np.array(x) / np.linalg.norm(x) for _, _, x in rows])
+    near, keeper = unit @ unit.T >= 0.9, {}
+    for i in range(len(rows)):
+        if i not in keeper:
+            keeper[i] = i
+            for j in range(i + 1, len(rows)):
+                if near[i, j]:
+                    keeper.setdefault(j, i)
+    got = registry.QUERIES["greedy_dedup"](spark, str(tmp_path)).collect()
+    assert Counter((r["id"], r["keeper"]) for r in got) == Counter((rows[i][0], rows[k][0]) for i, k in keeper.items())
