@@ -30,6 +30,8 @@ grow with the square root of the corpus, so that messages keep their size.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -137,73 +139,89 @@ class Grams:
         return counts, slots
 
 
-def _edges(distinct: np.ndarray, n_owners: int) -> list[int]:
+_HEAD = struct.Struct("<IBIIBI")  # of the words and of the longer n-grams: how many, the code's parameter, the bytes of its quotients
+
+
+def _lows(n_owners: int) -> list[int]:
     """Where each owner's range of keys begins."""
-    lows = np.array([(i << 64) // n_owners for i in range(n_owners)], np.uint64)
-    return [*np.searchsorted(distinct, lows).tolist(), len(distinct)]
-
-
-def _coded(keys: np.ndarray, low: int, bits: int, n_owners: int) -> bytes:
-    """Sorted keys of an owner: words by all bits, longer n-grams by the bits that their fingerprints have."""
-    word = (keys & WORD) > 0
-    out = []
-    for own, drop in ((keys[word] >> np.uint64(2), 2), (keys[~word] >> np.uint64(64 - bits), 64 - bits)):
-        k, code = golomb.encode(own - np.uint64(low >> drop), 64 - drop - np.log2(n_owners))
-        out.append(np.array([len(own), k, len(code)], "<i8").tobytes() + code)
-    return b"".join(out)
-
-
-def _decoded(code: bytes, low: int, bits: int) -> list[np.ndarray]:
-    """The words' keys and the longer n-grams' keys, each sorted."""
-    out, at = [], 0
-    for drop, mark in ((2, WORD), (64 - bits, np.uint64(0))):
-        n, k, size = np.frombuffer(code, "<i8", 3, at)
-        out.append(((golomb.decode(int(n), int(k), code[at + 24 : at + 24 + int(size)]) + np.uint64(low >> drop)) << np.uint64(drop)) | mark)
-        at += 24 + int(size)
-    return out
+    return [(i << 64) // n_owners for i in range(n_owners)]
 
 
-def _numbers(x: np.ndarray) -> bytes:
-    """Counts, most of them small: a byte each, and the rest apart."""
-    large = np.flatnonzero(x >= 255)
-    low = np.minimum(x, 255).astype(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(large)).tobytes() + low.tobytes() + x[large].astype("<i8").tobytes())
+def _by_kind(distinct: np.ndarray, n_owners: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many of a batch's sorted keys each owner has; and of the words and of the longer n-grams, where they stand and where among them each owner's begin."""
+    lows = np.array(_lows(n_owners), np.uint64)
+    kinds = [(own, np.append(np.searchsorted(distinct[own], lows), len(own))) for own in (np.flatnonzero(distinct & WORD), np.flatnonzero((distinct & WORD) == 0))]
+    return sum(np.diff(edges) for _, edges in kinds), kinds
 
 
-def _read_numbers(code: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(code)
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, "<i8", -1, 8 + n)
+def _in_turn(kinds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The order in which messages have a batch's sorted keys: each owner's words, then its longer n-grams."""
+    (words, a), (longer, b) = kinds
+    out = np.empty(len(words) + len(longer), np.int64)
+    out[np.arange(len(words)) + np.repeat(b[:-1], np.diff(a))] = words
+    out[np.arange(len(longer)) + np.repeat(a[1:], np.diff(b))] = longer
     return out
 
 
-def _by_kind(keys: np.ndarray) -> np.ndarray:
-    """The order in which a message has an owner's sorted keys: words, then longer n-grams."""
-    return np.argsort((keys & WORD) == 0, kind="stable")
+def _coded(distinct: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]], bits: int, n_owners: int) -> list[bytes]:
+    """Each owner's keys: words by all bits, longer n-grams by the bits that their fingerprints have."""
+    lows, parts = np.array(_lows(n_owners), np.uint64), []
+    for (own, edges), drop in zip(kinds, (2, 64 - bits), strict=True):
+        values = (distinct[own] >> np.uint64(drop)) - np.repeat(lows >> np.uint64(drop), np.diff(edges))
+        k, codes = golomb.encode_runs(values, edges, 64 - drop - np.log2(n_owners))
+        parts.append([(n, k, head, code) for n, (head, code) in zip(np.diff(edges).tolist(), codes, strict=True)])
+    return [_HEAD.pack(*a[:3], *b[:3]) + a[3] + b[3] for a, b in zip(*parts, strict=True)]
+
+
+def _decoded(codes: list[bytes], low: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of an owner's messages: all words' keys and all longer n-grams' keys, message after message; and how many of each every message has."""
+    heads = np.array([_HEAD.unpack_from(c) for c in codes], np.int64).reshape(-1, 2, 3)
+    cut = (_HEAD.size + heads[:, 0, 2] + (heads[:, 0, 0] * heads[:, 0, 1] + 7) // 8).tolist()
+    parts = [c[_HEAD.size : at] for c, at in zip(codes, cut, strict=True)], [c[at:] for c, at in zip(codes, cut, strict=True)]
+    keys = [
+        ((golomb.decode_runs(*heads[:, i].T, parts[i]) + np.uint64(low >> drop)) << np.uint64(drop)) | mark
+        for i, (drop, mark) in enumerate(((2, WORD), (64 - bits, np.uint64(0))))
+    ]
+    return keys, [heads[:, i, 0] for i in (0, 1)]
+
+
+def _numbers(x: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """Counts of each message, x[edges[i]:edges[i + 1]]; most are small: a byte each, and the rest apart."""
+    large = np.flatnonzero(x >= 255)
+    low, rest, at = np.minimum(x, 255).astype(np.uint8).tobytes(), x[large].astype("<i8").tobytes(), (np.searchsorted(large, edges) * 8).tolist()
+    compress, edges = zstandard.ZstdCompressor(level=1).compress, edges.tolist()
+    return [compress(low[a:b] + rest[c:d]) for a, b, c, d in zip(edges, edges[1:], at, at[1:], strict=False)]
+
+
+def _read_numbers(codes, sizes: list[int]) -> np.ndarray:
+    """All messages' counts, one after the other."""
+    decompress = zstandard.ZstdDecompressor().decompress
+    raw = [decompress(c) for c in codes]
+    out = np.frombuffer(b"".join([r[:n] for r, n in zip(raw, sizes, strict=True)]), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(b"".join([r[n:] for r, n in zip(raw, sizes, strict=True)]), "<i8")
+    return out
 
 
 def _messages(frames, order: int, bits: int, n_owners: int):
     for frame in frames:
         for row in frame.itertuples():
             distinct, counts = Grams(row, order, bits).distinct()
-            edges, out = _edges(distinct, n_owners), []
-            for owner in range(n_owners):
-                a, b = edges[owner], edges[owner + 1]
-                if a < b:
-                    out.append((row.batch, owner, b - a, _coded(distinct[a:b], (owner << 64) // n_owners, bits, n_owners), _numbers(counts[a:b][_by_kind(distinct[a:b])])))
-            yield pd.DataFrame(out, columns=["batch", "owner", "n", "code", "counts"])
+            sizes, kinds = _by_kind(distinct, n_owners)
+            codes, numbers = _coded(distinct, kinds, bits, n_owners), _numbers(counts[_in_turn(kinds)], np.append(0, np.cumsum(sizes)))
+            own = np.flatnonzero(sizes).tolist()
+            yield pd.DataFrame({"batch": row.batch, "owner": own, "n": sizes[own], "code": [codes[i] for i in own], "counts": [numbers[i] for i in own]})
 
 
 def _totals(group: pd.DataFrame, bits: int, n_owners: int) -> pd.DataFrame:
-    low = (int(group["owner"].iloc[0]) << 64) // n_owners
-    lists = [np.concatenate(_decoded(code, low, bits)) for code in group["code"]]
-    values, slot = np.unique(np.concatenate(lists), return_inverse=True)
-    counts = np.concatenate([_read_numbers(c, n) for c, n in zip(group["counts"], group["n"], strict=True)])
-    totals = np.bincount(slot, counts, len(values)).astype(np.int64)
+    keys, (words, longer) = _decoded(group["code"].tolist(), (int(group["owner"].iloc[0]) << 64) // n_owners, bits)
+    values, slot = np.unique(np.concatenate(keys), return_inverse=True)
+    edges = np.append(0, np.cumsum(words + longer))
+    place = np.concatenate([np.arange(words.sum()) + np.repeat(np.cumsum(longer) - longer, words), np.arange(longer.sum()) + np.repeat(np.cumsum(words), longer)])  # where each stands in its message
+    counts = _read_numbers(group["counts"], group["n"].tolist())
+    totals = np.bincount(slot, counts[place], len(values)).astype(np.int64)
     vocabulary = int(((values & WORD > 0) & (totals > 0)).sum())
-    ends = np.cumsum(group["n"].to_numpy())
-    answers = [_numbers(totals[slot[b - n : b]]) for n, b in zip(group["n"], ends, strict=True)]
-    return pd.DataFrame({"batch": group["batch"], "owner": group["owner"], "n": group["n"], "totals": answers, "vocabulary": [vocabulary, *[0] * (len(group) - 1)]})
+    counts[place] = totals[slot]
+    return pd.DataFrame({"batch": group["batch"], "owner": group["owner"], "n": group["n"], "totals": _numbers(counts, edges), "vocabulary": [vocabulary, *[0] * (len(group) - 1)]})
 
 
 class Automaton:
@@ -264,12 +282,8 @@ def _scores(frames, order: int, bits: int, strength: float, total: int, vocabula
         for row in frame.itertuples():
             grams = Grams(row, order, bits)
             distinct, slot = np.unique(grams.all_keys(), return_inverse=True)
-            totals, at = np.zeros(len(distinct), np.int64), 0
-            for a in row.answers:
-                own = slice(at, at + a["n"])
-                totals[own][_by_kind(distinct[own])] = _read_numbers(a["totals"], a["n"])
-                at += a["n"]
-            assert at == len(distinct)
+            totals = np.zeros(len(distinct), np.int64)
+            totals[_in_turn(_by_kind(distinct, n_owners)[1])] = _read_numbers([a["totals"] for a in row.answers], [a["n"] for a in row.answers])
             counts, slots = grams.by_length(slot, totals)
             automaton = Automaton(grams, counts, slots, total, vocabulary, strength)
             known = np.append(0, np.cumsum(counts[0][slots[0]] > 0))

@@ -1,14 +1,16 @@
 import math
 import random
+import time
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tarn.llm import lm_scoring
+from tarn.llm import golomb, lm_scoring
 
 SPACE = " \t\n\r\x0b\f"
 
@@ -95,6 +97,58 @@ def test_probabilities_sum_to_one():
         assert sum(10 ** (x - before) for x in after) == pytest.approx(1, abs=1e-9), c
 
 
+def test_cost_does_not_grow_with_owners():
+    """A batch's messages to thousands of owners, and an owner's from as many batches, cost about what a few of the same content do."""
+    rnd = np.random.default_rng(5)
+    text = " ".join(map(str, rnd.integers(0, 1 << 30, 60_000))).encode()
+    row = SimpleNamespace(batch=1, sizes=np.array([len(text)], "<i8").tobytes(), train=b"\1", texts=zstandard.compress(text))
+    frame = SimpleNamespace(itertuples=lambda: [row])
+
+    def cost(owners):
+        began = time.process_time()
+        (sent,) = lm_scoring._messages([frame], 3, 55, owners)
+        sent = sent.assign(owner=0)  # as if they were of one owner: what they hold does not count here
+        answers = lm_scoring._totals(sent, 55, owners)
+        assert answers["n"].sum() == sent["n"].sum() > 150_000
+        return time.process_time() - began
+
+    cost(10)
+    assert cost(4000) < 0.3 + 4 * min(cost(10) for _ in range(3))
+
+
+def test_owners_answer_every_batch():
+    """Totals of words and longer n-grams over batches, in the order in which a batch has its keys; most owners have few keys or none."""
+    rnd = random.Random(8)
+    texts = [b" ".join(rnd.choice([b"a", b"b", b"c d", b"%d" % rnd.randrange(300)]) for _ in range(n)) for n in (0, 1, 40, 900)]
+    texts[3] += b" a a" * 400  # counts of more than a byte
+    rows = [SimpleNamespace(batch=i, sizes=np.array([len(t)], "<i8").tobytes(), train=np.array([i != 2], np.uint8).tobytes(), texts=zstandard.compress(t)) for i, t in enumerate(texts)]
+    for owners in (1, 7, 5000):
+        sent = pd.concat([m for r in rows for m in lm_scoring._messages([SimpleNamespace(itertuples=lambda r=r: [r])], 3, 40, owners)])
+        answers = pd.concat([lm_scoring._totals(g.reset_index(drop=True), 40, owners) for _, g in sent.groupby("owner")])
+        expected = Counter()
+        for r in rows:
+            expected.update(dict(zip(*(x.tolist() for x in lm_scoring.Grams(r, 3, 40).distinct()), strict=True)))
+        for r in rows:
+            distinct, own = lm_scoring.Grams(r, 3, 40).distinct()[0], answers[answers["batch"] == r.batch].sort_values("owner")
+            totals = np.zeros(len(distinct), np.int64)
+            totals[lm_scoring._in_turn(lm_scoring._by_kind(distinct, owners)[1])] = lm_scoring._read_numbers(own["totals"].tolist(), own["n"].tolist())
+            assert totals.tolist() == [expected[k] for k in distinct.tolist()]
+        assert answers["vocabulary"].sum() == sum(n > 0 and k & 2 > 0 for k, n in expected.items())
+
+
+@pytest.mark.parametrize("bits", [3, 20, 62, 64])
+def test_many_sets_at_once(bits):
+    rnd = np.random.default_rng(bits)
+    sets = [np.unique(rnd.integers(0, 1 << bits, n, np.uint64, endpoint=False) if bits < 64 else rnd.integers(0, (1 << 64) - 1, n, np.uint64, endpoint=True)) for n in (0, 1, 3, 0, 300, 2, 0)]
+    k, runs = golomb.encode_runs(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])), bits)
+    assert len(runs) == len(sets) and runs[0] == (0, b"")
+    sizes, heads = np.array([len(x) for x in sets]), np.array([h for h, _ in runs])
+    # runs of other parameters among them, as messages of several batches have
+    alone, codes = golomb.encode_runs(sets[1], np.array([0, len(sets[1])]), bits)
+    back = golomb.decode_runs(np.append(sizes, len(sets[1])), np.array([k] * len(sets) + [alone]), np.append(heads, codes[0][0]), [c for _, c in runs] + [codes[0][1]])
+    assert (back == np.concatenate([*sets, sets[1]])).all()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scoring.score_documents(df, F.lit(True)).count() == 0
