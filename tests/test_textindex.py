@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.operators import search as Q
 from tarn.operators.textindex import TextIndex
@@ -82,3 +85,18 @@ def test_postings_and_texts_give_the_same(spark, tmp_path, monkeypatch, entry):
     assert rows(index.search(asked)) == rows(Q.bm25_search(docs.where("id % 7 != 0"), asked))
     plan = index.hits(Q.asked_phrases(asked))._jdf.queryExecution().executedPlan().toString()
     assert ("collect_list" in plan) == (entry == 0)  # postings are put together by id, texts are counted as they lie
+
+
+def test_phrases_are_found_as_a_scan_finds_them():
+    """Words, what stands over white space of any kind, what overlaps, and words that were met before."""
+    rnd = random.Random(6)
+    alphabet = ["a", "b", "aa", "ab", "é", "据", "😀", " ", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\u00a0", "-"]
+    made = lambda n: "".join(rnd.choice(alphabet) for _ in range(n))
+    texts = ["", " ", "a", "aaaa aaaa", *(made(rnd.randrange(60)) for _ in range(400)), "a b aa ab é b a aa " * 40]
+    phrases = [*{made(rnd.randrange(1, 7)) for _ in range(300)}, " ", "\n", "a b aa ab é b a aa a b aa", "a b aa ab é b a ab"]
+    own = Q._Sought(phrases)
+    for part in (texts, texts[::-1], [], [""], texts[100:300]):
+        row, phrase, times = own.counts(pa.array(part, pa.string()))
+        assert (np.diff(row) >= 0).all()
+        got = sorted(zip(row.tolist(), phrase.tolist(), times.tolist(), strict=True))
+        assert got == [(i, k, t.count(p)) for i, t in enumerate(part) for k, p in enumerate(phrases) if p in t]
