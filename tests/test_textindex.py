@@ -100,3 +100,21 @@ def test_phrases_are_found_as_a_scan_finds_them():
         assert (np.diff(row) >= 0).all()
         got = sorted(zip(row.tolist(), phrase.tolist(), times.tolist(), strict=True))
         assert got == [(i, k, t.count(p)) for i, t in enumerate(part) for k, p in enumerate(phrases) if p in t]
+
+
+def test_only_rows_below_a_limit(spark, tmp_path):
+    """The best of a query's own number among the rows below its limit, as all rows filtered; few others leave the tasks."""
+    rnd = random.Random(9)
+    words = [f"w{i}x" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, weights=[1 / (k + 1) for k in range(60)], k=30))) for i in range(3000)], "id long, content string")
+    index = TextIndex(spark, str(tmp_path / "limits"))
+    index.add(docs)
+    queries = [(q, " ".join(rnd.sample(words, 4)) if q else None) for q in range(12)]
+    asked = spark.createDataFrame(queries, "query_id long, query string")
+    until, n = {q: [0, 30, 1500, 3000][q % 4] for q, _ in queries}, {q: 1 + q % 3 for q, _ in queries}
+    limits = spark.createDataFrame([(q, until[q], until[q] / 3000, n[q]) for q, _ in queries], "query_id long, until long, share double, n int")
+    every = [tuple(r) for r in index.search(asked).collect()]
+    got = [tuple(r) for r in index.search(asked, limits=limits, stamps=docs.where("id % 7 != 3").select("id", F.col("id").alias("stamp"))).collect()]
+    best = lambda rows: {q: sorted((-s, i) for k, i, s in rows if k == q)[: n[q]] for q, _ in queries}
+    assert best(got) == best([r for r in every if r[1] < until[r[0]] and r[1] % 7 != 3])
+    assert all(r[1] < until[r[0]] for r in got) and 0 < len(got) < len(every) / 5
