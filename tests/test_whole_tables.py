@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.chunks import chunks
 from tarn.functions.entities import entities
-from tarn.operators import cycle, dedup, graph
+from tarn.operators import cycle, dedup, graph, relational
 from tarn.operators import search as Q
 from tarn.plans import cycle as upkeep_cycle  # noqa: F401
 from tarn.plans import lifecycle, registry, relations, searching, upkeep  # noqa: F401
@@ -247,3 +247,21 @@ def test_greedy_dedup_has_every_row(spark, tmp_path):
                     keeper.setdefault(j, i)
     got = registry.QUERIES["greedy_dedup"](spark, str(tmp_path)).collect()
     assert Counter((r["id"], r["keeper"]) for r in got) == Counter((rows[i][0], rows[k][0]) for i, k in keeper.items())
+
+
+def test_expansion_by_blocks_of_nodes(spark, monkeypatch):
+    """Numbers, negative, null and far apart, are reached as their names are; the last frontier, the largest, is not written between steps."""
+    rnd, written = random.Random(4), []
+    keep = relational.cut
+    monkeypatch.setattr(relational, "cut", lambda df: written.append(keep(df)) or written[-1])
+    numbers = [None, -1, -64, 0, 63, 64, 1 << 40, -(1 << 62), *range(100, 140)]
+    edges = [(rnd.choice(numbers), rnd.choice(numbers)) for _ in range(400)]
+    seeds = [(None, -1), (1, 0), (1, 64), (2, None), (2, 100), (2, 100), (3, 999)]
+    name = lambda x: None if x is None else f"n{x}"
+    for back in (None, 1, 2):
+        written.clear()
+        got = relational.expand(spark.createDataFrame(seeds, "seed int, node long"), spark.createDataFrame(edges, "src long, dst long"), 3, back=back)
+        rows = sorted((tuple(r) for r in got.collect()), key=str)
+        assert sum("hop" in d.columns for d in written) == 3 and got.schema["node"].dataType.typeName() == "long"
+        named = relational.expand(spark.createDataFrame([(s, name(n)) for s, n in seeds], "seed int, node string"), spark.createDataFrame([(name(a), name(b)) for a, b in edges], "src string, dst string"), 3, back=back)
+        assert rows == sorted(((s, None if n is None else int(n[1:]), h) for s, n, h in named.collect()), key=str) and len(rows) > 100
