@@ -265,3 +265,19 @@ def test_expansion_by_blocks_of_nodes(spark, monkeypatch):
         assert sum("hop" in d.columns for d in written) == 3 and got.schema["node"].dataType.typeName() == "long"
         named = relational.expand(spark.createDataFrame([(s, name(n)) for s, n in seeds], "seed int, node string"), spark.createDataFrame([(name(a), name(b)) for a, b in edges], "src string, dst string"), 3, back=back)
         assert rows == sorted(((s, None if n is None else int(n[1:]), h) for s, n, h in named.collect()), key=str) and len(rows) > 100
+
+
+def test_keepers_of_many_small_components(spark):
+    """Thousands of components, resolved many at a time, and ids that no float tells apart."""
+    rnd, high = random.Random(12), 1 << 60
+    pairs = []
+    for c in range(5000):
+        ids = [high + 5 * c + k for k in range(5)]
+        pairs += [(a, b, ids[0]) for i, a in enumerate(ids) for b in ids[i + 1 :] if b == a + 1 or rnd.random() < 0.3]
+    df = spark.createDataFrame(pairs, "one long, two long, component long")
+    ids = sorted({i for a, b, _ in pairs for i in (a, b)})
+    components = spark.createDataFrame([(i, high + (i - high) // 5 * 5) for i in ids], "id long, component long")
+    began = time.perf_counter()
+    got = {r["id"]: r["keeper"] for r in dedup.greedy_keepers(df.select("one", "two"), components, components.select("id", F.col("id").alias("place"))).collect()}
+    assert time.perf_counter() - began < 15  # a group for each component took some 5 ms
+    assert got == dedup._kept({i: (i, i) for i in ids}, [(a, b) for a, b, _ in pairs])
